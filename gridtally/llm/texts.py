@@ -70,6 +70,18 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int):
         yield batch.slice(start, len(texts) - start), texts[start:]
 
 
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> np.ndarray:
+    """At least n powers of an odd base, modulo 2 to the 64."""
+    if len(_POWERS[0]) < n:
+        more = np.full(n * 2, 0x9E3779B97F4A7C15, np.uint64)
+        more[0] = 1
+        _POWERS[0] = np.multiply.accumulate(more)
+    return _POWERS[0]
+
+
 class FlatWords:
     """The words of some texts as flat arrays: a 64-bit hash of each word and the text that it stands in.
 
@@ -83,8 +95,6 @@ class FlatWords:
     _SPACE[[32, 9, 10, 11, 12, 13]] = True
     _FOLD = np.arange(256, dtype=np.uint8)
     _FOLD[65:91] += 32
-    _BASE = np.uint64(0x9E3779B97F4A7C15)
-    _POWERS = np.ones(1, np.uint64)
 
     def __init__(self, texts: list[str], fold: bool = False):
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -105,14 +115,9 @@ class FlatWords:
         size = self.ends - self.starts
         if not len(size):
             return np.zeros(0, np.uint64)
-        longest = int(size.max())
-        if len(FlatWords._POWERS) < longest:
-            more = np.full(longest * 2, self._BASE, np.uint64)
-            more[0] = 1
-            FlatWords._POWERS = np.multiply.accumulate(more)
         inner = np.flatnonzero(~self.space)
         place = inner - np.repeat(self.starts, size)
-        terms = self._TABLE[self.bytes[inner]] * FlatWords._POWERS[place]
+        terms = self._TABLE[self.bytes[inner]] * powers(int(size.max()))[place]
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         return mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridtally.llm.bpe import byte_letters
-from gridtally.llm.texts import WHITE_SPACE, members, text_slices
+from gridtally.llm.texts import WHITE_SPACE, members, mix, powers, text_slices
 
 #: Characters taken at a time, chunk length, pieces and transitions remembered. None changes results.
 SLICE_CHARS, CHUNK, CACHED_PIECES, CACHED_STEPS = 3_000_000, 256, 400_000, 400_000
@@ -247,6 +247,17 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.marks, self.inner, self.known = PieceMarks(), PieceCounts(path), {}
+        self.letter = mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
+
+    def hashes(self, points: np.ndarray, ends: list[int], starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each piece, so that equal pieces of a slice are sliced out once."""
+        size = stops - starts
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        terms = self.letter[np.delete(points, ends)] * powers(int(size.max()))[place]
+        return mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; an added token's string counts one and ends the text before it."""
@@ -266,14 +277,15 @@ class TokenCounter:
         whole = "\n".join(parts) + "\n"
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts, stops = self.marks.bounds(points, np.array(ends))
-        pieces = [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        key, sample, which = np.unique(self.hashes(points, ends, starts, stops), return_index=True, return_inverse=True)
+        pieces = [whole[a:b] for a, b in zip(starts[sample].tolist(), stops[sample].tolist())]
         if new := set(pieces) - self.known.keys():
             if len(self.known) + len(new) > CACHED_PIECES:
                 self.known.clear()
                 new = set(pieces)
             fresh = list(new)
             self.known.update(zip(fresh, self.inner.count([x.encode("utf-8", "surrogatepass") for x in fresh]).tolist()))
-        counts = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        counts = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[which]
         cumulated = np.concatenate(([0], np.cumsum(counts)))
         upto = cumulated[np.searchsorted(starts, end_of_text)]
         return np.diff(upto, prepend=0) + special
