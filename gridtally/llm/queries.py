@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridtally.llm.bpe import encode_documents
+from gridtally.llm.near_dedup import near_classes
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
 
@@ -12,12 +13,18 @@ def op1_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_tokens=False)
 
 
+def op2_near_dedup(spark, sf_dir):
+    """The contract of this query fixes shingles of four words."""
+    return near_classes(table(spark, sf_dir, "documents"), width=4)
+
+
 def op3_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
 }
 
