@@ -6,6 +6,7 @@ from gridtally.llm.bpe import encode_documents
 from gridtally.llm.near_dedup import near_classes
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
+from gridtally.llm.toxicity import score_documents, trained
 
 
 def op1_bpe(spark, sf_dir):
@@ -22,10 +23,16 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
