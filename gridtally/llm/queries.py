@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridtally.llm.bpe import encode_documents
+from gridtally.llm.mixing import mix_documents
 from gridtally.llm.near_dedup import near_classes
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
@@ -23,6 +24,10 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, trained(docs, table(spark, sf_dir, "labels")))
@@ -32,6 +37,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
