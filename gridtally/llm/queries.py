@@ -33,7 +33,14 @@ def op10_toxicity(spark, sf_dir):
     return score_documents(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
