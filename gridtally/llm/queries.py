@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from gridtally.llm.bpe import encode_documents
+from gridtally.llm import secrets
+from gridtally.llm.fingerprints import fingerprints
 from gridtally.llm.mixing import mix_documents
 from gridtally.llm.near_dedup import near_classes
 from gridtally.llm.texts import table, vocabulary
@@ -24,6 +26,14 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_secrets(spark, sf_dir):
+    return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -44,8 +54,10 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_secrets": op5_secrets,
+    "op9_fingerprints": op9_fingerprints,
     "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle()}
