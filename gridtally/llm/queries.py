@@ -5,8 +5,10 @@ from __future__ import annotations
 from gridtally.llm.bpe import encode_documents
 from gridtally.llm import secrets
 from gridtally.llm.fingerprints import fingerprints
+from gridtally.llm.html_text import extract_pages
 from gridtally.llm.mixing import mix_documents
 from gridtally.llm.near_dedup import near_classes
+from gridtally.llm.quality import quality
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
 from gridtally.llm.toxicity import score_documents, trained
@@ -30,6 +32,14 @@ def op5_secrets(spark, sf_dir):
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op8_html(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -55,6 +65,8 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_secrets": op5_secrets,
+    "op7_quality": op7_quality,
+    "op8_html": op8_html,
     "op9_fingerprints": op9_fingerprints,
     "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
