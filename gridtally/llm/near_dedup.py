@@ -9,8 +9,8 @@ similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS, about 3 in a million.
 Texts with equal shingle sets are first put together, so copies never meet in a bucket.
 In a bucket, members are compared with one member (its hub), not with each other; after each
 round linked members are one class, and the next round compares only what lies in different
-classes, with another hub. When hubs no longer join classes, the pairs of different classes that
-were never compared are compared directly. All links are confirmed on the full sets of shingles
+classes, with another hub. After HUB_ROUNDS hubs, members whose own shingles prove that they have no
+link in a bucket are set aside, and the pairs of different classes left over are compared directly. All links are confirmed on the full sets of shingles
 (as 64-bit hashes), so no class is joined by a sketch alone, and no pair that shares a bucket
 stays unproven.
 
@@ -153,6 +153,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("total") - F.col("common")))).select("a", "b")
 
 
+def _able(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members of buckets of several classes that can still have a link there.
+
+    Linked sets share at least percent / (100 + percent) of the sum of their sizes. Shingles that no
+    other of these documents has are never shared, so a document with too many of them, against the
+    smallest member of its bucket, has no link in it. That proves the many edited copies of one text
+    apart without comparing them one by one.
+    """
+    members = bands.select("rep").distinct()
+    held = sets.join(members, F.col("id") == F.col("rep"), "left_semi")
+    once = held.select("id", F.explode("members").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = held.select("id", F.size("members").alias("n")).groupBy("id").agg(F.max("n").alias("n")).join(once, "id", "left").select(F.col("id").alias("rep"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    sized = checkpointed(bands.join(sizes, "rep"))
+    least = sized.groupBy("band", "key").agg(F.min("n").alias("least"))
+    able = sized.join(least, ["band", "key"]).filter((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least"))).select("band", "key", "rep", "of")
+    several = able.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("band", "key")
+    return able.join(several, ["band", "key"], "left_semi")
+
+
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     spark = docs.sparkSession
@@ -188,8 +207,9 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         if turn < HUB_ROUNDS - 1:
             apart = bands.filter(F.col("of") != F.col("hub.of")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
         else:  # what no hub has compared: pairs of different classes only
-            left = bands.select("band", "key", F.col("rep").alias("a"), F.col("of").alias("of_a"))
-            right = bands.select("band", "key", F.col("rep").alias("b"), F.col("of").alias("of_b"))
+            able = checkpointed(_able(bands, sets, percent))
+            left = able.select("band", "key", F.col("rep").alias("a"), F.col("of").alias("of_a"))
+            right = able.select("band", "key", F.col("rep").alias("b"), F.col("of").alias("of_b"))
             apart = left.join(right, ["band", "key"]).filter("a < b and of_a <> of_b").select("a", "b")
         pairs = checkpointed(apart.distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
