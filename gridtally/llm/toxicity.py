@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm.texts import mix, powers
 
-SAMPLE_ROWS, SAMPLE_CHARS, SLICE_CHARS = 2500, 20_000, 2_000_000
+SAMPLE_ROWS, SAMPLE_CHARS, SLICE_CHARS = 2000, 20_000, 2_000_000
 #: A feature is kept if it has this many documents and these log odds; a token is toxic from STRONG on.
 LEAST_DOCS, KEPT, STRONG = 4, 1.5, 2.5
 PIECE = 128
@@ -52,7 +52,7 @@ class Tokens:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.text_of = np.searchsorted(ends, self.starts, side="right")
-        self.n_texts, self.raw = len(texts), raw
+        self.n_texts = len(texts)
         self.counts = np.bincount(self.text_of, minlength=len(texts))
         size = self.ends - self.starts
         if not len(size):
@@ -70,6 +70,18 @@ class Tokens:
         self.features = np.stack(columns, axis=1)
 
 
+    @staticmethod
+    def of(texts: list[str], at_once: int = 200) -> "Tokens":
+        """The tokens of many texts, made some texts at a time to hold little memory."""
+        parts = [Tokens(texts[i : i + at_once]) for i in range(0, max(1, len(texts)), at_once)]
+        whole = Tokens.__new__(Tokens)
+        whole.n_texts = len(texts)
+        whole.counts = np.concatenate([p.counts for p in parts])
+        whole.text_of = np.repeat(np.arange(len(texts)), whole.counts)
+        whole.features = np.concatenate([p.features for p in parts])
+        return whole
+
+
 def sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> list[tuple[str, int]]:
     """The sample's texts with their labels; at most SAMPLE_ROWS of either, so small enough for the driver."""
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
@@ -85,7 +97,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> list[tuple[str
 
 def distinct_texts(texts: list[str]) -> list[int]:
     """Positions without copies and near copies: no two share six of eight least hashes of word pairs."""
-    tokens = Tokens(texts)
+    tokens = Tokens.of(texts)
     h = tokens.features[:, 0]
     pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h[:0]
     cut = np.concatenate(([0], np.cumsum(tokens.counts)))
@@ -236,16 +248,15 @@ def fit(rows: list[tuple[str, int]], toxic_share: float) -> Model:
     first, second = rows[0::2], rows[1::2]
     if {y for _, y in first} != {0, 1} or {y for _, y in second} != {0, 1}:
         return model
-    tokens, label = Tokens([t for t, _ in first]), np.array([y for _, y in first])
-    owner = np.repeat(tokens.text_of, 3)
-    flat = tokens.features.reshape(-1)
-    met = np.unique(np.stack((flat[flat > 0], owner[flat > 0].astype(np.uint64)), axis=1), axis=0)
-    keys, start = np.unique(met[:, 0], return_index=True)
-    toxic = label[met[:, 1].astype(np.int64)] == 1
-    inside = np.add.reduceat(toxic.astype(np.int64), start)
-    outside = np.add.reduceat((~toxic).astype(np.int64), start)
+    tokens, label = Tokens.of([t for t, _ in first]), np.array([y for _, y in first])
+    cut = np.concatenate(([0], np.cumsum(tokens.counts)))
+    own = [np.unique(tokens.features[cut[i] : cut[i + 1]]) for i in range(len(first))]
+    keys, which = np.unique(np.concatenate(own), return_inverse=True)
+    toxic = np.repeat(label, [len(u) for u in own])
+    inside = np.bincount(which, toxic, minlength=len(keys))
+    outside = np.bincount(which, 1 - toxic, minlength=len(keys))
     odds = np.log((inside + 0.5) / (label.sum() + 1)) - np.log((outside + 0.5) / ((label == 0).sum() + 1))
-    use = (inside >= LEAST_DOCS) & (odds >= KEPT)
+    use = (inside >= LEAST_DOCS) & (odds >= KEPT) & (keys > 0)
     keys, odds = keys[use], odds[use]
     if not len(keys):
         return model
@@ -253,14 +264,13 @@ def fit(rows: list[tuple[str, int]], toxic_share: float) -> Model:
     hit = keys[at] == tokens.features
     strong = (np.where(hit, odds[at], 0.0).max(axis=1) >= STRONG) & (label[tokens.text_of] == 1)
     ids = np.where(hit, at, len(keys))
-    cut = np.concatenate(([0], np.cumsum(tokens.counts)))
     pieces = [(a, min(a + PIECE, cut[i + 1])) for i in range(len(first)) for a in range(cut[i], cut[i + 1], PIECE)]
     pieces = [(a, b) for a, b in pieces if hit[a:b].any()]  # the others say the same of the background
-    pieces = [pieces[k] for k in np.argsort(mix(np.arange(len(pieces), dtype=np.uint64)))[:3000]]
+    pieces = [pieces[k] for k in np.argsort(mix(np.arange(len(pieces), dtype=np.uint64)))[:2000]]
     model.weights, model.background, model.chain = _chain_fit([ids[a:b] for a, b in pieces], [strong[a:b].astype(np.int8) for a, b in pieces], len(keys))
     model.keys = keys
     y = np.array([y for _, y in second], float)
-    x, _, _ = model.evidence(Tokens([t for t, _ in second]))
+    x, _, _ = model.evidence(Tokens.of([t for t, _ in second]))
     weight = np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
     beta = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps of a ridge logistic regression
