@@ -34,6 +34,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of a class, id or role that tell of anything but the article.
 MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe tags toc toolbar widget widgets".split())
 _SPACE = re.compile(r"\s+")
+#: A tag that the end of the page cuts off.
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _TOKEN = re.compile(r"[^a-z0-9]+")
 
 
@@ -135,7 +137,7 @@ def content_lines(lines: list[tuple[str, int, bool, int]]) -> list[str]:
 
 def main_text(html: str) -> str:
     page = Page()
-    page.feed(html)
+    page.feed(_CUT_OFF.sub("", html))
     page.close()
     page.flush()
     return "\n\n".join(content_lines(page.lines))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtally.llm.links import checkpointed
-from gridtally.llm.texts import word_count
+from gridtally.llm.texts import fresh, word_count
 
 CAP = 2
 STEPS = 12
@@ -140,6 +140,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, all columns as they are."""
-    taken = mix_documents(docs, weights, percent).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_words", word_count(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.ceil(F.col("_sum") / F.col("_rows")).cast("int"))).alias("_one")).drop("_one")
+    key, size, times, words = (fresh(docs.columns, n) for n in ("_id", "_size", "_times", "_words"))
+    taken = mix_documents(docs, weights, percent).groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias(times))
+    rows = docs.withColumn(words, word_count(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(words) == F.col(size)))
+    return rows.withColumn(words, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -176,6 +176,8 @@ def measures(path: str) -> Measures:
 
 COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "script": "string", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double"}
 
+ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+
 
 def quality(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and COLUMNS for each row."""
@@ -185,7 +187,7 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_CHARS):
                 found = tool.measure(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(found[c]) for c in COLUMNS)], ["doc_id", "lang", *COLUMNS])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(found[c], ARROW[k]) for c, k in COLUMNS.items())], ["doc_id", "lang", *COLUMNS])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, " + ", ".join(f"{c} {k}" for c, k in COLUMNS.items())

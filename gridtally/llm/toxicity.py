@@ -167,7 +167,8 @@ class Model:
         forward = np.empty((len(at), 2))
         for step, g in enumerate(groups):
             if step == 0:
-                start = np.einsum("i,nij->nj", np.array([0.5, 0.5]), between[g])
+                opening = np.array([0.5, 0.5 * np.exp(self.background)])  # the text's first token, if nothing is known of it
+                start = np.einsum("i,nij->nj", opening, stretch(np.maximum(gap[g] - 1, 0)))
                 f = np.where(gap[g][:, None] > 0, start @ base, np.array([[0.5, 0.5]]))
             else:
                 f = np.einsum("ni,nij->nj", forward[g - 1], between[g]) @ base
