@@ -14,20 +14,20 @@ def even_sample(sites: DataFrame, cap: int) -> DataFrame:
     rule on equal picks looks at final picks, so it is a fold over the cap targets of a chromosome;
     nearest sites come from ordered windows over sites and targets together.
     """
-    order = Window.partitionBy("chrom").orderBy("pos", "site_id")
-    numbered = sites.withColumn("idx", F.row_number().over(order) - 1)
-    span = numbered.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n"))
-    few = numbered.join(span.filter(F.col("n") <= cap).select("chrom"), "chrom", "left_semi").select("chrom", "idx")
-    many = span.filter(F.col("n") > cap)
-    targets = many.select("chrom", F.posexplode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("t", "_t"), "lo", "hi").select("chrom", "t", (F.col("lo") + (F.col("hi") - F.col("lo")) * (2 * F.col("t") + 1) / (2 * cap)).alias("at"))
-    line = numbered.select("chrom", F.col("pos").cast("double").alias("at"), "idx", F.lit(None).cast("int").alias("t")).unionByName(targets.select("chrom", "at", F.lit(None).cast("int").alias("idx"), "t"))
+    own = Window.partitionBy("chrom")
+    numbered = sites.select("chrom", "pos", (F.row_number().over(own.orderBy("pos", "site_id")) - 1).alias("idx"), F.min("pos").over(own).alias("lo"), F.max("pos").over(own).alias("hi"), F.count("*").over(own).alias("n"))
+    few = numbered.filter(F.col("n") <= cap).select("chrom", "idx")
+    numbered = numbered.filter(F.col("n") > cap)
+    many = numbered.groupBy("chrom").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"))
+    targets = many.select("chrom", "n", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("t")).select("chrom", "n", "t", (F.col("lo") + (F.col("hi") - F.col("lo")) * (2 * F.col("t") + 1) / (2 * cap)).alias("at"))
+    line = numbered.select("chrom", F.col("pos").cast("double").alias("at"), "idx", "n", F.lit(None).cast("int").alias("t")).unionByName(targets.select("chrom", "at", F.lit(None).cast("int").alias("idx"), "n", "t"))
     up = Window.partitionBy("chrom").orderBy("at", F.col("t").isNotNull(), "idx").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("chrom").orderBy("at", F.col("t").isNull(), "idx").rowsBetween(0, Window.unboundedFollowing)
     site = F.when(F.col("t").isNull(), F.struct("at", "idx"))
     near = line.withColumn("below", F.last(site, True).over(up)).withColumn("above", F.first(site, True).over(down)).filter("t is not null")
     low = F.col("above").isNull() | (F.col("below").isNotNull() & (F.col("at") - F.col("below.at") <= F.col("above.at") - F.col("at")))
-    picks = near.select("chrom", "t", F.when(low, F.col("below.idx")).otherwise(F.col("above.idx")).alias("pick"))
-    ordered = picks.groupBy("chrom").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "pick"))), lambda x: x["pick"]).alias("picks")).join(many.select("chrom", "n"), "chrom")
+    picks = near.select("chrom", "n", "t", F.when(low, F.col("below.idx")).otherwise(F.col("above.idx")).alias("pick"))
+    ordered = picks.groupBy("chrom", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "pick"))), lambda x: x["pick"]).alias("picks"))
     step = lambda acc, x: F.concat(acc, F.array(F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == x), F.least(x + 1, F.col("n").cast("int") - 1)).otherwise(x)))
     final = ordered.select("chrom", F.explode(F.array_distinct(F.aggregate("picks", F.array().cast("array<int>"), step))).alias("idx"))
     return few.unionByName(final)

@@ -29,7 +29,7 @@ class Catalog:
         """A Parquet source whose path has {slots} for arguments."""
         self.register(name, lambda **args: self.spark.read.parquet(fill_template(template, args)), tier)
 
-    def resolve(self, name: str, fields: list[str] | None = None, **args) -> DataFrame | None:
+    def resolve(self, name: str, /, fields: list[str] | None = None, **args) -> DataFrame | None:
         """The frame; None for a disabled name. Unknown columns are ignored; no columns is no filter."""
         name = name.rsplit(":", 1)[-1]
         if name in self.disabled:
