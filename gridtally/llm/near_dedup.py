@@ -7,12 +7,12 @@ after twice as many. Bands of ROWS coordinates give the candidates: BANDS bands
 similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS, about 3 in a million.
 
 Texts with equal shingle sets are first put together, so copies never meet in a bucket.
-In a bucket, members are compared with one member (its hub), not with each other; after each
-round linked members are one class, and the next round compares only what lies in different
-classes, with another hub. After HUB_ROUNDS hubs, members whose own shingles prove that they have no
-link in a bucket are set aside, and the pairs of different classes left over are compared directly. All links are confirmed on the full sets of shingles
-(as 64-bit hashes), so no class is joined by a sketch alone, and no pair that shares a bucket
-stays unproven.
+In a bucket, members are first compared with one member (its hub), not with each other, and linked
+members become one class. Where a bucket then holds several classes, members whose own shingles
+prove that they have no link in it are set aside; the others are compared with the most central
+one, and with each other only where a prefix filter on their differences from it leaves a link
+possible. All links are confirmed on the full sets of shingles (as 64-bit hashes), so no class is
+joined by a sketch alone, and no pair that shares a bucket stays unproven.
 
 Defined cases: a document without words, or a null text, has an empty set and is linked with
 nothing; rows that share a doc_id share a component; a null doc_id is its own class (component
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtally.llm.links import checkpointed, forest
@@ -34,7 +34,6 @@ COORDINATES = ROWS * BANDS
 SLICE_CHARS = 2_000_000
 #: Ids are broadcast up to this number; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 3
 
 
 def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,22 +153,54 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _able(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members of buckets of several classes that can still have a link there.
+    """The members of buckets of several classes that can still have a link there, with the bucket's most central one as hub.
 
     Linked sets share at least percent / (100 + percent) of the sum of their sizes. Shingles that no
     other of these documents has are never shared, so a document with too many of them, against the
-    smallest member of its bucket, has no link in it. That proves the many edited copies of one text
-    apart without comparing them one by one.
+    smallest member of its bucket, has no link in it. The hub is the member with the fewest.
     """
     members = bands.select("rep").distinct()
     held = sets.join(members, F.col("id") == F.col("rep"), "left_semi")
     once = held.select("id", F.explode("members").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    sizes = held.select("id", F.size("members").alias("n")).groupBy("id").agg(F.max("n").alias("n")).join(once, "id", "left").select(F.col("id").alias("rep"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    sizes = held.select("id", F.size("members").alias("n")).groupBy("id").agg(F.max("n").alias("n")).join(once, "id", "left").select(F.col("id").alias("rep"), "n", F.coalesce("alone", F.lit(0)).alias("alone"))
     sized = checkpointed(bands.join(sizes, "rep"))
     least = sized.groupBy("band", "key").agg(F.min("n").alias("least"))
-    able = sized.join(least, ["band", "key"]).filter((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least"))).select("band", "key", "rep", "of")
-    several = able.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("band", "key")
-    return able.join(several, ["band", "key"], "left_semi")
+    able = sized.join(least, ["band", "key"]).filter((100 + percent) * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("least")))
+    central = F.min_by("rep", F.struct(F.col("alone") / F.col("n"), F.col("rep"))).alias("hub")
+    several = able.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y"), central).filter("x < y").select("band", "key", "hub")
+    return able.select("band", "key", "rep", "of").join(several, ["band", "key"])
+
+
+def _around_hubs(able: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with the hubs, and pairs (a, b) that may be links between other members of a hub's buckets.
+
+    Let D be the shingles that a member has and its hub has not, or the other way round. Two members are
+    linked if and only if their D differ in at most r times the sum of their sizes, r = (100 - percent) /
+    (100 + percent), so their D must share a certain number of shingles, and hence one among the first few
+    of each in the order of rarity. Edits of one text are mostly rare, so few members meet, and no pair
+    that is a link is left out. Members linked with the hub are of one class and need not meet.
+    """
+    pairs = able.select("hub", "rep", "of").distinct().filter("hub <> rep")
+    joined = pairs.join(sets.select(F.col("id").alias("rep"), F.col("members").alias("own")), "rep").join(sets.select(F.col("id").alias("hub"), F.col("members").alias("base")), "hub")
+    apart = F.concat(F.array_except("own", "base"), F.array_except("base", "own"))
+    held = joined.select("hub", "rep", "of", F.size("own").alias("n"), F.size("base").alias("m"), apart.alias("apart"))
+    linked = (100 + percent) * F.size("apart") <= (100 - percent) * (F.col("n") + F.col("m"))
+    held = checkpointed(held.withColumn("linked", linked))
+    d, r = F.size("apart"), (100 - percent) / (100 + percent)
+    # the least number of shared shingles: with any member not linked to the hub, and of such a one with a linked member
+    among = F.greatest(F.lit(1), F.ceil((d + r * (F.col("m") - F.col("n"))) / 2 - 1e-6))
+    across = F.greatest(F.lit(1), F.ceil((d - r * (F.col("n") + F.col("m"))) / 2 - 1e-6))
+    facts = held.select("hub", "rep", "of", "linked", (d - among + 1).alias("first_among"), (d - F.when(F.col("linked"), among).otherwise(across) + 1).alias("first_across"))
+    each = held.select("hub", "rep", F.explode("apart").alias("s"))
+    times = each.groupBy("hub", "s").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("times", "s"))
+    ranked = each.join(times, ["hub", "s"]).withColumn("place", place).filter("times > 1")
+    ranked = checkpointed(ranked.join(facts, ["hub", "rep"]).filter(F.col("place") <= F.greatest("first_among", "first_across")).select("hub", "s", "rep", "of", "linked", (F.col("place") <= F.col("first_among")).alias("among"), (F.col("place") <= F.col("first_across")).alias("across")))
+    side = lambda k: ranked.select("hub", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "of", "linked", "among", "across")))
+    one, two = side("a").filter("not linked_a"), side("b")
+    met = one.join(two, ["hub", "s"]).filter("of_a <> of_b and ((linked_b and across_a and across_b) or (not linked_b and rep_a < rep_b and among_a and among_b))")
+    links = held.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    return links, met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,31 +223,16 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     sets = checkpointed(_sets(docs.join(ids, "doc_id", "left_semi"), width))
 
     pairs = checkpointed(bands.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    tested, links = pairs, None
-    tree = spark.createDataFrame([], "node long, root long")
-    same_id = known.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y")).filter("x <> y").select("doc_id")
-    for turn in range(HUB_ROUNDS + 1):
-        found = confirmed(pairs, sets, percent)
-        links = found if links is None else found.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        tree = forest(links)
-        if turn == HUB_ROUNDS:
-            break
-        classed = bands.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("root", "rep").alias("of"))
-        mixed = classed.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min_by(F.struct("rep", "of"), F.xxhash64("rep", F.lit(turn))).alias("hub")).filter("x < y")
-        bands = checkpointed(classed.join(mixed.select("band", "key", "hub"), ["band", "key"]))
-        if turn < HUB_ROUNDS - 1:
-            apart = bands.filter(F.col("of") != F.col("hub.of")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-        else:  # what no hub has compared: pairs of different classes only
-            able = checkpointed(_able(bands, sets, percent))
-            left = able.select("band", "key", F.col("rep").alias("a"), F.col("of").alias("of_a"))
-            right = able.select("band", "key", F.col("rep").alias("b"), F.col("of").alias("of_b"))
-            apart = left.join(right, ["band", "key"]).filter("a < b and of_a <> of_b").select("a", "b")
-        pairs = checkpointed(apart.distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        bands = bands.select("band", "key", "rep")
+    tree = forest(confirmed(pairs, sets, percent))
+    classed = bands.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("root", "rep").alias("of"))
+    several = classed.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("band", "key")
+    able = checkpointed(_able(checkpointed(classed.join(several, ["band", "key"])), sets, percent))
+    if not able.isEmpty():
+        with_hubs, others = _around_hubs(able, sets, percent)
+        old = tree.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        tree = forest(old.union(with_hubs).union(confirmed(checkpointed(others), sets, percent)))
 
+    same_id = known.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y")).filter("x <> y").select("doc_id")
     # a document's class: through its set's representative, and through rows that share its id
     own = known.join(equal.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("doc_id", "rep").distinct()
     if not same_id.isEmpty():
