@@ -120,3 +120,65 @@ def edge_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame) -> Dat
     ruled = typed.join(rules.select("from_type", "to_type", "edge_type").distinct().withColumn("_ok", F.lit(True)), ["from_type", "to_type", "edge_type"], "left")
     problem = F.when(F.col("from_type").isNull(), "unknown_source").when(F.col("to_type").isNull(), "unknown_target").when(F.col("_ok").isNull(), "no_rule")
     return ruled.withColumn("problem", problem).filter("problem is not null").select("src", "dst", "edge_type", "problem")
+
+
+def components(edges: DataFrame, most: int = 50) -> DataFrame:
+    """(node, root): each node of undirected edges (a, b) with the least node of its component.
+
+    Every round a node takes the least root among itself and its neighbours, and then that root's own root,
+    so paths halve.
+    """
+    both = _cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
+    roots = _cut(both.groupBy("node").agg(F.least(F.min("next"), F.min("node")).alias("root")))
+    for _ in range(most):
+        near = both.join(roots.select(F.col("node").alias("next"), F.col("root").alias("r")), "next").groupBy("node").agg(F.min("r").alias("r"))
+        lower = roots.join(near, "node").select("node", F.least("root", "r").alias("root"))
+        jumped = _cut(lower.join(roots.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root")))
+        if jumped.join(roots, ["node", "root"], "left_anti").isEmpty():
+            return jumped
+        roots = jumped
+    return roots
+
+
+def question_states(questions: DataFrame, products: DataFrame) -> DataFrame:
+    """(question, state, missing) from (question, product, required) and (product, state).
+
+    No required product, or all of them validated, available or ready: ready only if all are 'ready' or there is
+    none, else partial; one missing, blocked or rejected (or unknown): blocked if every required one is, else partial.
+    """
+    seen = questions.filter("required").join(products, "product", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    bad = F.col("state").isin("missing", "blocked", "rejected")
+    agg = seen.groupBy("question").agg(F.bool_and(F.col("state") == "ready").alias("ready"), F.bool_and(bad).alias("all_bad"), F.array_sort(F.collect_set(F.when(bad, F.col("product")))).alias("missing"))
+    state = F.when(F.coalesce("ready", F.lit(True)), "ready").when(F.col("all_bad"), "blocked").otherwise("partial")
+    return questions.select("question").distinct().join(agg, "question", "left").select("question", state.alias("state"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+def estimable(preconditions: DataFrame, products: DataFrame, layers: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(estimand, state) from (estimand, kind, id, required): required attributes that aren't whole need extra data,
+    other unmet required ones block; unmet optional ones limit; nothing unmet, or no precondition, is estimable."""
+    ok = products.filter("state in ('validated', 'available')").select(F.lit("product").alias("kind"), F.col("product").alias("id")).union(layers.filter("state = 'RESOLVED'").select(F.lit("layer"), "layer")).union(attributes.filter("status = 'complete'").select(F.lit("sample_attribute"), "attribute")).distinct().withColumn("_ok", F.lit(True))
+    met = preconditions.join(ok, ["kind", "id"], "left").withColumn("unmet", F.col("_ok").isNull() & F.col("id").isNotNull())
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    agg = met.groupBy("estimand").agg(any_(F.col("unmet") & F.col("required") & (F.col("kind") == "sample_attribute")).alias("extra"), any_(F.col("unmet") & F.col("required") & (F.col("kind") != "sample_attribute")).alias("blocked"), any_(F.col("unmet")).alias("limits"))
+    return agg.select("estimand", F.when(F.col("extra"), "needs_extra_data").when(F.col("blocked"), "blocked").when(F.col("limits"), "estimable_with_limits").otherwise("estimable").alias("state"))
+
+
+def dispatch(questions: DataFrame, states: DataFrame, producers: DataFrame) -> DataFrame:
+    """(producer, products): one manifest for each producer of a required product that is missing or blocked."""
+    wanted = questions.filter("required").select("product").distinct().join(states.filter("state in ('missing', 'blocked')"), "product", "left_semi")
+    return wanted.join(producers, "product").groupBy("producer").agg(F.array_sort(F.collect_set("product")).alias("products"))
+
+
+def upstream_problems(results: DataFrame, most: int = 50) -> DataFrame:
+    """(result_id, problem) along input_result_id: 'missing' where a chain names nothing, 'cycle' where it comes back."""
+    known = results.select(F.col("result_id").alias("at"), F.when(F.col("input_result_id") != "", F.col("input_result_id")).alias("next"))
+    walk = known.filter("next is not null").select(F.col("at").alias("result_id"), F.col("next").alias("at"), F.array("at").alias("seen"))
+    out = None
+    for _ in range(most):
+        step = _cut(walk.join(known, "at", "left_outer").join(known.select("at").withColumn("_known", F.lit(True)), "at", "left"))
+        bad = step.filter("_known is null").select("result_id", F.lit("missing").alias("problem")).union(step.filter(F.array_contains("seen", F.col("at"))).select("result_id", F.lit("cycle")))
+        out = bad if out is None else out.union(bad)
+        walk = step.filter(F.col("_known").isNotNull() & ~F.array_contains("seen", F.col("at")) & F.col("next").isNotNull()).select("result_id", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
+        if walk.isEmpty():
+            break
+    return out.distinct()

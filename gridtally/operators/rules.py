@@ -61,3 +61,34 @@ def stale(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """Rows of stored whose version isn't the current one of their key; a key that is gone is stale too."""
     now = current.select(key, F.col("version").alias("current_version"))
     return stored.join(now, key, "left").filter(~F.col("version").eqNullSafe(F.col("current_version")))
+
+
+def characterised(evidence: DataFrame, table: DataFrame) -> DataFrame:
+    """(candidate_id, question, state) of evidence (candidate_id, key, value) under a rule table (question, key, op, bound, weight).
+
+    A rule with op 'ge' or 'lt' compares numbers, 'eq' texts. Nothing measured: EMPTY; supporting and contradicting
+    rules (of weight 1 and -1) both met: CONTRADICTED; all supporting rules met: ANSWERED; some: PARTIAL; none: MEASURED.
+    """
+    joined = table.join(evidence, "key", "left")
+    number, bound = F.col("value").try_cast("double"), F.col("bound").try_cast("double")
+    met = F.when(F.col("op") == "ge", number >= bound).when(F.col("op") == "lt", number < bound).otherwise(F.col("value") == F.col("bound"))
+    rows = joined.withColumn("met", F.coalesce(met, F.lit(False))).filter("candidate_id is not null and coalesce(value, '') <> ''")
+    rules = table.filter("weight > 0").groupBy("question").agg(F.count("*").alias("wanted"))
+    agg = rows.groupBy("candidate_id", "question").agg(F.sum((F.col("met") & (F.col("weight") > 0)).cast("int")).alias("pro"), F.sum((F.col("met") & (F.col("weight") < 0)).cast("int")).alias("con"))
+    grid = evidence.select("candidate_id").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(rules.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    out = grid.join(agg, ["candidate_id", "question"], "left")
+    state = F.when(F.col("pro").isNull(), "EMPTY").when((F.col("pro") > 0) & (F.col("con") > 0), "CONTRADICTED").when(F.col("pro") >= F.col("wanted"), "ANSWERED").when(F.col("pro") > 0, "PARTIAL").otherwise("MEASURED")
+    return out.select("candidate_id", "question", state.alias("state"))
+
+
+def version_gate(rank: Column, least: str) -> Column:
+    """Whether a group's validation reaches a level: NONE < UNCERTAIN < SUPPORTED < VALIDATED; SUSPECT never does."""
+    order = F.create_map(*(F.lit(x) for pair in (("NONE", 0), ("UNCERTAIN", 1), ("SUPPORTED", 2), ("VALIDATED", 3)) for x in pair))
+    return F.coalesce(order[rank] >= order[F.lit(least)], F.lit(False))
+
+
+def composite_flag(patterns: DataFrame, by: str) -> DataFrame:
+    """clean with 80 percent homogeneous samples, likely with over 20 percent of two or more blocks, maybe from 5 percent on."""
+    share = lambda *names: F.sum(F.col("pattern").isin(*names).cast("int")) / F.count("*")
+    agg = patterns.groupBy(by).agg(share("homogeneous").alias("h"), share("two_block", "multi_block").alias("b"))
+    return agg.select(by, F.when(F.col("h") >= 0.8, "clean").when(F.col("b") > 0.2, "likely").when(F.col("b") >= 0.05, "maybe").otherwise("unclear").alias("flag"))

@@ -196,3 +196,80 @@ def odds_ratio(rows: DataFrame, by: str, exposed: str, affected: str) -> DataFra
     count = lambda e, a: F.sum(((F.col(exposed) == e) & (F.col(affected) == a)).cast("int")).cast("long")
     t = rows.groupBy(by).agg(count(1, 1).alias("a"), count(1, 0).alias("b"), count(0, 1).alias("c"), count(0, 0).alias("d"))
     return t.withColumn("odds_ratio", F.when(F.col("b") * F.col("c") > 0, F.col("a") * F.col("d") / (F.col("b") * F.col("c"))))
+
+
+def pi_by_class(freqs: DataFrame, classes: DataFrame, per_window: int) -> DataFrame:
+    """Per window and group: mean pi of sites of class N and of class S, and their ratio; classes is (site, class)."""
+    n2 = 2 * F.col("n")
+    pi = (2 * F.col("alt") * (n2 - F.col("alt")) / (n2 * (n2 - 1))).cast("decimal(38,12)")
+    sites = freqs.join(classes, "site").withColumn("win_idx", F.floor(F.col("site") / per_window).cast("long"))
+    mean = lambda c: F.sum(F.when(F.col("class") == c, pi)).cast("double") / F.nullif(F.count(F.when(F.col("class") == c, 1)), F.lit(0))
+    out = sites.groupBy("group_name", "win_idx").agg(mean("N").alias("pi_n"), mean("S").alias("pi_s"))
+    return out.withColumn("ratio", F.when(F.col("pi_s") > 0, F.col("pi_n") / F.col("pi_s")))
+
+
+def window_summary(windows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n_windows, mean and maximum of a value over windows."""
+    return windows.groupBy(*by).agg(F.count(value).alias("n_windows"), (F.sum(F.col(value).cast("decimal(38,9)")).cast("double") / F.count(value)).alias("mean"), F.max(value).alias("max"))
+
+
+def dominant_component(long: DataFrame, parts: Sequence[str], least: float) -> DataFrame:
+    """Adds group: the part with the greatest share of a row, the first on a tie; null, with fallback set, below least."""
+    best = F.greatest(*parts)
+    name = F.coalesce(*(F.when(F.col(p) == best, p) for p in parts))
+    return long.withColumn("fallback", best < least).withColumn("group", F.when(best >= least, name))
+
+
+def burden(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Slope, intercept, r2 and the slope's standard error of y on x per group."""
+    n = F.regr_count(y, x)
+    out = rows.groupBy(by).agg(n.alias("n"), F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
+    error = F.when((F.col("n") > 2) & (F.col("sxx") > 0), F.sqrt(F.greatest(F.lit(0.0), F.col("syy") * (1 - F.col("r2")) / (F.col("n") - 2) / F.col("sxx"))))
+    return out.select(by, "n", "beta", "intercept", "r2", error.alias("se"))
+
+
+def fisher_exact(tables: DataFrame) -> DataFrame:
+    """Adds the two-sided p of Fisher's test to (a, b, c, d): the sum over tables that are as likely or less."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def p_value(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        from math import exp, lgamma
+
+        def one(a, b, c, d):
+            r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
+            fixed = lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(n - c1 + 1) - lgamma(n + 1)
+            log_p = lambda k: fixed - lgamma(k + 1) - lgamma(r1 - k + 1) - lgamma(c1 - k + 1) - lgamma(r2 - c1 + k + 1)
+            seen = log_p(a)
+            return min(1.0, sum(exp(x) for k in range(max(0, c1 - r2), min(r1, c1) + 1) if (x := log_p(k)) <= seen + 1e-9))
+
+        return pd.Series([one(*map(int, row)) for row in zip(a, b, c, d)])
+
+    return tables.withColumn("p", p_value("a", "b", "c", "d"))
+
+
+def distance_concordance(calls: DataFrame) -> DataFrame:
+    """Per distance of (pair, distance, concordance): mean, pairs above 0.8, pairs that fell by over 0.3 from their shortest distance."""
+    first = F.first("concordance").over(Window.partitionBy("pair").orderBy("distance"))
+    rows = calls.withColumn("fell", (first - F.col("concordance") > 0.3).cast("int"))
+    return rows.groupBy("distance").agg((F.sum(F.col("concordance").cast("decimal(38,9)")).cast("double") / F.count("*")).alias("mean"), F.sum((F.col("concordance") > 0.8).cast("int")).cast("long").alias("above_08"), F.sum("fell").cast("long").alias("decayed"))
+
+
+def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(group_name, id, cluster): density clusters of (group_name, id, x, y); noise has a null cluster.
+
+    Neighbours come from an equi-join on cells of the radius and those around them; clusters are the
+    components of core points, and a border point joins the least cluster that reaches it.
+    """
+    from gridtally.operators.graph import components
+
+    cell = points.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    left = cell.select("group_name", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", around.alias("o")).select("group_name", "a", "ax", "ay", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    near = left.join(cell.select("group_name", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy"), ["group_name", "cx", "cy"]).filter(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= radius * radius).select("group_name", "a", "b")
+    core = near.groupBy("group_name", "a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("a")
+    links = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
+    roots = components(links.select("a", "b"))
+    reach = near.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("least_root"))
+    own = points.select("group_name", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(reach.withColumnRenamed("a", "id"), "id", "left")
+    return own.select("group_name", "id", F.coalesce("root", "least_root").alias("cluster"))

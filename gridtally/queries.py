@@ -526,3 +526,89 @@ def interval_labels(spark, d):
 @query("SELECT c_mktsegment, count(DISTINCT c_nationkey) AS nations, count(*) AS customers, array_to_string(list_sort(list_distinct(list(c_nationkey::VARCHAR))), ',') AS listed FROM customer GROUP BY 1")
 def facets(spark, d):
     return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("nations"), F.count("*").alias("customers"), sets.csv_list(F.collect_set(F.col("c_nationkey").cast("string"))).alias("listed"))
+
+
+@query(f"""WITH {DOSAGES}, f AS (SELECT site, g, count(*) AS n, sum(x)::BIGINT AS alt FROM dos WHERE x >= 0 GROUP BY site, g), p AS (SELECT site // 200 AS w, g, CASE WHEN site % 3 = 0 THEN 'N' ELSE 'S' END AS c, (2 * alt * (2 * n - alt) / (2 * n * (2 * n - 1))::DOUBLE)::DECIMAL(38,12) AS pi FROM f),
+t AS (SELECT g, w, sum(pi) FILTER (c = 'N')::DOUBLE / count(*) FILTER (c = 'N') AS a, sum(pi) FILTER (c = 'S')::DOUBLE / count(*) FILTER (c = 'S') AS b FROM p GROUP BY ALL)
+SELECT g AS group_name, w::BIGINT AS win_idx, round(a, 6) AS pi_n, round(b, 6) AS pi_s, CASE WHEN b > 0 THEN round(a / b, 5) END AS ratio FROM t""")
+def class_diversity(spark, d):
+    classes = table(spark, d, "part").select(F.col("p_partkey").alias("site"), F.when(F.col("p_partkey") % 3 == 0, "N").otherwise("S").alias("class"))
+    return _rounded(_rounded(stats.pi_by_class(stats.frequencies(dosages(spark, d)), classes, 200), 6, "pi_n", "pi_s"), 5, "ratio")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n_windows, sum(l_extendedprice::DECIMAL(38,9))::DOUBLE / count(*) AS mean, max(l_extendedprice) AS max FROM lineitem GROUP BY ALL")
+def windows_summarised(spark, d):
+    return stats.window_summary(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) < 0.05 AS fallback, CASE WHEN greatest(l_discount, l_tax) >= 0.05 THEN CASE WHEN l_discount = greatest(l_discount, l_tax) THEN 'l_discount' ELSE 'l_tax' END END AS \"group\" FROM lineitem")
+def dominant_groups(spark, d):
+    """Each row's group by its greatest share, with a fallback."""
+    return stats.dominant_component(table(spark, d, "lineitem"), ["l_discount", "l_tax"], 0.05).select("l_orderkey", "l_linenumber", "fallback", "group")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(regr_slope(o_totalprice, o_orderkey), 4) AS beta, round(regr_r2(o_totalprice, o_orderkey), 6) AS r2 FROM orders GROUP BY 1")
+def burden_regression(spark, d):
+    out = stats.burden(table(spark, d, "orders"), "o_orderpriority", "o_orderkey", "o_totalprice")
+    return _rounded(_rounded(out.select("o_orderpriority", "n", "beta", "r2"), 4, "beta"), 6, "r2")
+
+
+@query("WITH c AS (SELECT l_orderkey AS p, l_linenumber AS d, l_discount * 10 AS c FROM lineitem), f AS (SELECT *, first_value(c) OVER (PARTITION BY p ORDER BY d) - c > 0.3 AS fell FROM (SELECT p, d, max(c) AS c FROM c GROUP BY ALL)) SELECT d AS distance, round(sum(c::DECIMAL(38,9))::DOUBLE / count(*), 6) AS mean, sum((c > 0.8)::INT)::BIGINT AS above_08, sum(fell::INT)::BIGINT AS decayed FROM f GROUP BY d")
+def concordance_by_distance(spark, d):
+    calls = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("distance")).agg(F.max(F.col("l_discount") * 10).alias("concordance"))
+    return _rounded(stats.distance_concordance(calls), 6, "mean")
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey // 3 AS a, o_orderkey // 3 + 1 + o_orderkey % 2 AS b FROM orders WHERE o_orderkey % 7 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS n, a AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.m) SELECT n AS node, min(m) AS root FROM r GROUP BY n""")
+def kin_groups(spark, d):
+    """Components of a threshold graph, as pedigrees are joined from related pairs."""
+    e = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.floor(F.col("o_orderkey") / 3).alias("a"), (F.floor(F.col("o_orderkey") / 3) + 1 + F.col("o_orderkey") % 2).alias("b"))
+    return graph.components(e)
+
+
+_QUESTIONS = "q AS (SELECT DISTINCT o_custkey AS q, 'p' || (o_orderkey % 60) AS p, o_orderkey % 4 > 0 AS r FROM orders), s AS (SELECT 'p' || p_partkey AS p, CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ready' WHEN 2 THEN 'blocked' WHEN 3 THEN 'ready' ELSE 'validated' END AS s FROM part WHERE p_partkey < 55)"
+
+
+def _questions(spark, d):
+    o = table(spark, d, "orders")
+    q = o.select(F.col("o_custkey").alias("question"), F.concat(F.lit("p"), (F.col("o_orderkey") % 60).cast("string")).alias("product"), (F.col("o_orderkey") % 4 > 0).alias("required")).distinct()
+    k = F.col("p_partkey")
+    s = table(spark, d, "part").filter("p_partkey < 55").select(F.concat(F.lit("p"), k.cast("string")).alias("product"), F.when(k % 5 == 0, "missing").when(k % 5 == 2, "blocked").when(k % 5 == 4, "validated").otherwise("ready").alias("state"))
+    return q, s
+
+
+@query(f"""WITH {_QUESTIONS}, j AS (SELECT q.q, q.p, coalesce(s.s, 'missing') AS s FROM q LEFT JOIN s ON q.p = s.p WHERE q.r), a AS (SELECT q, bool_and(s = 'ready') AS ok, bool_and(s IN ('missing', 'blocked', 'rejected')) AS bad, list_sort(list_distinct(list(CASE WHEN s IN ('missing', 'blocked', 'rejected') THEN p END))) AS m FROM j GROUP BY q)
+SELECT x.q AS question, CASE WHEN coalesce(ok, true) THEN 'ready' WHEN bad THEN 'blocked' ELSE 'partial' END AS state, coalesce(array_to_string(m, ','), '') AS missing FROM (SELECT DISTINCT q FROM q) x LEFT JOIN a ON a.q = x.q""")
+def question_readiness(spark, d):
+    q, s = _questions(spark, d)
+    return graph.question_states(q, s).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"WITH {_QUESTIONS}, w AS (SELECT DISTINCT q.p FROM q JOIN s ON q.p = s.p WHERE r AND s.s IN ('missing', 'blocked')) SELECT 'm' || (length(p) * 7 + ascii(right(p, 1))) % 5 AS producer, array_to_string(list_sort(list(p)), ',') AS products FROM w GROUP BY 1")
+def dispatch_plan(spark, d):
+    q, s = _questions(spark, d)
+    p = s.select("product", F.concat(F.lit("m"), ((F.length("product") * 7 + F.ascii(F.right("product", F.lit(1)))) % 5).cast("string")).alias("producer"))
+    return graph.dispatch(q, s, p).withColumn("products", F.array_join("products", ","))
+
+
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 31 = 5 THEN 999999 WHEN p_partkey % 50 = 1 THEN p_partkey + 1 WHEN p_partkey % 50 = 2 THEN p_partkey - 1 ELSE p_partkey // 2 END AS nx FROM part WHERE p_partkey BETWEEN 1 AND 600),
+w AS (SELECT id, nx AS pos, [id] AS seen FROM r WHERE nx IS NOT NULL UNION ALL SELECT w.id, r.nx, list_append(w.seen, w.pos) FROM w JOIN r ON r.id = w.pos WHERE NOT list_contains(w.seen, w.pos) AND r.nx IS NOT NULL)
+SELECT DISTINCT id::VARCHAR AS result_id, CASE WHEN list_contains(seen, pos) THEN 'cycle' ELSE 'missing' END AS problem FROM w WHERE list_contains(seen, pos) OR pos NOT IN (SELECT id FROM r)""")
+def result_chains(spark, d):
+    """Results whose upstream chain breaks off or comes back."""
+    k = F.col("p_partkey")
+    nxt = F.when(k % 9 == 0, "").when(k % 31 == 5, "999999").when(k % 50 == 1, (k + 1).cast("string")).when(k % 50 == 2, (k - 1).cast("string")).otherwise(F.floor(k / 2).cast("string"))
+    r = table(spark, d, "part").filter("p_partkey between 1 and 600").select(k.cast("string").alias("result_id"), nxt.alias("input_result_id"))
+    return graph.upstream_problems(r)
+
+
+@query(f"""WITH {_EAV}, t(q, k, b) AS (VALUES ('q1', 'q1_F', '1-URGENT'), ('q1', 'q1_O', '5-LOW'), ('q2', 'q2_F', '3-MEDIUM')), e AS (SELECT c, k, max(v) AS v FROM k GROUP BY c, k),
+a AS (SELECT e.c, t.q, sum((e.v = t.b)::INT) AS pro FROM t JOIN e ON e.k = t.k WHERE coalesce(e.v, '') <> '' GROUP BY ALL), g AS (SELECT c, q, n FROM (SELECT DISTINCT c FROM e), (SELECT q, count(*) AS n FROM t GROUP BY q))
+SELECT g.c AS candidate_id, g.q AS question, CASE WHEN pro IS NULL THEN 'EMPTY' WHEN pro >= n THEN 'ANSWERED' WHEN pro > 0 THEN 'PARTIAL' ELSE 'MEASURED' END AS state FROM g LEFT JOIN a ON a.c = g.c AND a.q = g.q""")
+def characterisation(spark, d):
+    """States of questions under a rule table over evidence keys."""
+    o = F.col("o_orderkey")
+    value = F.when(o % 5 == 0, "not_applicable").when(o % 5 == 1, "").when(o % 5 == 2, None).otherwise(F.col("o_orderpriority"))
+    k = table(spark, d, "orders").select(F.col("o_custkey").alias("candidate_id"), F.concat(F.lit("q"), (1 + o % 7).cast("string"), F.lit("_"), "o_orderstatus").alias("key"), value.alias("value")).groupBy("candidate_id", "key").agg(F.max("value").alias("value"))
+    rule = spark.createDataFrame([("q1", "q1_F", "eq", "1-URGENT", 1), ("q1", "q1_O", "eq", "5-LOW", 1), ("q2", "q2_F", "eq", "3-MEDIUM", 1)], "question string, key string, op string, bound string, weight int")
+    return rules.characterised(k, rule)
