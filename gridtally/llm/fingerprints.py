@@ -26,15 +26,19 @@ from gridtally.llm.links import checkpointed
 PER_RANGE, MOST_RANGES = 2000, 20_000
 #: Hashes that occur more than once are broadcast up to this number (32 bytes each), else shuffled.
 BROADCAST_HASHES = 500_000
-_WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]+"
+#: White space other than the space, and runs of white space; single spaces stay as they are.
+_ANY = r"\x09-\x0D\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_WHITE = rf"[{_ANY}][{_ANY}\x20]*|\x20[{_ANY}\x20]+"
 _LEAST = -(2**63)
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, full case folding, NFKC again as folding can undo it, and single spaces."""
+    """NFKC, full case folding, NFKC again as folding can undo it, and single spaces; for ASCII that is lower case."""
+    text = F.coalesce(text, F.lit(""))
     normal = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
-    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), normal(F.coalesce(text, F.lit(""))), F.lit(True))
-    return F.trim(F.regexp_replace(normal(folded), _WHITE, " "))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), normal(text), F.lit(True))
+    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(normal(folded))
+    return F.trim(F.regexp_replace(plain, _WHITE, " "))
 
 
 def wide_hash(canon: Column) -> Column:
@@ -44,10 +48,14 @@ def wide_hash(canon: Column) -> Column:
 
 def collisions(docs: DataFrame) -> DataFrame:
     """(print, digest): the texts that share a hash with a lesser canonical text but not its bytes."""
-    hashed = docs.select(canonical(F.col("text")).alias("canon")).select("canon", wide_hash(F.col("canon")).alias("print"))
-    repeated = checkpointed(hashed.groupBy("print").count().filter("count > 1").select("print"))
-    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated
-    held = hashed.join(few, "print", "left_semi")
+    prints = checkpointed(docs.select("doc_id", canonical(F.col("text")).alias("canon")).select("doc_id", wide_hash(F.col("canon")).alias("print")))
+    repeated = checkpointed(prints.groupBy("print").count().filter("count > 1").select("print"))
+    ids = prints.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated, "print", "left_semi").select("doc_id")
+    ids = checkpointed(ids.filter("doc_id is not null").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_HASHES else ids
+    texts = docs.select("doc_id", "text")
+    again = texts.join(few, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null")).select(canonical(F.col("text")).alias("canon"))
+    held = checkpointed(again.select("canon", wide_hash(F.col("canon")).alias("print")))
     # salted, so that the copies of one text don't meet in one task before they are one
     least = held.groupBy("print", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt")).agg(F.min("canon").alias("canon")).groupBy("print").agg(F.min("canon").alias("least"))
     return held.join(least, "print").filter("canon <> least").select("print", F.sha2("canon", 256).alias("digest")).distinct()
@@ -69,7 +77,7 @@ def _ranged(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each row beside the next in descending doc_id, the first after the last."""
+    """(doc_id, text, print, next_text, next_print): each row beside the next in descending doc_id, the first after the last."""
     rows = _ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     heads = checkpointed(rows.groupBy("range").agg(F.max("key").alias("key")))
     first = rows.select("key", "text").join(F.broadcast(heads.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
@@ -77,8 +85,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     top = F.first("key").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     guards = heads.select("range", F.coalesce(F.lead("key").over(down), top).alias("key")).join(first, "key")
     both = rows.withColumn("guard", F.lit(0)).unionByName(guards.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", "key", "range", F.lit(1).alias("guard")))
+    both = both.withColumn("canon", canonical(F.col("text"))).withColumn("print", wide_hash(F.col("canon"))).drop("canon")
     order = Window.partitionBy("range").orderBy("guard", F.desc("key"), "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).filter("guard = 0").select("doc_id", "text", "next_text")
+    return both.withColumns({"next_text": F.lead("text").over(order), "next_print": F.lead("print").over(order)}).filter("guard = 0").select("doc_id", "text", "print", "next_text", "next_print")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -87,16 +96,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("canon_edited"), canonical(F.col("next_text")).alias("canon_next"))
-    rows = rows.withColumns({"fingerprint": wide_hash(F.col("canon")), "edited_fingerprint": wide_hash(F.col("canon_edited"))})
+    rows = rows.withColumn("canon_edited", canonical(F.col("edited"))).withColumn("edited_print", wide_hash(F.col("canon_edited")))
+    # bytes are only compared, and so made canonical, where the hashes are equal
+    same = lambda prints, other: F.coalesce(F.when(prints, canonical(F.col("text")) == other), F.lit(False)).cast("double")
+    rows = rows.withColumns({"near_edited": same(F.col("print") == F.col("edited_print"), F.col("canon_edited")), "near_next": same(F.col("print") == F.col("next_print"), canonical(F.col("next_text")))})
+    out = {"n_chars": n.cast("long"), "edited_sha256": F.sha2("edited", 256), "fingerprint": F.col("print"), "edited_fingerprint": F.col("edited_print")}
     clash = checkpointed(collisions(docs))
-    if not clash.isEmpty():
-        for column, text in (("fingerprint", "canon"), ("edited_fingerprint", "canon_edited")):
-            rows = rows.withColumn("digest", F.sha2(text, 256)).join(clash.withColumnRenamed("print", column), [column, "digest"], "left_semi").select(*rows.columns).withColumn(column, F.concat(column, F.lit("-"), F.sha2(text, 256))).unionByName(
-                rows.withColumn("digest", F.sha2(text, 256)).join(clash.withColumnRenamed("print", column), [column, "digest"], "left_anti").select(*rows.columns)
-            )
-    like = lambda other: (F.col("canon") == F.col(other)).cast("double")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("canon_edited").alias("near_edited"), like("canon_next").alias("near_next"))
+    if not clash.isEmpty():  # few if any; a text that isn't its bucket's least gets its digest behind the hash
+        for column, print_, canon in (("fingerprint", "print", canonical(F.col("text"))), ("edited_fingerprint", "edited_print", F.col("canon_edited"))):
+            rows = rows.withColumn(f"_{print_}", F.sha2(canon, 256)).join(clash.select(F.col("print").alias("_p"), F.col("digest").alias("_d"), F.lit(True).alias(f"_hit_{print_}")), (F.col(print_) == F.col("_p")) & (F.col(f"_{print_}") == F.col("_d")), "left").drop("_p", "_d")
+            out[column] = F.when(F.col(f"_hit_{print_}"), F.concat(print_, F.lit("-"), F.col(f"_{print_}"))).otherwise(F.col(print_))
+    return rows.withColumns(out).select("doc_id", *out, "near_edited", "near_next")
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
