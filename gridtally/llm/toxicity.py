@@ -192,7 +192,9 @@ class Model:
         owner = tokens.text_of[at]
         most = np.zeros(tokens.n_texts)
         np.maximum.at(most, owner, p)
-        total = np.bincount(owner, p, minlength=tokens.n_texts)
+        # a word counts once a text, however often it stands there
+        _, which, times = np.unique(mix(tokens.features[at, 0] + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+        total = np.bincount(owner, p**2 / times[which], minlength=tokens.n_texts)
         x = np.stack((np.ones(tokens.n_texts), most, np.log1p(total), total / np.maximum(tokens.counts, 1) * 20), axis=1)
         return x, at, p
 
@@ -256,7 +258,9 @@ def fit(rows: list[tuple[str, int]], toxic_share: float) -> Model:
     toxic = np.repeat(label, [len(u) for u in own])
     inside = np.bincount(which, toxic, minlength=len(keys))
     outside = np.bincount(which, 1 - toxic, minlength=len(keys))
-    odds = np.log((inside + 0.5) / (label.sum() + 1)) - np.log((outside + 0.5) / ((label == 0).sum() + 1))
+    n_toxic, n_clean = label.sum(), (label == 0).sum()
+    slack = 0.5 + 0.0015 * n_clean  # a word of few documents needs more of them to count, the more words were tried
+    odds = np.log((inside + 0.5) / (n_toxic + 1)) - np.log((outside + slack) / (n_clean + 2 * slack))
     use = (inside >= LEAST_DOCS) & (odds >= KEPT) & (keys > 0)
     keys, odds = keys[use], odds[use]
     if not len(keys):
