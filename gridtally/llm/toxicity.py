@@ -82,17 +82,17 @@ class Tokens:
         return whole
 
 
-def sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> list[tuple[str, int]]:
-    """The sample's texts with their labels; at most SAMPLE_ROWS of either, so small enough for the driver."""
+def sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, text, label) of the sample: at most SAMPLE_ROWS labelled ids of either label."""
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = None
     for label in (0, 1):
         part = usable.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.union(part)
-    chosen = chosen.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("most")).filter("label = most")
+    chosen = chosen.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("most")).filter("label = most").select("doc_id", "label")
     rows = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return [(r.text, r.label) for r in rows.select("doc_id", "text", "label").orderBy("doc_id", "text").limit(4 * SAMPLE_ROWS).collect()]
+    return rows.select("doc_id", "text", "label").orderBy("doc_id", "text").limit(4 * SAMPLE_ROWS)
 
 
 def distinct_texts(texts: list[str]) -> list[int]:
@@ -295,9 +295,22 @@ def held_out(doc_id):
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The field fitted on the sample, in one task, as the sample is bounded; the driver gets the model alone."""
     usable = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    share = usable.agg(F.avg("toxic")).first()[0]
-    return fit(sample(docs, labels), float(share or 0.0))
+    share = float(usable.agg(F.avg("toxic")).first()[0] or 0.0)
+
+    def run(batches):
+        rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
+        m = fit([(t, y) for _, t, y in rows], share)
+        values = [m.keys.view(np.int64).tolist(), m.weights.tolist(), [m.background], m.chain.reshape(-1).tolist(), m.document.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64() if k == 0 else pa.float64())) for k, v in enumerate(values)], ["keys", "weights", "background", "chain", "document"])
+
+    row = sample(docs, labels).repartition(1).mapInArrow(run, "keys array<long>, weights array<double>, background array<double>, chain array<double>, document array<double>").first()
+    model = Model()
+    if row is not None:
+        model.keys, model.weights = np.array(row.keys, np.int64).view(np.uint64), np.array(row.weights, float)
+        model.background, model.chain, model.document = row.background[0], np.array(row.chain).reshape(2, 2), np.array(row.document)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, with_spans: bool = True) -> DataFrame:
