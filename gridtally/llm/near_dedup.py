@@ -244,3 +244,15 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     out = rows.select("doc_id", "n_shingles").join(classes, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def oracle(width: int = 4, percent: int = 80) -> str:
+    """DuckDB SQL for near_classes(documents), by all pairs that share a shingle; for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS d, a AS m FROM u UNION SELECT r.d, u.b FROM r JOIN u ON u.a = r.m), m AS (SELECT d, min(m) AS m FROM r GROUP BY d)
+    SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.m, w.doc_id)::BIGINT AS component_id, coalesce(m.m, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.d = w.doc_id"""

@@ -8,6 +8,7 @@ from gridtally.llm.fingerprints import fingerprints
 from gridtally.llm.html_text import extract_pages
 from gridtally.llm.mixing import mix_documents
 from gridtally.llm.near_dedup import near_classes
+from gridtally.llm.near_dedup import oracle as near_oracle
 from gridtally.llm.quality import quality
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
@@ -72,4 +73,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle()}
+ORACLES: dict[str, str] = {"op2_near_dedup": near_oracle(), "op5_secrets": secrets.oracle()}
