@@ -70,12 +70,13 @@ def balanced_rates(counts: DataFrame, targets: DataFrame) -> DataFrame:
     for step in range(STEPS):
         taken = F.sum((F.col("docs") * F.col("size") * rate).cast(_EXACT)).cast("double")
         slope = F.sum((F.col("docs") * F.col("size") * x * rate * (1 - rate / CAP)).cast(_EXACT)).cast("double")
-        sums = _of_source(counts, state).groupBy("source").agg(taken.alias("taken"), slope.alias("slope"))
+        held = [F.max(c).alias(c) for c in ("words", "target", "mean", "tilt")]  # one value a source
+        sums = _of_source(counts, state).groupBy("source").agg(*held, taken.alias("taken"), slope.alias("slope"))
         move = (F.col("target") - F.col("taken")) / F.greatest(F.col("slope"), F.lit(1e-6))
         bound = F.lit(2.0)  # a damped step: the dual is convex, but nearly flat where all rates are at a bound
         tilt = F.round(F.col("tilt") + F.greatest(-bound, F.least(bound, move)), 9)
-        state = _of_source(state, sums, "left").select("source", "words", "target", "mean", F.coalesce(tilt, F.lit(0.0)).alias("tilt"))
-        if step % 4 == 3 or step == STEPS - 1:
+        state = sums.select("source", "words", "target", "mean", tilt.alias("tilt"))
+        if step % 3 == 2 or step == STEPS - 1:
             state = checkpointed(state)
     full = F.when(F.col("target") >= CAP * F.col("words"), F.lit(float(CAP))).otherwise(rate)
     return _of_source(counts, state).select("source", "size", "docs", "target", "words", F.when(F.col("size") > 0, full).otherwise(0.0).alias("rate"))
