@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,7 +231,6 @@ def burden(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
     """Adds the two-sided p of Fisher's test to (a, b, c, d): the sum over tables that are as likely or less."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p_value(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
