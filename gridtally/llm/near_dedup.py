@@ -190,12 +190,14 @@ def _around_hubs(able: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     # the least number of shared shingles: with any member not linked to the hub, and of such a one with a linked member
     among = F.greatest(F.lit(1), F.ceil((d + r * (F.col("m") - F.col("n"))) / 2 - 1e-6))
     across = F.greatest(F.lit(1), F.ceil((d - r * (F.col("n") + F.col("m"))) / 2 - 1e-6))
-    facts = held.select("hub", "rep", "of", "linked", (d - among + 1).alias("first_among"), (d - F.when(F.col("linked"), among).otherwise(across) + 1).alias("first_across"))
+    facts = held.select("hub", "rep", "of", "linked", d.alias("d"), (d - among + 1).alias("first_among"), (d - F.when(F.col("linked"), among).otherwise(across) + 1).alias("first_across"))
     each = held.select("hub", "rep", F.explode("apart").alias("s"))
-    times = each.groupBy("hub", "s").agg(F.count("*").alias("times"))
-    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("times", "s"))
-    ranked = each.join(times, ["hub", "s"]).withColumn("place", place).filter("times > 1")
-    ranked = checkpointed(ranked.join(facts, ["hub", "rep"]).filter(F.col("place") <= F.greatest("first_among", "first_across")).select("hub", "s", "rep", "of", "linked", (F.col("place") <= F.col("first_among")).alias("among"), (F.col("place") <= F.col("first_across")).alias("across")))
+    # shingles of one member alone are the rarest and never meet; they only push the others back
+    times = each.groupBy("hub", "s").agg(F.count("*").alias("times")).filter("times > 1")
+    own = Window.partitionBy("hub", "rep")
+    ranked = each.join(times, ["hub", "s"]).withColumn("rank", F.row_number().over(own.orderBy("times", "s"))).withColumn("shared", F.count("*").over(own))
+    ranked = ranked.join(facts, ["hub", "rep"]).withColumn("place", F.col("d") - F.col("shared") + F.col("rank")).filter(F.col("place") <= F.greatest("first_among", "first_across"))
+    ranked = checkpointed(ranked.select("hub", "s", "rep", "of", "linked", (F.col("place") <= F.col("first_among")).alias("among"), (F.col("place") <= F.col("first_across")).alias("across")))
     side = lambda k: ranked.select("hub", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "of", "linked", "among", "across")))
     one, two = side("a").filter("not linked_a"), side("b")
     met = one.join(two, ["hub", "s"]).filter("of_a <> of_b and ((linked_b and across_a and across_b) or (not linked_b and rep_a < rep_b and among_a and among_b))")
