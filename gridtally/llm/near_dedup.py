@@ -31,7 +31,7 @@ from gridtally.llm.texts import FlatWords, mix, text_slices
 
 ROWS, BANDS = 5, 32
 COORDINATES = ROWS * BANDS
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Ids are broadcast up to this number; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +59,21 @@ def char_class(group: str) -> str:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_chars: int):
-    """Slices of an Arrow batch with about max_chars of text each (one row at least); nulls come as ''."""
-    texts = [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > max_chars:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield batch.slice(start, len(texts) - start), texts[start:]
+    """Slices of an Arrow batch with about max_chars bytes of text each (one row at least), and their texts; nulls come as ''.
+
+    Only one slice's texts are Python strings at a time.
+    """
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    cuts, size = [0], 0
+    for i, n in enumerate(sizes):
+        if i > cuts[-1] and size + n > max_chars:
+            cuts.append(i)
+            size = 0
+        size += n
+    for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
+        if b > a:
+            yield batch.slice(a, b - a), [x or "" for x in texts.slice(a, b - a).to_pylist()]
 
 
 _POWERS = [np.ones(1, np.uint64)]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm.texts import mix, powers
 
-SAMPLE_ROWS, SAMPLE_CHARS, SLICE_CHARS = 2000, 20_000, 2_000_000
+SAMPLE_ROWS, SAMPLE_CHARS, SLICE_CHARS = 2000, 20_000, 1_000_000
 #: A feature is kept if it has this many documents and these log odds; a token is toxic from STRONG on.
 LEAST_DOCS, KEPT, STRONG = 4, 1.5, 2.5
 PIECE = 128
