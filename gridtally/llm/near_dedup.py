@@ -153,11 +153,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _able(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members of buckets of several classes that can still have a link there, with the bucket's most central one as hub.
+    """The members of buckets of several classes that can still have a link there, with a central document as hub.
 
     Linked sets share at least percent / (100 + percent) of the sum of their sizes. Shingles that no
     other of these documents has are never shared, so a document with too many of them, against the
-    smallest member of its bucket, has no link in it. The hub is the member with the fewest.
+    smallest member of its bucket, has no link in it. The bucket's hub is the document with the fewest
+    in the class of the member with the fewest, so the buckets of one class have one hub; it need not
+    be in the bucket.
     """
     members = bands.select("rep").distinct()
     held = sets.join(members, F.col("id") == F.col("rep"), "left_semi")
@@ -166,8 +168,9 @@ def _able(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sized = checkpointed(bands.join(sizes, "rep"))
     least = sized.groupBy("band", "key").agg(F.min("n").alias("least"))
     able = sized.join(least, ["band", "key"]).filter((100 + percent) * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("least")))
-    central = F.min_by("rep", F.struct(F.col("alone") / F.col("n"), F.col("rep"))).alias("hub")
-    several = able.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y"), central).filter("x < y").select("band", "key", "hub")
+    order = F.struct(F.col("alone") / F.col("n"), F.col("rep"))
+    several = able.groupBy("band", "key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min_by("of", order).alias("central")).filter("x < y").select("band", "key", "central")
+    several = several.join(able.groupBy(F.col("of").alias("central")).agg(F.min_by("rep", order).alias("hub")), "central").select("band", "key", "hub")
     return able.select("band", "key", "rep", "of").join(several, ["band", "key"])
 
 
