@@ -6,6 +6,7 @@ from gridtally.llm.bpe import encode_documents
 from gridtally.llm import secrets
 from gridtally.llm.fingerprints import fingerprints
 from gridtally.llm.html_text import extract_pages
+from gridtally.llm.line_dedup import deletions
 from gridtally.llm.mixing import mix_documents
 from gridtally.llm.near_dedup import near_classes
 from gridtally.llm.near_dedup import oracle as near_oracle
@@ -29,6 +30,11 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    """Every document's words deleted and the digest of what is left; none is dropped."""
+    return deletions(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
     "op8_html": op8_html,

@@ -120,6 +120,37 @@ def test_line_dedup(spark):
     assert LEAST_WORDS <= 50
 
 
+def words_of_earlier_runs(texts, least):
+    """Places of words in runs of least words that stand at an earlier place, by document."""
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        w, out[i] = (t or "").split(), set()
+        for j in range(len(w) - least + 1):
+            run = tuple(w[j : j + least])
+            if run in seen:
+                out[i].update(range(j, j + least))
+            seen.add(run)
+    return out
+
+
+def test_line_dedup_query(spark, tmp_path):
+    from gridtally.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    passage = prose(rng, 60)
+    rows = {i: prose(rng, 80) for i in range(30)} | {40: passage + "\n" + prose(rng, 20), 41: prose(rng, 30) + "\n" + passage + "\n" + prose(rng, 15), 42: passage, 43: None, 44: ""}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(rows)  # none is dropped
+    gone = words_of_earlier_runs(rows, LEAST_WORDS)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {i: r.n_deleted for i, r in got.items()} == {i: len(g) for i, g in gone.items()}
+    assert gone[42] and all(r.text_sha256 == sha(rows[i]) for i, r in got.items() if not gone[i] and i != 43)
+    assert got[42].text_sha256 == sha("") and got[43].text_sha256 is None
+    a = rows[41].split("\n")
+    assert got[41].text_sha256 == sha(a[0] + "\n" + a[2])
+
+
 def test_line_dedup_empty(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
