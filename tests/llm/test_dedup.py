@@ -151,6 +151,24 @@ def test_line_dedup_query(spark, tmp_path):
     assert got[41].text_sha256 == sha(a[0] + "\n" + a[2])
 
 
+def test_line_dedup_with_common_words(spark):
+    """Common short words stand everywhere, so many places of a passage stand first in unrelated documents."""
+    rng = random.Random(10)
+    few = ["the", "of", "and", "to", "in", "a"]
+    mixed = lambda n: " ".join(rng.choice(few) if rng.random() < 0.6 else rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    rows = {i: mixed(200) for i in range(100)}
+    for i in range(40):  # passages of 51 words between words of their own, and runs of one word
+        passage = mixed(51)
+        for j in (200 + i, 300 + i, 400 + i):
+            rows[j] = prose(rng, rng.randint(3, 30)) + " " + passage + " " + prose(rng, rng.randint(3, 30))
+    rows |= {500: "la " * 300, 501: prose(rng, 5) + " la" * 200 + " " + prose(rng, 5), 502: rows[7] + " " + rows[7]}
+    got = {r.doc_id: r.text for r in drop_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), drop_emptied=False).collect()}
+    gone = words_of_earlier_runs(rows, LEAST_WORDS)
+    lost = {i: len(t.split()) - len(got[i].split()) for i, t in rows.items()}
+    assert lost == {i: len(g) for i, g in gone.items()}
+    assert min(lost[i] for i in range(300, 340)) >= 51 and got[502] == ""
+
+
 def test_line_dedup_empty(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
