@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: States of a layer, as the registry names them.
 RESOLVED, MISSING, READY, BLOCKED, FAILED, UNKNOWN = "RESOLVED", "KNOWN_MISSING", "READY_TO_RUN", "BLOCKED_BY_INPUT", "FAILED", "UNKNOWN_CONTRACT"
 
+#: Rounds after which a growing union is written, so that its plan stays short.
+UNIONS = 16
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """df without its lineage: a checkpoint where the session has a folder for it, else as it is."""
@@ -17,7 +22,15 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def chains(edges: DataFrame, most: int = 50) -> DataFrame:
+def _rounds(most: int | None):
+    """1, 2, and so on without an end; raises beyond most, where that is set, so that nothing partial is returned."""
+    for k in itertools.count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield k
+
+
+def chains(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(root, leaf, depth, path) for each path from a node without parents to one without children.
 
     A round adds one edge to every path; a path never enters a node twice, so cycles end it.
@@ -27,29 +40,40 @@ def chains(edges: DataFrame, most: int = 50) -> DataFrame:
     paths = roots.select(F.col("src").alias("root"), F.col("src").alias("at"), F.array("src").alias("path"))
     inner = edges.select("src").distinct()
     done = None
-    for _ in range(most):
+    for k in _rounds(most):
         grown = _cut(paths.join(edges, paths["at"] == edges["src"]).filter(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
         ended = grown.join(inner.withColumnRenamed("src", "at"), "at", "left_anti").select("root", F.col("at").alias("leaf"), (F.size("path") - 1).alias("depth"), "path")
         done = ended if done is None else done.union(ended)
+        done = done if k % UNIONS else _cut(done)
         if grown.isEmpty():
             break
         paths = grown
     return done
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
-    """(start, node, depth): everything that a start needs, at its greatest distance; edges go from user to need."""
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, node, depth): everything that a start needs, at its greatest distance; edges go from user to need.
+
+    On a cycle there is no greatest distance: a walk longer than the edges have users raises.
+    """
+    edges = edges.select("src", "dst").distinct()
+    users = None
     found = starts.select(F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
     front = found
-    for depth in range(1, most + 1):
+    for depth in _rounds(most):
         front = _cut(front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         found = found.union(front)
+        if depth % UNIONS == 0:
+            found = _cut(found)
+            users = users or edges.select("src").distinct().count()
+            if depth > users:
+                raise ValueError("a cycle has no greatest distance")
     return found.groupBy("start", "node").agg(F.max("depth").alias("depth"))
 
 
-def layer_states(layers: DataFrame, needs: DataFrame, most: int = 100) -> DataFrame:
+def layer_states(layers: DataFrame, needs: DataFrame, most: int | None = None) -> DataFrame:
     """(layer, state) from (layer, has_result, failed, has_producer) and needs (layer, input), to a fixpoint.
 
     A layer with an active result is RESOLVED, with only failed ones FAILED, without a producer
@@ -60,7 +84,7 @@ def layer_states(layers: DataFrame, needs: DataFrame, most: int = 100) -> DataFr
     fixed = F.when(F.col("has_result"), RESOLVED).when(F.col("failed"), FAILED).when(~F.col("has_producer"), UNKNOWN)
     states = _cut(layers.select("layer", fixed.alias("state")))
     needs = needs.select("layer", "input").distinct()
-    for _ in range(most):
+    for _ in _rounds(most):
         of_input = states.select(F.col("layer").alias("input"), F.col("state").alias("s"), F.lit(True).alias("known"))
         seen = needs.join(of_input, "input", "left")
         bad = F.col("known").isNull() | F.col("s").isin(BLOCKED, FAILED, UNKNOWN)
@@ -86,7 +110,7 @@ def roll_up(parents: DataFrame, members: DataFrame) -> DataFrame:
     return parents.join(agg, "parent", "left").select("parent", state.alias("state"))
 
 
-def product_states(products: DataFrame, backing: DataFrame, depends: DataFrame, most: int = 50) -> DataFrame:
+def product_states(products: DataFrame, backing: DataFrame, depends: DataFrame, most: int | None = None) -> DataFrame:
     """(product, state): of its layers, then its review, then of the products that it depends on.
 
     Layers all resolved give 'available', none 'missing', some 'partial'. Only an available product is
@@ -99,7 +123,7 @@ def product_states(products: DataFrame, backing: DataFrame, depends: DataFrame,
     own = _cut(products.join(rolled, "product", "left").select("product", state.alias("state")))
     bad = own.filter(F.col("state").isin("missing", "rejected")).select("product")
     reached = front = bad
-    for _ in range(most):
+    for _ in _rounds(most):
         front = _cut(depends.join(front.withColumnRenamed("product", "needs"), "needs").select("product").distinct().join(reached, "product", "left_anti"))
         if front.isEmpty():
             break
@@ -122,7 +146,7 @@ def edge_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame) -> Dat
     return ruled.withColumn("problem", problem).filter("problem is not null").select("src", "dst", "edge_type", "problem")
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root): each node of undirected edges (a, b) with the least node of its component.
 
     Every round a node takes the least root among itself and its neighbours, and then that root's own root,
@@ -130,7 +154,7 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """
     both = _cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
     roots = _cut(both.groupBy("node").agg(F.least(F.min("next"), F.min("node")).alias("root")))
-    for _ in range(most):
+    for _ in _rounds(most):
         near = both.join(roots.select(F.col("node").alias("next"), F.col("root").alias("r")), "next").groupBy("node").agg(F.min("r").alias("r"))
         lower = roots.join(near, "node").select("node", F.least("root", "r").alias("root"))
         jumped = _cut(lower.join(roots.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root")))
@@ -169,15 +193,16 @@ def dispatch(questions: DataFrame, states: DataFrame, producers: DataFrame) -> D
     return wanted.join(producers, "product").groupBy("producer").agg(F.array_sort(F.collect_set("product")).alias("products"))
 
 
-def upstream_problems(results: DataFrame, most: int = 50) -> DataFrame:
+def upstream_problems(results: DataFrame, most: int | None = None) -> DataFrame:
     """(result_id, problem) along input_result_id: 'missing' where a chain names nothing, 'cycle' where it comes back."""
     known = results.select(F.col("result_id").alias("at"), F.when(F.col("input_result_id") != "", F.col("input_result_id")).alias("next"))
     walk = known.filter("next is not null").select(F.col("at").alias("result_id"), F.col("next").alias("at"), F.array("at").alias("seen"))
     out = None
-    for _ in range(most):
+    for k in _rounds(most):
         step = _cut(walk.join(known, "at", "left_outer").join(known.select("at").withColumn("_known", F.lit(True)), "at", "left"))
         bad = step.filter("_known is null").select("result_id", F.lit("missing").alias("problem")).union(step.filter(F.array_contains("seen", F.col("at"))).select("result_id", F.lit("cycle")))
         out = bad if out is None else out.union(bad)
+        out = out if k % UNIONS else _cut(out)
         walk = step.filter(F.col("_known").isNotNull() & ~F.array_contains("seen", F.col("at")) & F.col("next").isNotNull()).select("result_id", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
         if walk.isEmpty():
             break

@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridtally.llm.fingerprints import exact_copies, fingerprints
@@ -86,6 +87,13 @@ def test_forest(spark):
     assert got == {i: 1 for i in range(2, 31)} | {50: 40, 60: 40}
 
 
+def test_forest_of_a_long_chain_and_its_bound(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 200)], "a long, b long")
+    assert dict(tuple(r) for r in forest(links).collect()) == {i: 1 for i in range(2, 201)}
+    with pytest.raises(RuntimeError):
+        forest(links, rounds=1)
+
+
 def grams(texts, k):
     found = {}
     for i, t in texts.items():

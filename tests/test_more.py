@@ -3,6 +3,7 @@
 import random
 from math import comb
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridtally.operators import graph, rules, stats
@@ -95,3 +96,15 @@ def test_flags(spark):
     assert dict(rows(rules.composite_flag(p, "k"))) == {"a": "clean", "b": "likely"}
     levels = spark.createDataFrame([("NONE",), ("SUPPORTED",), ("VALIDATED",), ("SUSPECT",)], "v string")
     assert [r[0] for r in levels.select(rules.version_gate(F.col("v"), "SUPPORTED")).collect()] == [False, True, True, False]
+
+
+def test_chains_and_closures_have_no_bound_of_rounds(spark):
+    n = 54
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    assert rows(graph.chains(edges)) == [(0, n, n, list(range(n + 1)))]
+    with pytest.raises(RuntimeError):
+        graph.chains(edges, most=2)
+    start = spark.createDataFrame([(0,)], "node long")
+    assert rows(graph.closure(edges, start)) == [(0, i, i) for i in range(n + 1)]
+    with pytest.raises(ValueError):
+        graph.closure(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"), spark.createDataFrame([(1,)], "node long"))
