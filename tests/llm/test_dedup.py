@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtally.llm.fingerprints import exact_copies, fingerprints
-from gridtally.llm.line_dedup import LEAST_WORDS, drop_repeats
+from gridtally.llm.line_dedup import LEAST_WORDS, WINDOW, Prints, drop_repeats
 from gridtally.llm.links import forest
 from gridtally.llm.near_dedup import near_classes
 
@@ -169,7 +169,7 @@ def test_line_dedup_with_common_words(spark):
         passage = mixed(51)
         for j in (200 + i, 300 + i, 400 + i):
             rows[j] = prose(rng, rng.randint(3, 30)) + " " + passage + " " + prose(rng, rng.randint(3, 30))
-    rows |= {500: "la " * 300, 501: prose(rng, 5) + " la" * 200 + " " + prose(rng, 5), 502: rows[7] + " " + rows[7]}
+    rows |= {500: "la " * 300, 501: prose(rng, 5) + " la" * 200 + " " + prose(rng, 5), 502: rows[7] + " " + rows[7], 503: "lo li " * 150}
     got = {r.doc_id: r.text for r in drop_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), drop_emptied=False).collect()}
     gone = words_of_earlier_runs(rows, LEAST_WORDS)
     lost = {i: len(t.split()) - len(got[i].split()) for i, t in rows.items()}
@@ -177,6 +177,11 @@ def test_line_dedup_with_common_words(spark):
     assert min(lost[i] for i in range(300, 340)) >= 51 and got[502] == ""
 
 
+def test_line_dedup_prints_of_a_few_words_over_and_over():
+    for word, n in (("lo ", 1), ("lo li ", 2), ("lo li la ", 3)):
+        assert len(Prints([word * (5000 // n)]).fingerprints()) <= 2 * 5000 / WINDOW + 5
+
+
 def test_line_dedup_empty(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
