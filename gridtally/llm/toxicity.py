@@ -9,7 +9,7 @@ toxic tokens, fitted on the other half of the sample; tokens with a marginal of
 are the offending offsets.
 
 The sample: at most SAMPLE_ROWS labelled rows of either label, the least by a hash of their id,
-of at most SAMPLE_CHARS characters; only rows that may be learnt from. Scoring reads whole texts,
+of at most SAMPLE_CHARS characters, and for the chain SAMPLE_PIECES pieces of PIECE tokens; only rows that may be learnt from. Scoring reads whole texts,
 in the tasks that read the rows; nothing is shuffled.
 
 Defined cases: null and empty texts have no tokens and get the score of no evidence; without
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm.texts import mix, powers
 
-SAMPLE_ROWS, SAMPLE_CHARS, SLICE_CHARS = 2000, 20_000, 1_000_000
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_PIECES, SLICE_CHARS = 2000, 20_000, 2000, 1_000_000
 #: A feature is kept if it has this many documents and these log odds; a token is toxic from STRONG on.
 LEAST_DOCS, KEPT, STRONG = 4, 1.5, 2.5
 PIECE = 128
@@ -271,7 +271,7 @@ def fit(rows: list[tuple[str, int]], toxic_share: float) -> Model:
     ids = np.where(hit, at, len(keys))
     pieces = [(a, min(a + PIECE, cut[i + 1])) for i in range(len(first)) for a in range(cut[i], cut[i + 1], PIECE)]
     pieces = [(a, b) for a, b in pieces if hit[a:b].any()]  # the others say the same of the background
-    pieces = [pieces[k] for k in np.argsort(mix(np.arange(len(pieces), dtype=np.uint64)))[:2000]]
+    pieces = [pieces[k] for k in np.argsort(mix(np.arange(len(pieces), dtype=np.uint64)))[:SAMPLE_PIECES]]
     model.weights, model.background, model.chain = _chain_fit([ids[a:b] for a, b in pieces], [strong[a:b].astype(np.int8) for a, b in pieces], len(keys))
     model.keys = keys
     y = np.array([y for _, y in second], float)

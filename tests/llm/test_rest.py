@@ -198,3 +198,10 @@ def test_pipeline(spark, sf):
         assert stage(spark, docs, sf).columns == docs.columns
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.filter(F.col("n_tokens") != F.size("token_ids")).count() == 0
+
+
+def test_bounds_of_the_toxicity_fit_are_named():
+    from gridtally.llm import toxicity
+
+    for name in ("SAMPLE_ROWS", "SAMPLE_CHARS", "SAMPLE_PIECES"):
+        assert getattr(toxicity, name) > 0 and name in toxicity.__doc__
