@@ -2,21 +2,28 @@
 
 The standard library's parser streams events; text between block boundaries makes a line, with the
 tags met in it. The ratio of text to tags of each line is smoothed by a Gaussian over its
-neighbours, and lines above a threshold, SPREAD standard deviations, cluster as content. The
-content region is the article or main element that holds most of their text; without such an
-element, it reaches from the first to the last of them. All lines of the region are returned,
-short ones too, but for those in menus, forms, adverts and the like, told by their element,
-class, id or role.
+neighbours, and lines from a threshold on, SPREAD standard deviations of the smoothed ratios, cluster
+as content. The content region is the deepest container that holds MOST of their text; it grows
+to the container around it as long as that adds headings and content alone. Whatever their ratio, all lines
+of the region are returned; where only the page itself holds the content, they reach from the first to
+the last line of content. No element is taken for the article by its name.
+
+Elements, roles and class words only veto: what they surely name (menus, forms, adverts, comments) goes,
+and what they may name (WEAK, as a box of tags) goes if its own ratio is below the
+threshold. A line that is mostly links goes if its smoothed ratio is below it.
 
 Defined cases: a null or empty page, and one without any content, gives an empty text; unclosed and
-stray tags are borne, a page cut off in its midst gives what it has; repeated rows give repeated
-results; other columns stay out of the result. Empty in, empty out.
+stray tags are borne; a tag that the page's end cuts off is dropped, as browsers do, a page cut off in its
+midst gives what it has; repeated rows give repeated results; other columns stay out of the result.
+Empty in, empty out. Elements of any depth are tracked, in time linear in the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,115 +31,194 @@ from pyspark.sql import DataFrame
 
 from gridtally.llm.texts import text_slices
 
-SLICE_CHARS, REACH, SPREAD = 4_000_000, 2, 0.5
+SLICE_CHARS, REACH, SPREAD, MOST, LINKS = 4_000_000, 2, 0.5, 0.55, 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+#: Blocks that can be the content region.
+CONTAINERS = frozenset("article center details div main section table tbody td tr".split())
 CLOSES_P = BLOCKS - {"body", "html", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 DROPPED = frozenset("aside button canvas dialog fieldset footer form head iframe input label menu nav noscript object search select style script svg template textarea title".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Words of a class, id or role that tell of anything but the article.
-MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe tags toc toolbar widget widgets".split())
+#: Words of a class, id or role that tell of anything but the article, and those that may.
+STRONG = frozenset("ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup sponsor sponsored sponsors subscribe widget widgets".split())
+WEAK = frozenset("banner caption form header login reply search skip social tags toc toolbar".split())
+#: A class name with one of these says what stands beside the element, not what it is.
+BESIDE = frozenset("has with no not without".split())
 _SPACE = re.compile(r"\s+")
 #: A tag that the end of the page cuts off.
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _TOKEN = re.compile(r"[^a-z0-9]+")
 
+#: A line of an article's header goes too, but for the headings in it.
+KEEP, MAYBE, HEADER, DROP = range(4)
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    veto: int
+    container: int
+    heading: bool
+    linked: int  # characters in links
+
+
+class Element(NamedTuple):
+    tag: str
+    veto: int
+    container: int
+    link: bool
+
+
+def marks(attrs: list) -> int:
+    """What the class, id and role of an element say of it."""
+    worst = KEEP
+    for name, value in attrs:
+        if name == "hidden":
+            return DROP
+        if value and name in ("class", "id", "role"):
+            for word in value.lower().split():
+                tokens = _TOKEN.split(word)
+                if BESIDE.isdisjoint(tokens):
+                    if not STRONG.isdisjoint(tokens):
+                        return DROP
+                    if not WEAK.isdisjoint(tokens):
+                        worst = MAYBE
+    return worst
+
 
 class Page(HTMLParser):
-    """The lines of one page: text, tags met, whether they are dropped, and the region they stand in."""
+    """The lines of one page and the containers that they stand in; container 0 is the page itself."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]
-        self.regions, self.parts, self.tags = 0, [], 0
+        self.lines: list[Line] = []
+        self.parents = [-1]
+        self.open = [Element("", KEEP, 0, False)]
+        self.blocks: Counter = Counter()  # open blocks by tag
+        self.inner: list[tuple[str, Counter, int]] = [("", Counter(), KEEP)]  # each open block, the inline elements open right in it, its veto
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                _, dropped, region = self.open[-1]
-                self.lines.append((text, self.tags, dropped, region))
+                top = self.open[-1]
+                self.lines.append(Line(text, self.tags, top.veto, top.container, self.inner[-1][0] in HEADINGS, self.linked))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-            if tag in CLOSES_P:
-                self.close_within("p", "p")
-            if tag == "li":
-                self.close_within("li", "li")
-        elif tag in VOID:
-            if tag in ("br", "wbr", "img"):
-                self.parts.append(" " if tag != "wbr" else "")
+            if (tag in CLOSES_P and self.inner[-1][0] == "p") or (tag == "li" and self.inner[-1][0] == "li"):
+                self.close_block(self.inner[-1][0])
+        elif tag in ("br", "img"):
+            self.parts.append(" ")
         if tag in VOID:
             return
-        _, dropped, region = self.open[-1]
-        if tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs):
-            if not region:
-                self.regions += 1
-                region = self.regions
-        elif tag in DROPPED or (tag == "header" and not region):
-            dropped = True
-        elif tag not in ("html", "body") and attrs and not dropped:
-            for name, value in attrs:
-                if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_TOKEN.split(value.lower())):
-                    dropped = True
-        if tag == "header" and region:
-            dropped = True
-        elif tag in HEADINGS and region and any(t == "header" for t, _, _ in self.open) and not any(t in DROPPED for t, _, _ in self.open):
-            dropped = False  # an article's own title
-        if len(self.open) < 2000 or tag in BLOCKS:
-            self.open.append((tag, dropped, region))
-
-    def close_within(self, tag: str, until: str) -> None:
-        """Closes an element that the next one ends, unless another block is open inside it."""
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == tag:
-                del self.open[i:]
-                return
+        top = self.open[-1]
+        veto, container = top.veto, top.container
+        if tag in DROPPED or (tag == "header" and not (self.blocks["article"] or self.blocks["main"] or self.blocks["section"])):
+            veto = DROP
+        elif tag == "header":
+            veto = max(veto, HEADER)
+        elif tag in HEADINGS and veto == HEADER:
+            veto = KEEP  # an article's own title
+        elif veto < DROP and attrs and tag not in ("html", "body"):
+            veto = max(veto, marks(attrs))
+        if tag in CONTAINERS:
+            self.parents.append(container)
+            container = len(self.parents) - 1
+        self.open.append(Element(tag, veto, container, tag == "a" or (top.link and tag not in BLOCKS)))
+        if tag in BLOCKS:
+            self.blocks[tag] += 1
+            self.inner.append((tag, Counter(), veto))
+        else:
+            self.inner[-1][1][tag] += 1
+
+    def close_block(self, tag: str) -> None:
+        """Ends the innermost open block of that tag and all that is open in it."""
+        while True:
+            name = self.open.pop().tag
             if name in BLOCKS:
-                return
+                self.blocks[name] -= 1
+                self.inner.pop()
+                if name == tag:
+                    return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCKS or not any(t in BLOCKS for t, _, _ in self.open[i + 1 :]):
-                    del self.open[i:]
-                return
+            if self.blocks[tag]:
+                self.close_block(tag)
+        elif (inline := self.inner[-1][1])[tag]:  # it ends nothing outside the block
+            while True:
+                name = self.open.pop().tag
+                inline[name] -= 1
+                if name == tag:
+                    return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].veto == DROP and self.inner[-1][2] < DROP:  # a script, a style, an advert in the midst of a line
+            return
         self.parts.append(data)
+        if self.open[-1].link:
+            self.linked += len(data)
+
+
+def smoothed(ratio: np.ndarray) -> np.ndarray:
+    """Each ratio's Gaussian mean over REACH neighbours on either side; the ends are repeated."""
+    weights = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / max(1, REACH / 2)) ** 2)
+    return np.convolve(np.pad(ratio, REACH, mode="edge"), weights / weights.sum(), mode="valid")
 
 
-def content_lines(lines: list[tuple[str, int, bool, int]]) -> list[str]:
+def content_lines(lines: list[Line], parents: list[int], spread: float = SPREAD) -> list[str]:
     """The texts of the content region's lines, in page order."""
-    if not any(not dropped for _, _, dropped, _ in lines):
+    if not lines:
         return []
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    weights = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / max(1, REACH / 2)) ** 2)
-    padded = np.pad(ratio, REACH, mode="edge")
-    smooth = np.convolve(padded, weights / weights.sum(), mode="valid")
-    usable = np.array([not dropped for _, _, dropped, _ in lines])
-    content = usable & (smooth >= SPREAD * smooth.std())
+    size = np.array([len(x.text) for x in lines])
+    ratio = size / np.maximum(1, [x.tags for x in lines])
+    smooth = smoothed(ratio)
+    least = spread * smooth.std()
+    high, own_high = smooth >= least, ratio >= least
+    veto = np.array([x.veto for x in lines])
+    links = np.array([x.linked for x in lines]) >= LINKS * size
+    usable = ((veto == KEEP) | ((veto == MAYBE) & own_high)) & (~links | high)
+    content = usable & high
     if not content.any():
         content = usable
-    size: dict[int, int] = {}
-    for (text, _, _, region), c in zip(lines, content):
-        if c:
-            size[region] = size.get(region, 0) + len(text)
-    best = max((r for r in size if r), key=lambda r: (size[r], -r), default=0)
-    if best and 2 * size[best] >= size.get(0, 0):
-        return [text for (text, _, dropped, region) in lines if region == best and not dropped]
-    where = np.flatnonzero(content)
-    return [text for text, _, dropped, _ in lines[where[0] : where[-1] + 1] if not dropped]
+    if not content.any():
+        return []
+    place = np.array([x.container for x in lines])
+    heading = np.array([x.heading for x in lines])
+    n = len(parents)
+    held = np.bincount(place, size * content, minlength=n)
+    foreign = np.bincount(place, usable & ~heading & ~(content & own_high), minlength=n)
+    for c in range(n - 1, 0, -1):  # children come after their parents
+        held[parents[c]] += held[c]
+        foreign[parents[c]] += foreign[c]
+    region = int(np.flatnonzero(held >= MOST * held[0])[-1])  # those that hold most lie on one path
+    while region and parents[region] and foreign[parents[region]] == foreign[region]:
+        region = parents[region]
+    inside = np.zeros(n, bool)
+    inside[region] = True
+    for c in range(region + 1, n):
+        inside[c] |= inside[parents[c]]
+    chosen = usable & inside[place]
+    if not region:
+        where = np.flatnonzero(content)
+        first = where[0]
+        while first and usable[first - 1] and heading[first - 1]:
+            first -= 1
+        with_content = np.zeros(n, bool)
+        with_content[place[content]] = True
+        with_content[0] = False
+        at = np.arange(len(lines))
+        chosen &= ((at >= first) & (at <= where[-1])) | with_content[place]
+    return [x.text for x, c in zip(lines, chosen.tolist()) if c]
 
 
 def main_text(html: str) -> str:
@@ -140,7 +226,7 @@ def main_text(html: str) -> str:
     page.feed(_CUT_OFF.sub("", html))
     page.close()
     page.flush()
-    return "\n\n".join(content_lines(page.lines))
+    return "\n\n".join(content_lines(page.lines, page.parents))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -113,16 +113,80 @@ def test_quality_cases(spark):
         ("", ""),
         ("<nav>only</nav>", ""),
         ("</p></div>a<b", "a"),
+        ('<article><p>A long text of the article, with <span class="ad">buy</span> words.</p><div class="tags-intro"><p>Words of the article that stand in a box of their own, as long as any.</p></div></article>', "A long text of the article, with words.\n\nWords of the article that stand in a box of their own, as long as any."),
+        ('<article><p>' + "The article has a long text. " * 5 + '</p></article><div hidden>h</div><div class="reader-comments">' + "<p>I like it a lot.</p>" * 9 + "</div>", ("The article has a long text. " * 5).strip()),
+        ("<i>" * 2100 + '<span class="ad">buy</span>kept', "kept"),
+        ('<style>p{}</style><div><button>b</button><p>x</p></div>', "x"),
     ],
 )
 def test_html(html, text):
     assert main_text(html) == text
 
 
+def article_page(rng, rename=lambda tag: tag):
+    """A page with the parts that none of the article's text belongs to, and that text."""
+    words = lambda n: " ".join(rng.choice(["stone", "river", "garden", "of", "the", "a", "morning"]) for _ in range(n))
+    parts = [words(6), *(words(rng.randint(2, 60)) for _ in range(rng.randint(4, 12)))]
+    body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:])
+    links = lambda n: "".join(f"<li><a href='/{k}'>{words(2)}</a></li>" for k in range(n))
+    tag, nav, foot = rename("article"), rename("nav"), rename("footer")
+    return f"<html><body><{nav}><ul>{links(8)}</ul></{nav}><{tag}>{body}</{tag}><div><ul>{links(300)}</ul></div><{foot}>{words(4)}</{foot}></body></html>", "\n\n".join(parts)
+
+
+def test_html_ratios_find_the_region():
+    """With no telling name left, the ratios find the article; without the threshold they don't."""
+    from gridtally.llm.html_text import Page, content_lines
+
+    rng = random.Random(21)
+    pages = [article_page(rng, lambda tag: "div") for _ in range(100)]
+    assert sum(main_text(h) == t for h, t in pages) >= 95
+
+    def without(html):
+        page = Page()
+        page.feed(html)
+        page.close()
+        page.flush()
+        return "\n\n".join(content_lines(page.lines, page.parents, spread=0.0))
+
+    assert sum(without(h) == t for h, t in pages) <= 20
+    named = [article_page(rng) for _ in range(100)]
+    assert sum(main_text(h) == main_text(re.sub(r"(</?)(article|main)\b", r"\1div", h)) for h, _ in named) >= 95
+    assert sum(main_text(h) == t for h, t in named) >= 95
+
+
+def test_html_smoothing_against_brute_force():
+    import math
+
+    import numpy as np
+
+    from gridtally.llm.html_text import REACH, smoothed
+
+    rng = random.Random(22)
+    for n in (1, 2, 7, 40):
+        ratio = [rng.random() * 100 for _ in range(n)]
+        weight = {k: math.exp(-0.5 * (k / max(1, REACH / 2)) ** 2) for k in range(-REACH, REACH + 1)}
+        brute = [sum(w * ratio[min(max(i + k, 0), n - 1)] for k, w in weight.items()) / sum(weight.values()) for i in range(n)]
+        assert np.allclose(smoothed(np.array(ratio)), brute)
+
+
+def test_html_time_is_linear():
+    import time
+
+    for html in ("<div><b></i></p>", "<i><div></i>", "<p><b>"):
+        took = []
+        for n in (4000, 32_000):
+            start = time.process_time()
+            main_text(html * n + "x")
+            took.append(time.process_time() - start)
+        assert took[1] < 40 * took[0] + 0.5
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>x</p>", "t"), (2, None, None, "t"), (3, "u", "<div>" * 5000 + "deep", "t")]
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
     assert got[1] == ("u", "x", 1) and got[2] == (None, "", 0) and got[3][1] == "deep"
+    frame = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, text string")
+    assert extract_pages(frame).filter("page_id = 1").count() == 2 and extract_pages(frame.limit(0)).count() == 0
 
 
 def brute_marginals(model, score):
