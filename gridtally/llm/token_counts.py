@@ -12,11 +12,13 @@ that place and the number of tokens up to it relative to now. A transition carri
 of tokens that it adds to the encoding of the prefix (it may be negative, as two tokens may
 become one). By the property that a prefix of an encoding is the encoding of its text, just
 one token can end a prefix, so states are deterministic. Transitions are compiled as they are
-first met; pieces run through the table side by side, a byte at a time.
+first met. Long pieces are cut into chunks, each of which becomes a map from the state that it is
+entered in to the state that it is left in and the tokens in between; pieces and chunks run through
+the table side by side, and a piece's maps are composed. Pieces are told apart by their characters.
 
 Nothing is shuffled. Nulls and empty texts count 0 tokens and 0 bytes; repeated rows give
 repeated results; extra columns are not read; an empty table gives no rows. A text of any
-length is cut into chunks; a piece of any length costs one step a byte.
+length, and a piece of any length, is cut into chunks.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridtally.llm.bpe import byte_letters
-from gridtally.llm.texts import WHITE_SPACE, members, mix, powers, text_slices
+from gridtally.llm.texts import WHITE_SPACE, members, text_slices
 
-#: Characters taken at a time, chunk length, pieces and transitions remembered. None changes results.
-SLICE_CHARS, CHUNK, CACHED_PIECES, CACHED_STEPS = 3_000_000, 256, 400_000, 400_000
+#: Characters taken at a time, characters of a text's chunk, bytes of a long piece's chunk and those its entry state is
+#: guessed from; pieces of at most so many characters and transitions remembered. None changes results.
+SLICE_CHARS, CHUNK, PART, OVERLAP = 1_500_000, 256, 1024, 192
+CACHED_PIECES, CACHED_CHARS, CACHED_STEPS = 300_000, 64, 400_000
 
 # Character classes.
 END, SPACE, WHITE, QUOTE, NUMBER, OTHER, LETTER, STMD, R, V, L, E = range(12)
@@ -217,18 +221,15 @@ class PieceCounts:
         self.steps[state << 8 | b] = step = self.state(key) << 6 | total + 32
         return step
 
-    def count(self, pieces: list[bytes]) -> np.ndarray:
-        """Tokens of each piece."""
-        if len(self.steps) > CACHED_STEPS:
-            self.reset()
-            self.fits.clear()
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def run(self, parts: list[bytes], entry: list[int]) -> tuple[list[int], list[int]]:
+        """The state after each part, read from the state that it is entered in, and the tokens that it adds; all parts side by side."""
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
         order = np.argsort(-size, kind="stable")
-        size, raw = size[order], np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)
+        size, raw = size[order], np.frombuffer(b"".join([parts[i] for i in order.tolist()]), np.uint8)
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        state = np.full(len(pieces), self.start, np.int64)
-        total = np.zeros(len(pieces), np.int64)
-        live = len(pieces)
+        state = np.array(entry, np.int64)[order]
+        total = np.zeros(len(parts), np.int64)
+        live = len(parts)
         for i in range(int(size[0]) if len(size) else 0):
             while live and size[live - 1] <= i:
                 live -= 1
@@ -237,9 +238,40 @@ class PieceCounts:
             step = np.array([x if (x := found(k)) is not None else self.compile(k >> 8, k & 255) for k in met.tolist()], np.int64)[where]
             state[:live] = step >> 6
             total[:live] += (step & 63) - 32
-        out = np.empty(len(pieces), np.int64)
-        out[order] = total
-        return out
+        back = np.empty(len(parts), np.int64)
+        back[order] = np.arange(len(parts))
+        return state[back].tolist(), total[back].tolist()
+
+    def count(self, pieces: list[bytes]) -> list[int]:
+        """Tokens of each piece.
+
+        A piece is cut into chunks of PART bytes, and each chunk is reduced to its map from the state that it
+        is entered in to the state that it is left in and the tokens in between. The state that a chunk is entered in is
+        first guessed from the OVERLAP bytes before it, as states forget what lies further back; so all chunks
+        run side by side. Then the maps are composed from the left, and where a guess was wrong
+        the chunk runs again from the state that was found.
+        """
+        if len(self.steps) > CACHED_STEPS:
+            self.reset()
+            self.fits.clear()
+        chunks = [[p[i : i + PART] for i in range(0, len(p), PART)] for p in pieces]
+        inner = [(c[k - 1], c[k]) for c in chunks for k in range(1, len(c))]
+        guessed, _ = self.run([before[-OVERLAP:] for before, _ in inner], [self.start] * len(inner))
+        wanted = list(dict.fromkeys([*((c[0], self.start) for c in chunks if c), *((x, s) for (_, x), s in zip(inner, guessed))]))
+        maps: dict[tuple[bytes, int], tuple[int, int]] = {}
+        state, total, at = [self.start] * len(pieces), [0] * len(pieces), [0] * len(pieces)
+        open_ = [i for i, c in enumerate(chunks) if c]
+        while open_:
+            maps.update(zip(wanted, zip(*self.run([x for x, _ in wanted], [s for _, s in wanted]))))
+            wanted, still = {}, []
+            for i in open_:
+                while at[i] < len(chunks[i]) and (step := maps.get((chunks[i][at[i]], state[i]))) is not None:
+                    state[i], total[i], at[i] = step[0], total[i] + step[1], at[i] + 1
+                if at[i] < len(chunks[i]):
+                    wanted[chunks[i][at[i]], state[i]] = None
+                    still.append(i)
+            open_, wanted = still, list(wanted)
+        return total
 
 
 class TokenCounter:
@@ -247,17 +279,6 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.marks, self.inner, self.known = PieceMarks(), PieceCounts(path), {}
-        self.letter = mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
-
-    def hashes(self, points: np.ndarray, ends: list[int], starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each piece, so that equal pieces of a slice are sliced out once."""
-        size = stops - starts
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        terms = self.letter[np.delete(points, ends)] * powers(int(size.max()))[place]
-        return mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; an added token's string counts one and ends the text before it."""
@@ -277,15 +298,16 @@ class TokenCounter:
         whole = "\n".join(parts) + "\n"
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts, stops = self.marks.bounds(points, np.array(ends))
-        key, sample, which = np.unique(self.hashes(points, ends, starts, stops), return_index=True, return_inverse=True)
-        pieces = [whole[a:b] for a, b in zip(starts[sample].tolist(), stops[sample].tolist())]
+        pieces = [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
         if new := set(pieces) - self.known.keys():
             if len(self.known) + len(new) > CACHED_PIECES:
                 self.known.clear()
                 new = set(pieces)
             fresh = list(new)
-            self.known.update(zip(fresh, self.inner.count([x.encode("utf-8", "surrogatepass") for x in fresh]).tolist()))
-        counts = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[which]
+            self.known.update(zip(fresh, self.inner.count([x.encode("utf-8", "surrogatepass") for x in fresh])))
+        counts = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        for x in [x for x in new if len(x) > CACHED_CHARS]:
+            del self.known[x]
         cumulated = np.concatenate(([0], np.cumsum(counts)))
         upto = cumulated[np.searchsorted(starts, end_of_text)]
         return np.diff(upto, prepend=0) + special

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.texts import mix, powers
+from gridtally.llm.texts import mix
 
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_PIECES, SLICE_CHARS = 2000, 20_000, 2000, 1_000_000
 #: A feature is kept if it has this many documents and these log odds; a token is toxic from STRONG on.
@@ -39,6 +39,18 @@ _APART[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> np.ndarray:
+    """At least n powers of an odd base, modulo 2 to the 64."""
+    if len(_POWERS[0]) < n:
+        more = np.full(n * 2, 0x9E3779B97F4A7C15, np.uint64)
+        more[0] = 1
+        _POWERS[0] = np.multiply.accumulate(more)
+    return _POWERS[0]
+
+
 class Tokens:
     """Runs of ASCII letters, digits and other code points, with the hashes of their features."""
 

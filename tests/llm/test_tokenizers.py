@@ -59,6 +59,49 @@ def test_token_counts(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (len(e.ids), len((rows[i] or "").encode()), len(e.ids) > 512)
 
 
+def twins(a, b, k):
+    """A Thue-Morse string of 2 ** k letters and its complement."""
+    for _ in range(k):
+        a, b = a + b, b + a
+    return [a, b]
+
+
+def test_token_counts_of_long_pieces():
+    """Pieces of many chunks, periodic and random ones, and strings that collide under polynomial hashes."""
+    from gridtally.llm.token_counts import PART, TokenCounter
+
+    tool = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    tool.no_truncation()
+    rng = random.Random(3)
+    rows = [*twins("t", "h", 10), *twins("e", "r", 11), *twins("e", "r", 12), "a" * 20_000, "ab" * 5000, "=" * 5001 + " x", "-" * 9000, " " * 9000 + "x", "\n" * 5000, "中文" * 3000]
+    rows += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("etaoin", "abcdefghijklmnopqrstuvwxyz") for n in (PART - 1, PART, PART + 1, 8000)]
+    counter = TokenCounter(vocabulary("byte_bpe_50k.json"))
+    expected = [len(e.ids) for e in tool.encode_batch(rows, add_special_tokens=False)]
+    assert counter.count(rows).tolist() == expected
+    assert [int(counter.count([t])[0]) for t in rows] == expected
+    assert max(map(len, counter.known)) <= 64
+
+
+def test_chunk_maps_from_wrong_guesses(monkeypatch):
+    """Where the guessed entry states are wrong, chunks run again."""
+    from gridtally.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "PART", 5)
+    monkeypatch.setattr(token_counts, "OVERLAP", 1)
+    tool = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    rows = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in range(1, 200, 7)]
+    counter = token_counts.TokenCounter(vocabulary("byte_bpe_50k.json"))
+    assert counter.count(rows).tolist() == [len(e.ids) for e in tool.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_repeated_rows(spark):
+    rows = ["it's a test"] * 3
+    frame_ = spark.createDataFrame([(1, t, 5) for t in rows], "doc_id long, text string, n_bytes int")
+    assert {tuple(r) for r in count_tokens(frame_, vocabulary("byte_bpe_50k.json")).collect()} == {(1, 11, 4, False)}
+    assert encode_documents(frame_, vocabulary("word_bpe_49k.json")).count() == 3
+
+
 def test_monoid_composes_single_steps():
     """Products of state maps equal steps one by one."""
     marks, rng = PieceMarks(), random.Random(2)
