@@ -1,8 +1,11 @@
-"""A Spark session with the settings that the operators expect."""
+"""A Spark session with the settings that the operators expect, and the folder that its machines share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +22,30 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names, shared by all executors.
+
+    Where none is set, a local session gets a temporary one; on a cluster that would be one machine's own disk, so it raises.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
