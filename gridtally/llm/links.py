@@ -1,32 +1,13 @@
-"""Checkpoints and connected components over link tables."""
+"""Connected components over link tables."""
 
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names, shared by all executors; one of its own only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder's name in the shared folder."""
-    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder; its lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from gridtally.session import checkpointed
 
 
 def forest(links: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -6,12 +6,12 @@ filled, and after COORDINATES rounds each further round fills one bin directly,
 after twice as many. Bands of ROWS coordinates give the candidates: BANDS bands miss a pair of
 similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS, about 3 in a million.
 
-Texts with equal shingle sets are first put together, so copies never meet in a bucket.
+Texts with equal shingle sets (of equal 128-bit digests of the sorted set) are first put together, so copies never meet in a bucket.
 In a bucket, members are first compared with one member (its hub), not with each other, and linked
 members become one class. Where a bucket then holds several classes, members whose own shingles
 prove that they have no link in it are set aside; the others are compared with the most central
 one, and with each other only where a prefix filter on their differences from it leaves a link
-possible. All links are confirmed on the full sets of shingles (as 64-bit hashes), so no class is
+possible. All links are confirmed on the full sets of shingles (as 64-bit hashes of their words' XXH3 values), so no class is
 joined by a sketch alone, and no pair that shares a bucket stays unproven.
 
 Defined cases: a document without words, or a null text, has an empty set and is linked with
@@ -21,13 +21,16 @@ null, kept). Extra columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.links import checkpointed, forest
-from gridtally.llm.texts import FlatWords, mix, text_slices
+from gridtally.llm.links import forest
+from gridtally.llm.texts import FlatWords, mix, releasing, text_slices
+from gridtally.session import checkpointed
 
 ROWS, BANDS = 5, 32
 COORDINATES = ROWS * BANDS
@@ -112,20 +115,20 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 filled = size > 0
                 offsets = np.concatenate(([0], np.cumsum(np.where(filled, BANDS, 0)))).astype(np.int32)
                 cut = np.concatenate(([0], np.cumsum(size)))
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)))
-                other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g, 3), dtype=np.uint64)))
+                raw = g.tobytes()
+                digest = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cut.tolist(), cut[1:].tolist())), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(size, pa.int64()),
-                        pa.array((total[cut[1:]] - total[cut[:-1]]).view(np.int64)),
-                        pa.array((other[cut[1:]] - other[cut[:-1]]).view(np.int64)),
+                        pa.array(digest[0::2]),
+                        pa.array(digest[1::2]),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[filled].reshape(-1))),
                     ],
                     ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -138,7 +141,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(g.view(np.int64)))], ["id", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, members array<long>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "id long, members array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,8 +183,10 @@ def _around_hubs(able: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     Let D be the shingles that a member has and its hub has not, or the other way round. Two members are
     linked if and only if their D differ in at most r times the sum of their sizes, r = (100 - percent) /
     (100 + percent), so their D must share a certain number of shingles, and hence one among the first few
-    of each in the order of rarity. Edits of one text are mostly rare, so few members meet, and no pair
-    that is a link is left out. Members linked with the hub are of one class and need not meet.
+    of each in the order of rarity. Where the first shingle that they share stands, in either order, as many
+    shingles must follow it as they have to share besides; those of one member alone come first and follow none. Edits
+    of one text are mostly rare, so few members meet, and no pair that is a link is left out.
+    Members linked with the hub are of one class and need not meet.
     """
     pairs = able.select("hub", "rep", "of").distinct().filter("hub <> rep")
     joined = pairs.join(sets.select(F.col("id").alias("rep"), F.col("members").alias("own")), "rep").join(sets.select(F.col("id").alias("hub"), F.col("members").alias("base")), "hub")
@@ -193,17 +198,17 @@ def _around_hubs(able: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     # the least number of shared shingles: with any member not linked to the hub, and of such a one with a linked member
     among = F.greatest(F.lit(1), F.ceil((d + r * (F.col("m") - F.col("n"))) / 2 - 1e-6))
     across = F.greatest(F.lit(1), F.ceil((d - r * (F.col("n") + F.col("m"))) / 2 - 1e-6))
-    facts = held.select("hub", "rep", "of", "linked", d.alias("d"), (d - among + 1).alias("first_among"), (d - F.when(F.col("linked"), among).otherwise(across) + 1).alias("first_across"))
+    facts = held.select("hub", "rep", "of", "linked", d.alias("d"), (d - r * F.col("n")).alias("excess"), (d - among + 1).alias("first_among"), (d - F.when(F.col("linked"), among).otherwise(across) + 1).alias("first_across"))
     each = held.select("hub", "rep", F.explode("apart").alias("s"))
     # shingles of one member alone are the rarest and never meet; they only push the others back
     times = each.groupBy("hub", "s").agg(F.count("*").alias("times")).filter("times > 1")
     own = Window.partitionBy("hub", "rep")
     ranked = each.join(times, ["hub", "s"]).withColumn("rank", F.row_number().over(own.orderBy("times", "s"))).withColumn("shared", F.count("*").over(own))
     ranked = ranked.join(facts, ["hub", "rep"]).withColumn("place", F.col("d") - F.col("shared") + F.col("rank")).filter(F.col("place") <= F.greatest("first_among", "first_across"))
-    ranked = checkpointed(ranked.select("hub", "s", "rep", "of", "linked", (F.col("place") <= F.col("first_among")).alias("among"), (F.col("place") <= F.col("first_across")).alias("across")))
-    side = lambda k: ranked.select("hub", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "of", "linked", "among", "across")))
+    ranked = checkpointed(ranked.select("hub", "s", "rep", "of", "linked", "excess", (F.col("shared") - F.col("rank") + 1).alias("left"), (F.col("place") <= F.col("first_among")).alias("among"), (F.col("place") <= F.col("first_across")).alias("across")))
+    side = lambda k: ranked.select("hub", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "of", "linked", "excess", "left", "among", "across")))
     one, two = side("a").filter("not linked_a"), side("b")
-    met = one.join(two, ["hub", "s"]).filter("of_a <> of_b and ((linked_b and across_a and across_b) or (not linked_b and rep_a < rep_b and among_a and among_b))")
+    met = one.join(two, ["hub", "s"]).filter("of_a <> of_b and ((linked_b and across_a and across_b) or (not linked_b and rep_a < rep_b and among_a and among_b)) and 2 * least(left_a, left_b) >= excess_a + excess_b - 1e-6")
     links = held.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     return links, met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 

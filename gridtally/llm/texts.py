@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import unicodedata
@@ -77,6 +78,23 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int):
             yield batch.slice(a, b - a), [x or "" for x in texts.slice(a, b - a).to_pylist()]
 
 
+def releasing(run, *forget):
+    """A function of a task's batches that, when they end, calls forget and gives free memory back to the system.
+
+    Workers live on from task to task and from stage to stage; what one operator has cached is of no use to the next.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        for f in forget:
+            f()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 class FlatWords:
     """The words of some texts as flat arrays: a 64-bit hash of each word and the text that it stands in.
 
