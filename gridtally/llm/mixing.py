@@ -6,8 +6,9 @@ exponential tilt in the document's size x, and the tilt solves a convex dual. Ne
 run distributed: documents enter through counts by (source, size), a step is one aggregation over
 these counts, and sums are decimals, so reruns agree to the last digit.
 
-Rates become copies by rounding the running sum over a source's sizes; what error is left, about
-one document, is then taken off by a copy of the size nearest to it. A size's copies are dealt to its documents in the order of a hash; a size with
+The steps go on until every source's target is met. Rates become copies by rounding the running sum over
+a source's sizes; what error is left is then taken off by copies, the largest sizes that fit first. Both go over a source's
+distinct sizes in one task, which the longest text bounds, whatever the number of documents. A size's copies are dealt to its documents in the order of a hash; a size with
 very many documents is first cut into parts of about PART rows, so no task holds them all.
 
 Defined cases: a null or empty text has size 0, is taken 0 times and still has a row; a null source
@@ -21,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.links import checkpointed
+from gridtally.session import checkpointed
 from gridtally.llm.texts import fresh, word_count
 
 CAP = 2
-STEPS = 12
+#: Newton steps at most, and the share of a target that rates may leave unmet. So near to a source's cap that more steps would be needed,
+#: the correction of copies takes over.
+STEPS, SLACK = 60, 1e-7
 PART = 4096
 _EXACT = "decimal(38,6)"
 
@@ -67,17 +70,21 @@ def balanced_rates(counts: DataFrame, targets: DataFrame) -> DataFrame:
     state = checkpointed(_of_source(targets, means).withColumn("tilt", F.lit(0.0)))
     x = F.col("size") / F.greatest(F.col("mean"), F.lit(1e-9))
     rate = _rate(F.col("tilt") * x)
-    for step in range(STEPS):
+    for step in range(1, STEPS + 1):
         taken = F.sum((F.col("docs") * F.col("size") * rate).cast(_EXACT)).cast("double")
         slope = F.sum((F.col("docs") * F.col("size") * x * rate * (1 - rate / CAP)).cast(_EXACT)).cast("double")
         held = [F.max(c).alias(c) for c in ("words", "target", "mean", "tilt")]  # one value a source
         sums = _of_source(counts, state).groupBy("source").agg(*held, taken.alias("taken"), slope.alias("slope"))
         move = (F.col("target") - F.col("taken")) / F.greatest(F.col("slope"), F.lit(1e-6))
         bound = F.lit(2.0)  # a damped step: the dual is convex, but nearly flat where all rates are at a bound
-        tilt = F.round(F.col("tilt") + F.greatest(-bound, F.least(bound, move)), 9)
-        state = sums.select("source", "words", "target", "mean", tilt.alias("tilt"))
-        if step % 3 == 2 or step == STEPS - 1:
+        tilt = F.round(F.col("tilt") + F.greatest(-bound, F.least(bound, move)), 12)
+        # at its cap a source takes all; elsewhere what is left to meet is at most SLACK of the target, and less than a word
+        met = (F.col("target") >= CAP * F.col("words")) | (F.abs(F.col("target") - F.col("taken")) <= F.greatest(F.lit(0.5), SLACK * F.col("target")))
+        state = sums.select("source", "words", "target", "mean", F.when(met, F.col("tilt")).otherwise(tilt).alias("tilt"), met.alias("met"))
+        if step % 3 == 0:
             state = checkpointed(state)
+            if state.filter("not met").isEmpty():
+                break
     full = F.when(F.col("target") >= CAP * F.col("words"), F.lit(float(CAP))).otherwise(rate)
     return _of_source(counts, state).select("source", "size", "docs", "target", "words", F.when(F.col("size") > 0, full).otherwise(0.0).alias("rate"))
 
@@ -92,18 +99,30 @@ def copies_by_size(rates: DataFrame) -> DataFrame:
     return summed.select("source", "size", "docs", "target", "words", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
 
 
-def corrected(plan: DataFrame, rounds: int = 3) -> DataFrame:
-    """plan with one copy more or less of the size that comes nearest to a source's error, a few times over."""
-    for _ in range(rounds):
+def corrected(plan: DataFrame) -> DataFrame:
+    """plan with copies more or less where rounding left a source off its target.
+
+    A round takes the sizes that are at most the error, the largest first: all of their copies as long as they fit, then
+    as many of the next size as fit, so at least half of the error goes; the last copy may be of a larger
+    size if that comes nearer. Rounds go on until no size helps, a number logarithmic in the error.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    while True:
         meant = F.max(F.least(F.col("target"), CAP * F.col("words").cast("double")))
         over = plan.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - meant).alias("over"))
-        room = ((F.col("over") > 0) & (F.col("copies") > 0)) | ((F.col("over") < 0) & (F.col("copies") < CAP * F.col("docs")))
-        gap = F.abs(F.col("size") - F.abs("over"))
-        fits = _of_source(plan, over).filter(room & (F.col("size") > 0) & (gap < F.abs("over")))
-        best = fits.groupBy("source").agg(F.min_by(F.struct("size", "over"), F.struct(gap, F.col("size"))).alias("best"))
-        step = F.when(F.col("size") == F.col("best.size"), -F.signum("best.over").cast("long")).otherwise(0)
-        plan = checkpointed(_of_source(plan, best, "left").withColumn("copies", F.col("copies") + F.coalesce(step, F.lit(0))).drop("best"))
-    return plan
+        room = F.when(F.col("over") > 0, F.col("copies")).otherwise(CAP * F.col("docs") - F.col("copies"))
+        open_ = _of_source(plan, over).withColumn("error", F.abs("over")).withColumn("room", room).filter("size > 0 and room > 0")
+        fits = open_.filter("size <= error").withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("room")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        some = fits.filter("before < error").withColumn("n", F.least(F.col("room"), F.floor((F.col("error") - F.col("before")) / F.col("size")).cast("long"))).filter("n > 0")
+        # sizes behind the first one that fits in part wait for the next round
+        some = some.withColumn("part", F.coalesce(F.max((F.col("n") < F.col("room")).cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("part = 0").select("source", "size", "over", "n")
+        larger = open_.filter("size > error and size - error < error").groupBy("source").agg(F.min(F.struct("size", "over")).alias("x"))
+        last = _of_source(larger, fits.groupBy("source").agg(F.lit(True).alias("still")), "left").filter("still is null").select("source", "x.size", "x.over", F.lit(1).cast("long").alias("n"))
+        moves = checkpointed(some.unionByName(last).select(F.col("source").alias("_s"), F.col("size").alias("_z"), (-F.signum("over").cast("long") * F.col("n")).alias("_n")))
+        if moves.isEmpty():
+            return plan
+        joined = plan.join(moves, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
+        plan = checkpointed(joined.withColumn("copies", F.col("copies") + F.coalesce("_n", F.lit(0))).drop("_s", "_z", "_n"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
