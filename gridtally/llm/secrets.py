@@ -23,7 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.session import checkpointed
+
 BLOCK = 1024
+#: Candidates are broadcast up to this number, so that no text is shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -151,8 +155,13 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(x["fits"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    found = F.aggregate(steps, start, add, lambda acc: acc["out"])
+    # a fold copies what it has gathered, so it goes over groups of about the root of their number of matches
+    group = F.ceil(F.sqrt(F.greatest(F.lit(1), F.size(steps)))).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / group).cast("int")), lambda g: F.slice(steps, g * group + 1, group))
+    widths = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+    begins = F.aggregate(widths, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+    spans = F.zip_with(groups, F.slice(begins, F.lit(1), F.size(groups)), lambda g, at: F.aggregate(g, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"]))
+    found = F.flatten(spans)
     return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(kind))
 
 
@@ -160,7 +169,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, found) with the spans of all rules, by start, then by the order of the rules."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     named = candidates(docs, rules)
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(named.withColumnRenamed("id", "_id"), "_id", "left")
+    named = checkpointed(named.withColumnRenamed("id", "_id"))
+    if named.count() <= BROADCAST_IDS:  # else texts meet the candidates in a shuffle
+        named = F.broadcast(named)
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(named, "_id", "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
     for i, rule in enumerate(rules):
