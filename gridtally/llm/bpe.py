@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridtally.llm.texts import char_class, text_slices
+from gridtally.llm.texts import char_class, releasing, text_slices
 
 #: Chars of text encoded at a time, and words remembered at most; neither changes results.
 SLICE_CHARS, CACHED_WORDS = 6_000_000, 300_000
@@ -74,6 +74,11 @@ class WordBpe:
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
+    def forget(self) -> None:
+        """Drops the words met."""
+        self.ids.clear()
+        self.shown.clear()
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it never merges."""
         key = a * self.base + b
@@ -95,9 +100,6 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that have not been met before."""
-        if len(self.ids) + len(words) > CACHED_WORDS:
-            self.ids.clear()
-            self.shown.clear()
         todo = []
         for w in words:
             if w in self.added:
@@ -183,8 +185,7 @@ class WordBpe:
         split = [self.pieces(t) for t in texts]
         if new := set().union(*split) - self.ids.keys():
             if len(self.ids) + len(new) > CACHED_WORDS:
-                self.ids.clear()
-                self.shown.clear()
+                self.forget()
                 new = set().union(*split)
             self.learn(new)
         return [(b"".join(map(self.ids.__getitem__, p)), self.decode_words(p)) for p in split]
@@ -226,4 +227,4 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
                     names += ["token_ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, [id_column, *names[1:]])
 
-    return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(releasing(run, lambda: word_bpe(path).forget()), schema)

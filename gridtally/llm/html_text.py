@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridtally.llm.texts import text_slices
+from gridtally.llm.texts import releasing, text_slices
 
 SLICE_CHARS, REACH, SPREAD, MOST, LINKS = 4_000_000, 2, 0.5, 0.55, 0.8
 
@@ -238,4 +238,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h) if h else "" for h in htmls]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(releasing(run), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

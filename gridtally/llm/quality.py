@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.links import checkpointed
-from gridtally.llm.texts import FlatWords, members, mix, text_slices
+from gridtally.session import checkpointed
+from gridtally.llm.texts import FlatWords, members, mix, releasing, text_slices
 
 SLICE_CHARS, CACHED_WORDS = 2_000_000, 250_000
 QUARTILES, FEW_DOCUMENTS, BROADCAST_GROUPS = 6.0, 20.0, 100_000
@@ -191,7 +191,7 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, " + ", ".join(f"{c} {k}" for c, k in COLUMNS.items())
-    measured = checkpointed(docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(run, kinds).withColumn("group", F.coalesce("lang", "script")))
+    measured = checkpointed(docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(releasing(run, lambda: measures(path).tokens.clear()), kinds).withColumn("group", F.coalesce("lang", "script")))
     ratio = F.round("chars_per_token", 3)  # few distinct values, so exact percentiles stay small
     normal = measured.filter("not base_failed").groupBy("group").agg(F.percentile(ratio, [0.25, 0.5]).alias("q"), F.count("*").alias("n"))
     reach = QUARTILES * (1 + FEW_DOCUMENTS / F.col("n")) * (F.col("q")[1] - F.col("q")[0])

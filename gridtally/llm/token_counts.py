@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridtally.llm.bpe import byte_letters
-from gridtally.llm.texts import WHITE_SPACE, members, text_slices
+from gridtally.llm.texts import WHITE_SPACE, members, releasing, text_slices
 
 #: Characters taken at a time, characters of a text's chunk, bytes of a long piece's chunk and those its entry state is
 #: guessed from; pieces of at most so many characters and transitions remembered. None changes results.
@@ -330,4 +330,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_column: str =
                 size = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(releasing(run, lambda: token_counter(path).known.clear()), f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

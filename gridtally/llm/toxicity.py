@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.llm.texts import mix
+from gridtally.llm.texts import mix, releasing, text_slices
 
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_PIECES, SLICE_CHARS = 2000, 20_000, 2000, 1_000_000
 #: A feature is kept if it has this many documents and these log odds; a token is toxic from STRONG on.
@@ -51,11 +51,17 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
+def lowered(text: str) -> str:
+    """The text in lower case with as many code points as before: those whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 class Tokens:
     """Runs of ASCII letters, digits and other code points, with the hashes of their features."""
 
     def __init__(self, texts: list[str]):
-        encoded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        encoded = [lowered(t).encode("utf-8", "surrogatepass") for t in texts]
         raw = _FOLD[np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)]
         ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1)
         apart = _APART[raw]
@@ -64,6 +70,7 @@ class Tokens:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.text_of = np.searchsorted(ends, self.starts, side="right")
+        self.raw, self.text_start = raw, np.concatenate(([0], ends[:-1]))
         self.n_texts = len(texts)
         self.counts = np.bincount(self.text_of, minlength=len(texts))
         size = self.ends - self.starts
@@ -82,6 +89,12 @@ class Tokens:
         self.features = np.stack(columns, axis=1)
 
 
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in their texts the tokens at some positions begin and end, in code points."""
+        before = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80)))
+        base = before[self.text_start[self.text_of[at]]]
+        return before[self.starts[at]] - base, before[self.ends[at]] - base
+
     @staticmethod
     def of(texts: list[str], at_once: int = 200) -> "Tokens":
         """The tokens of many texts, made some texts at a time to hold little memory."""
@@ -326,12 +339,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, with_spans: bool = True) -> DataFrame:
-    """(doc_id, held_out, score, predicted) and, with_spans, the spans of toxic tokens as word numbers."""
-    schema = "doc_id long, score double" + ", toxic_words array<int>" * with_spans
+    """(doc_id, held_out, score, predicted) and, with_spans, where toxic tokens begin and end in the text, in code points, the end exclusive."""
+    schema = "doc_id long, score double" + ", toxic_spans array<struct<start:int,end:int>>" * with_spans
 
     def run(batches):
-        from gridtally.llm.texts import text_slices
-
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_CHARS):
                 tokens = Tokens(texts)
@@ -340,13 +351,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, with_
                 if with_spans:
                     at = at[p >= 0.5]
                     owner = tokens.text_of[at]
-                    first = np.cumsum(tokens.counts) - tokens.counts
                     offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((at - first[owner]).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "toxic_words"][: len(columns)])
+                    pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in tokens.spans(at)], ["start", "end"])
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pairs))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "toxic_spans"][: len(columns)])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    out = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["toxic_words"] * with_spans)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), schema)
+    out = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["toxic_spans"] * with_spans)
     return out
 
 
@@ -355,11 +366,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches):
-        from gridtally.llm.texts import text_slices
-
         for batch in batches:
             for part, texts in text_slices(batch, batch.schema.names[at], SLICE_CHARS):
                 x, _, _ = model.evidence(Tokens(texts))
                 yield part.filter(pa.array(model.scores(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
