@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Column
@@ -49,6 +50,13 @@ def cache_key(template: str, args: dict, fields: list[str] | None = None) -> str
     return f"{key}#fields={','.join(sorted(fields))}" if fields else key
 
 
+def ld_key(request: dict, engine: str) -> str:
+    """The key of a linkage request: neither how its triangles are assigned nor its threads count, nor the order of samples."""
+    body = {k: request.get(k) for k in ("chrom", "window_range", "shelf_bp", "snp_cap", "thin_to")} | {"groups": canonical_groups(request["groups"]), "engine": engine}
+    plain = json.dumps(body, sort_keys=True, separators=(",", ":"))  # non-ASCII escaped, unlike elsewhere: fixed by the format
+    return "fast_ld.split." + hashlib.sha256(plain.encode("utf-8")).hexdigest()[:24]
+
+
 def fill_template(template: str, *scopes: dict) -> str:
     """{slot} from the first scope that has it; an unknown slot raises KeyError."""
 

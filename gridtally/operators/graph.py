@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: States of a layer, as the registry names them.
-RESOLVED, MISSING, READY, BLOCKED, FAILED, UNKNOWN = "RESOLVED", "KNOWN_MISSING", "READY_TO_RUN", "BLOCKED_BY_INPUT", "FAILED", "UNKNOWN_CONTRACT"
+from gridtally.operators.sets import csv_items
+from gridtally.session import checkpointed
+
+#: States of a layer, as the registry names them: fixed values.
+RESOLVED, COMPLETE, MISSING, READY, BLOCKED, FAILED, UNKNOWN = "RESOLVED", "COMPLETE", "KNOWN_MISSING", "READY_TO_RUN", "BLOCKED_BY_INPUT", "FAILED", "UNKNOWN_CONTRACT"
 
 #: Rounds after which a growing union is written, so that its plan stays short.
 UNIONS = 16
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: a checkpoint where the session has a folder for it, else as it is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df
-    return df.checkpoint(eager=True)
-
-
 def _rounds(most: int | None):
     """1, 2, and so on without an end; raises beyond most, where that is set, so that nothing partial is returned."""
     for k in itertools.count(1):
@@ -41,10 +37,10 @@ def chains(edges: DataFrame, most: int | None = None) -> DataFrame:
     inner = edges.select("src").distinct()
     done = None
     for k in _rounds(most):
-        grown = _cut(paths.join(edges, paths["at"] == edges["src"]).filter(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+        grown = checkpointed(paths.join(edges, paths["at"] == edges["src"]).filter(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
         ended = grown.join(inner.withColumnRenamed("src", "at"), "at", "left_anti").select("root", F.col("at").alias("leaf"), (F.size("path") - 1).alias("depth"), "path")
         done = ended if done is None else done.union(ended)
-        done = done if k % UNIONS else _cut(done)
+        done = done if k % UNIONS else checkpointed(done)
         if grown.isEmpty():
             break
         paths = grown
@@ -61,12 +57,12 @@ def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
     found = starts.select(F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
     front = found
     for depth in _rounds(most):
-        front = _cut(front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
+        front = checkpointed(front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         found = found.union(front)
         if depth % UNIONS == 0:
-            found = _cut(found)
+            found = checkpointed(found)
             users = users or edges.select("src").distinct().count()
             if depth > users:
                 raise ValueError("a cycle has no greatest distance")
@@ -74,28 +70,29 @@ def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
 
 
 def layer_states(layers: DataFrame, needs: DataFrame, most: int | None = None) -> DataFrame:
-    """(layer, state) from (layer, has_result, failed, has_producer) and needs (layer, input), to a fixpoint.
+    """(layer, state) from (layer, source_kind, present, result, has_producer) and needs (layer, input), to a fixpoint.
 
-    A layer with an active result is RESOLVED, with only failed ones FAILED, without a producer
-    UNKNOWN_CONTRACT. Otherwise its inputs decide: all resolved (or none): READY_TO_RUN; one missing from the
-    table, blocked, failed, unknown or on a cycle: BLOCKED_BY_INPUT; one that is only ready or known missing:
-    KNOWN_MISSING. A round settles what depends on settled layers; what never settles lies on a cycle.
+    A file is RESOLVED if present, else KNOWN_MISSING. An analysis result without a producer is UNKNOWN_CONTRACT, as is any
+    other kind; with an active result it is COMPLETE, with a failed one FAILED. Otherwise its inputs decide: all resolved or
+    complete (or none): READY_TO_RUN; one missing from the table, known missing, blocked, failed, unknown or on a cycle:
+    BLOCKED_BY_INPUT; else one is only ready: KNOWN_MISSING. A round settles what depends on settled layers; what never settles lies on a cycle.
     """
-    fixed = F.when(F.col("has_result"), RESOLVED).when(F.col("failed"), FAILED).when(~F.col("has_producer"), UNKNOWN)
-    states = _cut(layers.select("layer", fixed.alias("state")))
+    file, analysis = F.col("source_kind") == "file", F.col("source_kind") == "analysis_result"
+    fixed = F.when(file, F.when(F.coalesce("present", F.lit(False)), RESOLVED).otherwise(MISSING)).when(~F.coalesce(analysis, F.lit(False)) | ~F.col("has_producer"), UNKNOWN).when(F.col("result") == "active", COMPLETE).when(F.col("result") == "failed", FAILED)
+    states = checkpointed(layers.select("layer", fixed.alias("state")))
     needs = needs.select("layer", "input").distinct()
     for _ in _rounds(most):
         of_input = states.select(F.col("layer").alias("input"), F.col("state").alias("s"), F.lit(True).alias("known"))
         seen = needs.join(of_input, "input", "left")
-        bad = F.col("known").isNull() | F.col("s").isin(BLOCKED, FAILED, UNKNOWN)
+        bad = F.col("known").isNull() | F.col("s").isin(MISSING, BLOCKED, FAILED, UNKNOWN)
         rolled = seen.groupBy("layer").agg(
             F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"),
             F.bool_or(F.col("known") & F.col("s").isNull()).alias("open"),
-            F.coalesce(F.bool_and(F.col("s") == RESOLVED), F.lit(False)).alias("all_resolved"),
+            F.coalesce(F.bool_and(F.col("s").isin(RESOLVED, COMPLETE)), F.lit(False)).alias("all_resolved"),
         )
         joined = states.join(rolled, "layer", "left")
         decided = F.when(F.coalesce("bad", F.lit(False)), BLOCKED).when(F.coalesce("open", F.lit(False)), None).when(F.coalesce("all_resolved", F.lit(True)), READY).otherwise(MISSING)
-        new = _cut(joined.select("layer", F.coalesce("state", decided).alias("state")))
+        new = checkpointed(joined.select("layer", F.coalesce("state", decided).alias("state")))
         before, after = states.filter("state is null").count(), new.filter("state is null").count()
         states = new
         if after == 0 or after == before:
@@ -104,10 +101,31 @@ def layer_states(layers: DataFrame, needs: DataFrame, most: int | None = None) -
 
 
 def roll_up(parents: DataFrame, members: DataFrame) -> DataFrame:
-    """(parent, state) from members (parent, state): all resolved, or none required: RESOLVED; all blocked: BLOCKED; else PARTIAL or READY."""
-    agg = members.groupBy("parent").agg(F.bool_and(F.col("state") == RESOLVED).alias("all_ok"), F.bool_and(F.col("state").isin(BLOCKED, FAILED, UNKNOWN)).alias("all_bad"), F.bool_or(F.col("state") == READY).alias("ready"))
-    state = F.when(F.coalesce("all_ok", F.lit(True)), RESOLVED).when(F.col("all_bad"), "BLOCKED").when(F.col("ready"), "READY").otherwise("PARTIAL")
-    return parents.join(agg, "parent", "left").select("parent", state.alias("state"))
+    """(parent, state) from members (parent, state): without any HIDDEN; all resolved or complete: COMPLETE; all ready: READY_TO_RUN;
+    one failed: FAILED; all missing, blocked or unknown: BLOCKED; else PARTIAL."""
+    all_ = lambda *names: F.bool_and(F.col("state").isin(*names))
+    agg = members.groupBy("parent").agg(all_(RESOLVED, COMPLETE).alias("done"), all_(READY).alias("ready"), F.bool_or(F.col("state") == FAILED).alias("failed"), all_(MISSING, BLOCKED, UNKNOWN, "BLOCKED", "UNKNOWN").alias("stuck"))
+    state = F.when(F.col("done").isNull(), "HIDDEN").when(F.col("done"), COMPLETE).when(F.col("ready"), READY).when(F.col("failed"), FAILED).when(F.col("stuck"), "BLOCKED").otherwise("PARTIAL")
+    return parents.select("parent").distinct().join(agg, "parent", "left").select("parent", state.alias("state"))
+
+
+def hook_states(hooks: DataFrame, states: DataFrame) -> DataFrame:
+    """(hook, state) from (hook, layer, required) and the layers' states: a roll-up of the required ones; a layer that nobody knows is UNKNOWN_CONTRACT."""
+    required = hooks.filter("required and layer is not null").join(states, "layer", "left").select(F.col("hook").alias("parent"), F.coalesce("state", F.lit(UNKNOWN)).alias("state"))
+    return roll_up(hooks.select(F.col("hook").alias("parent")), required).select(F.col("parent").alias("hook"), "state")
+
+
+def page_plan(pages: DataFrame, hooks: DataFrame, states: DataFrame) -> DataFrame:
+    """(page, state): the roll-up of a page's hooks; a hook that nobody knows is UNKNOWN and blocks; a page without hooks is HIDDEN."""
+    own = pages.filter("hook is not null").select("page", "hook").distinct().join(hook_states(hooks, states), "hook", "left")
+    members = own.select(F.col("page").alias("parent"), F.coalesce("state", F.lit("UNKNOWN")).alias("state"))
+    return roll_up(pages.select(F.col("page").alias("parent")), members).select(F.col("parent").alias("page"), "state")
+
+
+def ready_actions(states: DataFrame, producers: DataFrame) -> DataFrame:
+    """(analysis_id, produces, label) for each producer of a layer that is ready to run; producers is (layer, analysis_id)."""
+    found = states.filter(F.col("state") == READY).join(producers, "layer")
+    return found.select("analysis_id", F.col("layer").alias("produces"), F.concat(F.lit("Run "), "analysis_id", F.lit(" to produce "), F.col("layer").cast("string")).alias("label")).distinct()
 
 
 def product_states(products: DataFrame, backing: DataFrame, depends: DataFrame, most: int | None = None) -> DataFrame:
@@ -120,14 +138,14 @@ def product_states(products: DataFrame, backing: DataFrame, depends: DataFrame,
     rolled = backing.groupBy("product").agg(F.bool_and("resolved").alias("every"), F.bool_or("resolved").alias("some"))
     base = F.when(F.col("every"), "available").when(F.col("some"), "partial").otherwise("missing")
     state = F.when((base == "available") & (F.col("confidence") == "review_passed"), "validated").when((base == "available") & (F.col("confidence") == "rejected"), "rejected").otherwise(base)
-    own = _cut(products.join(rolled, "product", "left").select("product", state.alias("state")))
+    own = checkpointed(products.join(rolled, "product", "left").select("product", state.alias("state")))
     bad = own.filter(F.col("state").isin("missing", "rejected")).select("product")
     reached = front = bad
     for _ in _rounds(most):
-        front = _cut(depends.join(front.withColumnRenamed("product", "needs"), "needs").select("product").distinct().join(reached, "product", "left_anti"))
+        front = checkpointed(depends.join(front.withColumnRenamed("product", "needs"), "needs").select("product").distinct().join(reached, "product", "left_anti"))
         if front.isEmpty():
             break
-        reached = _cut(reached.union(front))
+        reached = checkpointed(reached.union(front))
     blocked = reached.join(bad, "product", "left_anti").withColumn("_blocked", F.lit(True))
     return own.join(blocked, "product", "left").select("product", F.when(F.col("_blocked"), "blocked").otherwise(F.col("state")).alias("state"))
 
@@ -138,12 +156,111 @@ def unique_match(requests: DataFrame, rows: DataFrame, on: list[str]) -> DataFra
     return joined.select("request", F.when(F.col("n") == 1, "ok").when(F.col("n") == 0, "missing").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("row_id")).alias("match"))
 
 
-def edge_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(src, dst, edge_type, problem) for edges whose ends are unknown or whose types no rule allows."""
-    typed = edges.join(nodes.select(F.col("node").alias("src"), F.col("node_type").alias("from_type")), "src", "left").join(nodes.select(F.col("node").alias("dst"), F.col("node_type").alias("to_type")), "dst", "left")
-    ruled = typed.join(rules.select("from_type", "to_type", "edge_type").distinct().withColumn("_ok", F.lit(True)), ["from_type", "to_type", "edge_type"], "left")
-    problem = F.when(F.col("from_type").isNull(), "unknown_source").when(F.col("to_type").isNull(), "unknown_target").when(F.col("_ok").isNull(), "no_rule")
-    return ruled.withColumn("problem", problem).filter("problem is not null").select("src", "dst", "edge_type", "problem")
+def edge_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame, layers: DataFrame, analyses: DataFrame, hooks: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, problem) for edges whose ends are unknown, whose types no rule allows, or whose rule's constraint fails.
+
+    nodes are (node, node_type, entity_type, ref), ref being the id of the layer, analysis or hook; rules are (from_type, to_type, edge_type,
+    constraint); layers (layer_id, entity_type); analyses (analysis_id, input_layer_types, produces) and hooks (hook_id,
+    requires_layers, optional_layers) with comma lists. Constraints are always, entity_type_match, layer_in_inputs,
+    layer_in_produces and layer_in_requires_or_optional; any other is a problem itself.
+    """
+    of_layer = layers.select(F.col("layer_id").alias("ref"), F.col("entity_type").alias("_layer_entity"))
+    known = nodes.join(of_layer, "ref", "left").select("node", "node_type", "ref", F.nullif(F.coalesce("entity_type", F.lit("")), F.lit("")).alias("own"), F.nullif(F.coalesce("_layer_entity", F.lit("")), F.lit("")).alias("of_layer"))
+    end = lambda side, p: known.select(F.col("node").alias(side), F.col("node_type").alias(f"{p}_type"), F.col("ref").alias(f"{p}_ref"), F.col("own").alias(f"{p}_own"), F.coalesce("own", "of_layer").alias(f"{p}_entity"))
+    typed = edges.join(end("src", "from"), "src", "left").join(end("dst", "to"), "dst", "left")
+    ruled = typed.join(rules.select("from_type", "to_type", "edge_type", "constraint", F.lit(True).alias("_rule")).dropDuplicates(["from_type", "to_type", "edge_type"]), ["from_type", "to_type", "edge_type"], "left")
+    listed = [
+        analyses.select(F.lit("layer_in_inputs").alias("constraint"), F.col("analysis_id").alias("_owner"), F.explode(csv_items(F.col("input_layer_types"))).alias("_layer")),
+        analyses.select(F.lit("layer_in_produces"), "analysis_id", F.explode(csv_items(F.col("produces")))),
+        hooks.select(F.lit("layer_in_requires_or_optional"), "hook_id", F.explode(F.concat(csv_items(F.col("requires_layers")), csv_items(F.col("optional_layers"))))),
+    ]
+    allowed = listed[0].union(listed[1]).union(listed[2]).distinct().withColumn("_in", F.lit(True))
+    makes = F.col("constraint") == "layer_in_produces"
+    asked = ruled.withColumn("_owner", F.when(makes, F.col("from_ref")).otherwise(F.col("to_ref"))).withColumn("_layer", F.when(makes, F.col("to_ref")).otherwise(F.col("from_ref")))
+    met = asked.join(allowed, ["constraint", "_owner", "_layer"], "left")
+    entity = F.when(F.col("from_own").isNull() | F.col("to_entity").isNull(), "entity_type_match: no type").when(F.col("from_own") != F.col("to_entity"), "entity_type_match")
+    listed_in = F.col("constraint").isin("layer_in_inputs", "layer_in_produces", "layer_in_requires_or_optional")
+    constraint = F.when(F.coalesce("constraint", F.lit("always")) == "always", None).when(F.col("constraint") == "entity_type_match", entity).when(listed_in, F.when(F.col("_in").isNull(), F.col("constraint"))).otherwise(F.lit("unknown constraint"))
+    problem = F.when(F.col("from_type").isNull(), "unknown_source").when(F.col("to_type").isNull(), "unknown_target").when(F.col("_rule").isNull(), "no_rule").otherwise(constraint)
+    return met.withColumn("problem", problem).filter("problem is not null").select("src", "dst", "edge_type", "problem")
+
+
+def connections(registries: dict[str, DataFrame]) -> DataFrame:
+    """(src, dst, kind): the edges of a connection map, of twelve kinds, from the registries that are given.
+
+    analyses (analysis_id, input_layer_types, produces), hooks (hook_id, requires_layers, optional_layers), panels (panel_id, layer_id),
+    pages (page_id, panels, hook_id), packages (package_id, analyses, panels), adapters (analysis_id), products (product_id, atlas),
+    questions (question_id, tags) and atlases (atlas_id); lists are comma lists.
+    """
+    edge = lambda src, dst, kind: [src.cast("string").alias("src"), dst.cast("string").alias("dst"), F.lit(kind).alias("kind")]
+    each = lambda df, c: df.withColumn("_x", F.explode(csv_items(F.col(c))))
+    some = lambda df, c: df.filter(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    x, parts = F.col("_x"), []
+    if (t := registries.get("analyses")) is not None:
+        parts += [each(t, "input_layer_types").select(*edge(x, F.col("analysis_id"), "input")), each(t, "produces").select(*edge(F.col("analysis_id"), x, "output"))]
+    if (t := registries.get("hooks")) is not None:
+        parts += [each(t, "requires_layers").select(*edge(x, F.col("hook_id"), "hook_required")), each(t, "optional_layers").select(*edge(x, F.col("hook_id"), "hook_optional"))]
+    if (t := registries.get("panels")) is not None:
+        parts.append(t.select(*edge(F.col("layer_id"), F.col("panel_id"), "panel_renders")))
+    if (t := registries.get("pages")) is not None:
+        parts += [each(t, "panels").select(*edge(x, F.col("page_id"), "page_member")), some(t, "hook_id").select(*edge(F.col("hook_id"), F.col("page_id"), "page_hook"))]
+    if (t := registries.get("packages")) is not None:
+        parts += [each(t, "analyses").select(*edge(x, F.col("package_id"), "package_analysis")), each(t, "panels").select(*edge(x, F.col("package_id"), "package_panel"))]
+    if (t := registries.get("adapters")) is not None:
+        parts.append(t.select(*edge(F.concat(F.col("analysis_id"), F.lit("_adapter")), F.col("analysis_id"), "adapter_backs")))
+    if (atlases := registries.get("atlases")) is not None:
+        names = atlases.select(F.col("atlas_id").alias("atlas"))
+        if (t := registries.get("products")) is not None:
+            parts.append(t.join(names, "atlas", "left_semi").select(*edge(F.col("product_id"), F.col("atlas"), "atlas_member_product")))
+        if (t := registries.get("questions")) is not None:
+            tagged = lambda *names: F.arrays_overlap(csv_items(F.col("tags")), F.array(*map(F.lit, names)))
+            atlas = F.when(tagged("meiosis", "interchromosomal"), "meiosis_atlas").when(tagged("mendelian", "path_a", "path_b"), "relatedness_atlas").when(tagged("inversions", "pair_relation"), "inversion_atlas")
+            parts.append(t.withColumn("atlas", atlas).join(names, "atlas", "left_semi").select(*edge(F.col("question_id"), F.col("atlas"), "atlas_member_question")))
+    return reduce(DataFrame.union, parts)
+
+
+def connection_warnings(registries: dict[str, DataFrame]) -> DataFrame:
+    """(kind, id, unknown): adapters of unknown analyses, panels of unknown layers, pages of unknown panels or hooks."""
+    empty = lambda df, c: F.coalesce(df[c].cast("string"), F.lit(""))
+    checks = [
+        ("adapter", registries["adapters"].select(F.col("analysis_id").alias("id"), F.col("analysis_id").alias("unknown")), registries["analyses"], "analysis_id"),
+        ("panel", registries["panels"].select(F.col("panel_id").alias("id"), F.col("layer_id").alias("unknown")), registries["layers"], "layer_id"),
+        ("page_panel", registries["pages"].select(F.col("page_id").alias("id"), F.explode(csv_items(F.col("panels"))).alias("unknown")), registries["panels"], "panel_id"),
+        ("page_hook", registries["pages"].filter(empty(registries["pages"], "hook_id") != "").select(F.col("page_id").alias("id"), F.col("hook_id").alias("unknown")), registries["hooks"], "hook_id"),
+    ]
+    found = [rows.withColumn("unknown", F.col("unknown").cast("string")).join(known.select(F.col(key).cast("string").alias("unknown")), "unknown", "left_anti").select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "unknown") for kind, rows, known, key in checks]
+    return reduce(DataFrame.union, found)
+
+
+def registry_problems(analyses: DataFrame, modes: DataFrame, modules: DataFrame, results: DataFrame, statuses: list[str]) -> DataFrame:
+    """(rule, id, value) where the analysis registry breaks a rule.
+
+    analyses (analysis_id, analysis_version, status, requires, produces): ids not empty and once, versions not empty, statuses among those
+    given, required ids known. modes (analysis_type, produces, module_name): types known, products declared by their analysis
+    where it declares any, modules known. results (result_id, analysis_type): types known.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = analyses.filter(text("analysis_id") != "")
+    ids = named.select("analysis_id").distinct()
+    out = lambda df, rule, i, v: df.select(F.lit(rule).alias("rule"), i.cast("string").alias("id"), v.cast("string").alias("value"))
+    aid, nothing = F.col("analysis_id"), F.lit(None).cast("string")
+    required = named.select("analysis_id", F.explode(csv_items(F.col("requires"))).alias("upstream"))
+    of_type = modes.filter(text("analysis_type") != "")
+    declared = named.select(aid.alias("analysis_type"), F.explode(csv_items(F.col("produces"))).alias("_made"))
+    produced = of_type.filter(F.trim(text("produces")) != "").withColumn("_made", F.trim("produces")).join(declared.select("analysis_type").distinct(), "analysis_type", "left_semi")
+    unknown = lambda df, c, known, key: df.filter(text(c) != "").join(known.select(F.col(key).alias(c)).distinct(), c, "left_anti")
+    parts = [
+        out(analyses.filter(text("analysis_id") == ""), "empty id", nothing, nothing),
+        out(named.groupBy("analysis_id").count().filter("count > 1"), "duplicate id", aid, F.col("count")),
+        out(named.filter(text("analysis_version") == ""), "empty version", aid, nothing),
+        out(named.filter(~text("status").isin(*statuses)), "status", aid, F.col("status")),
+        out(required.join(ids.withColumnRenamed("analysis_id", "upstream"), "upstream", "left_anti"), "requires", aid, F.col("upstream")),
+        out(unknown(of_type, "analysis_type", ids, "analysis_id"), "mode type", F.col("analysis_type"), F.col("produces")),
+        out(produced.join(declared, ["analysis_type", "_made"], "left_anti"), "mode product", F.col("analysis_type"), F.col("_made")),
+        out(unknown(modes, "module_name", modules, "module_name"), "module", F.col("analysis_type"), F.col("module_name")),
+        out(unknown(results, "analysis_type", ids, "analysis_id"), "result type", F.col("result_id"), F.col("analysis_type")),
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -152,12 +269,12 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     Every round a node takes the least root among itself and its neighbours, and then that root's own root,
     so paths halve.
     """
-    both = _cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
-    roots = _cut(both.groupBy("node").agg(F.least(F.min("next"), F.min("node")).alias("root")))
+    both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
+    roots = checkpointed(both.groupBy("node").agg(F.least(F.min("next"), F.min("node")).alias("root")))
     for _ in _rounds(most):
         near = both.join(roots.select(F.col("node").alias("next"), F.col("root").alias("r")), "next").groupBy("node").agg(F.min("r").alias("r"))
         lower = roots.join(near, "node").select("node", F.least("root", "r").alias("root"))
-        jumped = _cut(lower.join(roots.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root")))
+        jumped = checkpointed(lower.join(roots.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root")))
         if jumped.join(roots, ["node", "root"], "left_anti").isEmpty():
             return jumped
         roots = jumped
@@ -167,16 +284,25 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
 def question_states(questions: DataFrame, products: DataFrame) -> DataFrame:
     """(question, state, missing) from (question, product, required) and (product, state).
 
-    No required product, or all of them validated, available or ready: ready only if all are 'ready' or there is
-    none, else partial; one missing, blocked or rejected (or unknown): blocked if every required one is, else partial.
+    Required products all ready, or none required: ready_to_run. One missing, blocked or deprecated (an unknown one is
+    missing) and none ready, validated or available: blocked. Else partial. missing lists the missing and blocked ones.
     """
-    seen = questions.filter("required").join(products, "product", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
-    bad = F.col("state").isin("missing", "blocked", "rejected")
-    agg = seen.groupBy("question").agg(F.bool_and(F.col("state") == "ready").alias("ready"), F.bool_and(bad).alias("all_bad"), F.array_sort(F.collect_set(F.when(bad, F.col("product")))).alias("missing"))
-    state = F.when(F.coalesce("ready", F.lit(True)), "ready").when(F.col("all_bad"), "blocked").otherwise("partial")
+    seen = questions.filter("required").join(products.select("product", "state"), "product", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    is_ = lambda *names: F.col("state").isin(*names)
+    agg = seen.groupBy("question").agg(F.bool_and(is_("ready")).alias("ready"), F.bool_or(is_("missing", "blocked", "deprecated")).alias("bad"), F.bool_or(is_("ready", "validated", "available")).alias("good"), F.array_sort(F.collect_set(F.when(is_("missing", "blocked"), F.col("product")))).alias("missing"))
+    state = F.when(F.coalesce("ready", F.lit(True)), "ready_to_run").when(F.col("bad") & ~F.col("good"), "blocked").otherwise("partial")
     return questions.select("question").distinct().join(agg, "question", "left").select("question", state.alias("state"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
 
 
+def next_actions(questions: DataFrame, products: DataFrame, producers: DataFrame) -> DataFrame:
+    """(question, product, action, analysis_id, label) for each required product that is missing or blocked: run its producer, or register one."""
+    seen = questions.filter("required").select("question", "product").distinct().join(products, "product", "left").filter("coalesce(state, 'missing') in ('missing', 'blocked')")
+    made = seen.join(producers.select("product", F.col("producer").alias("analysis_id")), "product", "left")
+    run = F.col("analysis_id").isNotNull()
+    label = F.when(run, F.concat(F.lit("Run "), "analysis_id", F.lit(" to produce "), "product")).otherwise(F.concat(F.lit("Register a producing analysis for "), "product"))
+    return made.select("question", "product", F.when(run, "run").otherwise("register_producer").alias("action"), "analysis_id", label.alias("label"))
+
+
 def estimable(preconditions: DataFrame, products: DataFrame, layers: DataFrame, attributes: DataFrame) -> DataFrame:
     """(estimand, state) from (estimand, kind, id, required): required attributes that aren't whole need extra data,
     other unmet required ones block; unmet optional ones limit; nothing unmet, or no precondition, is estimable."""
@@ -199,10 +325,10 @@ def upstream_problems(results: DataFrame, most: int | None = None) -> DataFrame:
     walk = known.filter("next is not null").select(F.col("at").alias("result_id"), F.col("next").alias("at"), F.array("at").alias("seen"))
     out = None
     for k in _rounds(most):
-        step = _cut(walk.join(known, "at", "left_outer").join(known.select("at").withColumn("_known", F.lit(True)), "at", "left"))
+        step = checkpointed(walk.join(known, "at", "left_outer").join(known.select("at").withColumn("_known", F.lit(True)), "at", "left"))
         bad = step.filter("_known is null").select("result_id", F.lit("missing").alias("problem")).union(step.filter(F.array_contains("seen", F.col("at"))).select("result_id", F.lit("cycle")))
         out = bad if out is None else out.union(bad)
-        out = out if k % UNIONS else _cut(out)
+        out = out if k % UNIONS else checkpointed(out)
         walk = step.filter(F.col("_known").isNotNull() & ~F.array_contains("seen", F.col("at")) & F.col("next").isNotNull()).select("result_id", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
         if walk.isEmpty():
             break

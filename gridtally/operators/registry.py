@@ -56,6 +56,76 @@ def check_report(checks: list[tuple[str, DataFrame, Column]], shown: int = 5) ->
     return reduce(DataFrame.unionByName, rows)
 
 
+def integrity_checks(results: DataFrame, groups: DataFrame, candidates: DataFrame, evidence: DataFrame, files: DataFrame) -> DataFrame:
+    """The seven checks of a registry, as check_report gives them.
+
+    results (result_id, group_id, group_version, candidate_id, file, sha256), groups (group_id, created), candidates (candidate_id),
+    evidence (evidence_id, candidate_id), files (path, sha256). A result of another version of its group is stale: it is
+    listed, but the check passes. A result without a candidate or a digest is not checked for it.
+    """
+    rid = F.col("result_id")
+    known = candidates.select("candidate_id").distinct()
+    of_group = groups.select("group_id", "created")
+    stored = files.select(F.col("path").alias("file"), F.col("sha256").alias("_found"))
+    of = lambda left, label: F.concat_ws(" ", left.cast("string"), label.cast("string"))
+    report = check_report([
+        ("groups exist", results.join(of_group, "group_id", "left_anti"), of(rid, F.col("group_id"))),
+        ("candidates exist", results.filter("candidate_id is not null").join(known, "candidate_id", "left_anti"), of(rid, F.col("candidate_id"))),
+        ("versions match", results.join(of_group, "group_id").filter(~F.col("group_version").eqNullSafe(F.col("created"))), of(rid, F.col("group_version"))),
+        ("files exist", results.join(stored, "file", "left_anti"), of(rid, F.col("file"))),
+        ("digests match", results.filter("sha256 is not null").join(stored, "file").filter(~F.col("sha256").eqNullSafe(F.col("_found"))), of(rid, F.col("file"))),
+        ("no orphans", files.join(results.select(F.col("file").alias("path")), "path", "left_anti"), F.col("path")),
+        ("evidence is registered", evidence.join(known, "candidate_id", "left_anti"), of(F.col("evidence_id"), F.col("candidate_id"))),
+    ])
+    return report.withColumn("pass", F.col("pass") | (F.col("check") == "versions match"))
+
+
+def hierarchy_checks(species: DataFrame, genomes: DataFrame, chromosomes: DataFrame, cohorts: DataFrame, samples: DataFrame, groups: DataFrame, members: DataFrame, candidates: DataFrame, references: DataFrame, results: DataFrame) -> DataFrame:
+    """The nine checks of the chain from species to results, as check_report gives them.
+
+    species (species_id); genomes (genome_id, species_composition array); chromosomes (genome_id, chrom); cohorts (cohort_id, genome_id,
+    species_composition and parent_cohort_ids arrays); samples (cohort_id, sample_id, species); groups (group_id, cohort_id,
+    parent_group_id, created); members (group_id, sample_id); candidates (candidate_id, cohort_id, chrom); references (kind, id, cohort_id)
+    of groups, candidates, results and evidence; results (result_id, group_id, group_version).
+    """
+    of = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c))
+    set_of = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    used = genomes.select("genome_id", F.explode("species_composition").alias("species_id"))
+    cohort = cohorts.select("cohort_id", "genome_id", set_of(F.col("species_composition")).alias("composition"))
+    seen = samples.groupBy("cohort_id").agg(F.array_sort(F.collect_set("species")).alias("seen"))
+    derived = cohorts.select("cohort_id", F.explode("parent_cohort_ids").alias("parent")).join(cohort, "cohort_id")
+    parent = cohort.select(F.col("cohort_id").alias("parent"), F.col("genome_id").alias("_genome"), F.col("composition").alias("_composition"))
+    sub = groups.filter("parent_group_id is not null")
+    above = groups.select(F.col("group_id").alias("parent_group_id"), F.col("cohort_id").alias("_cohort"))
+    held = members.join(groups.select("group_id", "cohort_id"), "group_id")
+    placed = candidates.join(cohorts.select("cohort_id", "genome_id"), "cohort_id")
+    who = groups.select("group_id", "created")
+    return check_report([
+        ("species of genomes", used.join(species, "species_id", "left_anti"), of("genome_id", "species_id")),
+        ("genomes of cohorts", cohorts.join(genomes, "genome_id", "left_anti"), of("cohort_id", "genome_id")),
+        ("cohorts of rows", references.join(cohorts, "cohort_id", "left_anti"), of("kind", "id", "cohort_id")),
+        ("composition of cohorts", cohort.join(seen, "cohort_id", "left").filter(F.col("composition") != F.coalesce("seen", F.array().cast("array<string>"))), of("cohort_id")),
+        ("parents of cohorts", derived.join(parent, "parent", "left").filter(~(F.col("genome_id").eqNullSafe(F.col("_genome")) & F.col("composition").eqNullSafe(F.col("_composition")))), of("cohort_id", "parent")),
+        ("parents of groups", sub.join(above, "parent_group_id", "left").filter(~F.col("cohort_id").eqNullSafe(F.col("_cohort"))), of("group_id", "parent_group_id")),
+        ("members of groups", held.join(samples.select("cohort_id", "sample_id"), ["cohort_id", "sample_id"], "left_anti"), of("group_id", "sample_id")),
+        ("chromosomes of candidates", placed.join(chromosomes, ["genome_id", "chrom"], "left_anti"), of("candidate_id", "chrom")),
+        ("groups of results", results.join(who, "group_id", "left").filter(~F.col("group_version").eqNullSafe(F.col("created"))), of("result_id", "group_id")),
+    ])
+
+
+def stray_subgroups(members: DataFrame) -> DataFrame:
+    """(group_id, parent, member) of members (group_id, member) that a group named parent__part has and its parent has not."""
+    parted = members.withColumn("parent", F.regexp_extract("group_id", r"^(.+?)__.+$", 1)).filter("parent <> ''")
+    own = members.select(F.col("group_id").alias("parent"), "member").distinct()
+    return parted.distinct().join(own, ["parent", "member"], "left_anti").select("group_id", "parent", "member")
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """Rows (created_at, analysis_id) in an inventory's order: the newest first, then analyses from the last name on; null is empty."""
+    key = lambda c: F.desc(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return rows.orderBy(key("created_at"), key("analysis_id"))
+
+
 def search(rows: DataFrame, key: str, fields: list[str], query: str, top: int = 50) -> DataFrame:
     """Hits of a substring, whatever its case: key begins with it, holds it, or another field does; then by key."""
     q = query.lower()

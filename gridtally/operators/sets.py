@@ -26,15 +26,15 @@ def difference(members: DataFrame, first: str, rest: list[str]) -> DataFrame:
 
 
 def members_digest(sorted_members: Column) -> Column:
-    """sha256 of the members, one a line."""
-    return F.sha2(F.concat(F.array_join(sorted_members, "\n"), F.lit("\n")), 256)
+    """sha256 of the members, one a line, behind 'sha256:'."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.array_join(sorted_members, "\n"), F.lit("\n")), 256))
 
 
 def set_ids(members: DataFrame) -> DataFrame:
     """(set_id, n_members, members_hash, sample_set_id); the id doesn't depend on order or repeats."""
     listed = members.groupBy("set_id").agg(F.array_sort(F.collect_set("member")).alias("m"))
     digest = members_digest(F.col("m"))
-    return listed.select("set_id", F.size("m").cast("long").alias("n_members"), digest.alias("members_hash"), F.concat(F.lit("sset_"), F.substring(digest, 1, 16)).alias("sample_set_id"))
+    return listed.select("set_id", F.size("m").cast("long").alias("n_members"), digest.alias("members_hash"), F.concat(F.lit("sset_"), F.substring(digest, len("sha256:") + 1, 16)).alias("sample_set_id"))
 
 
 def canonical_json(value) -> str:
@@ -43,12 +43,12 @@ def canonical_json(value) -> str:
 
 
 def params_hash(params: dict) -> str:
-    return hashlib.sha256(canonical_json(params).encode("utf-8")).hexdigest()
+    return "sha256:" + hashlib.sha256(canonical_json(params).encode("utf-8")).hexdigest()
 
 
 def result_ids(requests: DataFrame) -> DataFrame:
-    """Adds result_id from analysis_id, sample_set_id, artifacts (an array, in any order) and params_hash."""
-    parts = F.concat_ws("|", "analysis_id", "sample_set_id", F.array_join(F.array_sort("artifacts"), ","), "params_hash")
+    """Adds result_id from analysis_id, sample_set_id, artifacts (an array, in any order, repeats counting once) and params_hash."""
+    parts = F.concat_ws("|", "analysis_id", "sample_set_id", F.array_join(F.array_sort(F.array_distinct("artifacts")), ","), "params_hash")
     return requests.withColumn("result_id", F.concat(F.lit("res_"), F.substring(F.sha2(parts, 256), 1, 16)))
 
 

@@ -107,6 +107,40 @@ def ld_summary(pairs: DataFrame) -> DataFrame:
     return over.join(decay.select("group_name", *(F.col(str(i)).alias(f"decay_{i}") for i in range(1, 11))), "group_name")
 
 
+def site_summaries(dosages: DataFrame) -> DataFrame:
+    """(group_name, site, n_complete, maf, var): called samples, minor allele frequency and sample variance of the dosages; -1 is not called."""
+    x = F.col("dosage").cast("long")
+    sums = dosages.filter("dosage >= 0").groupBy("group_name", "site").agg(F.count("*").alias("n_complete"), F.sum(x).alias("x"), F.sum(x * x).alias("xx"))
+    p, n = F.col("x") / (2 * F.col("n_complete")), F.col("n_complete")
+    return sums.select("group_name", "site", "n_complete", F.least(p, 1 - p).alias("maf"), F.when(n > 1, (n * F.col("xx") - F.col("x") * F.col("x")) / (n * (n - 1))).alias("var"))
+
+
+def ld_shelf(pairs: DataFrame, start: int, end: int) -> DataFrame:
+    """(group_name, median_r2_shelf, median_r2_flank, shelf_ratio): pairs with both sites in start to end against pairs with neither."""
+    inside = lambda c: F.col(c).between(start, end)
+    of = lambda where, name: F.percentile(F.when(where, F.col("r2")), F.lit(0.5)).alias(name)
+    out = pairs.filter("r2 is not null").groupBy("group_name").agg(of(inside("site_a") & inside("site_b"), "median_r2_shelf"), of(~inside("site_a") & ~inside("site_b"), "median_r2_flank"))
+    return out.withColumn("shelf_ratio", F.when(F.col("median_r2_flank") > 0, F.col("median_r2_shelf") / F.col("median_r2_flank")))
+
+
+def expected_heterozygosity(freqs: DataFrame, per_window: int) -> DataFrame:
+    """(group_name, win_idx, n_sites, he): the mean over sites of 2pq * 2n / (2n - 1)."""
+    n2 = 2 * F.col("n")
+    p = F.col("alt") / n2
+    he = 2 * p * (1 - p) * n2 / (n2 - 1)
+    out = freqs.filter("n >= 1").withColumn("win_idx", F.floor(F.col("site") / per_window).cast("long")).groupBy("group_name", "win_idx").agg(F.count("*").alias("n_sites"), F.sum(he.cast("decimal(38,12)")).cast("double").alias("t"))
+    return out.select("group_name", "win_idx", "n_sites", (F.col("t") / F.col("n_sites")).alias("he"))
+
+
+def pairwise_agreement(calls: DataFrame) -> DataFrame:
+    """(source_a, source_b, n, n_agree, share) over (candidate, sample) that both sources call; sources are few, so the pairs of a call are."""
+    one = calls.groupBy("candidate", "sample", "source").agg(F.min("call").alias("call"))
+    a, b = (one.select("candidate", "sample", F.col("source").alias(f"source_{s}"), F.col("call").alias(f"call_{s}")) for s in "ab")
+    both = a.join(b, ["candidate", "sample"]).filter("source_a < source_b")
+    out = both.groupBy("source_a", "source_b").agg(F.count("*").alias("n"), F.sum((F.col("call_a") == F.col("call_b")).cast("long")).alias("n_agree"))
+    return out.withColumn("share", F.col("n_agree") / F.col("n"))
+
+
 def round_half_up(x: Column, digits: int) -> Column:
     """floor(x * 10^d + 0.5) / 10^d on the double itself."""
     scale = float(10**digits)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-GROUP_NAME = re.compile(r"^[A-Za-z0-9_.\-]+$")
+#: Fixed by the format: what a group's name is made of, and what a chromosome's name in a chunk request, a file's name too, never holds.
+GROUP_NAME = re.compile(r"[A-Za-z0-9_]+")
+UNSAFE = re.compile(r"[/\\.\0 \t\n\r\"'`;|&$<>(){}*?\[\]]")
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class GroupRequest:
         if not 1 <= len(self.groups) <= self.most:
             raise ValueError(f"give 1 to {self.most} groups")
         for name, members in self.groups.items():
-            if not GROUP_NAME.match(name):
+            if not GROUP_NAME.fullmatch(name):
                 raise ValueError(f"not a group's name: {name}")
             if not members:
                 raise ValueError(f"{name} is empty")
@@ -51,15 +53,17 @@ class GroupRequest:
 
 @dataclass(frozen=True)
 class ChunkRequest:
-    """Sites start to end (1-based, both in), at most cap of them, evenly when asked or when too many."""
+    """Sites start to end (1-based, both in), at most cap of them, as they come or, when asked, evenly."""
 
     chrom: str
     start: int
     end: int
     cap: int = 1000
-    mode: str = "even"
+    mode: str = "raw"
 
     def __post_init__(self):
+        if not 1 <= len(self.chrom) <= 128 or UNSAFE.search(self.chrom):
+            raise ValueError("not a chromosome's name")
         if self.start < 1 or self.end < self.start:
             raise ValueError("positions start at 1 and end at or behind the start")
         if not 1 <= self.cap <= 20_000:

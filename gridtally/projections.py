@@ -33,4 +33,4 @@ def order_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals from orders: the customer's nation as chromosome, 30 days from the order's day, the order as id."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    return o.select(F.concat(F.lit("LG"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("chrom"), start.alias("start"), (start + 30).alias("end"), F.col("o_orderkey").alias("interval_id"), (F.col("o_totalprice") / 1000).alias("band_score"), "o_custkey")
+    return o.select(F.concat(F.lit("LG"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("chrom"), start.alias("start"), (start + 30).alias("end"), F.col("o_orderkey").alias("interval_id"), (F.col("o_totalprice") / 1000).alias("band_score"), "o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))

@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtally import queries_registry  # noqa: F401  registers its queries
 from gridtally.functions import scalars
 from gridtally.operators import graph, intervals, registry, rules, sampling, sets, stats
 from gridtally.projections import chrom_sizes, dosages, event_sites, order_intervals, table
+from gridtally.registered import ORACLES, QUERIES, query  # noqa: F401
 from gridtally.streaming import log
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 SITES = """sites AS (SELECT event_type AS chrom, date_diff('second', TIMESTAMP '2024-01-01', ts) + 1 AS pos, event_id AS site_id, user_id AS sample, value,
   2 * ((event_id % 101) / 100.0) * (1 - (event_id % 101) / 100.0) AS hexp,
   greatest(0.0, least(1.0, 2 * ((event_id % 101) / 100.0) * (1 - (event_id % 101) / 100.0) * (1 - ((event_id % 21) - 10) / 10.0))) AS hobs FROM events)"""
 
 DOSAGES = "dos AS (SELECT l_partkey AS site, l_suppkey AS sample, least(2, count(*) - 1) AS x, 'g' || (l_suppkey % 2) AS g FROM lineitem GROUP BY l_partkey, l_suppkey)"
 
-SPANS = "iv AS (SELECT 'LG' || lpad(c_nationkey::VARCHAR, 2, '0') AS chrom, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT + 30 AS e, o_orderkey AS id, o_totalprice / 1000 AS score, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey)"
+SPANS = "iv AS (SELECT 'LG' || lpad(c_nationkey::VARCHAR, 2, '0') AS chrom, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT + 30 AS e, o_orderkey AS id, o_totalprice / 1000 AS score, o_custkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def _hobs_sql(scales, by: str = "") -> str:
@@ -103,41 +87,42 @@ def interval_merge(spark, d):
 r AS (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY s, e, id) AS r FROM f), m AS (SELECT chrom, min(s) AS s, max(e) AS e, count(*) AS n FROM r GROUP BY chrom, r),
 q AS (SELECT *, row_number() OVER (ORDER BY chrom, s) AS rn FROM m),
 c AS (SELECT chrom, s, e, n, chrom || '_INV_' || CASE WHEN rn < 1000 THEN lpad(rn::VARCHAR, 3, '0') ELSE rn::VARCHAR END AS cid FROM q),
-h AS (SELECT c.cid, count(p.pos) AS l3 FROM c LEFT JOIN (SELECT chrom, s AS pos FROM iv WHERE id % 50 = 0) p ON p.chrom = c.chrom AND p.pos BETWEEN c.s AND c.e GROUP BY c.cid),
-b AS (SELECT c.cid, count(p.s) AS dh FROM c LEFT JOIN (SELECT chrom, s, e FROM iv WHERE id % 70 = 0) p ON p.chrom = c.chrom AND p.s >= c.s AND p.e <= c.e GROUP BY c.cid)
+h AS (SELECT c.cid, count(p.pos) AS l3 FROM c LEFT JOIN (SELECT chrom, s AS pos FROM iv WHERE status = 'P') p ON p.chrom = c.chrom AND p.pos BETWEEN c.s AND c.e GROUP BY c.cid),
+b AS (SELECT c.cid, count(p.s) AS dh FROM c LEFT JOIN (SELECT chrom, s, e FROM iv WHERE priority = '1-URGENT') p ON p.chrom = c.chrom AND p.s >= c.s AND p.e <= c.e GROUP BY c.cid)
 SELECT c.cid AS candidate_id, c.chrom, c.s AS start, c.e AS "end", c.n AS band_count, l3 AS l3_hits, dh AS dosage_hits, CASE WHEN l3 >= 2 AND dh >= 1 THEN 'high' WHEN l3 >= 1 OR dh >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM c JOIN h USING (cid) JOIN b USING (cid)""")
 def candidate_promoter(spark, d):
     """Merged bands with the points and bins inside them, and their confidence."""
     iv = order_intervals(spark, d)
-    points = iv.filter("interval_id % 50 = 0").select("chrom", F.col("start").alias("pos"))
-    bins = iv.filter("interval_id % 70 = 0").select("chrom", "start", "end")
+    points = iv.filter("status = 'P'").select("chrom", F.col("start").alias("pos"))
+    bins = iv.filter("priority = '1-URGENT'").select("chrom", "start", "end")
     return intervals.candidate_table(iv, points, bins, 350.0, 1, 128)
 
 
-@query(f"""WITH {SPANS}, h AS (SELECT p.id AS point_id, first(i.id ORDER BY i.e - i.s, i.id) AS interval_id FROM (SELECT chrom, s AS pos, id FROM iv WHERE id % 11 = 0) p JOIN (SELECT chrom, s, s + (id % 40) AS e, id FROM iv WHERE id % 7 = 0) i ON p.chrom = i.chrom AND p.pos BETWEEN i.s AND i.e GROUP BY p.id) SELECT point_id, interval_id FROM h""")
+@query(f"""WITH {SPANS}, h AS (SELECT p.id AS point_id, first(i.id ORDER BY i.e - i.s, i.id) AS interval_id FROM (SELECT chrom, s AS pos, id FROM iv) p JOIN (SELECT chrom, s, s + (id % 40) AS e, id FROM iv WHERE priority = '1-URGENT') i ON p.chrom = i.chrom AND p.pos BETWEEN i.s AND i.e GROUP BY p.id) SELECT point_id, interval_id FROM h""")
 def smallest_interval(spark, d):
-    """The shortest interval around each point."""
+    """The shortest interval of an urgent order around each point."""
     iv = order_intervals(spark, d)
-    points = iv.filter("interval_id % 11 = 0").select("chrom", F.col("start").alias("pos"), F.col("interval_id").alias("point_id"))
-    shapes = iv.filter("interval_id % 7 = 0").select("chrom", "start", (F.col("start") + F.col("interval_id") % 40).alias("end"), "interval_id")
+    points = iv.select("chrom", F.col("start").alias("pos"), F.col("interval_id").alias("point_id"))
+    shapes = iv.filter("priority = '1-URGENT'").select("chrom", "start", (F.col("start") + F.col("interval_id") % 40).alias("end"), "interval_id")
     return intervals.smallest_containing(points, shapes, 64, ["point_id"])
 
 
-@query(f"""WITH {SPANS} SELECT a.id AS a_id, b.id AS b_id, (least(a.e, b.e) - greatest(a.s, b.s) + 1)::BIGINT AS shared FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e WHERE a.id % 13 = 0 AND b.id % 17 = 0""")
+@query(f"""WITH {SPANS} SELECT a.id AS a_id, b.id AS b_id, (least(a.e, b.e) - greatest(a.s, b.s) + 1)::BIGINT AS shared FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.s <= b.e AND b.s <= a.e WHERE a.priority = '1-URGENT' AND b.status = 'P'""")
 def interval_overlaps(spark, d):
+    """Urgent orders and pending ones whose days overlap."""
     iv = order_intervals(spark, d)
-    side = lambda p, k: iv.filter(F.col("interval_id") % k == 0).select("chrom", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("interval_id").alias(f"{p}_id"))
-    both = intervals.overlaps(side("a", 13), side("b", 17), 64)
+    side = lambda p, role: iv.filter(role).select("chrom", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("interval_id").alias(f"{p}_id"))
+    both = intervals.overlaps(side("a", "priority = '1-URGENT'"), side("b", "status = 'P'"), 64)
     return both.select("a_id", "b_id", (F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1).alias("shared"))
 
 
-@query(f"""WITH {SITES}, st AS (SELECT * FROM sites WHERE site_id % 3 = 0), p AS (SELECT chrom, pos, site_id FROM sites WHERE site_id % 3 = 1)
+@query(f"""WITH {SITES}, st AS (SELECT * FROM sites WHERE value < 50), p AS (SELECT chrom, pos, site_id FROM sites)
 SELECT p.site_id AS point_id, first(st.site_id ORDER BY abs(st.pos - p.pos), st.pos, st.site_id) AS site_id FROM p JOIN st ON p.chrom = st.chrom GROUP BY p.site_id""")
 def nearest_site(spark, d):
-    """As-of in both directions; the lower site wins a tie."""
+    """For every event the nearest one of a value below 50: as-of in both directions; the lower site wins a tie."""
     sites = event_sites(spark, d)
-    points = sites.filter("site_id % 3 = 1").select("chrom", "pos", F.col("site_id").alias("point_id"))
-    return sampling.nearest(points, sites.filter("site_id % 3 = 0").select("chrom", "pos", "site_id"))
+    points = sites.select("chrom", "pos", F.col("site_id").alias("point_id"))
+    return sampling.nearest(points, sites.filter("value < 50").select("chrom", "pos", "site_id"))
 
 
 @query()
@@ -146,9 +131,8 @@ def even_sites(spark, d):
     return sampling.even_sample(event_sites(spark, d).select("chrom", "pos", "site_id"), 200)
 
 
-@query(f"""WITH RECURSIVE {SITES}, n AS (SELECT chrom, pos, site_id, row_number() OVER (PARTITION BY chrom ORDER BY pos, site_id) AS i FROM sites),
-k AS (SELECT chrom, pos, site_id, i FROM n WHERE i = 1 UNION ALL SELECT x.chrom, x.pos, x.site_id, x.i FROM (SELECT n.*, row_number() OVER (PARTITION BY n.chrom, k.i ORDER BY n.i) AS f FROM k JOIN n ON n.chrom = k.chrom AND n.pos >= k.pos + 3000 AND n.i > k.i AND n.pos < k.pos + 60000) x WHERE x.f = 1)
-SELECT chrom, pos, site_id FROM k""")
+@query(f"""WITH RECURSIVE {SITES}, n AS (SELECT chrom, pos, min(site_id) AS site_id FROM sites GROUP BY chrom, pos), j AS (SELECT chrom, pos, min(pos) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 3000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM n),
+k AS (SELECT chrom, min(pos) AS pos FROM n GROUP BY chrom UNION ALL SELECT j.chrom, j.nx FROM k JOIN j ON j.chrom = k.chrom AND j.pos = k.pos WHERE j.nx IS NOT NULL) SELECT chrom, pos, site_id FROM k JOIN n USING (chrom, pos)""")
 def greedy_thinning(spark, d):
     """Each kept site lies at least 3000 behind the one kept before."""
     return sampling.thin_greedy(event_sites(spark, d).select("chrom", "pos", "site_id"), 3000)
@@ -246,10 +230,10 @@ def contingency_total(spark, d):
     return _rounded(stats.contingency_totals(_cells(spark, d)), 1, "total_chi_sq")
 
 
-@query(f"""WITH {DOSAGES}, t AS (SELECT s_suppkey AS t, s_suppkey AS o, s_suppkey - 1 AS p1, s_suppkey - 2 AS p2 FROM supplier WHERE s_suppkey % 3 = 0)
+@query(f"""WITH {DOSAGES}, t AS (SELECT s_suppkey AS t, s_suppkey AS o, s_suppkey - 1 AS p1, s_suppkey - 2 AS p2 FROM supplier)
 SELECT t AS trio_id, count(*) AS n_sites, sum((o.x < (a.x = 2)::INT + (b.x = 2)::INT OR o.x > (a.x > 0)::INT + (b.x > 0)::INT)::INT)::BIGINT AS n_errors FROM t JOIN dos o ON o.sample = t.o JOIN dos a ON a.sample = t.p1 AND a.site = o.site JOIN dos b ON b.sample = t.p2 AND b.site = o.site GROUP BY t""")
 def mendelian_errors(spark, d):
-    s = table(spark, d, "supplier").filter("s_suppkey % 3 = 0")
+    s = table(spark, d, "supplier")
     trios = s.select(F.col("s_suppkey").alias("trio_id"), F.col("s_suppkey").alias("offspring"), (F.col("s_suppkey") - 1).alias("parent1"), (F.col("s_suppkey") - 2).alias("parent2"))
     return stats.mendel_errors(dosages(spark, d), trios).select("trio_id", "n_sites", "n_errors")
 
@@ -288,41 +272,45 @@ def odds_ratios(spark, d):
     return _rounded(stats.odds_ratio(rows, "l_linenumber", "e", "f"), 6, "odds_ratio")
 
 
-_SETS = "m AS (SELECT DISTINCT c_mktsegment AS s, c_nationkey::VARCHAR AS m FROM customer WHERE c_custkey % 29 = 3)"
+_SETS = "m AS (SELECT DISTINCT o_orderpriority AS s, o_custkey::VARCHAR AS m FROM orders)"
 
 
 def _members(spark, d):
-    return table(spark, d, "customer").filter("c_custkey % 29 = 3").select(F.col("c_mktsegment").alias("set_id"), F.col("c_nationkey").cast("string").alias("member"))
+    """Sets of customers by the priority of their orders."""
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("set_id"), F.col("o_custkey").cast("string").alias("member"))
 
 
-@query(f"WITH {_SETS} SELECT m AS member FROM m WHERE s = 'BUILDING' INTERSECT SELECT m FROM m WHERE s = 'MACHINERY'")
+@query(f"WITH {_SETS} SELECT m AS member FROM m WHERE s = '1-URGENT' INTERSECT SELECT m FROM m WHERE s = '5-LOW'")
 def set_intersection(spark, d):
-    return sets.intersect_all(_members(spark, d), ["BUILDING", "MACHINERY"])
+    return sets.intersect_all(_members(spark, d), ["1-URGENT", "5-LOW"])
 
 
-@query(f"WITH {_SETS} SELECT m AS member FROM m WHERE s = 'BUILDING' UNION SELECT m FROM m WHERE s = 'MACHINERY'")
+@query(f"WITH {_SETS} SELECT m AS member FROM m WHERE s = '1-URGENT' UNION SELECT m FROM m WHERE s = '5-LOW'")
 def set_union(spark, d):
-    return sets.union_all(_members(spark, d), ["BUILDING", "MACHINERY"])
+    return sets.union_all(_members(spark, d), ["1-URGENT", "5-LOW"])
 
 
-@query(f"WITH {_SETS} SELECT m AS member FROM m WHERE s = 'BUILDING' EXCEPT SELECT m FROM m WHERE s IN ('MACHINERY', 'FURNITURE')")
+@query(f"WITH {_SETS} SELECT m AS member FROM m WHERE s = '1-URGENT' EXCEPT SELECT m FROM m WHERE s IN ('5-LOW', '2-HIGH')")
 def set_difference(spark, d):
-    return sets.difference(_members(spark, d), "BUILDING", ["MACHINERY", "FURNITURE"])
+    return sets.difference(_members(spark, d), "1-URGENT", ["5-LOW", "2-HIGH"])
 
 
-@query(f"WITH {_SETS}, h AS (SELECT s, count(*) AS n, sha256(string_agg(m, chr(10) ORDER BY m) || chr(10)) AS h FROM m GROUP BY s) SELECT s AS set_id, n AS n_members, h AS members_hash, 'sset_' || left(h, 16) AS sample_set_id FROM h")
+@query(f"WITH {_SETS}, h AS (SELECT s, count(*) AS n, sha256(string_agg(m, chr(10) ORDER BY m) || chr(10)) AS h FROM m GROUP BY s) SELECT s AS set_id, n AS n_members, 'sha256:' || h AS members_hash, 'sset_' || left(h, 16) AS sample_set_id FROM h")
 def set_identity(spark, d):
     """Ids that depend on the members alone."""
     return sets.set_ids(_members(spark, d))
 
 
-@query(f"""WITH {_SETS}, h AS (SELECT s, 'sset_' || left(sha256(string_agg(m, chr(10) ORDER BY m) || chr(10)), 16) AS i FROM m GROUP BY s), r AS (SELECT s, a, 'res_' || left(sha256(a || '|' || i || '|' || 'x,y' || '|' || '{sets.params_hash({"k": 2})}'), 16) AS id FROM h, (VALUES ('fst'), ('pi')) v(a))
-SELECT s AS set_id, a AS analysis_id, id AS result_id, CASE WHEN a = 'fst' AND s < 'F' THEN 'cached' ELSE 'todo' END AS state FROM r""")
+_PARAMS = "'sha256:' || sha256('{\"k\":2,\"names\":[\"a\"]}')"
+
+
+@query(f"""WITH {_SETS}, h AS (SELECT s, 'sset_' || left(sha256(string_agg(m, chr(10) ORDER BY m) || chr(10)), 16) AS i FROM m GROUP BY s), r AS (SELECT s, a, 'res_' || left(sha256(a || '|' || i || '|' || 'x,y' || '|' || {_PARAMS}), 16) AS id FROM h, (VALUES ('fst'), ('pi')) v(a))
+SELECT s AS set_id, a AS analysis_id, id AS result_id, CASE WHEN id IN (SELECT id FROM r WHERE a = 'fst' AND s < '3') THEN 'cached' ELSE 'todo' END AS state FROM r""")
 def result_plan(spark, d):
-    """Requests whose result is stored already, told by content alone."""
+    """Requests whose result is stored already, told by content alone; artifacts come in any order and more than once."""
     ids = sets.set_ids(_members(spark, d)).select("set_id", "sample_set_id")
-    requests = ids.select("*", F.explode(F.array(F.lit("fst"), F.lit("pi"))).alias("analysis_id")).withColumn("artifacts", F.array(F.lit("y"), F.lit("x"))).withColumn("params_hash", F.lit(sets.params_hash({"k": 2})))
-    stored = sets.result_ids(requests.filter("analysis_id = 'fst' and set_id < 'F'").withColumn("artifacts", F.array(F.lit("x"), F.lit("y"))))
+    requests = ids.select("*", F.explode(F.array(F.lit("fst"), F.lit("pi"))).alias("analysis_id")).withColumn("artifacts", F.array(F.lit("y"), F.lit("x"), F.lit("y"))).withColumn("params_hash", F.lit(sets.params_hash({"names": ["a"], "k": 2})))
+    stored = sets.result_ids(requests.filter("analysis_id = 'fst' and set_id < '3'").withColumn("artifacts", F.array(F.lit("x"), F.lit("y"))))
     return sets.plan(requests, stored).select("set_id", "analysis_id", "result_id", "state")
 
 
@@ -342,10 +330,10 @@ def reference_check(spark, d):
     return registry.missing_references(rows, "row_id", [("l_partkey", table(spark, d, "part").filter("p_size > 3"), "p_partkey"), ("l_suppkey", table(spark, d, "supplier").filter("s_acctbal > 0"), "s_suppkey")])
 
 
-@query("""SELECT a AS member, 'unknown' AS kind FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderkey % 5 = 0 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)
-UNION ALL SELECT c_custkey, 'ungrouped' FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)""")
+@query("""SELECT a AS member, 'unknown' AS kind FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT c_custkey, 'ungrouped' FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def membership_check(spark, d):
-    group = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("member"))
+    group = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("member"))
     return registry.membership_gaps(group, table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("member")), "member")
 
 
@@ -370,13 +358,14 @@ def filtered_tail(spark, d):
     return registry.tail(rows, "event_id", 25, {"event_type": "click", "user_id": None})
 
 
-_MODULES = "m AS (SELECT p_partkey AS m, 't' || (p_partkey % 40) || ',t' || (p_partkey % 7) AS p, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 't' || ((p_partkey + 1) % 50) || ', t' || (p_partkey % 11) END AS r FROM part WHERE p_partkey <= 300)"
+_MODULES = "m AS (SELECT p_partkey AS m, 't' || p_partkey || ',u' || (p_partkey // 4) AS p, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 't' || (2 * p_partkey) || ', u' || (p_partkey // 8) END AS r FROM part)"
 
 
 def _modules(spark, d):
+    """Every part as a module: it makes a tag of its own and one that four parts make, and needs two, of which some nobody makes."""
     k = F.col("p_partkey")
-    s = lambda x: F.concat(F.lit("t"), x.cast("string"))
-    return table(spark, d, "part").filter("p_partkey <= 300").select(k.alias("module"), F.concat_ws(",", s(k % 40), s(k % 7)).alias("produces"), F.when(k % 3 == 0, "").otherwise(F.concat(s((k + 1) % 50), F.lit(", "), s(k % 11))).alias("requires"))
+    tag = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    return table(spark, d, "part").select(k.alias("module"), F.concat_ws(",", tag("t", k), tag("u", F.floor(k / 4))).alias("produces"), F.when(k % 3 == 0, "").otherwise(F.concat(tag("t", 2 * k), F.lit(", "), tag("u", F.floor(k / 8)))).alias("requires"))
 
 
 @query(f"WITH {_MODULES} SELECT DISTINCT a.m AS producer, b.m AS consumer, t AS tag FROM (SELECT m, unnest(string_split(p, ',')) AS t FROM m) a JOIN (SELECT m, trim(unnest(string_split(r, ','))) AS u FROM m) b ON t = u WHERE t <> '' AND a.m <> b.m")
@@ -415,13 +404,13 @@ def dependency_chains(spark, d):
     return graph.chains(nxt.select(name("turn").alias("src"), name("next").alias("dst"))).select("root", "leaf", "depth")
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS s, t FROM part, (SELECT unnest([2, 3]) AS k) LEFT JOIN LATERAL (SELECT p_partkey // k AS t) ON true WHERE t > 0 AND t <> p_partkey), w AS (SELECT DISTINCT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 61 = 0 UNION SELECT start, e.t, depth + 1 FROM w JOIN e ON e.s = w.node)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS s, t FROM part, (SELECT unnest([2, 3]) AS k) LEFT JOIN LATERAL (SELECT p_partkey // k AS t) ON true WHERE t > 0 AND t <> p_partkey), w AS (SELECT DISTINCT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part UNION SELECT start, e.t, depth + 1 FROM w JOIN e ON e.s = w.node)
 SELECT start, node, max(depth)::INT AS depth FROM w GROUP BY start, node""")
 def prerequisites(spark, d):
     """Everything that a node needs, at its greatest distance."""
     k = F.explode(F.array(F.lit(2), F.lit(3)))
     edges = table(spark, d, "part").select(F.col("p_partkey").alias("src"), k.alias("k")).select("src", F.floor(F.col("src") / F.col("k")).alias("dst")).filter("dst > 0 and dst <> src").distinct()
-    starts = table(spark, d, "part").filter("p_partkey % 61 = 0").select(F.col("p_partkey").alias("node"))
+    starts = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
     return graph.closure(edges, starts)
 
 
@@ -429,7 +418,8 @@ def prerequisites(spark, d):
 def layer_readiness(spark, d):
     """States of layers to a fixpoint, with cycles and unknown inputs; tests hold it against a recursive evaluation."""
     k = F.col("p_partkey")
-    layers = table(spark, d, "part").select(k.alias("layer"), (k % 5 == 0).alias("has_result"), (k % 17 == 3).alias("failed"), (k % 13 != 7).alias("has_producer"))
+    kind = F.when(k % 23 == 5, "file").when(k % 29 == 7, "other").otherwise("analysis_result")
+    layers = table(spark, d, "part").select(k.alias("layer"), kind.alias("source_kind"), (k % 2 == 0).alias("present"), F.when(k % 5 == 0, "active").when(k % 17 == 3, "failed").alias("result"), (k % 13 != 7).alias("has_producer"))
     needs = table(spark, d, "part").select(k.alias("layer"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("input")).filter("input > 0 and input <> layer")
     return graph.layer_states(layers, needs)
 
@@ -493,10 +483,14 @@ def evidence_completion(spark, d):
     return _rounded(rules.completion(k), 4, "percent")
 
 
-@query("SELECT p_partkey, CASE WHEN b AND NOT a AND NOT c AND d THEN 'SV-1' WHEN b AND NOT a AND NOT c AND NOT d THEN 'SV-2' WHEN n = 4 THEN '1' WHEN n = 3 THEN '2' WHEN n = 2 THEN '3' WHEN n = 1 THEN '4' END AS tier, CASE WHEN f < 0.05 THEN 'rare' WHEN f < 0.15 THEN 'low' WHEN f < 0.5 THEN 'intermediate' WHEN f < 0.85 THEN 'high' ELSE 'nearly_fixed' END AS band FROM (SELECT p_partkey, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b, p_size % 5 = 0 AS c, p_size % 7 = 0 AS d, (p_size % 2 = 0)::INT + (p_size % 3 = 0)::INT + (p_size % 5 = 0)::INT + (p_size % 7 = 0)::INT AS n, p_size / 50.0 AS f FROM part)")
+@query("""WITH p AS (SELECT p_partkey, p_size % 2 = 0 AS a, p_size % 3 > 0 AS b, p_size % 5 < 3 AS c, p_size % 7 < 4 AS d, p_size % 5 < 4 AS ct, p_size % 7 < 6 AS dt, p_size % 3 AS callers, p_size % 8 AS dims, p_size / 50.0 AS f FROM part)
+SELECT p_partkey, CASE WHEN b AND NOT a AND NOT c AND callers >= 2 THEN 'SV-1' WHEN b AND NOT a AND NOT c THEN 'SV-2' WHEN a AND b AND c AND d THEN '1' WHEN a AND b AND d AND NOT ct THEN '1' WHEN a AND c AND NOT b AND NOT dt THEN '2' WHEN a AND b AND ((dt AND NOT d) OR NOT ct) THEN '2' WHEN (a OR b OR c) AND dims >= 4 THEN '3' ELSE '4' END AS tier,
+CASE WHEN f < 0.05 THEN 'rare' WHEN f < 0.15 THEN 'low' WHEN f < 0.5 THEN 'intermediate' WHEN f < 0.85 THEN 'high' ELSE 'nearly_fixed' END AS band FROM p""")
 def evidence_tiers(spark, d):
+    """Tiers by pathway: which layers were tested and passed, callers of layer B, positive dimensions of D."""
     s = F.col("p_size")
-    return table(spark, d, "part").select("p_partkey", rules.confidence_tier(s % 2 == 0, s % 3 == 0, s % 5 == 0, s % 7 == 0).alias("tier"), rules.frequency_band(s / 50).alias("band"))
+    passed = {"a": s % 2 == 0, "b": s % 3 > 0, "c": s % 5 < 3, "d": s % 7 < 4}
+    return table(spark, d, "part").select("p_partkey", rules.confidence_tier(**passed, c_tested=s % 5 < 4, d_tested=s % 7 < 6, callers=s % 3, dimensions=s % 8).alias("tier"), rules.frequency_band(s / 50).alias("band"))
 
 
 @query("SELECT l_orderkey AS candidate, l_suppkey AS sample, count(DISTINCT l_linenumber) AS n_sources, count(DISTINCT l_returnflag) AS n_calls, count(DISTINCT l_returnflag) = 1 AS agrees FROM lineitem GROUP BY 1, 2")
@@ -559,46 +553,60 @@ def concordance_by_distance(spark, d):
     return _rounded(stats.distance_concordance(calls), 6, "mean")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey // 3 AS a, o_orderkey // 3 + 1 + o_orderkey % 2 AS b FROM orders WHERE o_orderkey % 7 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS n, a AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.m) SELECT n AS node, min(m) AS root FROM r GROUP BY n""")
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER w AS b, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), u AS (SELECT a, b FROM e WHERE d <= 90 UNION SELECT b, a FROM e WHERE d <= 90),
+r AS (SELECT a AS n, a AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.m) SELECT n AS node, min(m) AS root FROM r GROUP BY n""")
 def kin_groups(spark, d):
-    """Components of a threshold graph, as pedigrees are joined from related pairs."""
-    e = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.floor(F.col("o_orderkey") / 3).alias("a"), (F.floor(F.col("o_orderkey") / 3) + 1 + F.col("o_orderkey") % 2).alias("b"))
-    return graph.components(e)
+    """Components of a threshold graph, as pedigrees are joined from related pairs: here a customer's orders at most 90 days apart."""
+    from pyspark.sql import Window
 
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    days = F.datediff("o_orderdate", F.lag("o_orderdate").over(w))
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(w).alias("b"), days.alias("days"))
+    return graph.components(e.filter("days <= 90").select("a", "b"))
 
-_QUESTIONS = "q AS (SELECT DISTINCT o_custkey AS q, 'p' || (o_orderkey % 60) AS p, o_orderkey % 4 > 0 AS r FROM orders), s AS (SELECT 'p' || p_partkey AS p, CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ready' WHEN 2 THEN 'blocked' WHEN 3 THEN 'ready' ELSE 'validated' END AS s FROM part WHERE p_partkey < 55)"
+
+_QUESTIONS = """q AS (SELECT DISTINCT l_orderkey AS q, 'p' || l_partkey AS p, l_linenumber > 1 AS r FROM lineitem),
+s AS (SELECT 'p' || p_partkey AS p, ['ready', 'available', 'missing', 'stale', 'ready', 'validated', 'blocked', 'deprecated', 'rejected'][p_size % 9 + 1] AS s, CASE WHEN p_size % 4 > 0 THEN 'm' || (p_partkey // 16) END AS m FROM part WHERE p_size > 3)"""
 
 
 def _questions(spark, d):
-    o = table(spark, d, "orders")
-    q = o.select(F.col("o_custkey").alias("question"), F.concat(F.lit("p"), (F.col("o_orderkey") % 60).cast("string")).alias("product"), (F.col("o_orderkey") % 4 > 0).alias("required")).distinct()
-    k = F.col("p_partkey")
-    s = table(spark, d, "part").filter("p_partkey < 55").select(F.concat(F.lit("p"), k.cast("string")).alias("product"), F.when(k % 5 == 0, "missing").when(k % 5 == 2, "blocked").when(k % 5 == 4, "validated").otherwise("ready").alias("state"))
-    return q, s
+    """Orders ask for parts, all but their first line's; parts of size 3 and less are unknown."""
+    q = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product"), (F.col("l_linenumber") > 1).alias("required")).distinct()
+    names = F.array(*map(F.lit, ("ready", "available", "missing", "stale", "ready", "validated", "blocked", "deprecated", "rejected")))
+    parts = table(spark, d, "part").filter("p_size > 3")
+    producer = F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("m"), F.floor(F.col("p_partkey") / 16).cast("string")))
+    return q, parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("product"), F.get(names, F.col("p_size") % 9).alias("state"), producer.alias("producer"))
 
 
-@query(f"""WITH {_QUESTIONS}, j AS (SELECT q.q, q.p, coalesce(s.s, 'missing') AS s FROM q LEFT JOIN s ON q.p = s.p WHERE q.r), a AS (SELECT q, bool_and(s = 'ready') AS ok, bool_and(s IN ('missing', 'blocked', 'rejected')) AS bad, list_sort(list_distinct(list(CASE WHEN s IN ('missing', 'blocked', 'rejected') THEN p END))) AS m FROM j GROUP BY q)
-SELECT x.q AS question, CASE WHEN coalesce(ok, true) THEN 'ready' WHEN bad THEN 'blocked' ELSE 'partial' END AS state, coalesce(array_to_string(m, ','), '') AS missing FROM (SELECT DISTINCT q FROM q) x LEFT JOIN a ON a.q = x.q""")
+@query(f"""WITH {_QUESTIONS}, j AS (SELECT q.q, q.p, coalesce(s.s, 'missing') AS s FROM q LEFT JOIN s ON q.p = s.p WHERE q.r), a AS (SELECT q, bool_and(s = 'ready') AS ok, bool_or(s IN ('missing', 'blocked', 'deprecated')) AS bad, bool_or(s IN ('ready', 'validated', 'available')) AS good, list_sort(list_distinct(list(CASE WHEN s IN ('missing', 'blocked') THEN p END))) AS m FROM j GROUP BY q)
+SELECT x.q AS question, CASE WHEN coalesce(ok, true) THEN 'ready_to_run' WHEN bad AND NOT good THEN 'blocked' ELSE 'partial' END AS state, coalesce(array_to_string(m, ','), '') AS missing FROM (SELECT DISTINCT q FROM q) x LEFT JOIN a ON a.q = x.q""")
 def question_readiness(spark, d):
     q, s = _questions(spark, d)
     return graph.question_states(q, s).withColumn("missing", F.array_join("missing", ","))
 
 
-@query(f"WITH {_QUESTIONS}, w AS (SELECT DISTINCT q.p FROM q JOIN s ON q.p = s.p WHERE r AND s.s IN ('missing', 'blocked')) SELECT 'm' || (length(p) * 7 + ascii(right(p, 1))) % 5 AS producer, array_to_string(list_sort(list(p)), ',') AS products FROM w GROUP BY 1")
+@query(f"""WITH {_QUESTIONS}, j AS (SELECT DISTINCT q.q, q.p, s.m FROM q LEFT JOIN s ON q.p = s.p WHERE q.r AND coalesce(s.s, 'missing') IN ('missing', 'blocked'))
+SELECT q AS question, p AS product, CASE WHEN m IS NULL THEN 'register_producer' ELSE 'run' END AS action, m AS analysis_id, CASE WHEN m IS NULL THEN 'Register a producing analysis for ' || p ELSE 'Run ' || m || ' to produce ' || p END AS label FROM j""")
+def next_actions(spark, d):
+    """What to run, or to register, for each required product that is missing or blocked."""
+    q, s = _questions(spark, d)
+    return graph.next_actions(q, s.select("product", "state"), s.select("product", "producer"))
+
+
+@query(f"WITH {_QUESTIONS}, w AS (SELECT DISTINCT q.p, s.m FROM q JOIN s ON q.p = s.p WHERE r AND s.s IN ('missing', 'blocked') AND s.m IS NOT NULL) SELECT m AS producer, array_to_string(list_sort(list(p)), ',') AS products FROM w GROUP BY 1")
 def dispatch_plan(spark, d):
     q, s = _questions(spark, d)
-    p = s.select("product", F.concat(F.lit("m"), ((F.length("product") * 7 + F.ascii(F.right("product", F.lit(1)))) % 5).cast("string")).alias("producer"))
-    return graph.dispatch(q, s, p).withColumn("products", F.array_join("products", ","))
+    return graph.dispatch(q, s.select("product", "state"), s.filter("producer is not null").select("product", "producer")).withColumn("products", F.array_join("products", ","))
 
 
-@query("""WITH RECURSIVE r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 31 = 5 THEN 999999 WHEN p_partkey % 50 = 1 THEN p_partkey + 1 WHEN p_partkey % 50 = 2 THEN p_partkey - 1 ELSE p_partkey // 2 END AS nx FROM part WHERE p_partkey BETWEEN 1 AND 600),
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 31 = 5 THEN 999999 WHEN p_partkey % 50 = 1 THEN p_partkey + 1 WHEN p_partkey % 50 = 2 THEN p_partkey - 1 ELSE p_partkey // 2 END AS nx FROM part),
 w AS (SELECT id, nx AS pos, [id] AS seen FROM r WHERE nx IS NOT NULL UNION ALL SELECT w.id, r.nx, list_append(w.seen, w.pos) FROM w JOIN r ON r.id = w.pos WHERE NOT list_contains(w.seen, w.pos) AND r.nx IS NOT NULL)
 SELECT DISTINCT id::VARCHAR AS result_id, CASE WHEN list_contains(seen, pos) THEN 'cycle' ELSE 'missing' END AS problem FROM w WHERE list_contains(seen, pos) OR pos NOT IN (SELECT id FROM r)""")
 def result_chains(spark, d):
     """Results whose upstream chain breaks off or comes back."""
     k = F.col("p_partkey")
     nxt = F.when(k % 9 == 0, "").when(k % 31 == 5, "999999").when(k % 50 == 1, (k + 1).cast("string")).when(k % 50 == 2, (k - 1).cast("string")).otherwise(F.floor(k / 2).cast("string"))
-    r = table(spark, d, "part").filter("p_partkey between 1 and 600").select(k.cast("string").alias("result_id"), nxt.alias("input_result_id"))
+    r = table(spark, d, "part").select(k.cast("string").alias("result_id"), nxt.alias("input_result_id"))
     return graph.upstream_problems(r)
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Cells that stand for nothing, in numeric columns only.
@@ -12,9 +10,17 @@ MISSING = ("", "NA", "NaN")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files; .gz is read as it is. Numbers follow each file's order."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return rows
+    """(path, line_no, line) of text files; .gz is read as it is. Numbers follow each file's order, from 0.
+
+    Files are read in splits, many tasks a file. Rows of a split have rising ids without gaps, so a line's number is
+    its place in the split behind the lines of the file's splits before it; only one row a split is shuffled.
+    """
+    block = F.col("_metadata.file_block_start")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), block.alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("path", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(starts, ["path", "_block"]).select("path", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def number(cell: Column) -> Column:
@@ -98,7 +104,3 @@ def by_synonym(frame: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
     have = {c.lower(): c for c in frame.columns}
     pick = lambda options: next((have[o.lower()] for o in options if o.lower() in have), None)
     return frame.select(*((F.col(c) if (c := pick(options)) else F.lit(None)).alias(name) for name, options in synonyms.items()))
-
-
-def merged_union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

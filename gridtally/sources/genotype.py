@@ -41,16 +41,27 @@ def known_and_dropped(ids: list[str], samples: DataFrame) -> DataFrame:
     return asked.join(samples.select("sample_id").distinct().withColumn("_k", F.lit(True)), "sample_id", "left").select("idx", "sample_id", F.coalesce("_k", F.lit(False)).alias("known"))
 
 
-def sites(spark: SparkSession, path: str) -> DataFrame:
-    """(site_idx, pos, ref, alt, missingness, diagnostic_score, site_id); a first cell that is no integer makes a header.
+def sites(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(site_idx, pos, ref, alt, missingness, diagnostic_score, site_id); a first cell that is no integer makes a header. start and end bound pos, both in.
 
     site_idx counts data rows only, as the dosage table has its rows in this order.
     """
     split = F.split("line", "\t")
-    rows = lines(spark, path).filter((F.trim("line") != "") & F.get(split, 0).rlike(r"^\s*\d+\s*$"))
+    used = lines(spark, path).filter(F.trim("line") != "")
+    data = F.get(split, 0).rlike(r"^\s*\d+\s*$")
+    rows = used.filter(data)
     num = lambda i: F.when(~F.upper(F.trim(F.get(split, i))).isin("", ".", "NA"), F.trim(F.get(split, i)).try_cast("double"))
-    skipped = lines(spark, path).filter((F.trim("line") != "") & ~F.get(split, 0).rlike(r"^\s*\d+\s*$")).count()
-    return rows.select((F.col("line_no") - skipped).cast("long").alias("site_idx"), F.trim(F.get(split, 0)).cast("long").alias("pos"), F.get(split, 1).alias("ref"), F.get(split, 2).alias("alt"), num(3).alias("missingness"), num(4).alias("diagnostic_score"), F.get(split, 5).alias("site_id"))
+    skipped = used.filter(~data).count()
+    placed = rows.select((F.col("line_no") - skipped).cast("long").alias("site_idx"), F.trim(F.get(split, 0)).cast("long").alias("pos"), F.get(split, 1).alias("ref"), F.get(split, 2).alias("alt"), num(3).alias("missingness"), num(4).alias("diagnostic_score"), F.get(split, 5).alias("site_id"))
+    return placed.filter((F.col("pos") >= (start if start is not None else 0)) & (F.col("pos") <= (end if end is not None else 2**62)))
+
+
+def paired(placed: DataFrame, coded: DataFrame) -> DataFrame:
+    """Sites beside their dosages, by site_idx; raises if one has rows that the other hasn't."""
+    n, m = placed.count(), coded.count()
+    if n != m:
+        raise ValueError(f"{n} sites, but {m} rows of dosages")
+    return placed.join(coded, "site_idx")
 
 
 def dosage_rows(spark: SparkSession, path: str, n_samples: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,28 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
 
 
+def digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes, sha256) of the files below a folder; each is read as one row, so they should be under 2 GB."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def json_files(spark: SparkSession, folder: str, schema: str, recursive: bool = False) -> DataFrame:
+    """One row a JSON file of a folder, with its path as _path; files that are no JSON objects drop out, as does a folder that isn't there."""
+    try:
+        text = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{schema}, _path string")
+    parsed = text.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"), F.col("_metadata.file_path").alias("_path"))
+    return parsed.filter("x is not null and x._bad is null").select("x.*", "_path").drop("_bad")
+
+
+def chrom_sizes(index: DataFrame) -> DataFrame:
+    """(chrom, chrom_size) from the lines of a sequence index."""
+    f = F.split("line", "\t")
+    return index.filter(F.size(f) >= 2).select(F.get(f, 0).alias("chrom"), F.get(f, 1).try_cast("long").alias("chrom_size"))
+
+
 def chromosome(name: Column, prefix: str = "C_gar_") -> Column:
     """The chromosome that a name tells: LG28 becomes prefix + LG28, words for all of it become 'global'."""
     token = F.upper(F.regexp_extract(name, r"(?i)(?:^|[._\-/])(LG\d+)(?:[._\-/]|$)", 1))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from gridtally.operators.registry import missing_references
 
+#: The folders below a project that may be written.
+WRITABLE = ("layers/", "actions/")
+
 
 def write_tsv(frame: DataFrame, path: str, columns: list[str]) -> None:
-    """One tab-separated file of the given columns in their order, quoted only where needed."""
-    frame.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    """Tab-separated part files of the given columns in their order, each with a header, quoted only where needed."""
+    frame.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
 
 
 def append_results(new: DataFrame, path: str, row_id: str, references: list[tuple[str, DataFrame, str]]) -> None:
@@ -27,10 +30,17 @@ def append_results(new: DataFrame, path: str, row_id: str, references: list[tupl
     new.write.mode("append").parquet(path)
 
 
-def write_envelopes(envelopes: DataFrame, path: str, action_id: str) -> None:
-    """Layer envelopes by type and dataset; those without an action get this one."""
+def write_envelopes(envelopes: DataFrame, root: str, action_id: str, folder: str = "layers") -> None:
+    """Layer envelopes by type and dataset below a folder of root that may be written; those without an action get this one."""
     stamped = envelopes.withColumn("action_id", F.coalesce("action_id", F.lit(action_id)))
-    stamped.write.mode("append").partitionBy("layer_type", "dataset_id").parquet(path)
+    stamped.write.mode("append").partitionBy("layer_type", "dataset_id").parquet(target(root, folder))
+
+
+def target(root: str, path: str, prefixes: tuple[str, ...] = WRITABLE) -> str:
+    """The place of a relative path below root; raises where it may not be written."""
+    if not allowed_target(path, prefixes):
+        raise ValueError(f"not a place to write to: {path}")
+    return f"{root.rstrip('/')}/{posixpath.normpath(path)}"
 
 
 def allowed_target(path: str, prefixes: tuple[str, ...]) -> bool:

@@ -6,7 +6,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
-from gridtally.operators import graph, rules, stats
+from gridtally.operators import graph, rules, sampling, stats
 from gridtally.sources import formats, listing
 
 
@@ -108,3 +108,54 @@ def test_chains_and_closures_have_no_bound_of_rounds(spark):
     assert rows(graph.closure(edges, start)) == [(0, i, i) for i in range(n + 1)]
     with pytest.raises(ValueError):
         graph.closure(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"), spark.createDataFrame([(1,)], "node long"))
+
+
+def test_components_of_a_long_path(spark):
+    """500 nodes in a row and a ring, in rounds that are logarithmic."""
+    edges = [(i, i + 1) for i in range(1, 500)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)]
+    got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long"), most=20)))
+    assert got == {i: 1 for i in range(1, 501)} | {1000 + i: 1000 for i in range(50)}
+
+
+def test_thinning_of_dense_and_far_sites(spark):
+    rng = random.Random(3)
+    data = [("c", rng.randrange(1, 20_000), i) for i in range(1500)] + [("c", 10_000_000 + 7 * i, 5000 + i) for i in range(100)] + [("d", 5, 1), ("d", 5, 2)]
+    kept = []
+    for c in "cd":
+        last = None
+        for p, i in sorted((p, i) for x, p, i in data if x == c):
+            if last is None or p - last >= 37:
+                kept.append((c, p, i))
+                last = p
+    df = spark.createDataFrame(data, "chrom string, pos long, site_id long")
+    assert rows(sampling.thin_greedy(df, 37, width=500)) == kept
+    assert sampling.thin_greedy(df, 0).count() == len(data)
+
+
+def test_nearest_over_bins(spark):
+    rng = random.Random(4)
+    sites = [("c", rng.randrange(1, 5000) * 10, i) for i in range(200)] + [("e", 3, 900)]
+    points = [("c", rng.randrange(1, 60_000), i) for i in range(300)] + [("d", 5, 400), ("e", 90_000, 401)]
+    got = dict(rows(sampling.nearest(spark.createDataFrame(points, "chrom string, pos long, point_id long"), spark.createDataFrame(sites, "chrom string, pos long, site_id long"), width=700)))
+    best = lambda c, p: min(((abs(q - p), q, i) for x, q, i in sites if x == c), default=(None, None, None))[2]
+    assert got == {i: best(c, p) for c, p, i in points}
+
+
+def test_tiers_by_pathway(spark):
+    cases = {(1, 1, 1, 1, 1, 1, 2, 0): "1", (1, 1, 0, 1, 0, 1, 2, 0): "1", (1, 1, 0, 1, 1, 1, 2, 0): "4", (1, 1, 0, 1, 1, 1, 2, 4): "3", (1, 0, 1, 0, 1, 0, 0, 0): "2", (1, 1, 0, 0, 1, 1, 1, 0): "2", (0, 1, 0, 0, 1, 1, 2, 9): "SV-1", (0, 1, 0, 1, 1, 1, 1, 0): "SV-2", (0, 0, 1, 0, 1, 1, 0, 5): "3", (0, 0, 0, 1, 1, 1, 0, 9): "4"}
+    names = ["a", "b", "c", "d", "c_tested", "d_tested"]
+    df = spark.createDataFrame([(i, *map(bool, k[:6]), *k[6:]) for i, k in enumerate(cases)], f"i int, {', '.join(f'{n} boolean' for n in names)}, callers int, dimensions int")
+    got = df.select("i", rules.confidence_tier(*map(F.col, names), F.col("callers"), F.col("dimensions")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == list(cases.values())
+
+
+def test_keys_of_linkage_requests():
+    from gridtally.functions.scalars import ld_key
+
+    one = {"chrom": "c", "window_range": [1, 5], "groups": {"b": ["y", "x"], "a": ["z"]}, "shelf_bp": None, "snp_cap": 5000, "thin_to": None, "threads": 4}
+    two = one | {"groups": {"a": ["z"], "b": ["x", "y"]}, "threads": 8, "triangle_assign": {"lower": "a"}}
+    assert ld_key(one, "e") == ld_key(two, "e") != ld_key(one | {"snp_cap": 10}, "e") and len(ld_key(one, "e")) == len("fast_ld.split.") + 24
+
+
+def test_shares_of_dropouts():
+    assert abs(rules.dropout_share(4.5, 3) - 0.3423) < 1e-4

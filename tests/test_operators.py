@@ -78,15 +78,38 @@ def test_thin_to(spark):
 
 def test_layer_states(spark):
     """All states, with a chain, an unknown input, a ready input, and a cycle."""
-    layers = spark.createDataFrame([("done", True, False, True), ("bad", False, True, True), ("no", False, False, False), ("free", False, False, True), ("after", False, False, True), ("next", False, False, True), ("lost", False, False, True), ("x", False, False, True), ("y", False, False, True), ("under", False, False, True)], "layer string, has_result boolean, failed boolean, has_producer boolean")
-    needs = spark.createDataFrame([("after", "done"), ("next", "after"), ("lost", "nowhere"), ("x", "y"), ("y", "x"), ("under", "bad")], "layer string, input string")
-    assert dict(rows(graph.layer_states(layers, needs))) == {"done": "RESOLVED", "bad": "FAILED", "no": "UNKNOWN_CONTRACT", "free": "READY_TO_RUN", "after": "READY_TO_RUN", "next": "KNOWN_MISSING", "lost": "BLOCKED_BY_INPUT", "x": "BLOCKED_BY_INPUT", "y": "BLOCKED_BY_INPUT", "under": "BLOCKED_BY_INPUT"}
+    kinds = {"here": ("file", True, None, False), "away": ("file", False, None, False), "odd": ("table", True, "active", True), "done": (None, None, "active", True), "bad": (None, None, "failed", True), "no": (None, None, None, False)}
+    free = ["free", "after", "next", "then", "lost", "x", "y", "under", "beside", "off"]
+    data = [(n, k or "analysis_result", p, r, m) for n, (k, p, r, m) in kinds.items()] + [(n, "analysis_result", None, None, True) for n in free]
+    layers = spark.createDataFrame(data, "layer string, source_kind string, present boolean, result string, has_producer boolean")
+    edges = [("after", "done"), ("after", "here"), ("next", "after"), ("then", "next"), ("lost", "nowhere"), ("x", "y"), ("y", "x"), ("under", "bad"), ("beside", "away"), ("off", "odd")]
+    needs = spark.createDataFrame(edges, "layer string, input string")
+
+    def state(layer, seen=()):
+        """One layer after the other, by the rules' own words."""
+        if layer in seen:
+            return "BLOCKED_BY_INPUT"
+        row = next((r for r in data if r[0] == layer), None)
+        if row is None or row[1] not in ("file", "analysis_result"):
+            return "UNKNOWN_CONTRACT"
+        if row[1] == "file":
+            return "RESOLVED" if row[2] else "KNOWN_MISSING"
+        if not row[4]:
+            return "UNKNOWN_CONTRACT"
+        if row[3]:
+            return {"active": "COMPLETE", "failed": "FAILED"}[row[3]]
+        above = [state(i, (*seen, layer)) for n, i in edges if n == layer]
+        if all(a in ("RESOLVED", "COMPLETE") for a in above):
+            return "READY_TO_RUN"
+        return "BLOCKED_BY_INPUT" if any(a != "READY_TO_RUN" and a not in ("RESOLVED", "COMPLETE") for a in above) else "KNOWN_MISSING"
+
+    assert dict(rows(graph.layer_states(layers, needs))) == {r[0]: state(r[0]) for r in data}
 
 
 def test_roll_up(spark):
-    parents = spark.createDataFrame([("none",), ("ok",), ("bad",), ("mix",)], "parent string")
-    states = spark.createDataFrame([("ok", "RESOLVED"), ("bad", "FAILED"), ("bad", "BLOCKED_BY_INPUT"), ("mix", "RESOLVED"), ("mix", "KNOWN_MISSING")], "parent string, state string")
-    assert dict(rows(graph.roll_up(parents, states))) == {"none": "RESOLVED", "ok": "RESOLVED", "bad": "BLOCKED", "mix": "PARTIAL"}
+    parents = spark.createDataFrame([(p,) for p in ("none", "ok", "run", "bad", "out", "mix")], "parent string")
+    states = spark.createDataFrame([("ok", "RESOLVED"), ("ok", "COMPLETE"), ("run", "READY_TO_RUN"), ("bad", "FAILED"), ("bad", "BLOCKED_BY_INPUT"), ("out", "KNOWN_MISSING"), ("out", "UNKNOWN_CONTRACT"), ("mix", "RESOLVED"), ("mix", "KNOWN_MISSING")], "parent string, state string")
+    assert dict(rows(graph.roll_up(parents, states))) == {"none": "HIDDEN", "ok": "COMPLETE", "run": "READY_TO_RUN", "bad": "FAILED", "out": "BLOCKED", "mix": "PARTIAL"}
 
 
 def test_product_states(spark):
@@ -97,10 +120,40 @@ def test_product_states(spark):
 
 
 def test_edges(spark):
-    nodes = spark.createDataFrame([("s", "set"), ("l", "layer")], "node string, node_type string")
-    rule = spark.createDataFrame([("set", "layer", "feeds")], "from_type string, to_type string, edge_type string")
-    edges = spark.createDataFrame([("s", "l", "feeds"), ("l", "s", "feeds"), ("q", "l", "feeds"), ("s", "z", "feeds")], "src string, dst string, edge_type string")
-    assert rows(graph.edge_violations(edges, nodes, rule), "src", "problem") == [("l", "no_rule"), ("q", "unknown_source"), ("s", "unknown_target")]
+    """Ends, rules, and each of the constraints met and not met."""
+    nodes = spark.createDataFrame([("s", "set", "a", None), ("t", "set", "b", None), ("l1", "layer", None, "L1"), ("l2", "layer", "b", "L2"), ("n", "analysis", None, "A"), ("h", "hook", None, "H")], "node string, node_type string, entity_type string, ref string")
+    rule = spark.createDataFrame([("set", "layer", "backs", "entity_type_match"), ("layer", "analysis", "in", "layer_in_inputs"), ("analysis", "layer", "out", "layer_in_produces"), ("layer", "hook", "feeds", "layer_in_requires_or_optional"), ("set", "set", "sub", "always"), ("set", "hook", "x", "odd")], "from_type string, to_type string, edge_type string, constraint string")
+    layers = spark.createDataFrame([("L1", "a"), ("L2", "")], "layer_id string, entity_type string")
+    analyses = spark.createDataFrame([("A", "L1, L9", "L2")], "analysis_id string, input_layer_types string, produces string")
+    hooks = spark.createDataFrame([("H", "", "L2")], "hook_id string, requires_layers string, optional_layers string")
+    good = [("s", "l1", "backs"), ("t", "l2", "backs"), ("l1", "n", "in"), ("n", "l2", "out"), ("l2", "h", "feeds"), ("s", "t", "sub")]
+    bad = {("t", "l1", "backs"): "entity_type_match", ("l2", "n", "in"): "layer_in_inputs", ("n", "l1", "out"): "layer_in_produces", ("l1", "h", "feeds"): "layer_in_requires_or_optional", ("s", "h", "x"): "unknown constraint", ("l1", "s", "sub"): "no_rule", ("q", "s", "sub"): "unknown_source", ("s", "q", "sub"): "unknown_target"}
+    edges = spark.createDataFrame([*good, *bad], "src string, dst string, edge_type string")
+    assert {tuple(r)[:3]: r.problem for r in graph.edge_violations(edges, nodes, rule, layers, analyses, hooks).collect()} == bad
+
+
+def test_hierarchy(spark):
+    """A sound chain passes all nine checks; with one fault each, each is listed."""
+
+    def report(fault):
+        df = lambda data, schema: spark.createDataFrame(data, schema)
+        species = df([("s1",)] + [("s2",)] * (fault != 1), "species_id string")
+        genomes = df([("g1", ["s1", "s2"])] if fault != 2 else [("g0", ["s1"])], "genome_id string, species_composition array<string>")
+        chromosomes = df([("g1", "LG01")], "genome_id string, chrom string")
+        cohorts = df([("c1", "g1", ["s1", "s2"], []), ("c2", "g1", ["s2", "s1"] if fault != 5 else ["s1"], ["c1"])], "cohort_id string, genome_id string, species_composition array<string>, parent_cohort_ids array<string>")
+        samples = df([("c1", "x", "s1"), ("c1", "y", "s2" if fault != 4 else "s1"), ("c2", "x", "s1")] + [("c2", "y", "s2")] * (fault != 5), "cohort_id string, sample_id string, species string")
+        groups = df([("p", "c1", None, "v1"), ("q", "c1" if fault != 6 else "c2", "p", "v1")], "group_id string, cohort_id string, parent_group_id string, created string")
+        members = df([("p", "x" if fault != 7 else "z")], "group_id string, sample_id string")
+        candidates = df([("i", "c1", "LG01" if fault != 8 else "LG99")], "candidate_id string, cohort_id string, chrom string")
+        references = df([("evidence", "e", "c1" if fault != 3 else "c9")], "kind string, id string, cohort_id string")
+        results = df([("r", "p", "v1" if fault != 9 else "v0")], "result_id string, group_id string, group_version string")
+        out = registry.hierarchy_checks(species, genomes, chromosomes, cohorts, samples, groups, members, candidates, references, results)
+        return [r["check"] for r in out.collect() if not r["pass"]]
+
+    names = ["species of genomes", "genomes of cohorts", "cohorts of rows", "composition of cohorts", "parents of cohorts", "parents of groups", "members of groups", "chromosomes of candidates", "groups of results"]
+    assert report(0) == []
+    for k, name in enumerate(names, 1):
+        assert name in report(k)
 
 
 def test_fresh_versions(spark):

@@ -80,11 +80,29 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.append_results(spark.createDataFrame([("r3", "nope")], "result_id string, sample_set_id string"), path, "result_id", [("sample_set_id", known, "id")])
     sinks.write_tsv(new, str(tmp_path / "t"), ["sample_set_id", "result_id"])
-    text = next((tmp_path / "t").glob("part-*")).read_text()
-    assert text.splitlines()[0] == "sample_set_id\tresult_id" and "s1\tr1" in text
+    texts = [p.read_text() for p in (tmp_path / "t").glob("part-*")]
+    assert all(t.splitlines()[0] == "sample_set_id\tresult_id" for t in texts) and "s1\tr1" in "".join(texts)
     env = spark.createDataFrame([("l1", "t", "d", None)], "layer_id string, layer_type string, dataset_id string, action_id string")
     sinks.write_envelopes(env, str(tmp_path / "e"), "act_1")
-    assert spark.read.parquet(str(tmp_path / "e")).first().action_id == "act_1"
+    assert spark.read.parquet(str(tmp_path / "e" / "layers")).first().action_id == "act_1"
+    with pytest.raises(ValueError):
+        sinks.write_envelopes(env, str(tmp_path / "e"), "act_1", folder="layers/../secret")
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    """Numbers follow the file whatever its splits."""
+    rows = {f"f{k}.txt": [f"{k}-{i}" + "x" * (i % 17) for i in range(n)] for k, n in enumerate((5000, 1, 700))}
+    for name, content in rows.items():
+        (tmp_path / name).write_text("\n".join(content) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        frame = delimited.lines(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 1
+        got = {(r.path.rsplit("/", 1)[-1], r.line_no): r.line for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, i): line for name, content in rows.items() for i, line in enumerate(content)}
 
 
 def test_log_stream(spark, tmp_path):
