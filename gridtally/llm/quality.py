@@ -1,13 +1,16 @@
 """Operator 7: quality rules on repeats and on a public tokenizer's fertility.
 
 Each distinct word of a slice is encoded once with a vocabulary that falls back to bytes. From the
-tokens come a document's characters per token, its share of byte tokens and the entropy of its
+tokens come a document's characters per token, its share of byte tokens and its evenness: the entropy of its
 tokens over the logarithm of their number. Each must lie in the fixed, wide band of the document's
-script, the one with most of its letters; and its characters per token must not lie far below those
-of its language (the column lang, or the script where that is null or absent): more than QUARTILES
-times the way from the median to the lower quartile of all documents of the language that pass the
-base rules, and further in languages of few documents. Prose stays inside, whatever the vocabulary
-knows of its language; strings of symbols, encoded data and endless repeats do not.
+script, the one with most of its letters, and in the band of its language (the column lang, or the
+script where that is null or absent). A language's bands come from all of its documents that pass the base rules:
+from the median so many times the way to the quartile on that side (REACH; further in languages of
+few documents, and LEAST at least). Evenness falls with a text's length, so its band lies about the
+line of evenness over the logarithm of the number of tokens, fitted by least squares on exact sums, for all lengths
+from the first to the last hundredth and a little BEYOND. Prose stays inside, whatever the
+vocabulary knows of its language; strings of symbols, encoded data and endless repeats do not. A row's verdict so
+depends on the whole table; its base columns depend on its text alone.
 
 Base rules count words, their code points, symbols, repeated lines, and words in three-word windows
 that occur twice or more. Only the measures are shuffled, never texts.
@@ -30,7 +33,10 @@ from gridtally.session import checkpointed
 from gridtally.llm.texts import FlatWords, members, mix, releasing, text_slices
 
 SLICE_CHARS, CACHED_WORDS = 2_000_000, 250_000
-QUARTILES, FEW_DOCUMENTS, BROADCAST_GROUPS = 6.0, 20.0, 100_000
+FEW_DOCUMENTS, BROADCAST_GROUPS = 20.0, 100_000
+#: For each measure: times the way from the median to the quartile below and above, and the least width of the band on a side.
+BEYOND = 0.5
+REACH = {"chars_per_token": (8.0, 8.0, 0.02), "byte_share": (8.0, 8.0, 0.02), "bent": (5.0, 10.0, 0.01)}
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -124,7 +130,8 @@ class Measures:
         out["token_entropy"] = np.bincount(of, -share * np.log2(share), minlength=n)
         out["chars_per_token"] = out["word_chars"] / np.maximum(n_tokens, 1)
         out["byte_share"] = n_bytes / np.maximum(n_tokens, 1)
-        evenness = out["token_entropy"] / np.log2(np.maximum(n_tokens, 2))
+        out["n_tokens"] = n_tokens.astype(np.int64)
+        out["evenness"] = evenness = out["token_entropy"] / np.log2(np.maximum(n_tokens, 2))
 
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         of_point = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
@@ -174,7 +181,7 @@ def measures(path: str) -> Measures:
     return Measures(path)
 
 
-COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "script": "string", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double"}
+COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "script": "string", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double", "n_tokens": "long", "evenness": "double"}
 
 ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
@@ -192,14 +199,33 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, " + ", ".join(f"{c} {k}" for c, k in COLUMNS.items())
     measured = checkpointed(docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(releasing(run, lambda: measures(path).tokens.clear()), kinds).withColumn("group", F.coalesce("lang", "script")))
-    ratio = F.round("chars_per_token", 3)  # few distinct values, so exact percentiles stay small
-    normal = measured.filter("not base_failed").groupBy("group").agg(F.percentile(ratio, [0.25, 0.5]).alias("q"), F.count("*").alias("n"))
-    reach = QUARTILES * (1 + FEW_DOCUMENTS / F.col("n")) * (F.col("q")[1] - F.col("q")[0])
-    lows = normal.select("group", (F.col("q")[1] - reach).alias("low"))
-    if lows.count() <= BROADCAST_GROUPS:
-        lows = F.broadcast(lows)
-    joined = measured.join(lows, "group", "left")
-    return joined.withColumn("kept", F.col("kept") & (F.col("chars_per_token") >= F.coalesce("low", F.lit(0.0)))).select("doc_id", *COLUMNS)
+    log = F.log2(F.greatest("n_tokens", F.lit(2)))
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+    x, y = log, F.col("evenness")
+    sums = measured.filter("not base_failed").groupBy("group").agg(F.count("*").cast("double").alias("n"), exact(x).alias("x"), exact(y).alias("y"), exact(x * x).alias("xx"), exact(x * y).alias("xy"), F.percentile(F.round(x, 2), [0.01, 0.99]).alias("lengths"))
+    spread = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
+    slope = F.when(spread > 1e-6, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / spread).otherwise(0.0)
+    lines = sums.withColumn("slope", slope).select("group", "slope", "lengths", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("n")).alias("height"))
+    # how far a document's evenness lies from its language's line, which says nothing of lengths that few documents have
+    usual = log.between(F.col("lengths")[0] - BEYOND, F.col("lengths")[1] + BEYOND)
+    bent = measured.join(_few(lines), "group", "left").withColumn("bent", F.when(usual, F.col("evenness") - F.col("height") - F.col("slope") * log)).drop("height", "slope", "lengths")
+    # few distinct values, so exact percentiles stay small
+    quartiles = [F.percentile(F.round(c, 3), [0.25, 0.5, 0.75]).alias(f"q_{c}") for c in REACH]
+    found = bent.filter("not base_failed").groupBy("group").agg(F.count("*").alias("n"), *quartiles)
+    bands = []
+    for c, (below, above, least) in REACH.items():
+        q, far = F.col(f"q_{c}"), 1 + FEW_DOCUMENTS / F.col("n")
+        bands += [(q[1] - F.greatest(F.lit(least), below * far * (q[1] - q[0]))).alias(f"low_{c}"), (q[1] + F.greatest(F.lit(least), above * far * (q[2] - q[1]))).alias(f"high_{c}")]
+    joined = bent.join(_few(found.select("group", *bands)), "group", "left")
+    inside = F.lit(True)
+    for c in REACH:
+        inside = inside & F.coalesce(F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}")), F.lit(True))
+    return joined.withColumn("kept", F.col("kept") & inside).select("doc_id", *COLUMNS)
+
+
+def _few(groups: DataFrame) -> DataFrame:
+    """groups, to be broadcast if they are few."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
 
 def oracle() -> str:

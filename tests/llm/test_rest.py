@@ -104,6 +104,73 @@ def test_quality_cases(spark):
     assert got[6].script == "cyrillic" and got[1].script == "latin" and got[3].script == "none"
 
 
+def fertility_bands(rows):
+    """For each row the measures that lie outside its language's band, recomputed row by row."""
+    import math
+    import statistics
+
+    from gridtally.llm.quality import BEYOND, FEW_DOCUMENTS, REACH
+
+    def quartiles(values, digits=3, shares=(0.25, 0.5, 0.75)):
+        v, out = sorted(round(x, digits) for x in values), []
+        for share in shares:
+            k = share * (len(v) - 1)
+            out.append(v[math.floor(k)] + (k - math.floor(k)) * (v[math.ceil(k)] - v[math.floor(k)]))
+        return out
+
+    logs = {id(r): math.log2(max(r["n_tokens"], 2)) for r in rows}
+    outside = {id(r): set() for r in rows}
+    for group in {r["group"] for r in rows}:
+        own = [r for r in rows if r["group"] == group]
+        normal = [r for r in own if not r["base_failed"]]
+        if not normal:
+            continue
+        x, y = [logs[id(r)] for r in normal], [r["evenness"] for r in normal]
+        slope, height = (0.0, statistics.fmean(y)) if len(set(x)) < 2 else statistics.linear_regression(x, y)
+        low, high = quartiles(x, 2, (0.01, 0.99))
+        for r in own:
+            r["bent"] = r["evenness"] - height - slope * logs[id(r)] if low - BEYOND <= logs[id(r)] <= high + BEYOND else None
+        for c, (below, above, least) in REACH.items():
+            a, m, b = quartiles([r[c] for r in normal if r[c] is not None])
+            far = 1 + FEW_DOCUMENTS / len(normal)
+            for r in own:
+                if r[c] is not None and not m - max(least, below * far * (m - a)) <= r[c] <= m + max(least, above * far * (b - m)):
+                    outside[id(r)].add(c)
+    return [outside[id(r)] for r in rows]
+
+
+def test_quality_bands(spark):
+    """Each measure rejects by itself, and verdicts equal a recomputation."""
+    from gridtally.llm.quality import BANDS
+
+    rng = random.Random(5)
+    parts = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "or", "it", "u")]
+    words = [a + b for a in parts for b in parts]
+    good = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, good(rng.randint(60, 400)), "en" if i % 2 else None, "x") for i in range(300)]
+    rows += [(1000, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(200)), "en", "x")]
+    rows += [(1001, " ".join(w + ("𓀀" if k % 4 == 0 else "") for k, w in enumerate(good(200).split())), "en", "x")]
+    rows += [(1002, " ".join(x for w in good(200).split() for x in ("the", w)), "en", "x")]
+    rows += [(1003, None, None, "x"), (1004, "", "en", "x"), (1005, good(12_000), "en", "x"), (7, rows[7][1], "en", "x"), (1006, "la " * 300, "en", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, group string")
+    got = [r.asDict() for r in quality(frame, vocabulary("piece_bpe_32k.model")).collect()]
+    assert len(got) == len(rows)
+    lang = {i: g for i, _, g, _ in rows}
+    for r in got:
+        r["group"] = lang[r["doc_id"]] or r["script"]
+    outside = fertility_bands(got)
+    for r, out in zip(got, outside):
+        band = BANDS[r["script"]]
+        fixed = band.chars_low <= r["chars_per_token"] <= band.chars_high and r["byte_share"] <= band.bytes_high and r["evenness"] >= band.even_low
+        assert r["kept"] == (not r["base_failed"] and fixed and not out), (r, out)
+    by_id = {r["doc_id"]: (r["kept"], out) for r, out in zip(got, outside)}
+    assert sum(by_id[i][0] for i in range(300)) >= 297 and by_id[1005][0]
+    assert "chars_per_token" in by_id[1000][1] and "byte_share" in by_id[1001][1] and "bent" in by_id[1002][1]
+    assert not any(by_id[i][0] for i in (1000, 1001, 1002, 1003, 1004, 1006))
+    assert {frozenset(out) for out in outside} >= {frozenset({"bent"})}
+    assert quality(frame.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
