@@ -125,7 +125,7 @@ class FlatWords:
 
     def hashes(self) -> np.ndarray:
         # bytes.split() cuts at space and 9 to 13, as above
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.bytes.tobytes().split()), np.uint64, len(self.starts))
+        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.bytes.tobytes().split())), np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
