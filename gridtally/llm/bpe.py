@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from gridtally.llm.texts import char_class, releasing, text_slices
 
-#: Chars of text encoded at a time, and words remembered at most; neither changes results.
-SLICE_CHARS, CACHED_WORDS = 6_000_000, 300_000
+#: Chars of text encoded at a time, words remembered at most, and their characters at most; none changes results.
+SLICE_CHARS, CACHED_WORDS, CACHED_CHARS = 3_000_000, 200_000, 64
+#: What str.split() takes for white space beyond Unicode's property.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -39,12 +41,14 @@ def byte_letters() -> list[str]:
 #: Lower-case forms that str.lower() gives by context (sigma), or not yet (letters of Unicode 16 and 17).
 _LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
 
+_ODD = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+
 
 @lru_cache(maxsize=1)
 def piece_pattern() -> re.Pattern:
-    """Contractions, runs of letters, single numbers, runs of anything else but white space."""
+    """Contractions, runs of letters, single numbers, runs of anything else but white space; and line ends."""
     letter, number, white = (char_class(x) for x in ("L", "N", ""))
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+|\n")
 
 
 class WordBpe:
@@ -71,6 +75,7 @@ class WordBpe:
         self.keys = keys[self.rank_by_key]
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.find = piece_pattern().findall
+        self.gap = re.compile(f"[{char_class('')}]+")
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
@@ -85,36 +90,42 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_by_key[at], -1)
 
-    def pieces(self, text: str) -> list[str]:
-        """The words that the model encodes one by one; added tokens stand as they are."""
+    def words(self, text: str) -> list[str]:
+        """What stands between white space, in lower case, which is encoded one by one as no piece crosses it; added tokens stand behind a space."""
         parts = self.split.split(text) if self.split and "<|" in text else [text]
         out: list[str] = []
         for part in parts:
             if part in self.added:
-                out.append(part)
+                out.append(" " + part)
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).translate(_LOWER)
-                out += self.find(part.lower())
+                    part = unicodedata.normalize("NFC", part)
+                    if _ODD.search(part):
+                        part = part.translate(_LOWER)
+                part = part.lower()
+                if _SEPARATORS.search(part):  # str.split() cuts at them too, but they are no white space
+                    out += [w for w in self.gap.split(part) if w]
+                else:
+                    out += part.split()
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encodes words that have not been met before."""
-        todo = []
         for w in words:
-            if w in self.added:
-                self.ids[w], self.shown[w] = self.added[w].to_bytes(4, "little"), w
-            else:
-                todo.append(w)
+            if w[0] == " ":
+                self.ids[w], self.shown[w] = self.added[w[1:]].to_bytes(4, "little"), w[1:]
+        todo = [w for w in words if w[0] != " "]
         if not todo:
             return
-        raw = [w.encode("utf-8") for w in todo]
+        # a line end stands behind each word as a piece of its own
+        raw = list(map(str.encode, self.find("\n".join(todo) + "\n")))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        symbols, live = self.merge(np.frombuffer(b"".join(raw), np.uint8), size)
-        ids = symbols[live].astype("<u4")
-        stop = np.cumsum(size)
+        letters = np.frombuffer(b"".join(raw), np.uint8)
+        symbols, live = self.merge(letters, size)
+        live[letters == 10] = False
         kept = np.concatenate(([0], np.cumsum(live)))
-        bounds = kept[np.concatenate(([0], stop))].tolist()
+        bounds = kept[np.concatenate(([0], np.flatnonzero(letters == 10)))].tolist()
+        ids = symbols[live].astype("<u4")
         data, token = ids.tobytes(), list(map(self.token.__getitem__, ids.tolist()))
         for w, a, b in zip(todo, bounds, bounds[1:]):
             self.ids[w], self.shown[w] = data[4 * a : 4 * b], " ".join(token[a:b])
@@ -182,16 +193,17 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit integers, and the decoded text."""
-        split = [self.pieces(t) for t in texts]
+        split = [self.words(t) for t in texts]
         if new := set().union(*split) - self.ids.keys():
             if len(self.ids) + len(new) > CACHED_WORDS:
                 self.forget()
                 new = set().union(*split)
-            self.learn(new)
-        return [(b"".join(map(self.ids.__getitem__, p)), self.decode_words(p)) for p in split]
-
-    def decode_words(self, pieces: list[str]) -> str:
-        return " ".join(map(self.shown.__getitem__, pieces))
+            self.learn(list(new))
+        out = [(b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.shown.__getitem__, words))) for words in split]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.ids[w], self.shown[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of a list of ids joined by spaces, special ones included."""
