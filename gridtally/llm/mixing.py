@@ -26,9 +26,8 @@ from gridtally.session import checkpointed
 from gridtally.llm.texts import fresh, word_count
 
 CAP = 2
-#: Newton steps at most, and the share of a target that rates may leave unmet. So near to a source's cap that more steps would be needed,
-#: the correction of copies takes over.
-STEPS, SLACK = 60, 1e-7
+#: Newton steps at most, and the share of a target that rates may leave unmet; the correction of copies takes over.
+STEPS, SLACK = 30, 1e-6
 PART = 4096
 _EXACT = "decimal(38,6)"
 
@@ -75,10 +74,14 @@ def balanced_rates(counts: DataFrame, targets: DataFrame) -> DataFrame:
         slope = F.sum((F.col("docs") * F.col("size") * x * rate * (1 - rate / CAP)).cast(_EXACT)).cast("double")
         held = [F.max(c).alias(c) for c in ("words", "target", "mean", "tilt")]  # one value a source
         sums = _of_source(counts, state).groupBy("source").agg(*held, taken.alias("taken"), slope.alias("slope"))
-        move = (F.col("target") - F.col("taken")) / F.greatest(F.col("slope"), F.lit(1e-6))
-        bound = F.lit(2.0)  # a damped step: the dual is convex, but nearly flat where all rates are at a bound
+        # Newton on the logit of the share taken, which is a straight line in the tilt where all sizes are equal
+        cap = F.greatest(F.col("words") * CAP, F.lit(1)).cast("double")
+        share = lambda c: F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col(c) / cap))
+        logit = lambda c: F.ln(share(c) / (1 - share(c)))
+        move = (logit("target") - logit("taken")) * cap * share("taken") * (1 - share("taken")) / F.greatest(F.col("slope"), F.lit(1e-9))
+        bound = F.lit(20.0)
         tilt = F.round(F.col("tilt") + F.greatest(-bound, F.least(bound, move)), 12)
-        # at its cap a source takes all; elsewhere what is left to meet is at most SLACK of the target, and less than a word
+        # at its cap a source takes all; elsewhere what is left to meet is at most SLACK of the target, or half a word
         met = (F.col("target") >= CAP * F.col("words")) | (F.abs(F.col("target") - F.col("taken")) <= F.greatest(F.lit(0.5), SLACK * F.col("target")))
         state = sums.select("source", "words", "target", "mean", F.when(met, F.col("tilt")).otherwise(tilt).alias("tilt"), met.alias("met"))
         if step % 3 == 0:
@@ -102,27 +105,30 @@ def copies_by_size(rates: DataFrame) -> DataFrame:
 def corrected(plan: DataFrame) -> DataFrame:
     """plan with copies more or less where rounding left a source off its target.
 
-    A round takes the sizes that are at most the error, the largest first: all of their copies as long as they fit, then
-    as many of the next size as fit, so at least half of the error goes; the last copy may be of a larger
-    size if that comes nearer. Rounds go on until no size helps, a number logarithmic in the error.
+    A fold over a source's distinct sizes, the largest first, takes as many copies of each as fit into the error that
+    is left; the last copy may be of a larger size if that comes nearer.
     """
-    down = Window.partitionBy("source").orderBy(F.desc("size"))
-    while True:
-        meant = F.max(F.least(F.col("target"), CAP * F.col("words").cast("double")))
-        over = plan.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - meant).alias("over"))
-        room = F.when(F.col("over") > 0, F.col("copies")).otherwise(CAP * F.col("docs") - F.col("copies"))
-        open_ = _of_source(plan, over).withColumn("error", F.abs("over")).withColumn("room", room).filter("size > 0 and room > 0")
-        fits = open_.filter("size <= error").withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("room")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        some = fits.filter("before < error").withColumn("n", F.least(F.col("room"), F.floor((F.col("error") - F.col("before")) / F.col("size")).cast("long"))).filter("n > 0")
-        # sizes behind the first one that fits in part wait for the next round
-        some = some.withColumn("part", F.coalesce(F.max((F.col("n") < F.col("room")).cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("part = 0").select("source", "size", "over", "n")
-        larger = open_.filter("size > error and size - error < error").groupBy("source").agg(F.min(F.struct("size", "over")).alias("x"))
-        last = _of_source(larger, fits.groupBy("source").agg(F.lit(True).alias("still")), "left").filter("still is null").select("source", "x.size", "x.over", F.lit(1).cast("long").alias("n"))
-        moves = checkpointed(some.unionByName(last).select(F.col("source").alias("_s"), F.col("size").alias("_z"), (-F.signum("over").cast("long") * F.col("n")).alias("_n")))
-        if moves.isEmpty():
-            return plan
-        joined = plan.join(moves, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
-        plan = checkpointed(joined.withColumn("copies", F.col("copies") + F.coalesce("_n", F.lit(0))).drop("_s", "_z", "_n"))
+    meant = F.max(F.least(F.col("target"), CAP * F.col("words").cast("double")))
+    over = (F.sum(F.col("size") * F.col("copies")) - meant).alias("over")
+    listed = plan.groupBy("source").agg(over, F.sort_array(F.collect_list(F.struct("size", "docs", "copies")), asc=False).alias("items"))
+    room = lambda x: F.when(F.col("over") > 0, x["copies"]).otherwise(CAP * x["docs"] - x["copies"])
+    open_ = listed.withColumn("items", F.filter(F.transform("items", lambda x: F.struct(x["size"].alias("size"), room(x).alias("room"))), lambda x: (x["size"] > 0) & (x["room"] > 0)))
+
+    def take(acc, x):
+        n = F.least(x["room"], F.floor(acc["error"] / x["size"]).cast("long"))
+        one = F.array(F.struct(x["size"].alias("size"), n.alias("n"), (n == x["room"]).alias("all")))
+        return F.struct((acc["error"] - n * x["size"]).alias("error"), F.when(n > 0, F.concat(acc["moves"], one)).otherwise(acc["moves"]).alias("moves"))
+
+    none = F.array().cast("array<struct<size:bigint,n:bigint,all:boolean>>")
+    done = open_.withColumn("x", F.aggregate("items", F.struct(F.abs("over").alias("error"), none.alias("moves")), take))
+    free = lambda x: ~F.exists("x.moves", lambda m: m["all"] & (m["size"] == x["size"]))
+    nearer = F.filter("items", lambda x: (x["size"] > F.col("x.error")) & (x["size"] - F.col("x.error") < F.col("x.error")) & free(x))
+    last = F.array_min(F.transform(nearer, lambda x: x["size"]))
+    moves = F.when(last.isNull(), F.col("x.moves")).otherwise(F.concat("x.moves", F.array(F.struct(last.alias("size"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("all")))))
+    each = done.select("source", (-F.signum("over")).cast("long").alias("sign"), F.explode(moves).alias("m"))
+    summed = each.groupBy(F.col("source").alias("_s"), F.col("m.size").alias("_z")).agg(F.sum(F.col("sign") * F.col("m.n")).alias("_n"))
+    joined = plan.join(summed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
+    return joined.withColumn("copies", F.col("copies") + F.coalesce("_n", F.lit(0))).drop("_s", "_z", "_n")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def _dealt(rows: DataFrame, weights: tuple[int, ...], percent: int) -> DataFrame
     """rows, with source, _size and _order, and beside them words, target and _copies."""
     counts = rows.groupBy("source", F.col("_size").alias("size")).agg(F.count("*").alias("docs"))
     counts = checkpointed(counts)
-    plan = corrected(checkpointed(copies_by_size(balanced_rates(counts, source_targets(counts, weights, percent)))))
+    plan = checkpointed(corrected(copies_by_size(balanced_rates(counts, source_targets(counts, weights, percent)))))
     plan = plan.select(F.col("source").alias("_source"), F.col("size").alias("_of_size"), "docs", "target", "words", "copies")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of_size"))).drop("_source", "_of_size")
     # parts of a size hold about PART rows each; a part's share of the copies follows its place
