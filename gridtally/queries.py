@@ -125,9 +125,13 @@ def nearest_site(spark, d):
     return sampling.nearest(points, sites.filter("value < 50").select("chrom", "pos", "site_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SITES}, n AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos, site_id) - 1 AS idx, min(pos) OVER (PARTITION BY chrom) AS lo, max(pos) OVER (PARTITION BY chrom) AS hi, count(*) OVER (PARTITION BY chrom) AS n FROM sites),
+t AS (SELECT chrom, n, t, lo + (hi - lo) * (2 * t + 1) / 400.0::DOUBLE AS ta FROM (SELECT DISTINCT chrom, n, lo, hi FROM n WHERE n > 200), (SELECT unnest(range(200)) AS t)),
+p AS (SELECT t.chrom, t.n, t.t, first(n.idx ORDER BY abs(n.pos - t.ta), n.pos, CASE WHEN n.pos <= t.ta THEN -n.idx ELSE n.idx END) AS pick FROM t JOIN n ON n.chrom = t.chrom GROUP BY ALL),
+f AS (SELECT chrom, n, t, pick FROM p WHERE t = 0 UNION ALL SELECT p.chrom, p.n, p.t, CASE WHEN p.pick = f.pick THEN least(p.pick + 1, p.n - 1) ELSE p.pick END FROM f JOIN p ON p.chrom = f.chrom AND p.t = f.t + 1)
+SELECT chrom, idx FROM n WHERE n <= 200 UNION ALL SELECT DISTINCT chrom, pick FROM f""")
 def even_sites(spark, d):
-    """200 sites of each chromosome, evenly by position; the rule on equal picks is a fold, so tests hold it against brute force."""
+    """200 sites of each chromosome, evenly by position."""
     return sampling.even_sample(event_sites(spark, d).select("chrom", "pos", "site_id"), 200)
 
 
@@ -414,9 +418,14 @@ def prerequisites(spark, d):
     return graph.closure(edges, starts)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, CASE WHEN k % 23 = 5 THEN CASE WHEN k % 2 = 0 THEN 'RESOLVED' ELSE 'KNOWN_MISSING' END WHEN k % 29 = 7 OR k % 13 = 7 THEN 'UNKNOWN_CONTRACT' WHEN k % 5 = 0 THEN 'COMPLETE' WHEN k % 17 = 3 THEN 'FAILED' END AS f FROM part),
+s AS (SELECT 0 AS i, (SELECT list(f ORDER BY k) FROM p) AS st UNION ALL SELECT i + 1, list_transform(range(len(st)), lambda k: coalesce(st[k + 1], CASE
+  WHEN (k // 2 > 0 AND st[k // 2 + 1] IN ('KNOWN_MISSING', 'BLOCKED_BY_INPUT', 'FAILED', 'UNKNOWN_CONTRACT')) OR (k // 3 > 0 AND st[k // 3 + 1] IN ('KNOWN_MISSING', 'BLOCKED_BY_INPUT', 'FAILED', 'UNKNOWN_CONTRACT')) THEN 'BLOCKED_BY_INPUT'
+  WHEN (k // 2 > 0 AND st[k // 2 + 1] IS NULL) OR (k // 3 > 0 AND st[k // 3 + 1] IS NULL) THEN NULL
+  WHEN (k // 2 = 0 OR st[k // 2 + 1] IN ('RESOLVED', 'COMPLETE')) AND (k // 3 = 0 OR st[k // 3 + 1] IN ('RESOLVED', 'COMPLETE')) THEN 'READY_TO_RUN' ELSE 'KNOWN_MISSING' END)) FROM s WHERE i < 40)
+SELECT (unnest(range(len(st))))::BIGINT AS layer, unnest(st) AS state FROM s WHERE i = 40""")
 def layer_readiness(spark, d):
-    """States of layers to a fixpoint, with cycles and unknown inputs; tests hold it against a recursive evaluation."""
+    """States of layers to a fixpoint; needs go to half and a third of a layer's number."""
     k = F.col("p_partkey")
     kind = F.when(k % 23 == 5, "file").when(k % 29 == 7, "other").otherwise("analysis_result")
     layers = table(spark, d, "part").select(k.alias("layer"), kind.alias("source_kind"), (k % 2 == 0).alias("present"), F.when(k % 5 == 0, "active").when(k % 17 == 3, "failed").alias("result"), (k % 13 != 7).alias("has_producer"))
