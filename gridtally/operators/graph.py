@@ -16,6 +16,8 @@ RESOLVED, COMPLETE, MISSING, READY, BLOCKED, FAILED, UNKNOWN = "RESOLVED", "COMP
 
 #: Rounds after which a growing union is written, so that its plan stays short.
 UNIONS = 16
+#: Levels of a closure that are written together.
+LEVELS = 4
 
 
 def _rounds(most: int | None):
@@ -52,20 +54,22 @@ def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
 
     On a cycle there is no greatest distance: a walk longer than the edges have users raises.
     """
-    edges = edges.select("src", "dst").distinct()
-    users = None
-    found = starts.select(F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
-    front = found
-    for depth in _rounds(most):
-        front = checkpointed(front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    users = edges.select("src").distinct().count()
+    found = front = starts.select(F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
+    rounds = _rounds(most)
+    while True:
+        batch = []
+        for depth in itertools.islice(rounds, LEVELS):  # written together, in one job
+            front = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+            batch.append(front)
+        written = checkpointed(reduce(DataFrame.union, batch))
+        front = written.filter(F.col("depth") == depth)
+        found = checkpointed(found.union(written)) if depth % (LEVELS * LEVELS) == 0 else found.union(written)
         if front.isEmpty():
             break
-        found = found.union(front)
-        if depth % UNIONS == 0:
-            found = checkpointed(found)
-            users = users or edges.select("src").distinct().count()
-            if depth > users:
-                raise ValueError("a cycle has no greatest distance")
+        if depth > users:
+            raise ValueError("a cycle has no greatest distance")
     return found.groupBy("start", "node").agg(F.max("depth").alias("depth"))
 
 

@@ -145,6 +145,11 @@ def tail(rows: DataFrame, order: str, n: int, filters: dict[str, str | None]) ->
     return kept.orderBy(F.desc(order)).limit(n).join(F.broadcast(total))
 
 
+def with_prefix(rows: DataFrame, key: str, prefix: str, order: str, n: int) -> DataFrame:
+    """The last n rows in order of those whose key begins with the prefix."""
+    return rows.filter(F.startswith(F.col(key), F.lit(prefix))).orderBy(F.desc(order)).limit(n)
+
+
 def lineage(modules: DataFrame) -> DataFrame:
     """(producer, consumer, tag) from (module, produces, requires), both comma lists; none feeds itself."""
     made = modules.select(F.col("module").alias("producer"), F.explode(csv_items(F.col("produces"))).alias("tag"))

@@ -85,6 +85,17 @@ def even_sample(sites: DataFrame, cap: int, width: int = WIDTH) -> DataFrame:
     return few.unionByName(final)
 
 
+def chunk(sites: DataFrame, cap: int, mode: str = "raw") -> tuple[DataFrame, str | None]:
+    """(chrom, idx) of the sites of a request, and what to tell of it: all of them, or cap of them evenly where there are more."""
+    n = sites.count()
+    if n == 0:
+        return numbered(sites).select("chrom", "idx"), "no sites in region"
+    if n <= cap:
+        return numbered(sites).select("chrom", "idx"), None
+    told = f"even mode: at most {cap} sites picked from {n}" if mode == "even" else f"raw_cap_exceeded auto-switched to mode=even: at most {cap} sites picked from {n}"
+    return even_sample(sites, cap), told
+
+
 def thin_greedy(sites: DataFrame, least_distance: int, width: int = WIDTH) -> DataFrame:
     """Sites of which each lies at least least_distance behind the one kept before it, by chromosome.
 

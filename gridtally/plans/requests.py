@@ -22,6 +22,12 @@ class Region:
         if self.start < 0 or (self.end is not None and (self.end < 1 or self.end <= self.start)):
             raise ValueError("a region ends behind its start")
 
+    def within(self, most: int = 300_000_000) -> Region:
+        """The region, if it isn't longer than most."""
+        if self.end is not None and self.end - self.start > most:
+            raise ValueError(f"the region has {self.end - self.start} positions, more than {most}")
+        return self
+
 
 @dataclass(frozen=True)
 class GroupRequest:

@@ -135,6 +135,32 @@ def marker_mismatches(spark, d):
     return genotype.marker_mismatches(markers, p.select(k.alias("idx"), F.lit("LG").alias("chrom"), k.alias("pos")))
 
 
+@query("SELECT p_partkey::VARCHAR AS layer_id, p_name AS label, '' AS description, p_brand AS status FROM part")
+def regenerated_registry(spark, d):
+    """A registry as text, made anew from its rows; a column that they lack is empty."""
+    root = work_folder(spark)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("layer_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("status"))
+    names = ["layer_id", "label", "description", "status"]
+    sinks.regenerate({"layer_registry": (rows, names)}, root)
+    return delimited.strings(spark, f"{root}/layers/layer_registry")
+
+
+@query("""SELECT 'act_' || o_custkey AS action_id, last(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS type, last(o_orderdate::DATE::VARCHAR || '-' || lpad(o_orderkey::VARCHAR, 9, '0') ORDER BY o_orderdate, o_orderkey) AS submitted_at FROM orders GROUP BY o_custkey""")
+def queue_index(spark, d):
+    """Manifests go to the queue in two batches; the index tells of each action's last one."""
+    at = F.concat_ws("-", _text(F.col("o_orderdate").cast("date")), F.lpad(_text(F.col("o_orderkey")), 9, "0"))
+    manifests = table(spark, d, "orders").select(F.concat(F.lit("act_"), _text(F.col("o_custkey"))).alias("action_id"), F.col("o_orderpriority").alias("type"), at.alias("submitted_at"))
+    root = work_folder(spark)
+    sinks.write_queue(manifests.filter("type < '3'"), root)
+    return sinks.write_queue(manifests.filter("type >= '3'"), root)
+
+
+@query("SELECT event_id, event_type || ':' || user_id AS key FROM events WHERE starts_with(event_type || ':' || user_id, 'click:1') ORDER BY event_id DESC LIMIT 40")
+def prefixed_tail(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.concat_ws(":", "event_type", _text(F.col("user_id"))).alias("key"))
+    return registry.with_prefix(rows, "key", "click:1", "event_id", 40)
+
+
 # registries
 
 

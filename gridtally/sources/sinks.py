@@ -36,6 +36,31 @@ def write_envelopes(envelopes: DataFrame, root: str, action_id: str, folder: str
     stamped.write.mode("append").partitionBy("layer_type", "dataset_id").parquet(target(root, folder))
 
 
+def append_rows(rows: DataFrame, root: str, folder: str) -> str:
+    """Appends rows of a log or an index to a folder of root that may be written, and gives its place."""
+    place = target(root, folder)
+    rows.write.mode("append").json(place)
+    return place
+
+
+def write_queue(manifests: DataFrame, root: str) -> DataFrame:
+    """Appends manifests to the queue and writes its index anew; gives the index: one row an action, its last manifest by submitted_at."""
+    spark = manifests.sparkSession
+    queued = spark.read.schema(manifests.schema).json(append_rows(manifests, root, "actions/queue"))
+    columns = [c for c in manifests.columns if c != "action_id"]
+    index = queued.groupBy("action_id").agg(F.max_by(F.struct(*columns), F.coalesce("submitted_at", F.lit(""))).alias("x")).select("action_id", "x.*")
+    place = target(root, "actions/queue_index")
+    index.write.mode("overwrite").json(place)
+    return spark.read.schema(index.schema).json(place)
+
+
+def regenerate(tables: dict[str, tuple[DataFrame, list[str]]], root: str) -> None:
+    """Writes each registry as text anew, with its columns in their order; columns that a registry hasn't are empty."""
+    for name, (rows, columns) in tables.items():
+        have = [F.col(c) if c in rows.columns else F.lit("").alias(c) for c in columns]
+        write_tsv(rows.select(*have), target(root, f"layers/{name}"), columns)
+
+
 def target(root: str, path: str, prefixes: tuple[str, ...] = WRITABLE) -> str:
     """The place of a relative path below root; raises where it may not be written."""
     if not allowed_target(path, prefixes):

@@ -89,6 +89,31 @@ def test_sinks(spark, tmp_path):
         sinks.write_envelopes(env, str(tmp_path / "e"), "act_1", folder="layers/../secret")
 
 
+def test_region_size():
+    from gridtally.plans.requests import ChunkRequest, GroupRequest, Region
+
+    assert Region("c", 1, 100).within(99).end == 100
+    with pytest.raises(ValueError):
+        Region("c", 1, 101).within(99)
+    assert ChunkRequest("LG01", 1, 5).mode == "raw"
+    for bad in ("a/b", "a.b", "a b", "a$", ""):
+        with pytest.raises(ValueError):
+            ChunkRequest(bad, 1, 5)
+    with pytest.raises(ValueError):
+        GroupRequest({"a-b": ["x"]})
+
+
+def test_chunks(spark):
+    from gridtally.operators import sampling
+
+    df = spark.createDataFrame([("c", 10 * i, i) for i in range(30)], "chrom string, pos long, site_id long")
+    whole, told = sampling.chunk(df, 30)
+    assert whole.count() == 30 and told is None
+    some, told = sampling.chunk(df, 10)
+    assert some.count() == 10 and told.startswith("raw_cap_exceeded")
+    assert sampling.chunk(df, 10, "even")[1].startswith("even mode") and sampling.chunk(df.limit(0), 10)[1] == "no sites in region"
+
+
 def test_lines_of_many_splits(spark, tmp_path):
     """Numbers follow the file whatever its splits."""
     rows = {f"f{k}.txt": [f"{k}-{i}" + "x" * (i % 17) for i in range(n)] for k, n in enumerate((5000, 1, 700))}
