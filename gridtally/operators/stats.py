@@ -181,17 +181,21 @@ def mendel_errors(dosages: DataFrame, trios: DataFrame) -> DataFrame:
     return sums.withColumn("rate", F.col("n_errors") / F.col("n_sites"))
 
 
-def king(dosages: DataFrame) -> DataFrame:
+def king(dosages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Per pair of samples: sites called in both, IBS counts, and KING-robust kinship.
 
-    The pairs come from a self-join on the site; a panel of samples is bounded, sites are not.
+    Without pairs (a, b) all come from a self-join on the site, rows in the square of a site's called samples: a panel of samples
+    is bounded, sites are not. With pairs only theirs are made.
     """
     g = dosages.filter("dosage >= 0")
     a = g.select("site", F.col("sample").alias("a"), F.col("dosage").alias("x"))
     b = g.select("site", F.col("sample").alias("b"), F.col("dosage").alias("y"))
+    if pairs is not None:
+        a = a.join(pairs.filter("a < b").select("a", "b").distinct(), "a")
     count = lambda c: F.sum(c.cast("int")).cast("long")
     gap = F.abs(F.col("x") - F.col("y"))
-    sums = a.join(b, "site").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_sites"), count(gap == 2).alias("ibs0"), count(gap == 1).alias("ibs1"), count(gap == 0).alias("ibs2"), count((F.col("x") == 1) & (F.col("y") == 1)).alias("both_het"), count(F.col("x") == 1).alias("het_a"), count(F.col("y") == 1).alias("het_b"))
+    both = a.join(b, "site").filter("a < b") if pairs is None else a.join(b, ["site", "b"])
+    sums = both.groupBy("a", "b").agg(F.count("*").alias("n_sites"), count(gap == 2).alias("ibs0"), count(gap == 1).alias("ibs1"), count(gap == 0).alias("ibs2"), count((F.col("x") == 1) & (F.col("y") == 1)).alias("both_het"), count(F.col("x") == 1).alias("het_a"), count(F.col("y") == 1).alias("het_b"))
     return sums.select("a", "b", "n_sites", "ibs0", "ibs1", "ibs2", F.when(F.col("het_a") + F.col("het_b") > 0, (F.col("both_het") - 2 * F.col("ibs0")) / (F.col("het_a") + F.col("het_b"))).alias("king"))
 
 

@@ -439,6 +439,15 @@ def tajima(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(stats.tajima_d((s + 3).cast("long"), (s % 9).cast("long"), (s % 9) * F.lit(0.3)), 5).alias("d"))
 
 
+@query(f"""WITH {_DOSAGES}, q AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
+SELECT q.a, q.b, count(*) AS n_sites, sum((abs(x.x - y.x) = 2)::INT)::BIGINT AS ibs0, sum((x.x = y.x)::INT)::BIGINT AS ibs2 FROM q JOIN dos x ON x.sample = q.a JOIN dos y ON y.sample = q.b AND y.site = x.site GROUP BY ALL""")
+def kinship_of_pairs(spark, d):
+    """Shared sites of the pairs that are asked for: samples of one nation."""
+    s = table(spark, d, "supplier")
+    one, two = (s.select("s_nationkey", F.col("s_suppkey").alias(k)) for k in "ab")
+    return stats.king(dosages(spark, d), one.join(two, "s_nationkey").select("a", "b")).select("a", "b", "n_sites", "ibs0", "ibs2")
+
+
 @query("""WITH o AS (SELECT l_orderkey AS c, l_partkey % 50 AS s, l_linenumber AS r, min(l_returnflag) AS f FROM lineitem GROUP BY ALL) SELECT a.r AS source_a, b.r AS source_b, count(*) AS n, sum((a.f = b.f)::INT)::BIGINT AS n_agree, round(sum((a.f = b.f)::INT) / count(*), 6) AS share FROM o a JOIN o b ON a.c = b.c AND a.s = b.s AND a.r < b.r GROUP BY ALL""")
 def pairwise_agreement(spark, d):
     calls = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate"), (F.col("l_partkey") % 50).alias("sample"), F.col("l_linenumber").alias("source"), F.col("l_returnflag").alias("call"))
