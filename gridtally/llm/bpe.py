@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from gridtally.llm.texts import char_class, releasing, text_slices
 
 #: Chars of text encoded at a time, words remembered at most, and their characters at most; none changes results.
-SLICE_CHARS, CACHED_WORDS, CACHED_CHARS = 3_000_000, 200_000, 64
+SLICE_CHARS, CACHED_WORDS, CACHED_CHARS = 2_000_000, 150_000, 64
 #: What str.split() takes for white space beyond Unicode's property.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -215,10 +215,10 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_tokens: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) and, with_tokens, token_ids and decoded for each row."""
+def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_tokens: bool = True, with_decoded: bool = True) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) and, with_tokens, token_ids and, with_decoded, decoded for each row."""
     kind = dict(docs.dtypes)[id_column]
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * with_tokens
+    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_tokens + ", decoded string" * (with_tokens and with_decoded)
 
     def run(batches):
         bpe = word_bpe(path)
@@ -235,8 +235,11 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
                 if with_tokens:
                     offsets = np.cumsum([0, *(len(x) // 4 for x, _ in done)]).astype(np.int32)
                     flat = np.frombuffer(b"".join(x for x, _ in done), "<i4")
-                    columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array([s for _, s in done], pa.string())]
-                    names += ["token_ids", "decoded"]
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
+                    names.append("token_ids")
+                    if with_decoded:
+                        columns.append(pa.array([s for _, s in done], pa.string()))
+                        names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, [id_column, *names[1:]])
 
     return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(releasing(run, lambda: word_bpe(path).forget()), schema)
