@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their digest and that of the decoded text."""
-    return encode_documents(docs, vocabulary("word_bpe_49k.json")).drop("decoded")
+    return encode_documents(docs, vocabulary("word_bpe_49k.json"), with_decoded=False)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
