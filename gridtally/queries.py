@@ -382,11 +382,11 @@ def unproduced_inputs(spark, d):
     return registry.unproduced(_modules(spark, d))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS id, o_custkey AS s, o_orderpriority || o_orderdate::DATE AS c FROM orders), x AS (SELECT * FROM p WHERE id % 97 = 0)
+@query("""WITH p AS (SELECT o_orderkey AS id, o_custkey AS s, o_orderpriority || o_orderdate::DATE AS c, o_totalprice AS t FROM orders), x AS (SELECT * FROM p WHERE t > 490000)
 SELECT DISTINCT id AS product_id FROM p WHERE (s IN (SELECT s FROM x) OR c IN (SELECT c FROM x)) AND id NOT IN (SELECT id FROM x)""")
 def nearby_products(spark, d):
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.col("o_custkey").alias("sample_scope"), F.concat("o_orderpriority", F.col("o_orderdate").cast("date").cast("string")).alias("coordinate_scope"))
-    return registry.nearby(p, p.filter("product_id % 97 = 0"))
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.col("o_custkey").alias("sample_scope"), F.concat("o_orderpriority", F.col("o_orderdate").cast("date").cast("string")).alias("coordinate_scope"), "o_totalprice")
+    return registry.nearby(p, p.filter("o_totalprice > 490000"))
 
 
 @query("""WITH q AS (SELECT o_custkey AS q, list_sort(list_distinct(list(o_orderpriority))) AS r FROM orders GROUP BY 1) SELECT q AS question_id, array_to_string(list_filter(r, lambda x: x IN ('1-URGENT', '5-LOW')), ',') AS matched FROM q WHERE list_has_any(r, ['1-URGENT', '5-LOW'])""")

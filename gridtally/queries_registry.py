@@ -66,14 +66,14 @@ def index_sizes(spark, d):
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_partkey * 10 + 1 AS pos FROM part)
-SELECT i::BIGINT AS site_idx, pos::BIGINT AS pos, CASE WHEN p_size % 5 > 0 THEN p_size / 100.0::DOUBLE END AS missingness, 's' || p_partkey AS site_id, ((p_size % 4) - 1)::INT AS first, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN -1 ELSE 0 END::INT AS second, -1::INT AS third FROM p WHERE pos BETWEEN 101 AND 12001""")
+SELECT i::BIGINT AS site_idx, pos::BIGINT AS pos, CASE WHEN p_size % 5 > 0 THEN p_size / 100.0::DOUBLE END AS missingness, 's' || p_partkey AS site_id, ((p_size % 4) - 1)::INT AS first, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN -1 ELSE 0 END::INT AS second, -1::INT AS third FROM p WHERE pos >= 101""")
 def site_files(spark, d):
     """Sites of a range beside their dosages, from two text files with a row a site; rows short of a sample are filled."""
     p, k, s = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
     site = F.concat_ws("\t", _text(k * 10 + 1), F.lit("A\tC"), F.when(s % 5 > 0, _text(s / 100)).otherwise("NA"), F.lit("."), F.concat(F.lit("s"), _text(k)))
     code = F.concat_ws("\t", F.when(s % 4 == 0, "NA").otherwise(_text(s % 4 - 1)), F.when(s % 3 == 0, "2").when(s % 3 == 1, ".").otherwise("0"))
     head = spark.createDataFrame([(-1, "pos\tref\talt\tmissingness\tscore\tid")], "k long, line string")
-    sites = genotype.sites(spark, _written(spark, head.union(p.select(k, site)), "k"), 101, 12_001)
+    sites = genotype.sites(spark, _written(spark, head.union(p.select(k, site)), "k"), 101)
     coded = genotype.dosage_rows(spark, _written(spark, p.select(k.alias("k"), code.alias("line")), "k"), 3)
     out = sites.join(coded, "site_idx")
     return out.select("site_idx", "pos", "missingness", "site_id", *(F.element_at("dosages", i + 1).cast("int").alias(n) for i, n in enumerate(("first", "second", "third"))))
