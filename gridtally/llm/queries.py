@@ -14,6 +14,7 @@ from gridtally.llm.quality import quality
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
 from gridtally.llm.toxicity import score_documents, trained
+from gridtally.llm.whitening import components
 
 
 def op1_bpe(spark, sf_dir):
@@ -60,6 +61,10 @@ def op10_toxicity(spark, sf_dir):
     return score_documents(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark, sf_dir):
+    return components(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLES: dict[str, str] = {"op2_near_dedup": near_oracle(), "op5_secrets": secrets.oracle()}
