@@ -10,6 +10,7 @@ from gridtally.llm.line_dedup import deletions
 from gridtally.llm.mixing import mix_documents
 from gridtally.llm.near_dedup import near_classes
 from gridtally.llm.near_dedup import oracle as near_oracle
+from gridtally.llm.neighbours import nearest
 from gridtally.llm.quality import quality
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
@@ -65,6 +66,11 @@ def op11_whitening(spark, sf_dir):
     return components(table(spark, sf_dir, "embeddings"))
 
 
+def op12_nearest(spark, sf_dir):
+    """The contract of this query fixes its queries: every vec_id divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_nearest": op12_nearest,
 }
 
 ORACLES: dict[str, str] = {"op2_near_dedup": near_oracle(), "op5_secrets": secrets.oracle()}
