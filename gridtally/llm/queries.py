@@ -15,6 +15,8 @@ from gridtally.llm.quality import quality
 from gridtally.llm.texts import table, vocabulary
 from gridtally.llm.token_counts import count_tokens
 from gridtally.llm.toxicity import score_documents, trained
+from gridtally.llm.turns import oracle as turns_oracle
+from gridtally.llm.turns import repair_report
 from gridtally.llm.whitening import components
 
 
@@ -71,6 +73,10 @@ def op12_nearest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), every=50)
 
 
+def op13_turns(spark, sf_dir):
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
     "op12_nearest": op12_nearest,
+    "op13_turns": op13_turns,
 }
 
-ORACLES: dict[str, str] = {"op2_near_dedup": near_oracle(), "op5_secrets": secrets.oracle()}
+ORACLES: dict[str, str] = {"op2_near_dedup": near_oracle(), "op5_secrets": secrets.oracle(), "op13_turns": turns_oracle()}
