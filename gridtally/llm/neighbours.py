@@ -8,7 +8,7 @@ are met leaf by leaf in the order of their projected distance, and the search en
 
 Equal vectors are searched once: a group of copies is one candidate with its least ids (one more than the neighbours
 asked for, since a query leaves itself out), pre-limited before the shuffle, and one query. Projections are cut by
-a kd-tree of CELLS cells, whose planes come from SAMPLE projections at most; every vector is indexed. A cell of more
+a kd-tree of CELLS cells, whose planes come from about SAMPLE projections (twice as many at most); every vector is indexed. A cell of more
 than PART candidates is cut into parts, and a part met by more than ASKED queries is searched in so many
 tasks, so a task's memory doesn't grow with the data. First a query is searched in its own cell, which bounds r; then in all
 cells within sqrt(q) * r, with that bound.
@@ -233,7 +233,9 @@ def nearest(rows: DataFrame, every: int, most: int = 5, column: str = "embedding
     groups = few.join(asked, "vector", "left").select(F.monotonically_increasing_id().alias("key"), "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
     groups = checkpointed(_projected(groups))
 
-    sample = groups.orderBy(F.xxhash64("vector")).limit(SAMPLE).select("point").toPandas()
+    # drawn by a hash, so that tasks send about SAMPLE points together, however many tasks there are
+    drawn = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, groups.count())) * (1 << 30))
+    sample = groups.filter(drawn).limit(2 * SAMPLE).select("point").toPandas()
     cuts = planes(np.stack(sample["point"].to_numpy()), CELLS.bit_length() - 1) if len(sample) else []
     celled = checkpointed(_celled(groups, cuts))
     sizes = {r.cell: r.n for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect()}
