@@ -274,12 +274,29 @@ def fisher_exact(tables: DataFrame) -> DataFrame:
     def p_value(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         from math import exp, lgamma
 
+        def tail(log_p, seen, near, end, step):
+            """The sum from the first value that is as likely as seen or less to the end; from near on values only become less likely."""
+            if log_p(end) > seen:
+                return 0.0
+            outside, inside = abs(end - near), -1  # distances from near that are in the tail and that aren't
+            while outside - inside > 1:
+                mid = (outside + inside) // 2
+                outside, inside = (mid, inside) if log_p(near + step * mid) <= seen else (outside, mid)
+            total = 0.0
+            for k in range(near + step * outside, end + step, step):
+                term = exp(log_p(k))
+                total += term
+                if term < total * 1e-18:  # what follows is less still
+                    break
+            return total
+
         def one(a, b, c, d):
             r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
             fixed = lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(n - c1 + 1) - lgamma(n + 1)
             log_p = lambda k: fixed - lgamma(k + 1) - lgamma(r1 - k + 1) - lgamma(c1 - k + 1) - lgamma(r2 - c1 + k + 1)
-            seen = log_p(a)
-            return min(1.0, sum(exp(x) for k in range(max(0, c1 - r2), min(r1, c1) + 1) if (x := log_p(k)) <= seen + 1e-9))
+            seen, low, high = log_p(a) + 1e-9, max(0, c1 - r2), min(r1, c1)
+            mode = min(max((r1 + 1) * (c1 + 1) // (n + 2), low), high)
+            return min(1.0, tail(log_p, seen, mode, low, -1) + (tail(log_p, seen, mode + 1, high, 1) if mode < high else 0.0))
 
         return pd.Series([one(*map(int, row)) for row in zip(a, b, c, d)])
 
