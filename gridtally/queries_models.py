@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.operators import inference, relatedness
+from gridtally.operators import inference, relatedness, resolver
 from gridtally.projections import dosages, table
 from gridtally.registered import query
 
@@ -60,3 +60,49 @@ def rank_tests(spark, d):
     """Whether quantities differ between the three return flags, per line number."""
     out = inference.kruskal_wallis(table(spark, d, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
     return out.select("l_linenumber", "n", "groups", F.round("h", 5).alias("h"), F.round("p", 6).alias("p"))
+
+
+_MODES = [
+    (1, "rel", "AUTOMOBILE", "whole genome", "pairs", "sample_set", "genome_all", "thin500_global", "family_population", "beagle_matching"),
+    (2, "rel", "BUILDING", "by chromosome", "pairs", "sample_set,chromosome", "chromosome_full", "thin500_per_chr", "family_population", "beagle_matching"),
+    (3, "rel", "FURNITURE", "from a result", "families", "ngsrelate_result", "same_as_input", "same_as_input", "same_as_input", "none"),
+    (4, "rel", "HOUSEHOLD", "by candidate", "pairs", "sample_set,candidate_id", "candidate_interval", "candidate_sites", "optional_groups", "beagle_matching"),
+]
+
+
+@query("""WITH iv AS (SELECT 'iv_' || n_name AS id, 'chromosome' AS kind FROM nation UNION ALL SELECT 'genome_' || r_name, 'genome' FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'cand_P' || s_nationkey || '_' || s_suppkey, 'candidate' FROM supplier),
+st AS (SELECT 'thin500_' || n_name AS id, 'iv_' || n_name AS iv, 'thin' AS op FROM nation UNION ALL SELECT 'thin500_global_' || r_name, 'genome_' || r_name, 'thin' FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'cs_' || s_suppkey, 'cand_P' || s_nationkey || '_' || s_suppkey, 'intersect' FROM supplier),
+gr AS (SELECT 'g_' || n_name AS id, 'S' || n_nationkey AS sample FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'h_' || n_name, 'S' || n_nationkey FROM nation WHERE n_regionkey = 2),
+va AS (SELECT 'v_' || n_nationkey AS id, 'S' || n_nationkey AS sample, 'thin500_' || n_name AS st, 'iv_' || n_name AS iv FROM nation UNION ALL SELECT 'w_' || n_nationkey, 'S' || n_nationkey, 'thin500_global_ASIA', 'genome_ASIA' FROM nation),
+res AS (SELECT DISTINCT 'res_' || o_custkey AS id, 'iv_' || n_name AS iv, 'thin500_' || n_name AS st, CASE WHEN n_regionkey < 4 THEN 'g_' || n_name ELSE '' END AS gr FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey),
+rq AS (SELECT c_custkey AS request, c_mktsegment AS mode, CASE WHEN c_acctbal >= 0 THEN 'S' || c_nationkey ELSE '' END AS sample, n_name AS chrom, 'P' || c_nationkey AS cand, 'res_' || c_custkey AS res FROM customer JOIN nation ON n_nationkey = c_nationkey),
+ch AS (SELECT k, count(id) AS n, min(id) AS id FROM (SELECT DISTINCT chrom AS k FROM rq) LEFT JOIN iv ON kind = 'chromosome' AND contains(id, k) GROUP BY k), ca AS (SELECT k, count(id) AS n, min(id) AS id FROM (SELECT DISTINCT cand AS k FROM rq) LEFT JOIN iv ON kind = 'candidate' AND contains(id, k) GROUP BY k),
+a AS (SELECT rq.*, r.id IS NOT NULL AS has, r.iv AS riv, r.st AS rst, r.gr AS rgr, mode <> 'MACHINERY' AS known, mode = 'FURNITURE' AS inh, mode IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD') AND sample = '' AS lacks, ch.n AS chn, ch.id AS chid, ca.n AS can, ca.id AS caid FROM rq LEFT JOIN res r ON r.id = rq.res JOIN ch ON ch.k = chrom JOIN ca ON ca.k = cand),
+b AS (SELECT *, known AND NOT lacks AND NOT (inh AND NOT has) AS open FROM a),
+c AS (SELECT *, CASE WHEN NOT open THEN NULL WHEN mode = 'AUTOMOBILE' THEN 1 WHEN mode = 'BUILDING' THEN chn WHEN mode = 'HOUSEHOLD' THEN can END AS ivn, CASE WHEN NOT open THEN NULL WHEN inh THEN riv WHEN mode = 'AUTOMOBILE' THEN 'genome_ASIA' WHEN mode = 'BUILDING' AND chn = 1 THEN chid WHEN mode = 'HOUSEHOLD' AND can = 1 THEN caid END AS iv FROM b),
+e AS (SELECT c.*, CASE WHEN NOT open THEN NULL WHEN inh THEN rst ELSE s1.id END AS st, coalesce(s1.n, 0) AS stn FROM c LEFT JOIN (SELECT 'BUILDING' AS mode, iv, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM st WHERE id LIKE '%thin500%' GROUP BY iv UNION ALL SELECT 'HOUSEHOLD', iv, count(*), CASE WHEN count(*) = 1 THEN min(id) END FROM st WHERE op = 'intersect' GROUP BY iv UNION ALL SELECT 'AUTOMOBILE', 'genome_ASIA', 1, 'thin500_global_ASIA') s1 ON s1.mode = c.mode AND s1.iv = c.iv AND open),
+f AS (SELECT e.*, CASE WHEN NOT open THEN NULL WHEN mode = 'HOUSEHOLD' THEN '' WHEN inh THEN nullif(rgr, '') WHEN g.n = 1 THEN g.id END AS gr, coalesce(g.n, 0) AS grn FROM e LEFT JOIN (SELECT sample, count(*) AS n, min(id) AS id FROM gr GROUP BY 1) g ON g.sample = e.sample AND mode IN ('AUTOMOBILE', 'BUILDING')),
+h AS (SELECT f.*, v.n AS vn, CASE WHEN NOT open THEN NULL WHEN inh THEN '' WHEN v.n = 1 THEN v.id END AS va FROM f LEFT JOIN LATERAL (SELECT count(*) AS n, min(id) AS id FROM va WHERE va.sample = f.sample AND va.st = coalesce(f.st, '') AND (f.iv IS NULL OR va.iv = f.iv)) v ON true),
+m AS (SELECT *, CASE WHEN NOT known OR lacks OR NOT open THEN 1 ELSE (iv IS NULL AND coalesce(ivn, 0) = 0)::INT + (st IS NULL AND stn = 0)::INT + (gr IS NULL AND grn = 0)::INT + (va IS NULL AND vn = 0)::INT END AS n_missing,
+  CASE WHEN NOT open THEN 0 ELSE (iv IS NULL AND coalesce(ivn, 0) > 1)::INT + (st IS NULL AND stn > 1)::INT + (gr IS NULL AND grn > 1)::INT + (va IS NULL AND vn > 1)::INT END AS n_ambiguous FROM h)
+SELECT request, CASE WHEN NOT known OR (NOT lacks AND NOT open) THEN 'invalid' WHEN n_missing > 0 THEN 'missing' WHEN n_ambiguous > 0 THEN 'ambiguous' ELSE 'ok' END AS status, iv AS interval_set_id, st AS site_set_id, gr AS group_set_id, va AS input_value_id, n_missing, n_ambiguous FROM m""")
+def mode_resolution(spark, d):
+    """Each customer's request resolved by its segment's mode, against sets named after nations and suppliers."""
+    c, n, s, r = (table(spark, d, t) for t in ("customer", "nation", "supplier", "region"))
+    cat = lambda *x: F.concat(*(F.col(i[1:]).cast("string") if i.startswith("$") else F.lit(i) for i in x))
+    asia = r.filter("r_name = 'ASIA'")
+    empty = F.lit("")
+    of = c.join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    requests = of.select(F.col("c_custkey").alias("request"), F.lit("rel").alias("analysis"), F.col("c_mktsegment").alias("mode"), F.when(F.col("c_acctbal") >= 0, cat("S", "$c_nationkey")).alias("sample_set"), F.col("n_name").alias("chromosome"), cat("P", "$c_nationkey").alias("candidate_id"), F.when(F.col("c_mktsegment") == "FURNITURE", cat("res_", "$c_custkey")).alias("ngsrelate_result"), *(empty.alias(x) for x in ("pedigree_result", "candidate_set", "group_set")))
+    modes = spark.createDataFrame(_MODES, "line_no int, analysis_type string, mode string, label string, produces string, required_dimensions string, interval_policy string, site_policy string, group_policy string, value_policy string")
+    candidate = cat("cand_P", "$s_nationkey", "_", "$s_suppkey")
+    interval_sets = n.select(cat("iv_", "$n_name").alias("interval_set_id"), F.lit("chromosome").alias("interval_type"), empty.alias("path")).union(asia.select(cat("genome_", "$r_name"), F.lit("genome"), empty)).union(s.select(candidate, F.lit("candidate"), empty))
+    site_sets = n.select(cat("thin500_", "$n_name").alias("site_set_id"), cat("iv_", "$n_name").alias("interval_set_id"), F.lit("thin").alias("operation")).union(asia.select(cat("thin500_global_", "$r_name"), cat("genome_", "$r_name"), F.lit("thin"))).union(s.select(cat("cs_", "$s_suppkey"), candidate, F.lit("intersect")))
+    group_sets = n.filter("n_regionkey < 3").select(cat("g_", "$n_name").alias("group_set_id"), cat("S", "$n_nationkey").alias("sample_set_id"), F.lit("family,population").alias("group_columns"))
+    group_sets = group_sets.union(n.filter("n_regionkey = 2").select(cat("h_", "$n_name"), cat("S", "$n_nationkey"), F.lit("population;family")))
+    values = n.select(cat("v_", "$n_nationkey").alias("value_id"), F.lit("BEAGLE_GL").alias("value_type"), cat("S", "$n_nationkey").alias("sample_set_id"), cat("thin500_", "$n_name").alias("site_set_id"), cat("iv_", "$n_name").alias("interval_set_id"))
+    values = values.union(n.select(cat("w_", "$n_nationkey"), F.lit("BEAGLE_GL"), cat("S", "$n_nationkey"), F.lit("thin500_global_ASIA"), F.lit("genome_ASIA"))).union(n.select(cat("x_", "$n_nationkey"), F.lit("VCF"), cat("S", "$n_nationkey"), cat("thin500_", "$n_name"), cat("iv_", "$n_name")))
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().join(of, "c_custkey")
+    results = done.select(cat("res_", "$c_custkey").alias("result_id"), cat("S", "$c_nationkey").alias("sample_set_id"), cat("iv_", "$n_name").alias("interval_set_id"), cat("thin500_", "$n_name").alias("site_set_id"), F.when(F.col("n_regionkey") < 4, cat("g_", "$n_name")).otherwise("").alias("group_set_id"))
+    out = resolver.resolve(requests, modes, interval_sets, site_sets, group_sets, values, results)
+    return out.select("request", "status", "interval_set_id", "site_set_id", "group_set_id", "input_value_id", F.size("missing").alias("n_missing"), F.size("ambiguities").alias("n_ambiguous"))
