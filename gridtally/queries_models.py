@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.operators import inference, relatedness, resolver
+from gridtally.operators import inference, pedigree, relatedness, resolver
+from gridtally.operators.stats import king
 from gridtally.projections import dosages, table
 from gridtally.registered import query
 
@@ -106,3 +107,39 @@ def mode_resolution(spark, d):
     results = done.select(cat("res_", "$c_custkey").alias("result_id"), cat("S", "$c_nationkey").alias("sample_set_id"), cat("iv_", "$n_name").alias("interval_set_id"), cat("thin500_", "$n_name").alias("site_set_id"), F.when(F.col("n_regionkey") < 4, cat("g_", "$n_name")).otherwise("").alias("group_set_id"))
     out = resolver.resolve(requests, modes, interval_sets, site_sets, group_sets, values, results)
     return out.select("request", "status", "interval_set_id", "site_set_id", "group_set_id", "input_value_id", F.size("missing").alias("n_missing"), F.size("ambiguities").alias("n_ambiguous"))
+
+
+_FAMILIES = """sup AS (SELECT s_suppkey AS s, s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier),
+sit AS (SELECT p_partkey AS p, p_partkey % 25 AS nation FROM part),
+fam AS (SELECT *, r % 3 = 2 AS child, lag(s, 1) OVER (PARTITION BY nation ORDER BY r) AS m, lag(s, 2) OVER (PARTITION BY nation ORDER BY r) AS f FROM sup),
+hap(h) AS (VALUES (0), (1)), draws AS (SELECT s, p, h, child, CASE WHEN child THEN CASE WHEN h = 0 THEN f ELSE m END ELSE s END AS source, CASE WHEN child THEN (p * p * 7 + p * s * 3 + h * 11 + s) % 101 % 2 ELSE h END AS hh FROM fam JOIN sit USING (nation), hap),
+dos AS (SELECT s AS sample, p AS site, sum(((p * p * 31 + source * source * 17 + p * source * 7 + hh * 53 + p * hh * 29) % 103 < 52)::INT) AS x FROM draws GROUP BY ALL)"""
+
+
+def families(spark, d):
+    """(sample, site, dosage) and (sample, nation, r): suppliers of a nation as families of two founders and a child, a twenty-fifth of the parts as its sites."""
+    by = Window.partitionBy("nation").orderBy("sample")
+    sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").cast("long").alias("nation")).withColumn("r", F.row_number().over(by) - 1)
+    sup = sup.withColumns({"m": F.lag("sample", 1).over(by), "f": F.lag("sample", 2).over(by)})
+    sites = table(spark, d, "part").select(F.col("p_partkey").alias("site"), (F.col("p_partkey") % 25).alias("nation"))
+    p, s, h, child = F.col("site"), F.col("sample"), F.col("h"), F.col("r") % 3 == 2
+    rows = sup.join(sites, "nation").withColumn("h", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")))
+    rows = rows.withColumn("source", F.when(child, F.when(h == 0, F.col("f")).otherwise(F.col("m"))).otherwise(s)).withColumn("hh", F.when(child, (p * p * 7 + p * s * 3 + h * 11 + s) % 101 % 2).otherwise(h))
+    allele = ((p * p * 31 + F.col("source") * F.col("source") * 17 + p * F.col("source") * 7 + F.col("hh") * 53 + p * F.col("hh") * 29) % 103 < 52).cast("int")
+    return rows.groupBy("sample", "site").agg(F.sum(allele).cast("int").alias("dosage")), sup
+
+
+@query(f"""WITH {_FAMILIES}, pairs AS (SELECT a.s AS a, b.s AS b FROM sup a JOIN sup b ON a.nation = b.nation AND b.r > a.r AND b.r - a.r < 4),
+kin AS (SELECT a, b, count(*) AS n, sum((abs(x.x - y.x) = 2)::INT) AS ibs0, (sum((x.x = 1 AND y.x = 1)::INT) - 2 * sum((abs(x.x - y.x) = 2)::INT))::DOUBLE / nullif(sum((x.x = 1)::INT) + sum((y.x = 1)::INT), 0) AS king FROM pairs JOIN dos x ON x.sample = a JOIN dos y ON y.sample = b AND y.site = x.site GROUP BY ALL),
+near AS (SELECT a AS c, b AS p FROM kin WHERE king BETWEEN pow(2, -2.5) AND pow(2, -1.5) AND ibs0 <= 0.005 * n UNION ALL SELECT b, a FROM kin WHERE king BETWEEN pow(2, -2.5) AND pow(2, -1.5) AND ibs0 <= 0.005 * n),
+trios AS (SELECT x.c, x.p, y.p AS q FROM near x JOIN near y ON x.c = y.c AND x.p < y.p WHERE NOT EXISTS (SELECT 1 FROM kin WHERE a = x.p AND b = y.p AND king >= pow(2, -3.5))),
+scored AS (SELECT c, p, q, count(*) AS n, sum((c_.x < (p_.x = 2)::INT + (q_.x = 2)::INT OR c_.x > (p_.x > 0)::INT + (q_.x > 0)::INT)::INT) AS e FROM trios JOIN dos c_ ON c_.sample = c JOIN dos p_ ON p_.sample = p AND p_.site = c_.site JOIN dos q_ ON q_.sample = q AND q_.site = c_.site GROUP BY ALL),
+best AS (SELECT *, e::DOUBLE / n AS rate FROM scored WHERE e <= 0.01 * n QUALIFY row_number() OVER (PARTITION BY c ORDER BY e::DOUBLE / n, p, q) = 1),
+edge AS (SELECT c, unnest([p, q]) AS p, rate FROM best)
+SELECT c AS offspring, p AS parent1, q AS parent2, n AS n_sites, e::BIGINT AS n_errors FROM best WHERE c NOT IN (SELECT x.c FROM edge x JOIN edge y ON x.c = y.p AND x.p = y.c WHERE y.rate < x.rate OR y.rate = x.rate AND x.p < x.c)""")
+def parents(spark, d):
+    """Each child's parents, from the kinship of suppliers that stand near each other in their nation."""
+    dos, sup = families(spark, d)
+    near = Window.partitionBy("nation").orderBy("r")
+    pairs = sup.select(F.col("sample").alias("a"), F.array(*(F.lead("sample", i).over(near) for i in (1, 2, 3))).alias("next")).select("a", F.explode(F.array_compact("next")).alias("b"))
+    return pedigree.pedigree(king(dos, pairs), dos).select("offspring", "parent1", "parent2", "n_sites", "n_errors")
