@@ -103,8 +103,11 @@ def t_quantile(p: float, df: Column, rounds: int = 60) -> Column:
     n = df.cast("double")
     log_scale = log_gamma((n + 1) / 2) - log_gamma(n / 2) - 0.5 * F.ln(n * 3.141592653589793)
 
-    def step(t, _):
+    def step(s, _):
+        t = s["t"]
         density = F.exp(log_scale - (n + 1) / 2 * F.log1p(t * t / n))
-        return t + (t_p(t, n) - p) / (2 * density)
+        move = (t_p(t, n) - p) / (2 * density)
+        return F.when(s["done"], s).otherwise(F.transform(F.array(move), lambda m: F.struct((t + m).alias("t"), (F.abs(m) < 1e-14 * t).alias("done")))[0])
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.1), step))
+    start = F.struct(F.lit(0.1).alias("t"), F.lit(False).alias("done"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["t"])

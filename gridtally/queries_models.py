@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.operators import inference, pedigree, relatedness, resolver
+from gridtally.operators import inference, pedigree, relatedness, resolver, scans
 from gridtally.operators.stats import king
 from gridtally.projections import dosages, table
 from gridtally.registered import query
@@ -143,3 +143,66 @@ def parents(spark, d):
     near = Window.partitionBy("nation").orderBy("r")
     pairs = sup.select(F.col("sample").alias("a"), F.array(*(F.lead("sample", i).over(near) for i in (1, 2, 3))).alias("next")).select("a", F.explode(F.array_compact("next")).alias("b"))
     return pedigree.pedigree(king(dos, pairs), dos).select("offspring", "parent1", "parent2", "n_sites", "n_errors")
+
+
+_NESTED = """cand AS (SELECT p_partkey AS id, p_partkey AS a, p_partkey + p_size * (1 + p_partkey % 4) AS b FROM part WHERE p_size >= 46),
+mem AS (SELECT id, l_suppkey AS sample, max(l_linestatus) AS label FROM cand JOIN lineitem ON l_partkey BETWEEN a AND b GROUP BY ALL),
+par AS (SELECT c.id, (SELECT first(o.id ORDER BY o.b - o.a, o.id) FROM cand o WHERE o.a <= c.a AND o.b >= c.b AND (o.b - o.a > c.b - c.a OR o.b - o.a = c.b - c.a AND o.id > c.id)) AS parent FROM cand c),
+win AS (SELECT DISTINCT p_partkey // 20 AS w, p_partkey // 20 * 20 + 10 AS pos FROM part), here AS (SELECT w, first(id ORDER BY b - a, id) AS id FROM win JOIN cand ON pos BETWEEN a AND b GROUP BY w),
+dos AS (SELECT l_partkey AS site, l_partkey // 20 AS w, l_suppkey AS sample, least(2, count(*) - 1) AS x FROM lineitem GROUP BY ALL)"""
+_FST = """SELECT w, count(*) AS n_sites, CASE WHEN sum((p * (1 - q) + q * (1 - p))::DECIMAL(38,12)) > 0 THEN round(sum(((p - q) * (p - q) - p * (1 - p) / (2 * n1 - 1) - q * (1 - q) / (2 * n2 - 1))::DECIMAL(38,12))::DOUBLE / sum((p * (1 - q) + q * (1 - p))::DECIMAL(38,12))::DOUBLE, 5) END AS fst
+  FROM (SELECT w, site, sum((slot = 1)::INT) AS n1, sum((slot = 2)::INT) AS n2, sum(CASE WHEN slot = 1 THEN x END) / (2 * n1)::DOUBLE AS p, sum(CASE WHEN slot = 2 THEN x END) / (2 * n2)::DOUBLE AS q FROM side JOIN dos USING (w, sample) GROUP BY ALL) WHERE n1 > 0 AND n2 > 0 GROUP BY w"""
+
+
+def nested(spark, d):
+    """Candidates (intervals of parts), their members (suppliers with lines inside, by line status), and windows of 20 parts."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, d, "part")
+    genome = F.lit("parts").alias("chrom")
+    candidates = part.filter("p_size >= 46").select(k.alias("candidate_id"), genome, k.alias("start"), (k + size * (1 + k % 4)).alias("end"))
+    lines = table(spark, d, "lineitem").select(genome, F.col("l_partkey").alias("pos"), F.col("l_suppkey").alias("sample"), "l_linestatus")
+    # lines of one part, supplier and status are one before they meet the candidates
+    members = scans.holding(lines.distinct(), candidates).groupBy("candidate_id", "sample").agg(F.max("l_linestatus").alias("label"))
+    index = F.floor(k / 20).cast("long")
+    windows = part.select(index.alias("win_idx"), genome, (index * 20 + 10).alias("pos")).distinct()
+    calls = dosages(spark, d).select("site", F.floor(F.col("site") / 20).cast("long").alias("win_idx"), "sample", "dosage")
+    return candidates, members, windows, calls
+
+
+@query(f"WITH {_NESTED} SELECT id AS candidate_id, parent AS parent_id FROM par")
+def candidate_forest(spark, d):
+    """Each candidate's parent: the shortest that holds it."""
+    return scans.forest(nested(spark, d)[0])
+
+
+@query(f"""WITH RECURSIVE {_NESTED}, ask AS (SELECT DISTINCT l_suppkey AS sample, here.id AS start FROM lineitem JOIN here ON here.w = l_partkey // 20), mine AS (SELECT * FROM mem WHERE (id + sample) % 3 > 0),
+up AS (SELECT id, id AS anc, 0 AS k FROM par UNION ALL SELECT up.id, par.parent, k + 1 FROM up JOIN par ON par.id = up.anc WHERE par.parent IS NOT NULL),
+hit AS (SELECT ask.sample, start, anc, label, k, row_number() OVER (PARTITION BY ask.sample, start ORDER BY k) AS r, count(*) OVER (PARTITION BY ask.sample, start) AS labels FROM ask JOIN up ON up.id = start JOIN mine ON mine.id = anc AND mine.sample = ask.sample)
+SELECT x.sample, x.start, x.anc AS candidate_id, x.label, y.anc AS parent_id, y.label AS parent_label, x.labels FROM hit x LEFT JOIN hit y ON y.sample = x.sample AND y.start = x.start AND y.r = 2 WHERE x.r = 1""")
+def label_chains(spark, d):
+    """What each supplier is in the smallest candidate around its lines, and above; a third of the labels are unknown."""
+    candidates, members, windows, calls = nested(spark, d)
+    at = scans.smallest_at(windows, candidates, "win_idx").withColumnRenamed("candidate_id", "start")
+    starts = calls.select("win_idx", "sample").distinct().join(at, "win_idx")
+    return scans.label_chain(starts, members.filter((F.col("candidate_id") + F.col("sample")) % 3 > 0), scans.forest(candidates))
+
+
+@query(f"""WITH {_NESTED}, side AS (SELECT w, sample, CASE WHEN label = 'F' THEN 1 ELSE 2 END AS slot FROM here JOIN mem USING (id)), n AS (SELECT w, sum((slot = 1)::INT)::BIGINT AS n_1, sum((slot = 2)::INT)::BIGINT AS n_2 FROM side GROUP BY w), f AS ({_FST})
+SELECT w AS win_idx, id AS candidate_id, coalesce(n_1, 0) AS n_1, coalesce(n_2, 0) AS n_2, coalesce(n_sites, 0) AS n_sites, fst FROM here LEFT JOIN n USING (w) LEFT JOIN f USING (w)""")
+def karyotype_scans(spark, d):
+    """Fst between the two line statuses in each window, by its smallest candidate's members."""
+    candidates, members, windows, calls = nested(spark, d)
+    return scans.karyotype_scan(calls, windows, candidates, members, "F", "O").withColumn("fst", F.round("fst", 5))
+
+
+@query(f"""WITH {_NESTED}, q AS (SELECT l_partkey // 20 AS w, l_suppkey AS sample, first(l_returnflag ORDER BY n DESC, l_returnflag) AS cluster FROM (SELECT l_partkey, l_suppkey, l_returnflag, count(*) OVER (PARTITION BY l_partkey // 20, l_suppkey, l_returnflag) AS n FROM lineitem) GROUP BY ALL),
+own AS (SELECT q.w, q.sample, cluster FROM q JOIN here USING (w) JOIN mem ON mem.id = here.id AND mem.sample = q.sample WHERE label = 'O'), full_ AS (SELECT w FROM own GROUP BY w HAVING count(*) >= 12),
+flag AS (SELECT here.w, here.id, parent, here.w NOT IN (SELECT w FROM full_) AND parent IS NOT NULL AS fb FROM here JOIN par USING (id)),
+grp AS (SELECT own.* FROM own JOIN flag USING (w) WHERE NOT fb UNION ALL SELECT q.w, q.sample, cluster FROM flag JOIN q USING (w) JOIN mem ON mem.id = parent AND mem.sample = q.sample WHERE fb AND label = 'O'),
+two AS (SELECT w, cluster, count(*) AS n, row_number() OVER (PARTITION BY w ORDER BY count(*) DESC, cluster) AS slot FROM grp GROUP BY w, cluster QUALIFY slot <= 2), side AS (SELECT w, sample, slot FROM grp JOIN two USING (w, cluster)), f AS ({_FST})
+SELECT flag.w AS win_idx, flag.id AS candidate_id, a.cluster AS cluster_1, b.cluster AS cluster_2, coalesce(a.n, 0) AS n_1, coalesce(b.n, 0) AS n_2, coalesce(n_sites, 0) AS n_sites, fst, fb AS used_fallback FROM flag LEFT JOIN two a ON a.w = flag.w AND a.slot = 1 LEFT JOIN two b ON b.w = flag.w AND b.slot = 2 LEFT JOIN f ON f.w = flag.w""")
+def ancestry_scans(spark, d):
+    """Fst between the two commonest return flags of suppliers, each supplier by its flag in the window itself."""
+    candidates, members, windows, calls = nested(spark, d)
+    ancestry = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_partkey") / 20).cast("long").alias("win_idx"), F.col("l_suppkey").alias("sample"), F.col("l_returnflag").alias("cluster")).agg(F.count("*").alias("q"))
+    return scans.ancestry_scan(calls, ancestry, windows, candidates, members, "O", 12).withColumn("fst", F.round("fst", 5))
