@@ -55,18 +55,22 @@ def gamma_tail(a: Column, x: Column) -> Column:
 
 
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function, two of its terms a step."""
+    """The continued fraction of the incomplete beta function; the state carries the next term, so that it is worked out once."""
+
+    def term(m):  # of m = 2, 3, ...
+        k = F.floor(m / 2)
+        even = k * (b - k) / ((a + 2 * k - 1) * (a + 2 * k))
+        odd = -(a + k) * (a + b + k) / ((a + 2 * k) * (a + 2 * k + 1))
+        return x * F.when(m % 2 == 0, even).otherwise(odd)
+
     d0 = 1 / _away(1 - (a + b) * x / (a + 1))
-    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), F.lit(False).alias("done"))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), F.lit(0.0).alias("moved"), term(F.lit(2)).alias("term"))
 
     def deeper(s, i):
-        even = i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i))
-        odd = -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))
-        d1, c1 = 1 / _away(1 + even * s["d"]), _away(1 + even / s["c"])
-        d2, c2 = 1 / _away(1 + odd * d1), _away(1 + odd / c1)
-        return F.when(s["done"], s).otherwise(F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"), (F.abs(d2 * c2 - 1) < CLOSE).alias("done")))
+        d, c = 1 / _away(1 + s["term"] * s["d"]), _away(1 + s["term"] / s["c"])
+        return F.when(F.abs(s["moved"] - 1) < CLOSE, s).otherwise(F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"), (c * d).alias("moved"), term(i + 2).alias("term")))
 
-    return F.aggregate(_steps(F.greatest(a, b)), start, deeper)["h"]
+    return F.aggregate(_steps(4 * F.greatest(a, b)), start, deeper)["h"]
 
 
 def beta_ratio(a: Column, b: Column, x: Column, rest: Column) -> Column:
@@ -106,8 +110,7 @@ def t_quantile(p: float, df: Column, rounds: int = 60) -> Column:
     def step(s, _):
         t = s["t"]
         density = F.exp(log_scale - (n + 1) / 2 * F.log1p(t * t / n))
-        move = (t_p(t, n) - p) / (2 * density)
-        return F.when(s["done"], s).otherwise(F.transform(F.array(move), lambda m: F.struct((t + m).alias("t"), (F.abs(m) < 1e-14 * t).alias("done")))[0])
+        return F.when(F.abs(t - s["before"]) <= 1e-14 * t, s).otherwise(F.struct((t + (t_p(t, n) - p) / (2 * density)).alias("t"), t.alias("before")))
 
-    start = F.struct(F.lit(0.1).alias("t"), F.lit(False).alias("done"))
+    start = F.struct(F.lit(0.1).alias("t"), F.lit(0.0).alias("before"))
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["t"])

@@ -22,9 +22,8 @@ def burden_test(rows: DataFrame, by: str, x: str, y: str, level: float = 0.95) -
     """
     df = F.col("n") - 2
     t = F.when(F.col("se") > 0, F.col("beta") / F.col("se")).when((F.col("se") == 0) & (F.col("beta") != 0), F.signum("beta") * F.lit(float("inf")))
-    half = t_quantile(1 - level, df) * F.col("se")
-    out = burden(rows, by, x, y).withColumn("t", t)
-    return out.withColumns({"p": t_p(F.col("t"), df), "low": F.col("beta") - half, "high": F.col("beta") + half})
+    out = burden(rows, by, x, y).withColumn("t", t).withColumns({"p": t_p(F.col("t"), df), "_half": t_quantile(1 - level, df) * F.col("se")})
+    return out.withColumns({"low": F.col("beta") - F.col("_half"), "high": F.col("beta") + F.col("_half")}).drop("_half")
 
 
 def mid_ranks(counts: DataFrame, by: str, value: str, n: str) -> DataFrame:
