@@ -108,52 +108,17 @@ def roll_up(parents: DataFrame, members: DataFrame) -> DataFrame:
     """(parent, state) from members (parent, state): without any HIDDEN; all resolved or complete: COMPLETE; all ready: READY_TO_RUN;
     one failed: FAILED; all missing, blocked or unknown: BLOCKED; else PARTIAL."""
     all_ = lambda *names: F.bool_and(F.col("state").isin(*names))
-    agg = members.groupBy("parent").agg(all_(RESOLVED, COMPLETE).alias("done"), all_(READY).alias("ready"), F.bool_or(F.col("state") == FAILED).alias("failed"), all_(MISSING, BLOCKED, UNKNOWN, "BLOCKED", "UNKNOWN").alias("stuck"))
+    agg = members.groupBy("parent").agg(all_(RESOLVED, COMPLETE).alias("done"), all_(READY).alias("ready"), F.bool_or(F.col("state") == FAILED).alias("failed"), all_(MISSING, BLOCKED, UNKNOWN).alias("stuck"))
     state = F.when(F.col("done").isNull(), "HIDDEN").when(F.col("done"), COMPLETE).when(F.col("ready"), READY).when(F.col("failed"), FAILED).when(F.col("stuck"), "BLOCKED").otherwise("PARTIAL")
     return parents.select("parent").distinct().join(agg, "parent", "left").select("parent", state.alias("state"))
 
 
-def hook_states(hooks: DataFrame, states: DataFrame) -> DataFrame:
-    """(hook, state) from (hook, layer, required) and the layers' states: a roll-up of the required ones; a layer that nobody knows is UNKNOWN_CONTRACT."""
-    required = hooks.filter("required and layer is not null").join(states, "layer", "left").select(F.col("hook").alias("parent"), F.coalesce("state", F.lit(UNKNOWN)).alias("state"))
-    return roll_up(hooks.select(F.col("hook").alias("parent")), required).select(F.col("parent").alias("hook"), "state")
-
-
-def page_plan(pages: DataFrame, hooks: DataFrame, states: DataFrame) -> DataFrame:
-    """(page, state): the roll-up of a page's hooks; a hook that nobody knows is UNKNOWN and blocks; a page without hooks is HIDDEN."""
-    own = pages.filter("hook is not null").select("page", "hook").distinct().join(hook_states(hooks, states), "hook", "left")
-    members = own.select(F.col("page").alias("parent"), F.coalesce("state", F.lit("UNKNOWN")).alias("state"))
-    return roll_up(pages.select(F.col("page").alias("parent")), members).select(F.col("parent").alias("page"), "state")
-
-
 def ready_actions(states: DataFrame, producers: DataFrame) -> DataFrame:
     """(analysis_id, produces, label) for each producer of a layer that is ready to run; producers is (layer, analysis_id)."""
     found = states.filter(F.col("state") == READY).join(producers, "layer")
     return found.select("analysis_id", F.col("layer").alias("produces"), F.concat(F.lit("Run "), "analysis_id", F.lit(" to produce "), F.col("layer").cast("string")).alias("label")).distinct()
 
 
-def product_states(products: DataFrame, backing: DataFrame, depends: DataFrame, most: int | None = None) -> DataFrame:
-    """(product, state): of its layers, then its review, then of the products that it depends on.
-
-    Layers all resolved give 'available', none 'missing', some 'partial'. Only an available product is
-    changed by its confidence: review_passed makes it 'validated', rejected 'rejected'. A product that
-    depends, however far, on a missing or rejected one is 'blocked'.
-    """
-    rolled = backing.groupBy("product").agg(F.bool_and("resolved").alias("every"), F.bool_or("resolved").alias("some"))
-    base = F.when(F.col("every"), "available").when(F.col("some"), "partial").otherwise("missing")
-    state = F.when((base == "available") & (F.col("confidence") == "review_passed"), "validated").when((base == "available") & (F.col("confidence") == "rejected"), "rejected").otherwise(base)
-    own = checkpointed(products.join(rolled, "product", "left").select("product", state.alias("state")))
-    bad = own.filter(F.col("state").isin("missing", "rejected")).select("product")
-    reached = front = bad
-    for _ in _rounds(most):
-        front = checkpointed(depends.join(front.withColumnRenamed("product", "needs"), "needs").select("product").distinct().join(reached, "product", "left_anti"))
-        if front.isEmpty():
-            break
-        reached = checkpointed(reached.union(front))
-    blocked = reached.join(bad, "product", "left_anti").withColumn("_blocked", F.lit(True))
-    return own.join(blocked, "product", "left").select("product", F.when(F.col("_blocked"), "blocked").otherwise(F.col("state")).alias("state"))
-
-
 def unique_match(requests: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
     """(request, status, match): 'ok' with the one row that fits, 'missing' with none, 'ambiguous' with several."""
     joined = requests.join(rows, on, "left").groupBy("request").agg(F.count("row_id").alias("n"), F.min("row_id").alias("row_id"))
@@ -307,16 +272,6 @@ def next_actions(questions: DataFrame, products: DataFrame, producers: DataFrame
     return made.select("question", "product", F.when(run, "run").otherwise("register_producer").alias("action"), "analysis_id", label.alias("label"))
 
 
-def estimable(preconditions: DataFrame, products: DataFrame, layers: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(estimand, state) from (estimand, kind, id, required): required attributes that aren't whole need extra data,
-    other unmet required ones block; unmet optional ones limit; nothing unmet, or no precondition, is estimable."""
-    ok = products.filter("state in ('validated', 'available')").select(F.lit("product").alias("kind"), F.col("product").alias("id")).union(layers.filter("state = 'RESOLVED'").select(F.lit("layer"), "layer")).union(attributes.filter("status = 'complete'").select(F.lit("sample_attribute"), "attribute")).distinct().withColumn("_ok", F.lit(True))
-    met = preconditions.join(ok, ["kind", "id"], "left").withColumn("unmet", F.col("_ok").isNull() & F.col("id").isNotNull())
-    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    agg = met.groupBy("estimand").agg(any_(F.col("unmet") & F.col("required") & (F.col("kind") == "sample_attribute")).alias("extra"), any_(F.col("unmet") & F.col("required") & (F.col("kind") != "sample_attribute")).alias("blocked"), any_(F.col("unmet")).alias("limits"))
-    return agg.select("estimand", F.when(F.col("extra"), "needs_extra_data").when(F.col("blocked"), "blocked").when(F.col("limits"), "estimable_with_limits").otherwise("estimable").alias("state"))
-
-
 def dispatch(questions: DataFrame, states: DataFrame, producers: DataFrame) -> DataFrame:
     """(producer, products): one manifest for each producer of a required product that is missing or blocked."""
     wanted = questions.filter("required").select("product").distinct().join(states.filter("state in ('missing', 'blocked')"), "product", "left_semi")

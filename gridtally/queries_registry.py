@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtally.operators import graph, intervals, registry, rules, sampling, sets, stats
+from gridtally.operators import graph, intervals, registry, rules, sampling, sets, states, stats
 from gridtally.plans.set_expr import SetExpr, members
 from gridtally.projections import dosages, event_sites, order_intervals, table
 from gridtally.registered import query
@@ -229,23 +229,23 @@ def _hook_inputs(spark, d):
 @query(f"WITH {_HOOKS} SELECT h AS hook, s AS state FROM t")
 def hook_readiness(spark, d):
     """The roll-up of each hook's required layers."""
-    return graph.hook_states(*_hook_inputs(spark, d))
+    return states.planned_hooks(*_hook_inputs(spark, d))
 
 
 @query(f"""WITH {_HOOKS}, g AS (SELECT DISTINCT o_custkey AS g, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey END AS h FROM orders), m AS (SELECT g, coalesce(t.s, 'UNKNOWN') AS s FROM g LEFT JOIN t ON t.h = g.h WHERE g.h IS NOT NULL),
-b AS (SELECT g, bool_and(s IN ('RESOLVED', 'COMPLETE')) AS d, bool_and(s = 'READY_TO_RUN') AS y, bool_or(s = 'FAILED') AS f, bool_and(s IN ('KNOWN_MISSING', 'BLOCKED_BY_INPUT', 'UNKNOWN_CONTRACT', 'BLOCKED', 'UNKNOWN')) AS k FROM m GROUP BY g)
+b AS (SELECT g, bool_and(s IN ('RESOLVED', 'COMPLETE')) AS d, bool_and(s = 'READY_TO_RUN') AS y, bool_or(s = 'FAILED') AS f, bool_and(s IN ('KNOWN_MISSING', 'BLOCKED_BY_INPUT', 'UNKNOWN_CONTRACT')) AS k FROM m GROUP BY g)
 SELECT x.g AS page, CASE WHEN d IS NULL THEN 'HIDDEN' WHEN d THEN 'COMPLETE' WHEN y THEN 'READY_TO_RUN' WHEN f THEN 'FAILED' WHEN k THEN 'BLOCKED' ELSE 'PARTIAL' END AS state FROM (SELECT DISTINCT g FROM g) x LEFT JOIN b ON b.g = x.g""")
 def page_readiness(spark, d):
     """The roll-up of each page's hooks."""
-    hooks, states = _hook_inputs(spark, d)
+    hooks, layers = _hook_inputs(spark, d)
     pages = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey")).alias("hook"))
-    return graph.page_plan(pages, hooks, states)
+    return states.plan(pages, hooks, layers)
 
 
 @query(f"WITH {_HOOKS} SELECT 'm' || (l // 9) AS analysis_id, l AS produces, 'Run m' || (l // 9) || ' to produce ' || l AS label FROM s WHERE s = 'READY_TO_RUN'")
 def ready_actions(spark, d):
-    _, states = _hook_inputs(spark, d)
-    return graph.ready_actions(states, states.select("layer", F.concat(F.lit("m"), _text(F.floor(F.col("layer") / 9))).alias("analysis_id")))
+    _, layers = _hook_inputs(spark, d)
+    return graph.ready_actions(layers, layers.select("layer", F.concat(F.lit("m"), _text(F.floor(F.col("layer") / 9))).alias("analysis_id")))
 
 
 _RULES = """a AS (SELECT CASE WHEN p_size = 1 THEN '' ELSE 'a' || (p_partkey - (p_size = 2)::INT) END AS id, CASE WHEN p_size % 11 > 0 THEN 'v1' END AS v, ['active', 'planned', 'odd'][p_size % 3 + 1] AS s, CASE WHEN p_size % 4 = 0 THEN 'a' || (p_partkey * 2) ELSE '' END AS r, CASE WHEN p_size % 5 > 0 THEN 'x' || (p_size % 5) || ', y' ELSE '' END AS p FROM part), n AS (SELECT * FROM a WHERE id <> ''),
@@ -344,34 +344,114 @@ def newest_results(spark, d):
     return rows.orderBy(F.desc("created_at"), F.desc("analysis_id"), "o_orderkey").limit(200)
 
 
-@query("""WITH p AS (SELECT p_partkey AS p, bool_and(s) AS e, bool_or(s) AS o, any_value(c) AS c FROM (SELECT p_partkey, l_returnflag <> 'R' AS s, ['review_passed', 'rejected', 'draft'][p_size % 3 + 1] AS c FROM part LEFT JOIN lineitem ON l_partkey = p_partkey) GROUP BY p_partkey),
-b AS (SELECT p, CASE WHEN e AND c = 'review_passed' THEN 'validated' WHEN e AND c = 'rejected' THEN 'rejected' WHEN e THEN 'available' WHEN o THEN 'partial' ELSE 'missing' END AS s FROM p) SELECT p AS product, s AS state FROM b""")
+_LAYERS = """lay AS (SELECT ps AS l, ['RESOLVED', 'COMPLETE', 'RESOLVED', 'RESOLVED', 'COMPLETE', 'READY_TO_RUN', 'KNOWN_MISSING', 'FAILED', 'BLOCKED_BY_INPUT', 'RESOLVED'][o_orderdate_ % 10 + 1] AS s FROM (SELECT o_orderkey AS ps, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS o_orderdate_ FROM orders WHERE o_orderstatus <> 'P')),
+bk AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS l FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'A'),
+pr AS (SELECT p_partkey AS p, ['review_passed', 'preliminary', 'rejected', 'unreviewed'][p_size % 4 + 1] AS c FROM part),
+base AS (SELECT pr.p, c, count(bk.l) AS n, coalesce(bool_or(bk.l IS NOT NULL AND lay.s IS NULL), false) AS unknown, coalesce(bool_or(lay.s = 'FAILED'), false) AS failed, coalesce(bool_and(lay.s IN ('RESOLVED', 'COMPLETE')), false) AS done FROM pr LEFT JOIN bk USING (p) LEFT JOIN lay USING (l) GROUP BY ALL),
+own AS (SELECT p, CASE WHEN n = 0 OR unknown THEN 'missing' WHEN failed THEN 'blocked' WHEN NOT done THEN 'missing' WHEN c = 'review_passed' THEN 'ready' WHEN c = 'preliminary' THEN 'validated' WHEN c = 'rejected' THEN 'blocked' ELSE 'available' END AS s FROM base)"""
+
+
+def _product_inputs(spark, d):
+    """Products (parts), the layers (first returned lines' orders) behind them and the layers' states; orders in progress are no layers."""
+    names = F.array(*map(F.lit, ("RESOLVED", "COMPLETE", "RESOLVED", "RESOLVED", "COMPLETE", "READY_TO_RUN", "KNOWN_MISSING", "FAILED", "BLOCKED_BY_INPUT", "RESOLVED")))
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    layers = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("layer"), F.get(names, day % 10).alias("state"))
+    backing = table(spark, d, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'A'").select(F.col("l_partkey").alias("product"), F.col("l_orderkey").alias("layer")).distinct()
+    sure = F.get(F.array(*map(F.lit, ("review_passed", "preliminary", "rejected", "unreviewed"))), F.col("p_size") % 4)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("product"), sure.alias("confidence")), backing, layers
+
+
+@query(f"WITH {_LAYERS} SELECT p AS product, s AS state FROM own")
 def product_readiness(spark, d):
     """States of products from their layers and their review; without dependencies."""
-    names = F.array(*map(F.lit, ("review_passed", "rejected", "draft")))
-    products = table(spark, d, "part").select(F.col("p_partkey").alias("product"), F.get(names, F.col("p_size") % 3).alias("confidence"))
-    backing = table(spark, d, "lineitem").select(F.col("l_partkey").alias("product"), (F.col("l_returnflag") != "R").alias("resolved"))
-    return graph.product_states(products, backing, spark.createDataFrame([], "product long, needs long"))
+    return states.product_states(*_product_inputs(spark, d), spark.createDataFrame([], "product long, needs long"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT p_partkey AS p, p_size < 3 AS bad FROM part), e AS (SELECT p_partkey AS p, p_partkey // 4 AS n FROM part WHERE p_size % 3 > 0 AND p_partkey > 0), w AS (SELECT p FROM b WHERE bad UNION SELECT e.p FROM w JOIN e ON e.n = w.p)
-SELECT p AS product, CASE WHEN bad THEN 'missing' WHEN p IN (SELECT p FROM w) THEN 'blocked' ELSE 'available' END AS state FROM b""")
+@query(f"""WITH RECURSIVE {_LAYERS}, e AS (SELECT p_partkey AS p, p_partkey // 3 AS n FROM part WHERE p_size > 20 AND p_partkey > 2 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_size = 50 UNION SELECT p_partkey + 1, p_partkey FROM part WHERE p_size = 50),
+reach AS (SELECT p AS a, n AS b FROM e UNION SELECT reach.a, e.n FROM reach JOIN e ON e.p = reach.b), cyc AS (SELECT a AS p FROM reach WHERE a = b),
+bad AS (SELECT p FROM own WHERE s IN ('missing', 'blocked') UNION SELECT p FROM cyc UNION SELECT n FROM e WHERE n NOT IN (SELECT p FROM own))
+SELECT p AS product, CASE WHEN p IN (SELECT p FROM cyc) OR p IN (SELECT a FROM reach WHERE b IN (SELECT p FROM bad)) THEN 'blocked' ELSE s END AS state FROM own""")
 def product_blocks(spark, d):
-    """Products that depend, however far, on a missing one."""
-    k = F.col("p_partkey")
+    """Products that depend, however far, on a missing one, a blocked one, or a cycle."""
+    k, size = F.col("p_partkey"), F.col("p_size")
     parts = table(spark, d, "part")
-    needs = parts.filter("p_size % 3 > 0 and p_partkey > 0").select(k.alias("product"), F.floor(k / 4).alias("needs"))
-    return graph.product_states(parts.select(k.alias("product"), F.lit("draft").alias("confidence")), parts.select(k.alias("product"), (F.col("p_size") >= 3).alias("resolved")), needs)
+    needs = parts.filter("p_size > 20 and p_partkey > 2").select(k.alias("product"), F.floor(k / 3).alias("needs"))
+    both = parts.filter("p_size = 50")
+    needs = needs.union(both.select(k, k + 1)).union(both.select(k + 1, k))
+    return states.product_states(*_product_inputs(spark, d), needs)
+
 
+_ESTIMANDS = f"""{_LAYERS}, c AS (SELECT l_orderkey AS e, ['product', 'layer', 'sample_attribute'][l_linenumber % 3 + 1] AS k, CASE l_linenumber % 3 WHEN 0 THEN l_partkey WHEN 1 THEN l_orderkey + l_suppkey ELSE l_suppkey END AS i, l_linenumber <> 5 AS r FROM lineitem WHERE l_quantity > 10),
+j AS (SELECT e, k, r, NOT CASE k WHEN 'product' THEN i IN (SELECT p FROM own WHERE s IN ('ready', 'validated', 'available')) WHEN 'layer' THEN i IN (SELECT l FROM lay WHERE s IN ('RESOLVED', 'COMPLETE')) ELSE i IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) END AS u FROM c),
+a AS (SELECT e, bool_or(u AND r) AS m, bool_or(u AND NOT r) AS s, bool_or(u AND r AND k = 'sample_attribute') AS x FROM j GROUP BY e),
+est AS (SELECT o_orderkey AS e, o_custkey AS q, CASE WHEN m IS NULL OR NOT m AND NOT s THEN 'estimable' WHEN NOT m THEN 'partially_estimable' WHEN x THEN 'needs_extra_data' ELSE 'not_estimable' END AS s FROM orders LEFT JOIN a ON a.e = o_orderkey)"""
 
-@query("""WITH c AS (SELECT l_orderkey AS e, ['product', 'layer', 'sample_attribute'][l_linenumber % 3 + 1] AS k, l_partkey AS i, l_linenumber < 5 AS r FROM lineitem), j AS (SELECT e, k, r, NOT coalesce(CASE k WHEN 'product' THEN p_size > 10 WHEN 'layer' THEN p_size > 5 ELSE p_size > 2 END, false) AS u FROM c LEFT JOIN part ON p_partkey = i),
-a AS (SELECT e, bool_or(u AND r AND k = 'sample_attribute') AS x, bool_or(u AND r AND k <> 'sample_attribute') AS b, bool_or(u) AS l FROM j GROUP BY e) SELECT e AS estimand, CASE WHEN x THEN 'needs_extra_data' WHEN b THEN 'blocked' WHEN l THEN 'estimable_with_limits' ELSE 'estimable' END AS state FROM a""")
+
+def _estimands(spark, d):
+    """Estimands (orders) of questions (customers), with their lines as preconditions on products, layers and attributes."""
+    n = F.col("l_linenumber") % 3
+    kind = F.get(F.array(F.lit("product"), F.lit("layer"), F.lit("sample_attribute")), n)
+    on = F.when(n == 0, F.col("l_partkey")).when(n == 1, F.col("l_orderkey") + F.col("l_suppkey")).otherwise(F.col("l_suppkey"))
+    wanted = table(spark, d, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("estimand"), kind.alias("kind"), on.alias("id"), (F.col("l_linenumber") != 5).alias("required"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("estimand"), F.col("o_custkey").alias("question"))
+    bare = asked.select("estimand", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(True).alias("required"))
+    products, backing, layers = _product_inputs(spark, d)
+    attributes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("attribute"), F.when(F.col("s_acctbal") > 5000, "known").when(F.col("s_acctbal") > 0, "covered").otherwise("partial").alias("status"))
+    found = states.product_states(products, backing, layers, spark.createDataFrame([], "product long, needs long"))
+    return asked, states.estimands(asked, wanted.union(bare), found, layers, attributes)
+
+
+@query(f"WITH {_ESTIMANDS} SELECT e AS estimand, s AS state FROM est")
 def estimands(spark, d):
     """What can be estimated, from preconditions on products, layers and attributes."""
-    kind = F.get(F.array(F.lit("product"), F.lit("layer"), F.lit("sample_attribute")), F.col("l_linenumber") % 3)
-    wanted = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("estimand"), kind.alias("kind"), F.col("l_partkey").alias("id"), (F.col("l_linenumber") < 5).alias("required"))
-    parts, k = table(spark, d, "part"), F.col("p_partkey")
-    return graph.estimable(wanted, parts.select(k.alias("product"), F.when(F.col("p_size") > 10, "available").otherwise("partial").alias("state")), parts.select(k.alias("layer"), F.when(F.col("p_size") > 5, "RESOLVED").otherwise("FAILED").alias("state")), parts.select(k.alias("attribute"), F.when(F.col("p_size") > 2, "complete").otherwise("partial").alias("status")))
+    return _estimands(spark, d)[1]
+
+
+@query(f"""WITH {_ESTIMANDS}, g AS (SELECT q, bool_and(s = 'estimable') AS f, bool_and(s IN ('estimable', 'partially_estimable')) AS p, bool_or(s = 'needs_extra_data') AS x FROM est GROUP BY q)
+SELECT c_custkey AS question, CASE WHEN f IS NULL THEN 'unknown' WHEN f THEN 'fully_estimable' WHEN p THEN 'partially_estimable' WHEN x THEN 'needs_extra_data' ELSE 'limited' END AS state FROM customer LEFT JOIN g ON q = c_custkey""")
+def question_estimability(spark, d):
+    """How far each customer's question can be answered by its orders' estimands."""
+    asked, found = _estimands(spark, d)
+    return states.question_estimability(table(spark, d, "customer").select(F.col("c_custkey").alias("question")), asked, found)
+
+
+@query(f"""WITH {_HOOKS}, r AS (SELECT h, bool_and(s IN ('RESOLVED', 'COMPLETE')) AS d, bool_or(s IN ('KNOWN_MISSING', 'BLOCKED_BY_INPUT', 'UNKNOWN_CONTRACT', 'FAILED')) AS b FROM j GROUP BY h)
+SELECT o_orderkey AS hook, CASE WHEN o_orderkey NOT IN (SELECT h FROM k) THEN 'UNKNOWN_CONTRACT' WHEN coalesce(d, true) THEN 'RESOLVED' WHEN b THEN 'BLOCKED_BY_INPUT' ELSE 'READY_TO_RUN' END AS state FROM orders LEFT JOIN r ON h = o_orderkey""")
+def hook_resolution(spark, d):
+    """Whether each order's hook resolves, can run, or is blocked."""
+    return states.hook_states(table(spark, d, "orders").select(F.col("o_orderkey").alias("hook")), *_hook_inputs(spark, d))
+
+
+_PANELS = f"""{_HOOKS}, pan AS (SELECT k.h, k.l, r, coalesce(s.s, 'UNKNOWN_CONTRACT') AS ls, CASE WHEN ls IN ('RESOLVED', 'COMPLETE') THEN 'VISIBLE_COMPLETE' WHEN ls = 'READY_TO_RUN' THEN ls WHEN r THEN 'VISIBLE_BLOCKED' ELSE 'HIDDEN_OPTIONAL' END AS ps FROM k LEFT JOIN s ON s.l = k.l)"""
+
+
+def _panels(spark, d):
+    hooks, layers = _hook_inputs(spark, d)
+    producers = layers.select("layer", F.explode(F.array(F.concat(F.lit("m"), _text(F.floor(F.col("layer") / 9))), F.lit("m"))).alias("analysis_id"))
+    return states.panels(hooks, layers, producers)
+
+
+@query(f"""WITH {_PANELS} SELECT h AS hook, l AS layer, r AS required, ls AS layer_state, ps AS panel_state, CASE ps WHEN 'READY_TO_RUN' THEN 'Run m|Run m' || (l // 9) WHEN 'VISIBLE_BLOCKED' THEN 'Inspect ' || l || ' in the layer registry' ELSE '' END AS actions FROM pan""")
+def panel_states(spark, d):
+    """Each hook's panels with what a reader may do about them."""
+    return _panels(spark, d).withColumn("actions", F.array_join(F.transform("actions", lambda a: a["label"]), "|"))
+
+
+@query(f"""WITH {_PANELS}, c AS (SELECT h, bool_and(ps = 'VISIBLE_COMPLETE') AS d, bool_and(ps = 'READY_TO_RUN') AS y, bool_and(ps = 'VISIBLE_BLOCKED') AS b FROM pan WHERE r GROUP BY h)
+SELECT o_orderkey AS hook, CASE WHEN d IS NULL THEN 'HIDDEN' WHEN d THEN 'COMPLETE' WHEN y THEN 'READY_TO_RUN' WHEN b THEN 'BLOCKED' ELSE 'PARTIAL' END AS state FROM orders LEFT JOIN c ON h = o_orderkey""")
+def hook_composition(spark, d):
+    """The state of the page that a hook's panels make."""
+    return states.composed(table(spark, d, "orders").select(F.col("o_orderkey").alias("hook")), _panels(spark, d))
+
+
+@query(f"""WITH {_HOOKS}, g AS (SELECT DISTINCT c_nationkey AS g, o_orderkey AS h FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'), m AS (SELECT g, coalesce(t.s, 'UNKNOWN') AS s FROM g LEFT JOIN t ON t.h = g.h WHERE g.h IS NOT NULL),
+b AS (SELECT g, bool_and(s IN ('RESOLVED', 'COMPLETE')) AS d, bool_and(s = 'READY_TO_RUN') AS y, bool_or(s = 'FAILED') AS f, bool_and(s IN ('KNOWN_MISSING', 'BLOCKED_BY_INPUT', 'UNKNOWN_CONTRACT')) AS k FROM m GROUP BY g)
+SELECT x.g AS package, CASE WHEN d IS NULL THEN 'HIDDEN' WHEN d THEN 'COMPLETE' WHEN y THEN 'READY_TO_RUN' WHEN f THEN 'FAILED' WHEN k THEN 'BLOCKED' ELSE 'PARTIAL' END AS state FROM (SELECT DISTINCT g FROM g) x LEFT JOIN b ON b.g = x.g""")
+def package_readiness(spark, d):
+    """The roll-up of the hooks that a package's pages touch: urgent orders of a nation's customers."""
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("hook"))
+    packages = table(spark, d, "customer").join(urgent, "c_custkey", "left").select(F.col("c_nationkey").alias("package"), "hook")
+    return states.plan(packages, *_hook_inputs(spark, d), name="package")
 
 
 # sets, labels and keys

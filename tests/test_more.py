@@ -57,12 +57,7 @@ def test_components(spark):
     assert dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long")))) == {x: find(x) for x in parent}
 
 
-def test_estimable_and_chains(spark):
-    pre = spark.createDataFrame([("e1", "product", "p1", True), ("e2", "product", "p2", True), ("e3", "sample_attribute", "age", True), ("e4", "layer", "l1", True), ("e4", "product", "p2", False), ("e5", None, None, None)], "estimand string, kind string, id string, required boolean")
-    products = spark.createDataFrame([("p1", "validated"), ("p2", "missing")], "product string, state string")
-    layers = spark.createDataFrame([("l1", "RESOLVED")], "layer string, state string")
-    attributes = spark.createDataFrame([("age", "partial")], "attribute string, status string")
-    assert dict(rows(graph.estimable(pre, products, layers, attributes))) == {"e1": "estimable", "e2": "blocked", "e3": "needs_extra_data", "e4": "estimable_with_limits", "e5": "estimable"}
+def test_chains(spark):
     results = spark.createDataFrame([("a", ""), ("b", "a"), ("c", "gone"), ("x", "y"), ("y", "x"), ("z", "x")], "result_id string, input_result_id string")
     assert rows(graph.upstream_problems(results)) == [("c", "missing"), ("x", "cycle"), ("y", "cycle"), ("z", "cycle")]
 

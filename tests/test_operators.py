@@ -112,13 +112,6 @@ def test_roll_up(spark):
     assert dict(rows(graph.roll_up(parents, states))) == {"none": "HIDDEN", "ok": "COMPLETE", "run": "READY_TO_RUN", "bad": "FAILED", "out": "BLOCKED", "mix": "PARTIAL"}
 
 
-def test_product_states(spark):
-    products = spark.createDataFrame([("a", "review_passed"), ("b", "rejected"), ("c", "unreviewed"), ("d", "unreviewed"), ("e", "review_passed")], "product string, confidence string")
-    backing = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", True), ("d", False), ("e", True)], "product string, resolved boolean")
-    depends = spark.createDataFrame([("c", "b"), ("e", "c")], "product string, needs string")
-    assert dict(rows(graph.product_states(products, backing, depends))) == {"a": "validated", "b": "rejected", "c": "blocked", "d": "partial", "e": "blocked"}
-
-
 def test_edges(spark):
     """Ends, rules, and each of the constraints met and not met."""
     nodes = spark.createDataFrame([("s", "set", "a", None), ("t", "set", "b", None), ("l1", "layer", None, "L1"), ("l2", "layer", "b", "L2"), ("n", "analysis", None, "A"), ("h", "hook", None, "H")], "node string, node_type string, entity_type string, ref string")
