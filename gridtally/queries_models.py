@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.operators import inference, pedigree, relatedness, resolver, scans
+from gridtally.operators import blocks, inference, pedigree, relatedness, resolver, scans
 from gridtally.operators.stats import king
 from gridtally.projections import dosages, table
 from gridtally.registered import query
@@ -206,3 +206,39 @@ def ancestry_scans(spark, d):
     candidates, members, windows, calls = nested(spark, d)
     ancestry = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_partkey") / 20).cast("long").alias("win_idx"), F.col("l_suppkey").alias("sample"), F.col("l_returnflag").alias("cluster")).agg(F.count("*").alias("q"))
     return scans.ancestry_scan(calls, ancestry, windows, candidates, members, "O", 12).withColumn("fst", F.round("fst", 5))
+
+
+_BLOCKS = """blk AS (SELECT o_orderkey AS id, ['test', 'carriers', 'later', 'other'][o_custkey % 4 + 1] AS t,
+  CASE WHEN o_custkey % 11 = 0 THEN 'no json' ELSE '{"n_total": ' || o_custkey || CASE WHEN o_orderstatus = 'F' THEN ', "p": "low"' WHEN o_orderstatus = 'O' THEN ', "p": 0.25' ELSE ', "p": null' END || CASE WHEN o_orderkey % 3 > 0 THEN ', "inner": {"who": "' || o_orderpriority || '", "list": [1, 2]}' ELSE '' END || '}' END AS j FROM orders)"""
+_SCHEMAS = [
+    '{"block_type": "test", "required": ["n_total", "p", "inner"], "properties": {"n_total": {"type": "integer"}, "p": {"type": "number"}, "inner": {"type": "object"}}, "keys_extracted": [{"key": "q_n", "from": "n_total"}, {"key": "q_p", "from": "p"}, {"key": "q_who", "from": "inner.who"}]}',
+    '{"block_type": "carriers", "type": "object", "required": ["inner"], "properties": {"inner": {"type": "object"}, "p": {"type": "string"}}, "keys_extracted": [{"key": "c_p", "from": "p"}, {"key": "c_list", "from": "inner.list"}]}',
+    '{"block_type": "later", "_status": "pending", "required": ["never"], "keys_extracted": [{"key": "l_n", "from": "n_total"}]}',
+]
+
+
+def _blocks(spark, d):
+    """Blocks (orders as JSON, some of it broken) and the parsed schemas."""
+    k, c, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    p = F.when(status == "F", ', "p": "low"').when(status == "O", ', "p": 0.25').otherwise(', "p": null')
+    inner = F.when(k % 3 > 0, F.concat(F.lit(', "inner": {"who": "'), "o_orderpriority", F.lit('", "list": [1, 2]}'))).otherwise("")
+    text = F.when(c % 11 == 0, "no json").otherwise(F.concat(F.lit('{"n_total": '), c.cast("string"), p, inner, F.lit("}")))
+    kind = F.get(F.array(*map(F.lit, ("test", "carriers", "later", "other"))), (c % 4).cast("int"))
+    return table(spark, d, "orders").select(k.alias("block_id"), kind.alias("block_type"), text.alias("payload")), blocks.schemas(spark.createDataFrame([(s,) for s in _SCHEMAS], "text string"))
+
+
+@query(f"""WITH {_BLOCKS}, v AS (SELECT id, t, j::JSON AS j FROM blk WHERE j <> 'no json'),
+x AS (SELECT id, 'q_n' AS key, j->>'$.n_total' AS value, true AS ok, true AS has FROM v WHERE t = 'test' UNION ALL SELECT id, 'q_p', j->>'$.p', json_type(j, '$.p') IN ('UBIGINT', 'DOUBLE'), true FROM v WHERE t = 'test' UNION ALL SELECT id, 'q_who', j->>'$.inner.who', true, json_exists(j, '$.inner.who') FROM v WHERE t = 'test'
+UNION ALL SELECT id, 'c_p', j->>'$.p', json_type(j, '$.p') = 'VARCHAR', true FROM v WHERE t = 'carriers' UNION ALL SELECT id, 'c_list', j->>'$.inner.list', true, json_exists(j, '$.inner.list') FROM v WHERE t = 'carriers' UNION ALL SELECT id, 'l_n', j->>'$.n_total', true, true FROM v WHERE t = 'later')
+SELECT id AS block_id, key, value, ok AS type_ok FROM x WHERE has""")
+def block_keys(spark, d):
+    """All keys that the schemas extract from each block, in one pass."""
+    rows, parsed = _blocks(spark, d)
+    return blocks.extract(rows, blocks.key_table(parsed))
+
+
+@query(f"""WITH {_BLOCKS}, need(t, k) AS (VALUES ('test', 'n_total'), ('test', 'p'), ('test', 'inner'), ('carriers', 'inner'))
+SELECT id AS block_id, 'missing' AS problem, k AS field FROM blk JOIN need USING (t) WHERE j = 'no json' OR NOT json_exists(CASE WHEN j = 'no json' THEN '{{}}' ELSE j END, '$.' || k)""")
+def block_problems(spark, d):
+    """What the schemas find wrong with each block."""
+    return blocks.check(*_blocks(spark, d))
