@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.operators import blocks, inference, pedigree, relatedness, resolver, scans
+from gridtally.operators import blocks, clusters, inference, pedigree, relatedness, resolver, scans
 from gridtally.operators.stats import king
 from gridtally.projections import dosages, table
 from gridtally.registered import query
@@ -242,3 +242,38 @@ SELECT id AS block_id, 'missing' AS problem, k AS field FROM blk JOIN need USING
 def block_problems(spark, d):
     """What the schemas find wrong with each block."""
     return blocks.check(*_blocks(spark, d))
+
+
+_CONCORDANCE = "cc AS (SELECT l_returnflag AS candidate, s_nationkey AS a, 100 + p_size AS b, l_linenumber AS distance, max(l_discount * 10) AS c FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber < 5 GROUP BY ALL), per AS (SELECT cc.candidate, a, b FROM cc JOIN (SELECT candidate, count(DISTINCT distance) AS t FROM cc GROUP BY 1) x ON x.candidate = cc.candidate WHERE c > 0.8 GROUP BY cc.candidate, a, b, t HAVING count(DISTINCT distance) = t)"
+
+
+def _concordance(spark, d):
+    """Pairs of a supplier's nation and a part's size, by line number as distance."""
+    lines = table(spark, d, "lineitem").filter("l_linenumber < 5").select("l_returnflag", "l_suppkey", "l_partkey", "l_linenumber", "l_discount")
+    joined = lines.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    return joined.groupBy(F.col("l_returnflag").alias("candidate"), F.col("s_nationkey").alias("a"), (100 + F.col("p_size")).alias("b"), F.col("l_linenumber").alias("distance")).agg(F.max(F.col("l_discount") * 10).alias("concordance"))
+
+
+@query(f"WITH {_CONCORDANCE} SELECT DISTINCT candidate, sample FROM (SELECT candidate, a AS sample FROM per UNION ALL SELECT candidate, b FROM per)")
+def persistent_carriers(spark, d):
+    """Samples of pairs that agree at every distance."""
+    return clusters.persistent_carriers(_concordance(spark, d))
+
+
+@query(f"""WITH {_CONCORDANCE}, n AS (SELECT candidate, a, b, first(c ORDER BY distance) AS near, min(c) AS low FROM cc GROUP BY ALL), s AS (SELECT candidate, count(*) AS n_pairs, sum((near - low > 0.3)::INT)::BIGINT AS n_decaying FROM n GROUP BY 1), k AS (SELECT candidate, count(*) AS n FROM per GROUP BY 1)
+SELECT candidate, n_pairs, coalesce(n, 0) AS n_persistent, n_decaying, round(coalesce(n, 0)::DOUBLE / nullif(coalesce(n, 0) + n_decaying, 0), 6) AS score FROM s LEFT JOIN k USING (candidate)""")
+def carrier_scores(spark, d):
+    """Whether agreement persists over distances, or falls as it does in families."""
+    return clusters.carrier_scores(_concordance(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def class_quality(spark, d):
+    """Three classes of orders by price against two, per priority, seeded by the orders of three nations' customers."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    points = o.select(F.col("o_orderpriority").alias("group"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("x"), "c_nationkey", "o_orderstatus")
+    label = F.when(F.col("c_nationkey") < 3, F.when(F.col("x") < 150, "HOM_REF").when(F.col("x") < 300, "HET").otherwise("HOM_INV"))
+    seeds = points.withColumn("label", label).filter("label is not null").select("group", "id", "label")
+    phased = points.select("group", "id", (F.col("o_orderstatus") == "F").alias("supported"))
+    out = clusters.class_quality(points.select("group", "id", "x"), seeds, phased)
+    return out.select("group", "n", "status", F.round("bic_gap_k3_vs_k2", 3).alias("bic_gap_k3_vs_k2"), "n_het", "n_het_phase_supported", F.round("het_phase_support_fraction", 6).alias("het_phase_support_fraction"))
