@@ -9,6 +9,9 @@ from gridtally.operators import blocks, clusters, inference, pedigree, relatedne
 from gridtally.operators.stats import king
 from gridtally.projections import dosages, table
 from gridtally.registered import query
+from gridtally.session import work_folder
+from gridtally.sources import segments
+from gridtally.streaming import queue
 
 
 def genotype_likelihoods(spark, d) -> DataFrame:
@@ -277,3 +280,26 @@ def class_quality(spark, d):
     phased = points.select("group", "id", (F.col("o_orderstatus") == "F").alias("supported"))
     out = clusters.class_quality(points.select("group", "id", "x"), seeds, phased)
     return out.select("group", "n", "status", F.round("bic_gap_k3_vs_k2", 3).alias("bic_gap_k3_vs_k2"), "n_het", "n_het_phase_supported", F.round("het_phase_support_fraction", 6).alias("het_phase_support_fraction"))
+
+
+@query("SELECT user_id, max(struct_pack(ts, event_id)).event_id AS event_id FROM events GROUP BY 1")
+def streamed_log(spark, d):
+    """Each user's last event, of a log that a stream has written and compaction has read. The braces make the path a pattern, as the table may be one file."""
+    schema = table(spark, d, "events").schema
+    root = work_folder(spark)
+    queue.append_once(spark.readStream.schema(schema).parquet(f"{d}/{{events}}.parquet"), root, f"{root}/stream").awaitTermination()
+    queue.compact(spark, root, schema, ["user_id"], ["ts", "event_id"])
+    return queue.index(spark, root, schema, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query("""WITH o AS (SELECT o_custkey AS cid, o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS pr, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a FROM orders), b AS (SELECT cid, a AS p FROM o WHERE pr <> '1-URGENT' UNION SELECT cid, a + 30 FROM o WHERE pr <> '2-HIGH'),
+s AS (SELECT cid, id FROM o WHERE st <> 'P' AND cid IN (SELECT cid FROM b) AND NOT (EXISTS (SELECT 1 FROM b WHERE b.cid = o.cid AND p = a) AND EXISTS (SELECT 1 FROM b WHERE b.cid = o.cid AND p = a + 30)))
+SELECT cid, count(*) AS candidates, sum(n)::BIGINT AS groups, sum(m)::BIGINT AS manifest_rows FROM (SELECT s.cid, count(l_orderkey) AS n, count(l_orderkey) FILTER (l_returnflag = 'R') AS m FROM s LEFT JOIN lineitem ON l_orderkey = s.id GROUP BY s.cid, s.id) GROUP BY cid""")
+def stale_report(spark, d):
+    """What would go after customers' orders (segments) lost some of their ends: orders, their lines, and their returned lines."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("cid"), F.col("o_orderkey").alias("segment_id"), F.when(F.col("o_orderstatus") == "P", "inv").when(F.col("o_orderstatus") == "F", "seg").otherwise("seg_dco").alias("scale"), day.alias("start"), (day + 30).alias("end"), "o_orderpriority")
+    breaks = o.filter("o_orderpriority <> '1-URGENT'").select("cid", F.col("start").alias("position")).union(o.filter("o_orderpriority <> '2-HIGH'").select("cid", "end")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("segment_id"), "l_returnflag").join(o.select("cid", "segment_id"), "segment_id")
+    rows = o.drop("o_orderpriority")
+    return segments.report(segments.stale_segments(rows, breaks), {"segments": rows, "groups": lines, "manifest": lines.filter("l_returnflag = 'R'")})
