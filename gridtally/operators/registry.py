@@ -120,10 +120,10 @@ def stray_subgroups(members: DataFrame) -> DataFrame:
     return parted.distinct().join(own, ["parent", "member"], "left_anti").select("group_id", "parent", "member")
 
 
-def newest_first(rows: DataFrame) -> DataFrame:
-    """Rows (created_at, analysis_id) in an inventory's order: the newest first, then analyses from the last name on; null is empty."""
+def newest_first(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows (created_at, analysis_id) in an inventory's order: the newest first, then analyses from the last name on, null being empty; then by ties."""
     key = lambda c: F.desc(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return rows.orderBy(key("created_at"), key("analysis_id"))
+    return rows.orderBy(key("created_at"), key("analysis_id"), *ties)
 
 
 def search(rows: DataFrame, key: str, fields: list[str], query: str, top: int = 50) -> DataFrame:

@@ -60,6 +60,13 @@ def diversity(freqs: DataFrame, per_window: int) -> DataFrame:
     return win.withColumn("a1", a1).select("group_name", "win_idx", "n_sites", "s", "mean_n", (F.col("sum_pi") / F.col("n_sites")).alias("theta_pi"), (F.col("s") / F.col("a1") / F.col("n_sites")).alias("theta_w"))
 
 
+def window_tajima(freqs: DataFrame, per_window: int) -> DataFrame:
+    """(group_name, win_idx, n_sites, s, d): Tajima's D of each window from its own sites, with the mean number of called samples."""
+    win = diversity(freqs, per_window)
+    d = tajima_d(2 * F.col("mean_n"), F.col("s"), F.col("theta_pi") * F.col("n_sites"))
+    return win.select("group_name", "win_idx", "n_sites", "s", F.when(F.col("mean_n") > 1, d).alias("d"))
+
+
 def tajima_d(n2: Column, s: Column, pi_total: Column) -> Column:
     """Tajima's D from the number of sequences, segregating sites and the sum of pi; null without segregating sites."""
     series = F.sequence(F.lit(1).cast("long"), n2 - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally import queries_models, queries_registry  # noqa: F401  they register their queries
+from gridtally import queries_models, queries_registry, queries_rules  # noqa: F401  they register their queries
 from gridtally.functions import scalars
 from gridtally.operators import graph, intervals, registry, rules, sampling, sets, stats
 from gridtally.projections import chrom_sizes, dosages, event_sites, order_intervals, table

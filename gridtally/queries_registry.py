@@ -341,7 +341,7 @@ def manifest_checks(spark, d):
 @query("SELECT o_orderdate::DATE::VARCHAR AS created_at, o_orderpriority AS analysis_id, o_orderkey FROM orders ORDER BY 1 DESC, 2 DESC, 3 LIMIT 200")
 def newest_results(spark, d):
     rows = table(spark, d, "orders").select(_text(F.col("o_orderdate").cast("date")).alias("created_at"), F.col("o_orderpriority").alias("analysis_id"), "o_orderkey")
-    return rows.orderBy(F.desc("created_at"), F.desc("analysis_id"), "o_orderkey").limit(200)
+    return registry.newest_first(rows, "o_orderkey").limit(200)
 
 
 _LAYERS = """lay AS (SELECT ps AS l, ['RESOLVED', 'COMPLETE', 'RESOLVED', 'RESOLVED', 'COMPLETE', 'READY_TO_RUN', 'KNOWN_MISSING', 'FAILED', 'BLOCKED_BY_INPUT', 'RESOLVED'][o_orderdate_ % 10 + 1] AS s FROM (SELECT o_orderkey AS ps, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS o_orderdate_ FROM orders WHERE o_orderstatus <> 'P')),
@@ -559,7 +559,7 @@ def regime_means(spark, d):
 
 
 @query("""WITH iv AS (SELECT 'LG' || lpad(c_nationkey::VARCHAR, 2, '0') AS chrom, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS s, o_orderkey AS id, o_custkey AS sample, o_orderpriority AS p, o_orderstatus AS st FROM orders JOIN customer ON o_custkey = c_custkey),
-c AS (SELECT id, CASE WHEN id % 2 = 1 THEN id - 1 END AS parent, chrom, s, s + 30 + id % 40 AS e FROM iv WHERE p = '1-URGENT'), k AS (SELECT DISTINCT iv.sample, c.id, ['HOM_REF', 'HET', 'HOM_INV'][((iv.sample + c.id) % 3 + 1)::INT] AS l FROM iv JOIN c ON c.chrom = iv.chrom WHERE iv.st = 'P' AND (iv.sample + c.id) % 4 > 0),
+c AS (SELECT id, CASE WHEN id % 2 = 1 THEN id - 1 END AS parent, chrom, s, s + 30 + id % 40 AS e FROM iv WHERE p = '1-URGENT'), k AS (SELECT DISTINCT iv.sample, c.id, ['HOM_REF', 'HET', 'HOM_INV'][((iv.sample + c.id) % 3 + 1)::INT] AS l FROM iv JOIN c ON c.chrom = iv.chrom AND iv.s BETWEEN c.s AND c.e WHERE (iv.sample + c.id) % 4 > 0),
 h AS (SELECT iv.id AS pt, iv.sample, first(c.id ORDER BY c.e - c.s, c.id) AS cid FROM iv JOIN c ON c.chrom = iv.chrom AND iv.s BETWEEN c.s AND c.e JOIN k ON k.sample = iv.sample AND k.id = c.id GROUP BY ALL)
 SELECT h.pt AS point_id, h.cid AS candidate_id, k.l AS label, c.parent AS parent_id, q.l AS parent_label FROM h JOIN k ON k.sample = h.sample AND k.id = h.cid JOIN c ON c.id = h.cid LEFT JOIN k q ON q.sample = h.sample AND q.id = c.parent""")
 def effective_labels(spark, d):
@@ -568,7 +568,7 @@ def effective_labels(spark, d):
     i = F.col("interval_id")
     points = iv.select(i.alias("point_id"), F.col("o_custkey").alias("sample"), "chrom", F.col("start").alias("pos"))
     candidates = iv.filter("priority = '1-URGENT'").select(i.alias("candidate_id"), F.when(i % 2 == 1, i - 1).alias("parent_id"), "chrom", "start", (F.col("start") + 30 + i % 40).alias("end"))
-    seen = iv.filter("status = 'P'").select("chrom", F.col("o_custkey").alias("sample")).distinct().join(candidates.select("chrom", "candidate_id"), "chrom")
+    seen = intervals.points_in(points, candidates, 64).select("sample", "candidate_id").distinct()  # samples have labels where they have a place
     n = F.col("sample") + F.col("candidate_id")
     calls = seen.filter(n % 4 > 0).select("sample", "candidate_id", F.get(F.array(F.lit("HOM_REF"), F.lit("HET"), F.lit("HOM_INV")), (n % 3).cast("int")).alias("label"))
     return intervals.effective_labels(points, candidates, calls, 64)
