@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtally.operators import ranges
+
 
 def frequency_band(freq: Column) -> Column:
     """rare, low, intermediate, high or nearly_fixed; each band holds its lower bound."""
@@ -112,8 +114,8 @@ def event_class(longest_bp: Column, tracts: Column) -> Column:
 
 def label_stats(rows: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
     """Per key: labels, switches in order, distinct labels, and the entropy of the labels in nats."""
-    w = Window.partitionBy(key).orderBy(*order)
-    switched = rows.withColumn("_s", (F.lag(label).over(w).isNotNull() & (F.lag(label).over(w) != F.col(label))).cast("int"))
+    dealt = ranges.with_previous(ranges.ranged(rows, [key], order), [key], order, F.col(label), "_before")
+    switched = dealt.withColumn("_s", (F.col("_before.v").isNotNull() & (F.col("_before.v") != F.col(label))).cast("int"))
     counts = switched.groupBy(key, label).agg(F.count("*").alias("n"), F.sum("_s").alias("s"))
     total = counts.groupBy(key).agg(F.sum("n").cast("long").alias("n"), F.sum("s").cast("long").alias("switches"), F.count("*").alias("n_labels"), F.sum((F.col("n") * F.ln("n")).cast("decimal(38,9)")).cast("double").alias("nln"))
     return total.select(key, "n", "switches", "n_labels", (F.ln("n") - F.col("nln") / F.col("n")).alias("entropy"))
@@ -142,8 +144,12 @@ def confidence_tier(a: Column, b: Column, c: Column, d: Column, c_tested: Column
 
 def thirds(rows: DataFrame, by: str, value: str, tie: str) -> DataFrame:
     """Adds the third (1 to 3) of each row in its group and its percent rank."""
-    w = Window.partitionBy(by)
-    return rows.withColumn("third", F.ntile(3).over(w.orderBy(value, tie))).withColumn("rank_share", F.percent_rank().over(w.orderBy(value)))
+    placed = ranges.with_place(ranges.ranged(rows, [by], [value, tie]), [by], [value, tie], "_place", "_of")
+    # the rank of equal values is the place of their first; they may lie in several ranges
+    firsts = placed.groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.min("_place").alias("_first"))
+    joined = placed.join(firsts, F.col(by).eqNullSafe(F.col("_by")) & F.col(value).eqNullSafe(F.col("_value")))
+    share = F.when(F.col("_of") > 1, (F.col("_first") - 1) / (F.col("_of") - 1)).otherwise(0.0)
+    return joined.select(*rows.columns, ranges.tile(F.col("_place"), F.col("_of"), 3).alias("third"), share.alias("rank_share"))
 
 
 def stale(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtally.operators import ranges
+
 
 def dosage_code(cell: Column) -> Column:
     """A genotype cell as 0, 1 or 2, and -1 for anything else."""
@@ -108,7 +110,10 @@ def pair_r2(dosages: DataFrame, reach: int) -> DataFrame:
 
 def ld_summary(pairs: DataFrame) -> DataFrame:
     """Per group: pairs, median r2, share above 0.8, and the median of each tenth of distances as decay_1 to decay_10."""
-    known = pairs.filter("r2 is not null").withColumn("tenth", F.ntile(10).over(Window.partitionBy("group_name").orderBy(F.col("site_b") - F.col("site_a"), "site_a")))
+    order = ["_apart", "site_a"]
+    dealt = ranges.ranged(pairs.filter("r2 is not null").withColumn("_apart", F.col("site_b") - F.col("site_a")), ["group_name"], order)
+    placed = ranges.with_place(dealt, ["group_name"], order, "_place", "_of")
+    known = placed.withColumn("tenth", ranges.tile(F.col("_place"), F.col("_of"), 10))
     over = known.groupBy("group_name").agg(F.count("*").alias("n_pairs"), F.percentile("r2", F.lit(0.5)).alias("median_r2"), (F.sum((F.col("r2") > 0.8).cast("int")) / F.count("*")).alias("share_above_08"))
     decay = known.groupBy("group_name").pivot("tenth", list(range(1, 11))).agg(F.percentile("r2", F.lit(0.5)))
     return over.join(decay.select("group_name", *(F.col(str(i)).alias(f"decay_{i}") for i in range(1, 11))), "group_name")
