@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridtally.session import work_folder
-from gridtally.llm.texts import FlatWords, fresh, mix, releasing, text_slices, word_count
+from gridtally.llm.texts import FlatWords, fresh, mix, releasing, text_slices
 
 SHINGLE, WINDOW, LEAST_WORDS = 25, 25, 25
 SLICE_CHARS = 1_000_000
@@ -197,7 +198,13 @@ def _gone(words: np.ndarray, prints: np.ndarray, found: list) -> np.ndarray:
 
 def drop_repeats(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """docs with later repeated runs deleted from text; all other columns as they are."""
+    return _dropped(docs, drop_emptied).select(*docs.columns)
+
+
+def _dropped(docs: DataFrame, drop_emptied: bool, counted: str | None = None) -> DataFrame:
+    """docs without their repeats; with `counted`, a column of that name has the number of words that each lost."""
     names = docs.columns
+    schema = StructType([*docs.schema.fields, *([StructField(counted, LongType())] if counted else [])])
     key, hits = fresh(names, "_doc"), fresh(names, "_found")
     folder = work_folder(docs.sparkSession)
     matches(docs).select(F.col("doc").alias(key), F.col("found").alias(hits)).write.parquet(f"{folder}/found")
@@ -208,35 +215,36 @@ def drop_repeats(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_CHARS):
-                out, kept = _without(texts, part.column(len(names)).to_pylist(), part.column(at))
-                columns = [part.column(i) for i in range(len(names))]
+                out, kept, lost = _without(texts, part.column(len(names)).to_pylist(), part.column(at))
+                columns = [part.column(i) for i in range(len(names))] + ([pa.array(lost, pa.int64())] if counted else [])
                 columns[at] = pa.array(out, pa.string())
-                new = pa.RecordBatch.from_arrays(columns, names)
+                new = pa.RecordBatch.from_arrays(columns, schema.names)
                 yield new.filter(pa.array(kept)) if drop_emptied else new
 
     ids = found.select(key)
     if ids.count() > BROADCAST_IDS:
-        return docs.join(found, own(found), "left").select(*names, hits).mapInArrow(releasing(run), docs.schema)
+        return docs.join(found, own(found), "left").select(*names, hits).mapInArrow(releasing(run), schema)
     # only texts with something to delete are shuffled
     ids = F.broadcast(ids)
     hit = docs.join(ids, own(ids), "left_semi")
-    changed = hit.join(found, F.coalesce(hit["doc_id"].cast("long"), F.lit(FIRST)) == found[key]).select(*names, hits).mapInArrow(releasing(run), docs.schema)
-    return docs.join(ids, own(ids), "left_anti").select(*names).union(changed)
+    changed = hit.join(found, F.coalesce(hit["doc_id"].cast("long"), F.lit(FIRST)) == found[key]).select(*names, hits).mapInArrow(releasing(run), schema)
+    none = [F.lit(0).cast("long").alias(counted)] if counted else []
+    return docs.join(ids, own(ids), "left_anti").select(*names, *none).union(changed)
 
 
 def deletions(docs: DataFrame) -> DataFrame:
     """(doc_id, n_deleted, text_sha256): the words that each document loses and the digest of what is left, null for a null text."""
-    out = drop_repeats(docs.select("doc_id", "text", word_count("text").alias("n_words")), drop_emptied=False)
-    return out.select("doc_id", (F.col("n_words") - word_count("text")).alias("n_deleted"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    out = _dropped(docs.select("doc_id", "text"), drop_emptied=False, counted="n_deleted")
+    return out.select("doc_id", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-def _without(texts: list[str], found: list, column) -> tuple[list, list[bool]]:
-    """The texts without their repeated runs, and whether any word is left that was there."""
+def _without(texts: list[str], found: list, column) -> tuple[list, list[bool], list[int]]:
+    """The texts without their repeated runs, whether any word is left that was there, and the words that went."""
     out: list = column.to_pylist()
-    kept = [True] * len(out)
+    kept, lost = [True] * len(out), [0] * len(out)
     hit = [i for i, f in enumerate(found) if f]
     if not hit:
-        return out, kept
+        return out, kept, lost
     units = Prints([texts[i] for i in hit])
     words, each = units.words, units.hash.view(np.int64)
     text_start = np.concatenate(([0], words.text_ends[:-1]))
@@ -245,6 +253,7 @@ def _without(texts: list[str], found: list, column) -> tuple[list, list[bool]]:
         gone = _gone(each[lo:hi], units.print[lo : max(lo, hi - SHINGLE + 1)].view(np.int64), found[i])
         if not gone.any():
             continue
+        lost[i] = int(gone.sum())
         if gone.all():
             out[i], kept[i] = "", False
             continue
@@ -259,4 +268,4 @@ def _without(texts: list[str], found: list, column) -> tuple[list, list[bool]]:
                 parts.append(b"\n")
         parts.append(raw[at:])
         out[i] = b"".join(parts).decode("utf-8", "surrogatepass")
-    return out, kept
+    return out, kept, lost
