@@ -8,7 +8,7 @@ to the container around it as long as that adds headings and content alone. What
 of the region are returned; where only the page itself holds the content, they reach from the first to
 the last line of content. No element is taken for the article by its name.
 
-Elements, roles and class words only veto: what they surely name (menus, forms, adverts, comments) goes,
+Elements, roles and class names only veto: what they surely name (menus, forms, adverts, comments) goes,
 and what they may name (WEAK, as a box of tags) goes if its own ratio is below the
 threshold. A line that is mostly links goes if its smoothed ratio is below it.
 
@@ -43,11 +43,13 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of a class, id or role that tell of anything but the article, and those that may.
 STRONG = frozenset("ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup sponsor sponsored sponsors subscribe widget widgets".split())
 WEAK = frozenset("banner caption form header login reply search skip social tags toc toolbar".split())
+#: Words that name a box or its place: what stands before them says what the box holds.
+BOXES = WEAK | frozenset("area articles bar block body bottom box button buttons card cards col column container content entry feed grid group head holder icons inner item items label left link links list main module outer overlay panel posts primary region right row secondary section slot stories tab text thread title toggle top unit wrap wrapper".split())
 #: A class name with one of these says what stands beside the element, not what it is.
 BESIDE = frozenset("has with no not without".split())
 _SPACE = re.compile(r"\s+")
-#: A tag that the end of the page cuts off.
-_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+#: Where a tag begins.
+_TAG = re.compile(r"<[a-zA-Z/!?]")
 _TOKEN = re.compile(r"[^a-z0-9]+")
 
 #: A line of an article's header goes too, but for the headings in it.
@@ -80,7 +82,8 @@ def marks(attrs: list) -> int:
             for word in value.lower().split():
                 tokens = _TOKEN.split(word)
                 if BESIDE.isdisjoint(tokens):
-                    if not STRONG.isdisjoint(tokens):
+                    # a compound is what its last word says, boxes aside: a cookie-notice is a notice, a notice-period none
+                    if next((t for t in reversed(tokens) if t and t not in BOXES and not t.isdigit()), "") in STRONG:
                         return DROP
                     if not WEAK.isdisjoint(tokens):
                         worst = MAYBE
@@ -88,7 +91,10 @@ def marks(attrs: list) -> int:
 
 
 class Page(HTMLParser):
-    """The lines of one page and the containers that they stand in; container 0 is the page itself."""
+    """The lines of one page and the containers that they stand in; container 0 is the page itself.
+
+    It is fed the whole page at once: a comment or section that nothing ends goes to the page's end, which is looked for but once.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -108,6 +114,20 @@ class Page(HTMLParser):
                 self.tags = 0
             self.parts, self.linked = [], 0
 
+    def skipped(self, start: int, end: str) -> int:
+        """Where the text goes on behind the next end."""
+        found = self.rawdata.find(end, start)
+        return len(self.rawdata) if found < 0 else found + len(end)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for short in (">", "->"):  # a comment that ends before it has begun
+            if self.rawdata.startswith(short, i + 4):
+                return i + 4 + len(short)
+        return self.skipped(i + 4, "-->")
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.skipped(i + 3, "]]>" if self.rawdata.startswith("CDATA[", i + 3) else ">")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
@@ -223,7 +243,8 @@ def content_lines(lines: list[Line], parents: list[int], spread: float = SPREAD)
 
 def main_text(html: str) -> str:
     page = Page()
-    page.feed(_CUT_OFF.sub("", html))
+    cut = _TAG.search(html, html.rfind(">") + 1)  # nothing ends what begins behind the last >
+    page.feed(html[: cut.start()] if cut else html)
     page.close()
     page.flush()
     return "\n\n".join(content_lines(page.lines, page.parents))

@@ -108,7 +108,10 @@ class Tokens:
 
 
 def sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """(doc_id, text, label) of the sample: at most SAMPLE_ROWS labelled ids of either label."""
+    """(doc_id, text, label) of the sample: at most SAMPLE_ROWS labelled ids of either label, and 4 * SAMPLE_ROWS rows of them, should ids repeat.
+
+    An id with labels that contradict each other is left out.
+    """
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = None

@@ -185,6 +185,10 @@ def test_quality_bands(spark):
         ('<article><p>' + "The article has a long text. " * 5 + '</p></article><div hidden>h</div><div class="reader-comments">' + "<p>I like it a lot.</p>" * 9 + "</div>", ("The article has a long text. " * 5).strip()),
         ("<i>" * 2100 + '<span class="ad">buy</span>kept', "kept"),
         ('<style>p{}</style><div><button>b</button><p>x</p></div>', "x"),
+        ('<div><p>The terms of the lease are long.</p><p class="notice-period">Thirty days of notice are due.</p><p class="related-work">Others have asked this too.</p></div>', "The terms of the lease are long.\n\nThirty days of notice are due.\n\nOthers have asked this too."),
+        ('<div><p>Words that stay in the page for long.</p><div class="ad-slot-2">buy</div><div class="comment-list">hm</div><p id="cookie-notice">ok?</p></div>', "Words that stay in the page for long."),
+        ("<p>one</p><!-- <p>two</p> --><p>three</p><!--> <p>four</p><![if x]><p>five</p><![CDATA[ six ]]><p>seven</p><!-- eight", "one\n\nthree\n\nfour\n\nfive\n\nseven"),
+        ("<p>one <b and two<c three", "one"),
     ],
 )
 def test_html(html, text):
@@ -247,6 +251,11 @@ def test_html_time_is_linear():
             main_text(html * n + "x")
             took.append(time.process_time() - start)
         assert took[1] < 40 * took[0] + 0.5
+    for unit in ("<a ", "<!--", "<![CDATA[", "</", "<?", "<a b='", "<"):  # what no end ever closes
+        for end in ("", "<p>x", ">"):
+            start = time.process_time()
+            main_text(unit * (1_000_000 // len(unit)) + end)
+            assert time.process_time() - start < 5
 
 
 def test_pages(spark):
