@@ -39,10 +39,25 @@ def byte_letters() -> list[str]:
 
 
 #: Lower-case forms that str.lower() gives by context (sigma), or not yet (letters of Unicode 16 and 17).
-_LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+_LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 _ODD = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
 
+#: Combining marks of later versions of Unicode than the vocabulary's library knows; to it they are letters that nothing is reordered about. U+11930 composes with nothing there.
+_UNORDERED = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b"
+    "\U0001145e\U00011839\U0001183a\U00011930\U0001193d\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44"
+    "\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
+
+
+def composed(text: str) -> str:
+    """NFC by the canonical order that the library knows."""
+    if unicodedata.is_normalized("NFC", text):
+        return text
+    return "".join(unicodedata.normalize("NFC", part) for part in _UNORDERED.split(text))
+
 
 @lru_cache(maxsize=1)
 def piece_pattern() -> re.Pattern:
@@ -99,7 +114,7 @@ class WordBpe:
                 out.append(" " + part)
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
+                    part = composed(part)
                     if _ODD.search(part):
                         part = part.translate(_LOWER)
                 part = part.lower()

@@ -118,3 +118,20 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert encode_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
     assert count_tokens(empty, vocabulary("byte_bpe_50k.json")).count() == 0
+
+
+def test_word_bpe_normalises_as_the_library():
+    """Every combining mark behind and before marks of other classes, and every composition."""
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gridtally.llm.bpe import composed
+
+    nfc = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))).normalizer[0]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in every if unicodedata.combining(c)]
+    texts = [f"q{a}{c}{b}" for c in marks for a, b in (("\u0315", ""), ("", "\u0334"), ("\u0345", "\u0327"), ("\u0301", "\u0301"))]
+    texts += [unicodedata.normalize("NFD", c) for c in every] + [c + "\u0301" for c in every]
+    assert [t for t in texts if nfc.normalize_str(t) != composed(t)] == []
