@@ -278,17 +278,63 @@ def dispatch(questions: DataFrame, states: DataFrame, producers: DataFrame) -> D
     return wanted.join(producers, "product").groupBy("producer").agg(F.array_sort(F.collect_set("product")).alias("products"))
 
 
-def upstream_problems(results: DataFrame, most: int | None = None) -> DataFrame:
-    """(result_id, problem) along input_result_id: 'missing' where a chain names nothing, 'cycle' where it comes back."""
-    known = results.select(F.col("result_id").alias("at"), F.when(F.col("input_result_id") != "", F.col("input_result_id")).alias("next"))
-    walk = known.filter("next is not null").select(F.col("at").alias("result_id"), F.col("next").alias("at"), F.array("at").alias("seen"))
-    out = None
-    for k in _rounds(most):
-        step = checkpointed(walk.join(known, "at", "left_outer").join(known.select("at").withColumn("_known", F.lit(True)), "at", "left"))
-        bad = step.filter("_known is null").select("result_id", F.lit("missing").alias("problem")).union(step.filter(F.array_contains("seen", F.col("at"))).select("result_id", F.lit("cycle")))
-        out = bad if out is None else out.union(bad)
-        out = out if k % UNIONS else checkpointed(out)
-        walk = step.filter(F.col("_known").isNotNull() & ~F.array_contains("seen", F.col("at")) & F.col("next").isNotNull()).select("result_id", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
-        if walk.isEmpty():
+def _inputs(results: DataFrame) -> DataFrame:
+    """(id, next): each result and its input, null where it has none."""
+    return results.select(F.col("result_id").alias("id"), F.when(F.col("input_result_id") != "", F.col("input_result_id")).alias("next")).distinct()
+
+
+def upstream_problems(results: DataFrame) -> DataFrame:
+    """(result_id, problem) along input_result_id: 'missing' where a chain names nothing, 'cycle' where it comes back.
+
+    A round doubles how far every open result looks; what still goes on after as many steps as there are results is in a cycle, or leads to one.
+    """
+    inputs = _inputs(results)
+    ids = checkpointed(inputs.select(F.col("id").alias("next")).distinct().withColumn("known", F.lit(True)))
+    size, reach = ids.count(), 1
+    end = F.when(F.col("next").isNull(), "end").when(F.col("known").isNull(), "missing")
+    state = checkpointed(inputs.join(ids, "next", "left").select("id", F.when(end.isNull(), F.col("next")).alias("to"), end.alias("end")))
+    while reach < size and not (ahead := state.filter("end is null")).isEmpty():
+        further = state.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("end").alias("ends"))
+        stepped = ahead.join(further, "to").select("id", F.col("beyond").alias("to"), F.col("ends").alias("end"))
+        state = checkpointed(state.filter("end is not null").union(stepped).distinct())
+        reach *= 2
+    return state.filter("end is null or end = 'missing'").select(F.col("id").alias("result_id"), F.coalesce("end", F.lit("cycle")).alias("problem")).distinct()
+
+
+def chain_ends(results: DataFrame) -> DataFrame:
+    """(root, leaf, depth) of each chain along input_result_id, from a result without input to one that is no input.
+
+    A result that stands alone is a chain of its own. What hangs on an unknown input or a cycle is in no chain. A round doubles the steps taken.
+    """
+    inputs = checkpointed(_inputs(results))
+    size, reach = inputs.count(), 1
+    root = F.col("next").isNull()
+    state = checkpointed(inputs.select("id", F.coalesce("next", "id").alias("to"), F.when(root, 0).otherwise(1).cast("long").alias("steps"), root.alias("done")))
+    while not (ahead := state.filter("not done")).isEmpty():
+        if reach >= size:
             break
-    return out.distinct()
+        further = state.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        stepped = ahead.join(further, "to").select("id", F.col("beyond").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"))
+        state = checkpointed(state.filter("done").union(stepped))
+        reach *= 2
+    inner = inputs.filter("next is not null").select(F.col("next").alias("id")).distinct()
+    return state.filter("done").join(inner, "id", "left_anti").select(F.col("to").alias("root"), F.col("id").alias("leaf"), F.col("steps").alias("depth"))
+
+
+def chain_members(results: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """(leaf, place, result_id): the results of the chains that end in the given leaves (all, if none are given), root first at place 0.
+
+    A round lists as many more ancestors as there are already, so its work is that of the rows that it adds.
+    """
+    ends = chain_ends(results)
+    ends = checkpointed(ends if leaves is None else ends.join(leaves.select("leaf").distinct(), "leaf", "left_semi"))
+    jumps = checkpointed(_inputs(results).filter("next is not null"))
+    listed, reach = ends.select("leaf", F.col("leaf").alias("node"), F.col("depth").alias("place")), 1
+    while True:
+        more = listed.filter(F.col("place") >= reach).join(jumps, F.col("node") == F.col("id")).select("leaf", F.col("next").alias("node"), (F.col("place") - reach).alias("place"))
+        more = checkpointed(more)
+        if more.isEmpty():
+            return listed.select("leaf", "place", F.col("node").alias("result_id"))
+        listed = checkpointed(listed.union(more))
+        further = jumps.select(F.col("id").alias("next"), F.col("next").alias("beyond"))
+        jumps, reach = checkpointed(jumps.join(further, "next").select("id", F.col("beyond").alias("next"))), reach * 2

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +33,42 @@ def members_digest(sorted_members: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.array_join(sorted_members, "\n"), F.lit("\n")), 256))
 
 
+def _digests(batches):
+    """(set_id, n_members, members_hash) of rows that come by set and member; a set may go on from batch to batch."""
+    current, digest, n = None, None, 0
+    for batch in batches:
+        done = []
+        for key, run in itertools.groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), itemgetter(0)):
+            if digest is None or key != current:
+                if digest is not None:
+                    done.append((current, n, digest))
+                current, digest, n = key, hashlib.sha256(), 0
+            names = [m for _, m in run if m is not None]
+            n += len(names)
+            digest.update("".join(m + "\n" for m in names).encode())
+        yield _digest_rows(done, batch.schema.field(0).type)
+        kind = batch.schema.field(0).type
+    if digest is not None:
+        yield _digest_rows([(current, n, digest)], kind)
+
+
+def _digest_rows(done: list, kind) -> pa.RecordBatch:
+    for _, n, digest in done:
+        if not n:
+            digest.update(b"\n")
+    hashes = pa.array(["sha256:" + d.hexdigest() for _, _, d in done], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in done], kind), pa.array([n for _, n, _ in done], pa.int64()), hashes], ["set_id", "n_members", "members_hash"])
+
+
 def set_ids(members: DataFrame) -> DataFrame:
-    """(set_id, n_members, members_hash, sample_set_id); the id doesn't depend on order or repeats."""
-    listed = members.groupBy("set_id").agg(F.array_sort(F.collect_set("member")).alias("m"))
-    digest = members_digest(F.col("m"))
-    return listed.select("set_id", F.size("m").cast("long").alias("n_members"), digest.alias("members_hash"), F.concat(F.lit("sset_"), F.substring(digest, len("sha256:") + 1, 16)).alias("sample_set_id"))
+    """(set_id, n_members, members_hash, sample_set_id); the id doesn't depend on order or repeats.
+
+    The hash is over all members in order, so a set is read by one task, but as a stream of sorted rows: no set lies whole in memory.
+    """
+    kept = members.select("set_id", F.col("member").cast("string").alias("member")).distinct()
+    in_order = kept.repartition("set_id").sortWithinPartitions("set_id", "member")
+    hashed = in_order.mapInArrow(_digests, f"set_id {dict(kept.dtypes)['set_id']}, n_members long, members_hash string")
+    return hashed.withColumn("sample_set_id", F.concat(F.lit("sset_"), F.substring("members_hash", len("sha256:") + 1, 16)))
 
 
 def canonical_json(value) -> str:

@@ -154,3 +154,29 @@ def test_keys_of_linkage_requests():
 
 def test_shares_of_dropouts():
     assert abs(rules.dropout_share(4.5, 3) - 0.3423) < 1e-4
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 1000
+    deep = [(str(i), "" if i == 0 else str(i - 1)) for i in range(n)]
+    others = [("alone", ""), ("lost", "nowhere"), ("under_lost", "lost"), ("c1", "c2"), ("c2", "c1"), ("tail", "c1"), ("twig", "500"), ("self", "self")]
+    results = spark.createDataFrame(deep + others, "result_id string, input_result_id string")
+    assert rows(graph.chain_ends(results)) == sorted([("0", str(n - 1), n - 1), ("0", "twig", 501), ("alone", "alone", 0)])
+    problems = {"lost": "missing", "under_lost": "missing", "c1": "cycle", "c2": "cycle", "tail": "cycle", "self": "cycle"}
+    assert dict(rows(graph.upstream_problems(results))) == problems
+    asked = spark.createDataFrame([("twig",), ("alone",), ("500",)], "leaf string")
+    expected = [("alone", 0, "alone")] + [("twig", i, str(i)) for i in range(501)] + [("twig", 501, "twig")]
+    assert rows(graph.chain_members(results, asked)) == sorted(expected)
+    assert rows(graph.chain_ends(results.limit(0))) == [] and rows(graph.upstream_problems(results.limit(0))) == [] and rows(graph.chain_members(results.limit(0))) == []
+
+
+def test_set_ids_are_streamed(spark):
+    import hashlib
+
+    from gridtally.operators import sets
+
+    big = [f"m{i:05d}" for i in range(25_000)]
+    data = [("big", m) for m in reversed(big)] + [("b", "x"), ("b", "x"), ("b", None), ("none", None), (None, "é"), (None, "z")]
+    got = {r[0]: (r[1], r[2]) for r in sets.set_ids(spark.createDataFrame(data, "set_id string, member string")).collect()}
+    of = lambda ms: "sha256:" + hashlib.sha256(("\n".join(ms) + "\n").encode()).hexdigest()
+    assert got == {"big": (25_000, of(big)), "b": (1, of(["x"])), "none": (0, of([])), None: (2, of(["z", "é"]))}
