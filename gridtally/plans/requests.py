@@ -76,3 +76,30 @@ class ChunkRequest:
             raise ValueError("cap is 1 to 20000")
         if self.mode not in ("raw", "even"):
             raise ValueError("mode is raw or even")
+
+
+@dataclass(frozen=True)
+class LdRequest:
+    """Linkage in a range of windows (low to high, both in) of 1 to 4 groups of at least 5 samples each, and of a shelf of positions, if one is given."""
+
+    chrom: str
+    window_range: tuple[int, int]
+    groups: dict[str, list[str]]
+    shelf: tuple[int, int] | None = None
+    snp_cap: int = 5000
+    thin_to: int | None = None
+
+    def __post_init__(self):
+        if len(self.window_range) != 2 or self.window_range[0] < 0 or self.window_range[1] < self.window_range[0]:
+            raise ValueError("a range of windows is a low number from 0 on and one not below it")
+        if self.shelf is not None and (len(self.shelf) != 2 or self.shelf[0] >= self.shelf[1]):
+            raise ValueError("a shelf ends behind its start")
+        if not 1 <= len(self.groups) <= 4:
+            raise ValueError("give 1 to 4 groups")
+        for name, ids in self.groups.items():
+            if not name.replace("_", "").isalnum():
+                raise ValueError(f"not a group's name: {name}")
+            if len(ids) < 5:
+                raise ValueError(f"{name} has {len(ids)} samples; 5 are needed")
+        if self.snp_cap < 10:
+            raise ValueError("snp_cap is 10 at least")

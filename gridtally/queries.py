@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally import queries_models, queries_registry, queries_rules  # noqa: F401  they register their queries
+from gridtally import queries_lookups, queries_models, queries_registry, queries_rules  # noqa: F401  they register their queries
 from gridtally.functions import scalars
 from gridtally.operators import graph, intervals, registry, rules, sampling, sets, stats
 from gridtally.projections import chrom_sizes, dosages, event_sites, order_intervals, table
@@ -629,3 +629,27 @@ def characterisation(spark, d):
     k = table(spark, d, "orders").select(F.col("o_custkey").alias("candidate_id"), F.concat(F.lit("q"), (1 + o % 7).cast("string"), F.lit("_"), "o_orderstatus").alias("key"), value.alias("value")).groupBy("candidate_id", "key").agg(F.max("value").alias("value"))
     rule = spark.createDataFrame([("q1", "q1_F", "eq", "1-URGENT", 1), ("q1", "q1_O", "eq", "5-LOW", 1), ("q2", "q2_F", "eq", "3-MEDIUM", 1)], "question string, key string, op string, bound string, weight int")
     return rules.characterised(k, rule)
+
+
+_RESULTS = "r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 31 = 5 THEN 999999999 WHEN p_partkey % 50 = 1 THEN p_partkey + 1 WHEN p_partkey % 50 = 2 THEN p_partkey - 1 WHEN p_partkey % 4 = 3 THEN p_partkey - 1 ELSE p_partkey // 2 END AS nx FROM part)"
+
+
+def _results(spark, d):
+    k = F.col("p_partkey")
+    nxt = F.when(k % 9 == 0, F.lit("")).when(k % 31 == 5, F.lit("999999999")).when(k % 50 == 1, (k + 1).cast("string")).when(k % 50 == 2, (k - 1).cast("string")).when(k % 4 == 3, (k - 1).cast("string")).otherwise(F.floor(k / 2).cast("string"))
+    return table(spark, d, "part").select(k.cast("string").alias("result_id"), nxt.alias("input_result_id"))
+
+
+@query(f"""WITH RECURSIVE {_RESULTS}, w AS (SELECT id AS root, id AS pos, 0::BIGINT AS depth FROM r WHERE nx IS NULL UNION ALL SELECT root, r.id, depth + 1 FROM w JOIN r ON r.nx = w.pos)
+SELECT root::VARCHAR AS root, pos::VARCHAR AS leaf, depth FROM w WHERE pos NOT IN (SELECT nx FROM r WHERE nx IS NOT NULL)""")
+def result_chain_ends(spark, d):
+    """Roots and leaves of all chains of results; those that stand alone too, nothing behind an unknown input or a cycle."""
+    return graph.chain_ends(_results(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_RESULTS}, w AS (SELECT id AS pos, [id] AS path FROM r WHERE nx IS NULL UNION ALL SELECT r.id, list_append(path, r.id) FROM w JOIN r ON r.nx = w.pos),
+ended AS (SELECT pos, path FROM w WHERE pos NOT IN (SELECT nx FROM r WHERE nx IS NOT NULL))
+SELECT pos::VARCHAR AS leaf, k AS place, path[k + 1]::VARCHAR AS result_id FROM ended, unnest(range(0, len(path))) t(k)""")
+def result_chain_members(spark, d):
+    """The results of every chain, root first."""
+    return graph.chain_members(_results(spark, d))

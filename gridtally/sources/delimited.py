@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +76,25 @@ def strings(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines; strict fails on a bad one, else it stays as text in _raw."""
+    """JSON lines; strict fails on a bad one and has no rows where there is no file, else a bad one stays as text in _raw."""
     if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        try:
+            return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
     return spark.read.schema(f"{schema}, _raw string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").json(path)
 
 
+def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with _line, from 1 in each file; a bad one has its text in _raw and what is wrong in _error. Blank lines drop out."""
+    rows = lines(spark, path).filter(F.trim("line") != "")
+    parsed = F.from_json(F.trim("line"), f"{schema}, _raw string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"})
+    read = rows.select(parsed.alias("x"), (F.col("line_no") + 1).alias("_line"), "line")
+    return read.select("x.*", "_line", "line").withColumns({"_error": F.when(F.col("_raw").isNotNull(), "not a JSON object"), "_raw": F.when(F.col("_raw").isNotNull(), F.col("line"))}).drop("line")
+
+
 def window_stats(rows: DataFrame, names: list[str]) -> DataFrame:
     """A statistics table: lines of another width drop out; counts are integers, names strings, the rest finite doubles or null."""
     whole = {"start", "end", "n_sites", "n_sites_used", "S"}
