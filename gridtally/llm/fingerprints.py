@@ -61,30 +61,35 @@ def collisions(docs: DataFrame) -> DataFrame:
     return held.join(least, "print").filter("canon <> least").select("print", F.sha2("canon", 256).alias("digest")).distinct()
 
 
-def _ranged(docs: DataFrame) -> DataFrame:
-    """docs with key and range, where lower ids are in lower ranges."""
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
+
+
+def _range_of(keyed: DataFrame) -> Column:
+    """The range of a key, where lower ids are in lower ranges."""
     n = keyed.count()
     ranges = max(1, min(MOST_RANGES, math.ceil(n / PER_RANGE)))
     bounds = keyed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
     bounds = sorted(set(bounds or []))
     if not bounds:
-        return keyed.withColumn("range", F.lit(0))
+        return F.lit(0)
     steps = [2**k for k in reversed(range(len(bounds).bit_length()))]
     listed = F.lit(bounds)
-    place = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(listed, at + step - 1) < F.col("key")), at + step).otherwise(at))
-    return keyed.withColumn("range", place)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(listed, at + step - 1) < F.col("key")), at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, print, next_text, next_print): each row beside the next in descending doc_id, the first after the last."""
-    rows = _ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    heads = checkpointed(rows.groupBy("range").agg(F.max("key").alias("key")))
+    rows = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    range_ = _range_of(rows)
+    heads = checkpointed(rows.groupBy(range_.alias("range")).agg(F.max("key").alias("key")))
     first = rows.select("key", "text").join(F.broadcast(heads.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     down = Window.orderBy(F.desc("range"))  # over ranges, at most MOST_RANGES rows
     top = F.first("key").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     guards = heads.select("range", F.coalesce(F.lead("key").over(down), top).alias("key")).join(first, "key")
-    both = rows.withColumn("guard", F.lit(0)).unionByName(guards.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", "key", "range", F.lit(1).alias("guard")))
+    both = rows.withColumns({"guard": F.lit(0), "range": F.lit(None).cast("int")}).unionByName(guards.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", "key", F.lit(1).alias("guard"), "range"))
+    # after the union: a union whose side derives its range by a lambda fails in the optimizer ("key not found") in some sessions
+    both = both.withColumn("range", F.coalesce("range", range_))
     both = both.withColumn("canon", canonical(F.col("text"))).withColumn("print", wide_hash(F.col("canon"))).drop("canon")
     order = Window.partitionBy("range").orderBy("guard", F.desc("key"), "text")
     return both.withColumns({"next_text": F.lead("text").over(order), "next_print": F.lead("print").over(order)}).filter("guard = 0").select("doc_id", "text", "print", "next_text", "next_print")

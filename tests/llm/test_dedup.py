@@ -221,3 +221,24 @@ def test_ranges_of_next_documents(spark, monkeypatch):
     rows = [(i * i, f"t{i}") for i in range(100)]
     got = {r.doc_id: r.next_text for r in module.with_next(docs(spark, rows)).collect()}
     assert got == {i * i: f"t{(i - 1) % 100}" for i in range(100)}
+
+
+def test_fingerprints_plan_in_a_new_session():
+    """Several ranges as the first query of a session: the optimizer failed there with "key not found"."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    code = """
+import sys
+from gridtally.session import session
+from gridtally.llm import fingerprints
+fingerprints.PER_RANGE = 250
+s = session("local[2]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": sys.argv[1]})
+rows = fingerprints.with_next(s.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "next_text").collect()
+print("rows", len(rows))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code, tempfile.mkdtemp(prefix="spark-")], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "rows 1000" in done.stdout, done.stderr[-2000:]
