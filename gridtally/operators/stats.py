@@ -7,6 +7,7 @@ averages (Bhatia et al. 2013). KING-robust kinship follows Manichaikul et al. (2
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from gridtally.operators import ranges
 
+#: Pairs of samples at a site that one task makes or counts.
+PAIRS_PER_TASK = 1_000_000
+
 
 def dosage_code(cell: Column) -> Column:
     """A genotype cell as 0, 1 or 2, and -1 for anything else."""
@@ -193,20 +197,25 @@ def mendel_errors(dosages: DataFrame, trios: DataFrame) -> DataFrame:
     return sums.withColumn("rate", F.col("n_errors") / F.col("n_sites"))
 
 
-def king(dosages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def king(dosages: DataFrame, pairs: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Per pair of samples: sites called in both, IBS counts, and KING-robust kinship.
 
     Without pairs (a, b) all come from a self-join on the site, rows in the square of a site's called samples: a panel of samples
-    is bounded, sites are not. With pairs only theirs are made.
+    is bounded, sites are not. With `within`, columns of dosages, only samples that are equal there are paired, before any pair is made. With pairs
+    only theirs are made. Tasks grow in number with the pairs at all sites, so that the groups that one task holds don't grow.
     """
     g = dosages.filter("dosage >= 0")
-    a = g.select("site", F.col("sample").alias("a"), F.col("dosage").alias("x"))
-    b = g.select("site", F.col("sample").alias("b"), F.col("dosage").alias("y"))
-    if pairs is not None:
-        a = a.join(pairs.filter("a < b").select("a", "b").distinct(), "a")
+    on = ["site", *within]
+    a = g.select(*on, F.col("sample").alias("a"), F.col("dosage").alias("x"))
+    b = g.select(*on, F.col("sample").alias("b"), F.col("dosage").alias("y"))
+    if pairs is None:
+        met = g.groupBy(*on).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        tasks = max(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(met / PAIRS_PER_TASK))
+        both = a.repartition(tasks, *on).join(b.repartition(tasks, *on), on).filter("a < b").select("a", "b", "x", "y").repartition(tasks, "a", "b")
+    else:
+        both = a.join(pairs.filter("a < b").select("a", "b").distinct(), "a").join(b, ["site", "b"])
     count = lambda c: F.sum(c.cast("int")).cast("long")
     gap = F.abs(F.col("x") - F.col("y"))
-    both = a.join(b, "site").filter("a < b") if pairs is None else a.join(b, ["site", "b"])
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n_sites"), count(gap == 2).alias("ibs0"), count(gap == 1).alias("ibs1"), count(gap == 0).alias("ibs2"), count((F.col("x") == 1) & (F.col("y") == 1)).alias("both_het"), count(F.col("x") == 1).alias("het_a"), count(F.col("y") == 1).alias("het_b"))
     return sums.select("a", "b", "n_sites", "ibs0", "ibs1", "ibs2", F.when(F.col("het_a") + F.col("het_b") > 0, (F.col("both_het") - 2 * F.col("ibs0")) / (F.col("het_a") + F.col("het_b"))).alias("king"))
 

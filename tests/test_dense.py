@@ -39,3 +39,19 @@ def test_ruled_labels_are_effective_labels_of_the_calls_that_the_rule_makes(spar
     calls = seen.filter(allowed(F.col("sample"), F.col("candidate_id"))).withColumn("label", label(F.col("sample"), F.col("candidate_id")))
     want = sorted(map(str, intervals.effective_labels(points, spans, calls, 64).collect()))
     assert sorted(map(str, intervals.ruled_labels(points, spans, 4, allowed, label).collect())) == want and len(want) > 100
+
+
+def test_king_within_pairs_only_equals_and_deals_pairs_out(spark, monkeypatch):
+    from gridtally.operators import stats
+
+    rng = random.Random(4)
+    calls = [(s, site, rng.randrange(3), s % 3) for s in range(24) for site in range(20) if rng.random() < 0.8]
+    df = spark.createDataFrame(calls, "sample long, site long, dosage int, nation long")
+    every = {(r.a, r.b): r for r in stats.king(df).collect()}
+    got = {(r.a, r.b): r for r in stats.king(df, within=["nation"]).collect()}
+    assert got == {k: v for k, v in every.items() if k[0] % 3 == k[1] % 3} and len(got) == 84
+    # pairs at a site in hundreds: so many tasks, whatever the session's number
+    monkeypatch.setattr(stats, "PAIRS_PER_TASK", 100)
+    many = stats.king(df)
+    assert "RepartitionByExpression [a#" in many._jdf.queryExecution().optimizedPlan().toString() and many.rdd.getNumPartitions() > 30
+    assert {(r.a, r.b): r for r in many.collect()} == every
