@@ -128,7 +128,10 @@ def estimands(asked: DataFrame, preconditions: DataFrame, products: DataFrame, l
     """
     met = lambda rows, kind, key, column, *good: rows.filter(F.col(column).isin(*good)).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
     ok = met(products, "product", "product", "state", "ready", "validated", "available").union(met(layers, "layer", "layer", "state", *DONE)).union(met(attributes, "sample_attribute", "attribute", "status", "known", "covered"))
-    seen = preconditions.join(ok.distinct().withColumn("met", F.lit(True)), ["kind", "id"], "left")
+    # rows without a kind or an id meet nothing, and as equal keys they would all meet in one task
+    named = F.col("kind").isNotNull() & F.col("id").isNotNull()
+    seen = preconditions.filter(named).join(ok.distinct().withColumn("met", F.lit(True)), ["kind", "id"], "left")
+    seen = seen.unionByName(preconditions.filter(~named).withColumn("met", F.lit(None).cast("boolean")))
     unmet = F.col("met").isNull() & F.col("kind").isNotNull()
     required = F.coalesce("required", F.lit(True))
     agg = seen.groupBy("estimand").agg(_any(unmet & required).alias("missing"), _any(unmet & ~required).alias("soft"), _any(unmet & required & (F.col("kind") == "sample_attribute")).alias("extra"))

@@ -55,3 +55,16 @@ def test_king_within_pairs_only_equals_and_deals_pairs_out(spark, monkeypatch):
     many = stats.king(df)
     assert "RepartitionByExpression [a#" in many._jdf.queryExecution().optimizedPlan().toString() and many.rdd.getNumPartitions() > 30
     assert {(r.a, r.b): r for r in many.collect()} == every
+
+
+def test_estimands_join_no_rows_without_a_kind(spark):
+    """As equal keys of an outer join such rows would all meet in one task."""
+    from gridtally.operators import states
+
+    asked = spark.createDataFrame([(i,) for i in range(6)], "estimand long")
+    rows = [(0, None, None, True), (1, "product", 1, True), (1, None, None, True), (2, "product", None, False), (3, "layer", 9, True), (4, "sample_attribute", None, True)]
+    wanted = spark.createDataFrame(rows, "estimand long, kind string, id long, required boolean")
+    found = states.estimands(asked, wanted, spark.createDataFrame([(1, "ready")], "product long, state string"), spark.createDataFrame([(1, "RESOLVED")], "layer long, state string"), spark.createDataFrame([(1, "known")], "attribute long, status string"))
+    assert {r.estimand: r.state for r in found.collect()} == {0: "estimable", 1: "estimable", 2: "partially_estimable", 3: "not_estimable", 4: "needs_extra_data", 5: "not_estimable"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(kind#" in plan and "Union" in plan
