@@ -9,6 +9,8 @@ the trios; that also tells parents from offspring.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +48,16 @@ def candidate_trios(kin: DataFrame, most_ibs0: float = 0.005) -> DataFrame:
     return pairs.join(both, ["c", "p", "q"], "left_anti").select(F.col("c").alias("offspring"), F.col("p").alias("parent1"), F.col("q").alias("parent2"))
 
 
-def pedigree(kin: DataFrame, dosages: DataFrame, most_errors: float = 0.01, most_ibs0: float = 0.005) -> DataFrame:
+def pedigree(kin: DataFrame, dosages, most_errors: float = 0.01, most_ibs0: float = 0.005, errors: Callable = mendel_errors) -> DataFrame:
     """(offspring, parent1, parent2, n_sites, n_errors, family): each sample's best pair of parents, where one is good enough.
 
     Of a sample's trios the one with the least share of errors counts (then of the least parents), if it is at most most_errors. A trio falls if
-    another one has one of its edges the other way round with a lesser share. family is the least sample of a family's.
+    another one has one of its edges the other way round with a lesser share. family is the least sample of a family's. errors scores trios on
+    dosages: by a row a call, or by packed.mendel_errors on bitmaps.
     """
     trios = candidate_trios(kin, most_ibs0)
     trios = trios.withColumn("trio_id", F.struct("offspring", "parent1", "parent2"))
-    scored = mendel_errors(dosages, trios).filter(F.col("rate") <= most_errors)
+    scored = errors(dosages, trios).filter(F.col("rate") <= most_errors)
     best = scored.groupBy("offspring").agg(F.min(F.struct("rate", "parent1", "parent2", "n_sites", "n_errors")).alias("t")).select("offspring", "t.*")
     best = checkpointed(best)
     edges = best.select("offspring", F.explode(F.array("parent1", "parent2")).alias("parent"), "rate")
