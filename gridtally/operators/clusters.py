@@ -32,15 +32,16 @@ def _placed(points: DataFrame, centres: DataFrame, broadcast: bool) -> DataFrame
     """points with at, the place of the nearest centre, the first on a tie, and away, its squared distance."""
     joined = points.join(F.broadcast(centres) if broadcast else centres, "group")
     near = F.array_min(F.transform("centres", lambda c, i: F.struct(F.abs(F.col("x") - c).alias("d"), i.alias("at"))))
-    return joined.select("group", "id", "x", near["at"].alias("at"), (near["d"] * near["d"]).alias("away"))
+    return joined.select(*points.columns, near["at"].alias("at"), (near["d"] * near["d"]).alias("away"))
 
 
 def lloyd(points: DataFrame, centres: DataFrame, rounds: int = 300) -> DataFrame:
     """(group, centres) where no point of (group, id, x) changes its centre any more; raises if one does after `rounds`.
 
-    A round is one aggregation over the groups that still move, by partial sums, so that a large group is many tasks. A centre
-    without points stays where it is.
+    A round is one aggregation over the groups that still move, by partial sums, so that a large group is many tasks. Points are written
+    once, so that no round makes them again. A centre without points stays where it is.
     """
+    points = checkpointed(points.select("group", "x"))
     open_ = checkpointed(centres.select("group", "centres"))
     left, done = open_.count(), []
     small = left <= BROADCAST_GROUPS

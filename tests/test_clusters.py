@@ -61,3 +61,17 @@ def test_persistence(spark):
     assert sorted(tuple(r) for r in clusters.persistent_carriers(df).collect()) == [("c", "a"), ("c", "b"), ("d", "y"), ("d", "z")]
     got = {r.candidate: tuple(r)[1:] for r in clusters.carrier_scores(df).collect()}
     assert got == {"c": (3, 1, 1, 0.5), "d": (1, 1, 0, 1.0), "e": (1, 0, 0, None)}
+
+
+def test_points_are_made_once(spark):
+    """Each round made the points again, with the joins that they come from."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    p = spark.createDataFrame([("g", i, float(i * i)) for i in range(50)], "group string, id long, x double").mapInPandas(counted, "group string, id long, x double")
+    out = clusters.lloyd(p, spark.createDataFrame([("g", [0.0, 1.0])], "group string, centres array<double>")).collect()
+    assert len(out) == 1 and made.value == 50
