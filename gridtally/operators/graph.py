@@ -58,10 +58,11 @@ def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
     users = edges.select("src").distinct().count()
     found = front = starts.select(F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
     rounds = _rounds(most)
+    sorted_edges = edges.hint("merge")  # neither side goes through the driver, small as it may look to a round
     while True:
         batch = []
         for depth in itertools.islice(rounds, LEVELS):  # written together, in one job
-            front = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+            front = front.join(sorted_edges, front["node"] == sorted_edges["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
             batch.append(front)
         written = checkpointed(reduce(DataFrame.union, batch))
         front = written.filter(F.col("depth") == depth)
