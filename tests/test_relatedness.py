@@ -77,3 +77,23 @@ def test_fifty_pairs_as_a_plain_loop(spark, monkeypatch):
 def test_frequencies(spark):
     gl = spark.createDataFrame([(1, 7, 1.0, 0.0, 0.0), (2, 7, 0.0, 0.0, 2.0), (3, 7, 0.0, 0.0, 0.0), (1, 8, 0.0, 0.0, 0.0)], COLUMNS)
     assert [tuple(r) for r in relatedness.allele_frequencies(gl).collect()] == [(7, 0.5)]
+
+
+def test_short_pairs_stay_whole_among_many_sites(spark, monkeypatch):
+    monkeypatch.setattr(relatedness, "BLOCK", 50)
+    monkeypatch.setattr(relatedness, "PAIRS_A_TASK", 2)
+    rows, freq = family()
+    rows = [r for r in rows if r[0] < 3 or r[1] % 40 == 0]  # three samples of all sites, ten of a few
+    pairs = [(0, 1), (1, 2), (3, 4), (4, 5), (0, 6), (10, 11), (12, 12)]
+    gl, fr = spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(list(freq.items()), "site long, freq double")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    blocks = {}
+    for r in relatedness._pair_blocks(gl, fr, asked).collect():
+        blocks.setdefault((r.a, r.b), []).append(len(r.rows) // 3)
+    assert set(blocks) == set(pairs) and all(len(blocks[p]) == 1 for p in pairs[2:]) and all(len(blocks[p]) > 4 for p in pairs[:2])
+    got = {(r.a, r.b): r for r in relatedness.relatedness(gl, fr, asked).collect()}
+    for a, b in pairs:
+        n, w = plain(rows, freq, a, b)
+        assert got[a, b].n_sites == n == sum(blocks[a, b]) and np.abs(w - [got[a, b].k0, got[a, b].k1, got[a, b].k2]).max() < 2e-4
+    with pytest.raises(RuntimeError, match="settled"):
+        relatedness.relatedness(gl, fr, asked.filter("a = 10"), rounds=1)
