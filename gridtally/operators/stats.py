@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtally.operators import ranges
+from gridtally.session import checkpointed
 
 #: Pairs of samples at a site that one task makes or counts.
 PAIRS_PER_TASK = 1_000_000
+#: Blocks of up to so many samples are broadcast.
+BROADCAST_SAMPLES = 1_000_000
 
 
 def dosage_code(cell: Column) -> Column:
@@ -200,26 +203,62 @@ def mendel_errors(dosages: DataFrame, trios: DataFrame) -> DataFrame:
 def king(dosages: DataFrame, pairs: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Per pair of samples: sites called in both, IBS counts, and KING-robust kinship.
 
-    Without pairs (a, b) all come from a self-join on the site, rows in the square of a site's called samples: a panel of samples
-    is bounded, sites are not. With `within`, columns of dosages, only samples that are equal there are paired, before any pair is made. With pairs
-    only theirs are made. Tasks grow in number with the pairs at all sites, so that the groups that one task holds don't grow.
+    Without pairs (a, b) all come from a site's calls, in the square of its called samples: a panel of samples is bounded, sites are not. They are
+    made where they are counted (`_met`). With `within`, columns of dosages, only samples that are equal there are paired, before any pair is made.
+    With pairs only theirs are made.
     """
     g = dosages.filter("dosage >= 0")
-    on = ["site", *within]
-    a = g.select(*on, F.col("sample").alias("a"), F.col("dosage").alias("x"))
-    b = g.select(*on, F.col("sample").alias("b"), F.col("dosage").alias("y"))
+    by = ["a", "b"]
     if pairs is None:
-        met = g.groupBy(*on).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        tasks = max(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(met / PAIRS_PER_TASK))
-        both = a.repartition(tasks, *on).join(b.repartition(tasks, *on), on).filter("a < b").select("a", "b", "x", "y").repartition(tasks, "a", "b")
+        both, by = _met(g, ["site", *within])
     else:
+        a = g.select("site", F.col("sample").alias("a"), F.col("dosage").alias("x"))
+        b = g.select("site", F.col("sample").alias("b"), F.col("dosage").alias("y"))
         both = a.join(pairs.filter("a < b").select("a", "b").distinct(), "a").join(b, ["site", "b"])
     count = lambda c: F.sum(c.cast("int")).cast("long")
     gap = F.abs(F.col("x") - F.col("y"))
-    sums = both.groupBy("a", "b").agg(F.count("*").alias("n_sites"), count(gap == 2).alias("ibs0"), count(gap == 1).alias("ibs1"), count(gap == 0).alias("ibs2"), count((F.col("x") == 1) & (F.col("y") == 1)).alias("both_het"), count(F.col("x") == 1).alias("het_a"), count(F.col("y") == 1).alias("het_b"))
+    sums = both.groupBy(*by).agg(F.count("*").alias("n_sites"), count(gap == 2).alias("ibs0"), count(gap == 1).alias("ibs1"), count(gap == 0).alias("ibs2"), count((F.col("x") == 1) & (F.col("y") == 1)).alias("both_het"), count(F.col("x") == 1).alias("het_a"), count(F.col("y") == 1).alias("het_b"))
     return sums.select("a", "b", "n_sites", "ibs0", "ibs1", "ibs2", F.when(F.col("het_a") + F.col("het_b") > 0, (F.col("both_het") - 2 * F.col("ibs0")) / (F.col("het_a") + F.col("het_b"))).alias("king"))
 
 
+def _met(calls: DataFrame, on: list[str]) -> tuple[DataFrame, list[str]]:
+    """All pairs (a, x, b, y), a < b, of calls that are equal in on, and the columns that tell pairs apart where they lie.
+
+    What is shuffled are lists of calls and not pairs. Samples in order are cut into blocks of about PAIRS_PER_TASK pairs by their counts; a block gets
+    of each site its own calls and those of greater samples, so a list is shared by the block's samples. A sample with more pairs alone is dealt by b
+    over parts. Tasks grow in number with the pairs, so that the groups that one task holds don't grow.
+    """
+    calls = calls.select(*on, "sample", "dosage").dropna(subset=[*on, "sample"])
+    n = F.count("*").over(Window.partitionBy(*on))
+    # each pair counts for both of its samples, so a block has between none and twice its share as a
+    loads = calls.select("sample", (n - 1).alias("_load")).groupBy("sample").agg(F.sum("_load").alias("_load")).filter("_load > 0")
+    placed = checkpointed(ranges.with_running(ranges.ranged(loads, [], ["sample"]), [], ["sample"], F.col("_load"), "_upto"))
+    met, samples = placed.agg(F.sum("_load") / 2, F.count("*")).first()
+    tasks = max(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((met or 0) / PAIRS_PER_TASK))
+    share = 2 * PAIRS_PER_TASK
+    whole = Window.partitionBy("_block")
+    # the block is named by its first sample
+    blocks = placed.withColumn("_block", F.floor((F.col("_upto") - F.col("_load")) / share)).select("sample", F.min("sample").over(whole).alias("_block"), F.greatest(F.floor(F.sum("_load").over(whole) / share), F.lit(1)).alias("_parts"))
+    blocks = F.broadcast(blocks) if samples <= BROADCAST_SAMPLES else blocks
+    sites = calls.join(blocks, "sample").groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("sample", "dosage", "_block", "_parts"))).alias("_calls"))
+    sites = sites.withColumn("_blocks", F.array_distinct("_calls._block"))
+    at = sites.select("_calls", "_blocks", F.posexplode("_blocks").alias("_i", "a"))
+    # a site's calls from the block's first on, of which the block's own are the first
+    place = lambda block: F.array_position("_calls._block", block).cast("int")
+    size = F.size("_calls")
+    at = at.select("a", place(F.col("a")).alias("_from"), F.coalesce(place(F.get("_blocks", F.col("_i") + 1)), size + 1).alias("_to"), "_calls")
+    at = at.select("a", (F.col("_to") - F.col("_from")).alias("_own"), F.get("_calls", F.col("_from") - 1)["_parts"].alias("_parts"), F.slice("_calls", F.col("_from"), size).alias("_calls")).filter(F.size("_calls") > 1)
+    here = lambda b: (F.col("_parts") == 1) | (F.pmod(F.xxhash64(b), F.col("_parts")) == F.col("_part"))
+    at = at.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    at = at.withColumn("_calls", F.when(F.col("_parts") == 1, F.col("_calls")).otherwise(F.filter("_calls", lambda c, i: (i < F.col("_own")) | here(c["sample"]))))
+    lists = at.select("a", "_part", "_parts", "_own", F.col("_calls.sample").alias("_samples"), F.col("_calls.dosage").alias("_dosages")).repartition(tasks, "a", "_part")
+    every = lists.select(F.col("a").alias("_block"), "_part", "_parts", "_own", F.arrays_zip("_samples", "_dosages").alias("_calls"))
+    a = every.select("_block", "_part", "_parts", "_calls", F.explode(F.slice("_calls", F.lit(1), F.col("_own"))).alias("_a"))
+    b = a.select("_block", "_part", "_parts", "_a", F.explode("_calls").alias("_b"))
+    both = b.select("_block", "_part", "_parts", F.col("_a._samples").alias("a"), F.col("_a._dosages").alias("x"), F.col("_b._samples").alias("b"), F.col("_b._dosages").alias("y"))
+    return both.filter(F.expr("a < b") & here(F.col("b"))), ["_block", "_part", "a", "b"]
+
+
 def jackknife(rows: DataFrame, value: str, by: str) -> DataFrame:
     """(by, without): the mean of all other groups' rows, from totals and one row a group."""
     groups = rows.groupBy(by).agg(F.sum(F.col(value).cast("decimal(38,9)")).alias("t"), F.count(value).alias("n"))
